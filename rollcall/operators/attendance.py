@@ -81,14 +81,14 @@ def main_group_share(observed: DataFrame, main: DataFrame, by: Sequence[str], da
         F.avg(F.coalesce("_main", F.lit(0))).alias("share"))
 
 
-def complete_days(sizes: DataFrame, day: str = "day") -> DataFrame:
+def complete_days(sizes: DataFrame, day: str = "day", by: Sequence[str] = ()) -> DataFrame:
     """Days on which everybody was found today and on the calendar day before.
 
-    ``sizes`` holds one row per day with ``n_entity`` and ``max_entity``.
+    ``sizes`` holds one row per (by, day) with ``n_entity`` and ``max_entity``.
     """
     full = sizes.withColumn("inc2", if_na(F.col("max_entity") == F.col("n_entity"), 1, 0))
-    pre = full.select(F.date_add(day, 1).alias(day), F.col("inc2").alias("inc"))
-    return full.join(pre, day, "left").filter((F.col("inc") == 1) & (F.col("inc2") == 1)).drop("inc", "inc2")
+    pre = full.select(*by, F.date_add(day, 1).alias(day), F.col("inc2").alias("inc"))
+    return full.join(pre, [*by, day], "left").filter((F.col("inc") == 1) & (F.col("inc2") == 1)).drop("inc", "inc2")
 
 
 def pause_ok(found: DataFrame, days: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -59,14 +59,15 @@ def joint_state(a: Column, b: Column, name_a: str, name_b: str) -> Column:
 
 
 def max_pair_value(events: DataFrame, pairs: DataFrame, entity: str, keys: Sequence[str], flag: str,
-                   value: str, strict: bool = True, fill: float | None = None) -> DataFrame:
+                   value: str, strict: bool = True, fill: float | None = None, keep_loose: str | None = None) -> DataFrame:
     """For every row, the largest pair value among *other* entities with the
     flag in the same ``keys`` (one day, one group).
 
     Driven by the pair table (two equi-joins), so the work follows the listed
     relatives and no two members of a day are paired up otherwise. ``strict``
     gives null as soon as one of the others has no pair row, which is found by
-    counting; ``fill`` replaces a null result. ``pairs`` has ``entity``,
+    counting; ``fill`` replaces a null result; ``keep_loose`` also keeps the
+    maximum over the listed others under that name. ``pairs`` has ``entity``,
     ``entity2`` and ``value``, one row per ordered pair.
     """
     keys = list(keys)
@@ -79,6 +80,8 @@ def max_pair_value(events: DataFrame, pairs: DataFrame, entity: str, keys: Seque
             .groupBy(*keys, entity).agg(F.count(F.lit(1)).alias("_listed"), F.max("_v").alias("_max")))
     out = events.join(sizes, keys, "left").join(hits, [*keys, entity], "left")
     others = F.coalesce("_n_flagged", F.lit(0)) - if_na(F.coalesce(F.col(flag), F.lit(0)) == 1, 1, 0)
+    if keep_loose:
+        out = out.withColumn(keep_loose, F.col("_max"))
     best = F.col("_max")
     if strict:
         best = F.when(F.coalesce("_listed", F.lit(0)) >= others, best)
