@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from rollcall.functions.tails import chi_square_upper
@@ -60,7 +61,7 @@ def pacf(df: DataFrame, day: str, value: str, by: Sequence[str] = (), max_lag: i
     The recursion runs over a whole batch of series at once.
     """
     arrays = acf_arrays(df, day, value, by, max_lag).select(*by, "acf")
-    schema = arrays.drop("acf").schema.add("pacf", "array<double>")
+    schema = arrays.drop("acf").schema.add("pacf", T.ArrayType(T.DoubleType()))
 
     def recurse(batches):
         for pdf in batches:

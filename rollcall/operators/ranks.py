@@ -21,13 +21,13 @@ def split_row_number(df: DataFrame, by: Sequence[str], order: Sequence[Column],
     """
     cut = df.withColumns(dict(slices))
     keys = [*by, *slices]
-    sizes = cut.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    sizes = cut.groupBy(*keys).agg(F.count(F.lit(1)).alias("_slice_n"))
     earlier = W.partitionBy(*by).orderBy(*slices).rowsBetween(W.unboundedPreceding, -1)
-    offsets = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
-    placed = cut.withColumn("_place", F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
+    offsets = sizes.withColumn("_before", F.coalesce(F.sum("_slice_n").over(earlier), F.lit(0))).drop("_slice_n")
+    placed = cut.withColumn("_within", F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
     return (placed.join(offsets, keys)
-            .withColumn(name, (F.col("_place") + F.col("_before")).cast("bigint"))
-            .drop("_place", "_before", *slices))
+            .withColumn(name, (F.col("_within") + F.col("_before")).cast("bigint"))
+            .drop("_within", "_before", *slices))
 
 
 def exact_quantiles(df: DataFrame, by: Sequence[str], col: str, probs: Mapping[str, float],

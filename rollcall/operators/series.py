@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rollcall.operators.calendar import complete_calendar
 
@@ -36,7 +37,8 @@ def _filter(df: DataFrame, day: str, value: str, by: Sequence[str], step: np.nda
     full = full if by else full.withColumn("_series", F.lit(1))
     packed = full.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(day).alias("d"), F.col("_y").alias("y")))).alias("s"))
     packed = packed.select(*keys, F.col("s.d").alias("_days"), F.transform("s", lambda e: e["y"]).alias("_y"))
-    schema = packed.drop("_y", "_days").schema.add("_days", "array<date>").add("_mean", "array<double>").add("_var", "array<double>")
+    numbers = T.ArrayType(T.DoubleType())
+    schema = packed.drop("_y").schema.add("_mean", numbers).add("_var", numbers)
 
     def run(batches):
         for pdf in batches:

@@ -19,7 +19,8 @@ def person_period(df: DataFrame, dur: str, follow: str, width: float = 1.0, even
     entity (``event`` = 0) never gets 1. Durations of 0 or less give no row.
     """
     last = F.floor(F.least(F.ceil(F.col(dur) / width), F.ceil(F.col(follow) / width)))
-    rows = df.withColumn("_last", last).filter(F.col("_last") >= 1)
+    # least() would skip a null, so unknown durations are dropped first
+    rows = df.dropna(subset=[dur, follow]).withColumn("_last", last).filter(F.col("_last") >= 1)
     found = F.lit(1) if event is None else F.col(event)
     return (rows.withColumn("time", F.explode(F.sequence(F.lit(1).cast("bigint"), "_last")))
             .withColumn("hit", if_na((F.col("time") == F.ceil(F.col(dur) / width)) & (found == 1), 1, 0))

@@ -110,5 +110,5 @@ def with_bases(body: str) -> str:
     visit(body)
     ordered = [f"{name} as ({BASES[name]})" for name in BASES if name in needed]
     if not ordered:
-        return body
+        return re.sub(r"^\s*,", "with", body)
     return "with " + ",\n".join(ordered) + "\n" + body.strip()
