@@ -20,6 +20,16 @@ def calendar(df: DataFrame, day: str = "day") -> DataFrame:
     return one.select(F.explode(F.sequence("_lo", "_hi")).alias(day))
 
 
+def join_days(df: DataFrame, days: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join a table that has a fixed few rows per calendar day.
+
+    Such a table cannot outgrow the calendar (a century is 36 525 days), so
+    it is broadcast: the large side keeps its partitioning and a busy day is
+    not gathered. Never use it for tables that grow with the entities.
+    """
+    return df.join(F.broadcast(days), list(on), how)
+
+
 def complete_calendar(df: DataFrame, day: str, by: Sequence[str] = (), span: Column | None = None) -> DataFrame:
     """Add the missing days, with nulls in the value columns.
 
@@ -30,7 +40,7 @@ def complete_calendar(df: DataFrame, day: str, by: Sequence[str] = (), span: Col
     series by the length of the calendar.
     """
     if not by:
-        return calendar(df, day).join(df, day, "left")
+        return join_days(calendar(df, day), df, [day], "left")
     w = W.partitionBy(*by).orderBy(day)
     here = F.col(day)
     nxt = F.lead(day).over(w)
@@ -66,6 +76,8 @@ def shift_join(df: DataFrame, other: DataFrame, keys: Sequence[str], day: str, c
     """Attach columns that another table holds for the day before."""
     shifted = other.select(*keys, F.date_add(day, days).alias(day),
                            *[F.col(c).alias(f"{c}{suffix}") for c in cols])
+    if not keys:  # one row per day
+        return join_days(df, shifted, [day], "left")
     return df.join(shifted, [*keys, day], "left")
 
 
@@ -90,7 +102,7 @@ def cross_days(entities: DataFrame, days: DataFrame, day: str = "day") -> DataFr
     """
     span = day_span(days, day)
     grid = entities.withColumn(day, F.explode(F.sequence(span.getField("lo"), span.getField("hi"))))
-    return grid.join(days, day)
+    return join_days(grid, days, [day])
 
 
 def grid(start: DataFrame, axes: Mapping[str, Column]) -> DataFrame:

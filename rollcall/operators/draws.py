@@ -29,12 +29,12 @@ def draws_to_long(wide: DataFrame, cols: Sequence[str], keys: Sequence[str] = KE
 def summarize_draws(draws: DataFrame, by: Sequence[str] = ("variable",)) -> DataFrame:
     """Mean, sd, median, mad and the 2.5, 5, 95 and 97.5 % quantiles."""
     by = list(by)
-    moments = draws.groupBy(*by).agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"))
-    q = exact_quantiles(draws, by, "value", {"q2_5": 0.025, "q5": 0.05, "median": 0.5, "q95": 0.95, "q97_5": 0.975})
+    q = exact_quantiles(draws, by, "value", {"q2_5": 0.025, "q5": 0.05, "median": 0.5, "q95": 0.95, "q97_5": 0.975},
+                        extra={"mean": F.avg("value"), "sd": F.stddev_samp("value")})
     spread = (draws.join(q.select(*by, "median"), by)
               .withColumn("dev", F.abs(F.col("value") - F.col("median"))))
     mad = exact_quantiles(spread, by, "dev", {"mad": 0.5}).withColumn("mad", F.col("mad") * MAD_SCALE)
-    return moments.join(q, by).join(mad, by)
+    return q.join(mad, by)
 
 
 def interval(draws: DataFrame, by: Sequence[str], value: str = "value") -> DataFrame:
@@ -58,9 +58,8 @@ def pair_differences(draws: DataFrame, level: str = "variable", keys: Sequence[s
 def pairwise_contrasts(draws: DataFrame, level: str = "variable", keys: Sequence[str] = KEYS) -> DataFrame:
     """Mean and 95 % interval of every level difference."""
     diffs = pair_differences(draws, level, keys)
-    by = ["level1", "level2"]
-    means = diffs.groupBy(*by).agg(F.avg("value").alias("mean"))
-    return means.join(exact_quantiles(diffs, by, "value", {"lo": 0.025, "hi": 0.975}), by)
+    return exact_quantiles(diffs, ["level1", "level2"], "value", {"lo": 0.025, "hi": 0.975},
+                           extra={"mean": F.avg("value")})
 
 
 def _shortest(draws: DataFrame) -> DataFrame:

@@ -99,16 +99,16 @@ def pair_attributes(pairs: DataFrame, nodes: DataFrame, entity: str, diffs: Sequ
     return out
 
 
-def sociality_index(groom: DataFrame, near: DataFrame, by: Sequence[str], value: str = "minutes") -> DataFrame:
+def sociality_index(bouts: DataFrame, by: Sequence[str], groom: Column, near: Column, value: str = "minutes") -> DataFrame:
     """Composite index of a dyad: mean of its two rates over the mean rates.
 
-    Dyads that appear in one table only count 0 in the other; the means are
-    taken over the dyads of the same ``by`` group.
+    ``groom`` and ``near`` tell the two kinds of bouts apart. Dyads with one
+    kind only count 0 in the other; the means are taken over the dyads of the
+    same ``by`` group. Both sums come from one pass over the bouts.
     """
     by = list(by)
-    g = groom.groupBy(*by, "a", "b").agg(F.sum(value).alias("groom"), F.lit(0.0).alias("near"))
-    n = near.groupBy(*by, "a", "b").agg(F.lit(0.0).alias("groom"), F.sum(value).alias("near"))
-    dyads = g.unionByName(n).groupBy(*by, "a", "b").agg(F.sum("groom").alias("groom"), F.sum("near").alias("near"))
+    part = lambda kind: F.sum(F.when(kind, F.col(value)).otherwise(0.0))
+    dyads = bouts.filter(groom | near).groupBy(*by, "a", "b").agg(part(groom).alias("groom"), part(near).alias("near"))
     means = dyads.groupBy(*by).agg(F.avg("groom").alias("_mg"), F.avg("near").alias("_mn"))
     return (dyads.join(means, by)
             .withColumn("csi", (ratio(F.col("groom"), F.col("_mg")) + ratio(F.col("near"), F.col("_mn"))) / 2.0)

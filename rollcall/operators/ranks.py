@@ -31,37 +31,39 @@ def split_row_number(df: DataFrame, by: Sequence[str], order: Sequence[Column],
 
 
 def exact_quantiles(df: DataFrame, by: Sequence[str], col: str, probs: Mapping[str, float],
-                    accuracy: int = 10_000) -> DataFrame:
+                    accuracy: int = 10_000, extra: Mapping[str, Column] | None = None) -> DataFrame:
     """Linear-interpolation quantiles, exact, without buffering a group.
 
     Pass 1 keeps a bounded sketch per group and brackets every wanted rank.
     Pass 2 collapses the rows outside the brackets to two counters per quantile
     (map-side), and orders only the distinct values inside them, about
     ``20 / accuracy`` of the rows. A bracket that missed its rank fails the job
-    rather than giving a near value.
+    rather than giving a near value. ``extra`` aggregates (a mean, a count)
+    ride along in pass 1.
     """
+    extra = dict(extra or {})
     by = list(by)
     margin = 10.0 / accuracy
     cuts = [c for p in probs.values() for c in (max(0.0, p - margin), min(1.0, p + margin))]
-    clean = df.select(*by, F.col(col).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-    sketch = [F.count("_v").alias("n"),
-              F.percentile_approx("_v", F.array(*[F.lit(c) for c in cuts]), F.lit(accuracy)).alias("cuts")]
+    clean = df.select(*by, F.col(col).cast("double").alias(col)).filter(F.col(col).isNotNull())
+    sketch = [*[agg.alias(name) for name, agg in extra.items()], F.count(col).alias("_n"),
+              F.percentile_approx(col, F.array(*[F.lit(c) for c in cuts]), F.lit(accuracy)).alias("_cuts")]
     if by:
         rows = clean.join(clean.groupBy(*by).agg(*sketch), by)
     else:
-        one = clean.select(F.struct(*sketch)).scalar()
-        rows = clean.withColumn("_s", one).select("_v", "_s.n", "_s.cuts")
+        rows = clean.withColumn("_s", clean.select(F.struct(*sketch)).scalar()).select(col, "_s.*")
     probe = F.array(*[
         F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p"),
-                 F.col("cuts")[2 * i].alias("lo"), F.col("cuts")[2 * i + 1].alias("hi"))
+                 F.col("_cuts")[2 * i].alias("lo"), F.col("_cuts")[2 * i + 1].alias("hi"))
         for i, p in enumerate(probs.values())
     ])
     side = F.when(F.col("_v") < F.col("q.lo"), -1).when(F.col("_v") > F.col("q.hi"), 1).otherwise(0)
+    carried = [F.first(name).alias(name) for name in extra]
     tallied = (
-        rows.select(*by, "n", "_v", F.explode(probe).alias("q"))
-        .select(*by, "n", "_v", F.col("q.i").alias("i"), F.col("q.p").alias("p"), side.alias("side"))
+        rows.select(*by, *extra, F.col("_n").alias("n"), F.col(col).alias("_v"), F.explode(probe).alias("q"))
+        .select(*by, *extra, "n", "_v", F.col("q.i").alias("i"), F.col("q.p").alias("p"), side.alias("side"))
         .groupBy(*by, "n", "i", "p", "side", F.when(F.col("side") == 0, F.col("_v")).alias("at"))
-        .agg(F.count(F.lit(1)).alias("c"), F.min("_v").alias("low"), F.max("_v").alias("high"))
+        .agg(F.count(F.lit(1)).alias("c"), F.min("_v").alias("low"), F.max("_v").alias("high"), *carried)
     )
     run = W.partitionBy(*by, "i").orderBy("side", "at").rowsBetween(W.unboundedPreceding, W.currentRow)
     placed = tallied.withColumn("upto", F.sum("c").over(run)).withColumn("h", (F.col("n") - 1) * F.col("p"))
@@ -77,11 +79,11 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], col: str, probs: Mapping[s
 
     k = F.floor("h") + 1
     picked = placed.groupBy(*by, "i").agg(
-        statistic(k).alias("x0"), statistic(F.least(k + 1, F.col("n"))).alias("x1"), F.max("h").alias("h"))
+        statistic(k).alias("x0"), statistic(F.least(k + 1, F.col("n"))).alias("x1"), F.max("h").alias("h"), *carried)
     value = F.col("x0") + (F.col("x1") - F.col("x0")) * (F.col("h") - F.floor("h"))
     return picked.groupBy(*by).agg(*[
         F.max(F.when(F.col("i") == i, value)).alias(name) for i, name in enumerate(probs)
-    ])
+    ], *carried)
 
 
 def scale_by_max(df: DataFrame, col: str, by: Sequence[str], name: str) -> DataFrame:

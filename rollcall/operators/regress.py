@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from rollcall.functions.scalars import interval_label, inverse_logit, level_index, replace_all
 from rollcall.functions.tails import normal_cdf
+from rollcall.session import cut_lineage
 
 Z95 = 1.959963984540054
 
@@ -90,8 +91,11 @@ def fit_glm(df: DataFrame, formula: str, family: str, link: str, offset: str | N
 
     The covariance is the inverse information, scaled by the Pearson
     dispersion, or the cluster-robust sandwich when ``cluster`` is given
-    (score sums per cluster are one map-side combined aggregate).
+    (score sums per cluster are one map-side combined aggregate). The frame
+    is written once to the checkpoint folder: the solver passes over it many
+    times and must not recompute what produced it.
     """
+    df = cut_lineage(df)
     design = RFormula(formula=formula, featuresCol="_features", labelCol="_label").fit(df)
     ready = design.transform(df)
     glm_family = "poisson" if family == "negbin" else family

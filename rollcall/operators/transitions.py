@@ -63,22 +63,20 @@ def max_pair_value(events: DataFrame, pairs: DataFrame, entity: str, keys: Seque
     """For every row, the largest pair value among *other* entities with the
     flag in the same ``keys`` (one day, one group).
 
-    Driven by the pair table (two equi-joins), so the work follows the listed
-    relatives and no two members of a day are paired up otherwise. ``strict``
+    Every flagged row offers its value to its listed relatives, so the work
+    follows the pair table and no two members of a day are paired up otherwise. ``strict``
     gives null as soon as one of the others has no pair row, which is found by
     counting; ``fill`` replaces a null result; ``keep_loose`` also keeps the
     maximum over the listed others under that name. ``pairs`` has ``entity``,
     ``entity2`` and ``value``, one row per ordered pair.
     """
     keys = list(keys)
-    flagged = events.filter(F.col(flag) == 1)
+    flagged = events.filter(F.col(flag) == 1).select(*keys, F.col(entity).alias("_other"))
     sizes = flagged.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n_flagged"))
-    partner = flagged.select(*keys, F.col(entity).alias("_other"))
     listed = pairs.select(F.col(entity), F.col(f"{entity}2").alias("_other"), F.col(value).alias("_v"))
-    hits = (events.select(*keys, entity).join(listed, entity)
-            .join(partner, [*keys, "_other"])
-            .groupBy(*keys, entity).agg(F.count(F.lit(1)).alias("_listed"), F.max("_v").alias("_max")))
-    out = events.join(sizes, keys, "left").join(hits, [*keys, entity], "left")
+    offers = (flagged.join(listed, "_other").groupBy(*keys, entity)
+              .agg(F.count(F.lit(1)).alias("_listed"), F.max("_v").alias("_max")))
+    out = events.join(offers, [*keys, entity], "left").join(sizes, keys, "left")
     others = F.coalesce("_n_flagged", F.lit(0)) - if_na(F.coalesce(F.col(flag), F.lit(0)) == 1, 1, 0)
     if keep_loose:
         out = out.withColumn(keep_loose, F.col("_max"))

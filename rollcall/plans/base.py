@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rollcall.functions.scalars import net_minutes
 from rollcall.operators import attendance as at
-from rollcall.operators.calendar import calendar, day_span, prev_day
+from rollcall.operators.calendar import calendar, day_span, join_days, prev_day
 from rollcall.operators.transitions import transition_flags
 
 EXCLUDED_GROUPS = ["g20240108_1"]
@@ -49,8 +49,13 @@ def seen(spark: SparkSession, sf: str) -> DataFrame:
         F.avg("value").alias("mean_value"), F.count(F.lit(1)).alias("n_ev"))
 
 
-def presence(spark: SparkSession, sf: str) -> DataFrame:
+def seen_days(spark: SparkSession, sf: str) -> DataFrame:
     days = ev(spark, sf).select("entity", "day").distinct()
+    return days.withColumn("period", period_of(F.col("day")))
+
+
+def presence(spark: SparkSession, sf: str) -> DataFrame:
+    days = seen_days(spark, sf).drop("period")
     return at.presence_grid(days, "entity", "day", span(spark, sf)).withColumn("period", period_of(F.col("day")))
 
 
@@ -71,10 +76,14 @@ def att(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def sightings(spark: SparkSession, sf: str) -> DataFrame:
+    return sighting_codes(presence_timed(spark, sf))
+
+
+def sighting_codes(rows: DataFrame) -> DataFrame:
     e, here = F.col("entity"), F.col("present") == 1
     code = (F.when(e % 23 == 0, at.DEAD).when(e % 15 < 6, at.TOO_YOUNG)
             .when(here & (e % 17 == 0), at.TIME_UNKNOWN).when(here, F.date_format("first_seen", "HH:mm")))
-    return presence_timed(spark, sf).select("entity", "day", "period", code.alias("code"))
+    return rows.select("entity", "day", "period", code.alias("code"))
 
 
 def day_obs(spark: SparkSession, sf: str) -> DataFrame:
@@ -128,10 +137,21 @@ def roster(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def sizes(spark: SparkSession, sf: str) -> DataFrame:
-    """Group sizes with roster and minutes; one row per observed group."""
-    counted = at.group_size(eligible(spark, sf), ["day", "group_id"])
-    days = group_days(spark, sf).select("group_id", "period", "code", "dur")
-    return counted.join(roster(spark, sf), "day").join(days, "group_id")
+    """Group sizes with roster and minutes; one row per observed group.
+
+    Absent rows add nothing to a group, so they are not built here, and the
+    roster is the same every day: both come without the full grid.
+    """
+    here = seen_days(spark, sf).withColumn("present", F.lit(1))
+    counted = at.group_size(eligible(spark, sf, here), ["group_id"])
+    days = group_days(spark, sf).select("group_id", "day", "period", "code", "dur")
+    return (join_days(days, counted, ["group_id"], "left").fillna({"n_entity": 0})
+            .withColumn("max_entity", roster_total(spark, sf)))
+
+
+def roster_total(spark: SparkSession, sf: str) -> Column:
+    e = F.col("entity")
+    return users(spark, sf).filter((e % 23 != 0) & (e % 15 >= 6)).select(F.count(F.lit(1))).scalar()
 
 
 def mgd(spark: SparkSession, sf: str) -> DataFrame:
@@ -141,7 +161,7 @@ def mgd(spark: SparkSession, sf: str) -> DataFrame:
 def panel(spark: SparkSession, sf: str) -> DataFrame:
     """Eligible roster rows of the main-group days, one per entity and day."""
     days = mgd(spark, sf).select("group_id", "dur")
-    return eligible(spark, sf).join(days, "group_id").select(
+    return join_days(eligible(spark, sf), days, ["group_id"]).select(
         "day", "period", "code", "group_id", "entity", "age", "rank", "presence", "dur")
 
 
@@ -185,7 +205,7 @@ def keyed(spark: SparkSession, sf: str) -> DataFrame:
     """Daily presence of the two named key entities (k1, k2)."""
     key_days = ev(spark, sf).filter(F.col("entity").isin(1, 2)).groupBy("day").agg(
         F.max(F.when(F.col("entity") == 1, 1)).alias("k1"), F.max(F.when(F.col("entity") == 2, 1)).alias("k2"))
-    return calendar(ev(spark, sf)).join(key_days, "day", "left").fillna({"k1": 0, "k2": 0})
+    return join_days(calendar(ev(spark, sf)), key_days, ["day"], "left").fillna({"k1": 0, "k2": 0})
 
 
 def bouts(spark: SparkSession, sf: str) -> DataFrame:
@@ -219,8 +239,9 @@ def tday(spark: SparkSession, sf: str) -> DataFrame:
 
 def found(spark: SparkSession, sf: str) -> DataFrame:
     """Confirmed sightings with their time, on the observed days."""
-    hits = at.decode_sightings(sightings(spark, sf)).filter(F.col("confirmed") == 1)
-    return hits.join(day_obs(spark, sf).drop("period"), "day").join(roster(spark, sf), "day")
+    hits = at.decode_sightings(sighting_codes(seen(spark, sf).withColumns(
+        {"present": F.lit(1), "period": period_of(F.col("day"))}))).filter(F.col("confirmed") == 1)
+    return join_days(hits, day_obs(spark, sf).drop("period"), ["day"]).withColumn("max_entity", roster_total(spark, sf))
 
 
 def roster_rows(spark: SparkSession, sf: str) -> DataFrame:
@@ -229,7 +250,7 @@ def roster_rows(spark: SparkSession, sf: str) -> DataFrame:
     code = F.when(F.col("first_seen").isNotNull(), F.date_format("first_seen", "HH:mm"))
     rows = at.decode_sightings(rows.withColumn("code_time", code), "code_time").drop("day_pre", "code_time", "last_seen", "first_seen")
     hours = group_days(spark, sf).select("group_id", "start", "fin", "suspend", "restart")
-    return rows.join(hours, "group_id")
+    return join_days(rows, hours, ["group_id"])
 
 
 def durations(spark: SparkSession, sf: str) -> DataFrame:

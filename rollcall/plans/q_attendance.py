@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from rollcall.functions.nulls import if_na, not_in
 from rollcall.functions.scalars import minutes_between, season
 from rollcall.operators import attendance as at
-from rollcall.operators.calendar import prev_day
+from rollcall.operators.calendar import join_days, prev_day
 from rollcall.plans import base as b
 from rollcall.plans.registry import query
 from rollcall.plans.sqlbase import MIN, NA, R
@@ -84,7 +84,7 @@ def arrival_curve(spark, sf):
     from (select p.*, d.start as day_start from presence p join day_obs d on d.day = p.day)""")
 def arrival_rank(spark, sf):
     """Arrival order of the whole roster, absent entities last."""
-    rows = b.presence_timed(spark, sf).join(b.day_obs(spark, sf).select("day", "start"), "day")
+    rows = join_days(b.presence_timed(spark, sf), b.day_obs(spark, sf).select("day", "start"), ["day"])
     rows = rows.select("entity", "day", minutes_between(F.col("start"), F.col("first_seen")).alias("dur"))
     return at.arrival_rank(rows, "day", "dur", "entity", "arrival", b.id_width(spark, sf)).select("entity", "day", "arrival")
 

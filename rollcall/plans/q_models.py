@@ -125,9 +125,7 @@ def index_by_diff(spark, sf):
       from bouts where kind in ('R', 'A') group by 1, 2, 3), m as (select period, avg(groom) as mg, avg(near) as mn from d group by period)
     select d.period, a, b, {R('groom')} as groom, {R('near')} as near, {R('(groom / mg + near / mn) / 2')} as csi from d join m on m.period = d.period""")
 def csi(spark, sf):
-    bouts = b.bouts(spark, sf)
-    pick = lambda k: bouts.filter(F.col("kind") == k).select("period", "a", "b", "minutes")
-    return pr.sociality_index(pick("R"), pick("A"), ["period"])
+    return pr.sociality_index(b.bouts(spark, sf), ["period"], F.col("kind") == "R", F.col("kind") == "A")
 
 
 @query("N8")
@@ -213,8 +211,7 @@ def signif_grid(spark, sf):
     from rollcall.operators.ranks import exact_quantiles
 
     d = b.draws(spark, sf)
-    c = d.groupBy("variable").agg(F.avg("value").alias("mean")).join(
-        exact_quantiles(d, ["variable"], "value", {"lo": 0.4, "hi": 0.6}), "variable")
+    c = exact_quantiles(d, ["variable"], "value", {"lo": 0.4, "hi": 0.6}, extra={"mean": F.avg("value")})
     c = c.select(F.col("variable").alias("level1"), F.lit("base").alias("level2"), "mean", "lo", "hi")
     out = dr.orient(c, F.col("level1") < "p[4")
     return out.withColumn("mark", dr.significance(F.col("lo"), F.col("hi")))
