@@ -11,11 +11,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from rollcall.functions.nulls import if_na
 from rollcall.functions.scalars import draw_index
 from rollcall.operators.ranks import exact_quantiles
 from rollcall.operators.reshape import to_long
+from rollcall.session import cut_lineage
 
 KEYS = ("chain", "iteration")
 # Fixed value: scale that makes the median absolute deviation a sd for normal data.
@@ -31,6 +33,7 @@ def summarize_draws(draws: DataFrame, by: Sequence[str] = ("variable",)) -> Data
     by = list(by)
     q = exact_quantiles(draws, by, "value", {"q2_5": 0.025, "q5": 0.05, "median": 0.5, "q95": 0.95, "q97_5": 0.975},
                         extra={"mean": F.avg("value"), "sd": F.stddev_samp("value")})
+    q = cut_lineage(q)  # one row per key, read twice below
     spread = (draws.join(q.select(*by, "median"), by)
               .withColumn("dev", F.abs(F.col("value") - F.col("median"))))
     mad = exact_quantiles(spread, by, "dev", {"mad": 0.5}).withColumn("mad", F.col("mad") * MAD_SCALE)
@@ -81,18 +84,28 @@ def rhat(draws: DataFrame) -> DataFrame:
         F.sqrt(((F.col("n") - 1) / F.col("n") * within + between) / within).alias("rhat")).drop("n")
 
 
-def ess(draws: DataFrame, max_lag: int = 20) -> DataFrame:
+def ess(draws: DataFrame, max_lag: int = 20, block: int = 1024) -> DataFrame:
     """Effective sample size from lag covariances, summed in pairs until the
-    first negative pair (or ``max_lag``)."""
-    cut = _shortest(draws)
+    first negative pair (or ``max_lag``).
+
+    A chain is cut into blocks of iterations, each with the last ``max_lag``
+    rows of the block before as context, so a long chain is handled by many
+    tasks and no row is copied once per lag.
+    """
+    cut = cut_lineage(_shortest(draws).select("variable", "chain", "iteration", "n", "value"))
     stats = cut.groupBy("variable", "chain").agg(F.avg("value").alias("_m"))
+    here = F.floor(F.col("iteration") / block)
+    tail = F.col("iteration") % block >= block - max_lag
     dev = cut.join(stats, ["variable", "chain"]).select(
-        "variable", "chain", "iteration", "n", (F.col("value") - F.col("_m")).alias("d"))
-    ahead = dev.select("variable", "chain", "n", F.col("d").alias("d0"), "iteration",
-                       F.explode(F.sequence(F.lit(0), F.lit(max_lag))).alias("lag")).withColumn(
-        "iteration", F.col("iteration") + F.col("lag"))
-    cov = (ahead.join(dev.select("variable", "chain", "iteration", "d"), ["variable", "chain", "iteration"])
-           .groupBy("variable", "chain", "n", "lag").agg((F.sum(F.col("d0") * F.col("d")) / F.col("n")).alias("c")))
+        "variable", "chain", "iteration", "n", (F.col("value") - F.col("_m")).alias("d"), here.alias("_home"),
+        F.explode(F.when(tail, F.array(here, here + 1)).otherwise(F.array(here))).alias("_block"))
+    w = W.partitionBy("variable", "chain", "_block").orderBy("iteration")
+    ahead = dev.withColumns({f"_l{k}": F.max("d").over(w.rangeBetween(-k, -k)) for k in range(1, max_lag + 1)})
+    products = [F.col("d") * F.col("d")] + [F.col("d") * F.col(f"_l{k}") for k in range(1, max_lag + 1)]
+    cov = (ahead.filter(F.col("_home") == F.col("_block")).groupBy("variable", "chain", "n")
+           .agg(*[F.sum(p).alias(f"s{k}") for k, p in enumerate(products)])
+           .select("variable", "n", F.posexplode(F.array(*[
+               F.coalesce(F.col(f"s{k}"), F.lit(0.0)) / F.col("n") for k in range(max_lag + 1)])).alias("lag", "c")))
     per_chain = stats.groupBy("variable").agg(F.var_samp("_m").alias("between"), F.count(F.lit(1)).alias("chains"))
     lagged = cov.groupBy("variable", "n", "lag").agg(F.avg("c").alias("c"))
     arrays = lagged.groupBy("variable", "n").agg(

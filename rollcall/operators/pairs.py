@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rollcall.functions.nulls import ratio
+from rollcall.session import cut_lineage
 
 
 def pack_days(df: DataFrame, keys: Sequence[str], position: Column, flags: Mapping[str, Column]) -> DataFrame:
@@ -52,9 +53,11 @@ def association_index(present: DataFrame, entity: str, position: Column, unit: S
     """Simple ratio index: together / (together + only a + only b).
 
     ``position`` numbers the observation events (a day number). ``denom`` is
-    returned as well; pairs never seen together have index 0.
+    returned as well; pairs never seen together have index 0. ``present`` holds
+    absent days too, one row per entity and event. The packed rows (one per
+    entity and 64 days) are written once, as the pair join reads them thrice.
     """
-    packed = pack_days(present, [*unit, entity], position, {"seen": F.col(present_col) == 1})
+    packed = cut_lineage(pack_days(present, [*unit, entity], position, {"seen": F.col(present_col) == 1}))
     pairs = pairs_within(packed, unit, entity, ["seen"], ["word"])
     together = F.bit_count(F.col("seen_a").bitwiseAND(F.col("seen_b")))
     either = F.bit_count(F.col("seen_a").bitwiseOR(F.col("seen_b")))
@@ -70,7 +73,7 @@ def co_event_index(flags: DataFrame, entity: str, position: Column, unit: Sequen
     null when neither had an event.
     """
     at_risk, hit = F.col(flag).isNotNull(), F.col(flag) == 1
-    packed = pack_days(flags, [*unit, entity], position, {"risk": at_risk, "hit": hit})
+    packed = cut_lineage(pack_days(flags, [*unit, entity], position, {"risk": at_risk, "hit": hit}))
     pairs = pairs_within(packed, unit, entity, ["risk", "hit"], ["word"])
     both = F.col("risk_a").bitwiseAND(F.col("risk_b"))
     together = F.bit_count(F.col("hit_a").bitwiseAND(F.col("hit_b")))

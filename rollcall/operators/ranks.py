@@ -86,8 +86,9 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], col: str, probs: Mapping[s
     ], *carried)
 
 
-def scale_by_max(df: DataFrame, col: str, by: Sequence[str], name: str) -> DataFrame:
+def scale_by_max(df: DataFrame, col: str, by: Sequence[str], name: str, reference: DataFrame | None = None) -> DataFrame:
     """``col`` over its maximum in the group, by an aggregate joined back
-    (the maximum is combined map-side, so a hot group is not gathered)."""
-    top = df.groupBy(*by).agg(F.max(col).alias("_top"))
+    (the maximum is combined map-side, so a hot group is not gathered).
+    ``reference`` may name a cheaper table with the same maxima."""
+    top = (df if reference is None else reference).groupBy(*by).agg(F.max(col).alias("_top"))
     return df.join(top, list(by)).withColumn(name, F.try_divide(F.col(col).cast("double"), F.col("_top"))).drop("_top")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rollcall.functions.nulls import n_distinct
-from rollcall.operators.calendar import complete
+from rollcall.operators.calendar import grid
 
 
 def incident_rate(incidents: DataFrame, exposure: DataFrame, keys: Sequence[str], per_minutes: float = 60.0,
@@ -39,11 +39,11 @@ def rate_by_actor(incidents: DataFrame, exposure: DataFrame, nesting: Sequence[s
     and ``available``; a missing row counts as available.
     """
     classed = incidents.withColumn("actor_class", F.when(F.col(actor).isin(list(actors)), F.col(actor)).otherwise("other"))
-    counted = (classed.join(exposure.select(*nesting), list(nesting), "inner")
-               .filter(F.col(state).isNotNull())
+    counted = (classed.filter(F.col(state).isNotNull())
                .groupBy(*nesting, "actor_class", state).agg(F.count(F.lit(1)).alias("n_inc")))
-    frame = complete(exposure.select(*nesting, dur).join(counted, list(nesting), "left"),
-                     [*nesting, dur], {"actor_class": [*actors, "other"], state: list(states)}, {"n_inc": 0})
+    frame = grid(exposure.select(*nesting, dur), {
+        "actor_class": F.array(*[F.lit(a) for a in (*actors, "other")]), state: F.array(*[F.lit(v) for v in states])})
+    frame = frame.join(counted, [*nesting, "actor_class", state], "left").fillna({"n_inc": 0})
     on = [c for c in availability.columns if c != "available"]
     return (frame.join(availability, on, "left").filter(F.coalesce("available", F.lit(1)) == 1)
             .withColumn("rate", F.try_divide(F.col("n_inc") * float(per_minutes), F.col(dur)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -89,17 +89,14 @@ def max_pair_value(events: DataFrame, pairs: DataFrame, entity: str, keys: Seque
         "_n_flagged", "_listed", "_max")
 
 
-def leave_out_totals(totals: DataFrame, events: DataFrame, keys: Sequence[str], flag: str,
-                     total_cols: Sequence[str], weights: Sequence[str | None]) -> DataFrame:
-    """Totals of a day without the entities that had the flag that day.
+def leave_out_totals(rows: DataFrame, keys: Sequence[str], flag: str, amounts: Mapping[str, Column]) -> DataFrame:
+    """Totals of a day, and the same without the rows that had the flag.
 
-    ``weights[i]`` is the column of ``events`` to subtract from
-    ``total_cols[i]``, or None to subtract the number of flagged rows.
+    ``amounts`` names what is added up per row; both totals come from one pass.
     """
-    flagged = events.filter(F.col(flag) == 1)
-    gone = flagged.groupBy(*keys).agg(*[
-        (F.sum(w) if w else F.count(F.lit(1))).alias(f"_less_{c}") for c, w in zip(total_cols, weights)])
-    out = totals.join(gone, list(keys), "left")
-    return out.withColumns({
-        f"{c}_other": F.col(c) - F.coalesce(F.col(f"_less_{c}"), F.lit(0)) for c in total_cols
-    }).drop(*[f"_less_{c}" for c in total_cols])
+    flagged = F.col(flag) == 1
+    out = rows.groupBy(*keys).agg(*[
+        e for name, amount in amounts.items()
+        for e in (F.sum(amount).alias(name), F.coalesce(F.sum(F.when(flagged, amount)), F.lit(0)).alias(f"_less_{name}"))])
+    return out.withColumns({f"{name}_other": F.col(name) - F.col(f"_less_{name}") for name in amounts}).drop(
+        *[f"_less_{name}" for name in amounts])

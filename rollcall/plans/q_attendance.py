@@ -205,7 +205,8 @@ def entity_panel(spark, sf):
         F.max("rank").alias("rank"), F.count(F.lit(1)).alias("possible"),
         F.coalesce(F.sum("presence"), F.lit(0)).alias("n"), (F.coalesce(F.sum("rs"), F.lit(0)) > 0).cast("int").alias("any_state"),
         F.avg(F.when(F.col("presence") == 1, F.col("rs"))).alias("prop_rs"))
-    return scale_by_max(a, "rank", ["code"], "rank_scaled").drop("rank")
+    return scale_by_max(a, "rank", ["code"], "rank_scaled", b.att(spark, sf).filter(b.is_eligible()).withColumn(
+        "code", b.period_label())).drop("rank")
 
 
 @query("P7 R4", """select cast(day as varchar) as day, group_id from group_days

@@ -17,6 +17,7 @@ from rollcall.operators import survival as sv
 from rollcall.plans import base as b
 from rollcall.plans.registry import query
 from rollcall.plans.sqlbase import R
+from rollcall.session import cut_lineage
 
 BIN = 30.0  # minutes per interval of the person-period rows
 
@@ -143,7 +144,7 @@ def eigen_centrality(spark, sf):
     c as (select x, sum(w) as degree, sum(case when x = y then w else 0 end) as inside from s group by x)
     select count(*) as n_labels, {R('sum(inside) / sum(degree) - sum(degree * degree) / (sum(degree) * sum(degree))')} as q from c""")
 def modularity(spark, sf):
-    g = b.graph(spark, sf)
+    g = cut_lineage(b.graph(spark, sf))
     labels = g.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("label", F.col("node") % 5)
     return nw.modularity(g, labels)
 

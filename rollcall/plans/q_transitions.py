@@ -16,6 +16,7 @@ from rollcall.operators.reshape import sum_across
 from rollcall.plans import base as b
 from rollcall.plans.registry import query
 from rollcall.plans.sqlbase import NA, R
+from rollcall.session import cut_lineage
 
 DEP = """, d as (select t.*, q.present as pre from presence t left join presence q on q.entity = t.entity and q.day = t.day - 1)"""
 
@@ -81,7 +82,7 @@ def leave_rate10(spark, sf):
     from ev2 e left join others o on o.group_id = e.group_id and o.entity = e.entity""")
 def kin_left(spark, sf):
     """Largest relatedness among the others that left the same day."""
-    ev2 = b.trans(spark, sf).filter(F.col("pre") == 1).select("day", "group_id", "entity", "departure")
+    ev2 = cut_lineage(b.trans(spark, sf).filter(F.col("pre") == 1).select("day", "group_id", "entity", "departure"))
     kin, keys = b.kin(spark, sf), ["day", "group_id"]
     both = tr.max_pair_value(ev2, kin, "entity", keys, "departure", "kin", strict=True, keep_loose="max_any")
     return both.select(*keys, "entity", "n_others", F.col("max_kin").alias("max_strict"),
@@ -99,10 +100,8 @@ def kin_left(spark, sf):
 def leave_out_counts(spark, sf):
     """Group and state totals without the entities that came back that day."""
     rows = b.trans(spark, sf).join(b.state(spark, sf), ["entity", "day"], "left")
-    totals = rows.filter(F.col("presence") == 1).groupBy("day", "group_id").agg(
-        F.sum("presence").alias("n_entity"), F.sum("rs").alias("n_rs"))
-    back = rows.filter(F.col("pre") == 0)
-    return tr.leave_out_totals(totals, back, ["day", "group_id"], "returned", ["n_entity", "n_rs"], [None, "rs"])
+    here = rows.filter(F.col("presence") == 1)
+    return tr.leave_out_totals(here, ["day", "group_id"], "returned", {"n_entity": F.col("presence"), "n_rs": F.col("rs")})
 
 
 @query("T9 W7 R9", f"""{LEAVE}, m as (select l.season, l.rs_pre, l.departure, l.entity, entity % 15 as age from l where season = 'mating')
@@ -281,8 +280,11 @@ def outcome_frame(spark, sf):
     left join mgd g on g.day = t.day - 1 left join ri on ri.day = t.day - 1 left join c1 on c1.entity = t.entity
     left join k on k.entity = t.entity and k.day = t.day left join keyed ky on ky.day = t.day - 1""")
 def model_frame(spark, sf):
-    """Assembly of all covariates of the departure model."""
-    rows = b.trans(spark, sf).filter(F.col("pre") == 1)
+    """Assembly of all covariates of the departure model.
+
+    The transition rows feed several branches, so they are written once.
+    """
+    rows = cut_lineage(b.trans(spark, sf).filter(F.col("pre") == 1))
     days = _exposure(spark, sf)
     rate = rt.incident_rate(b.incidents(spark, sf), days, ["day"], distinct_on="no")
     per_day = b.mgd(spark, sf).select("day", "prop").join(rate.select("day", "rate"), "day").join(b.keyed(spark, sf), "day", "right")
@@ -292,7 +294,7 @@ def model_frame(spark, sf):
     out = cal.shift_join(out, b.state(spark, sf), ["entity"], "day", ["rs"])
     out = cal.shift_join(out, per_day, [], "day", ["prop", "rate", "k1", "k2"])
     out = out.join(csi, "entity", "left").fillna({"csi": 0.0})
-    out = scale_by_max(out, "rank", ["code"], "rank_scaled").withColumn("kin_01", if_na(F.col("max_kin") > 0, 1, 0))
+    out = scale_by_max(out, "rank", ["code"], "rank_scaled", rows).withColumn("kin_01", if_na(F.col("max_kin") > 0, 1, 0))
     return out.select("entity", "day", "departure", "rs_pre", "prop_pre", "rate_pre", "csi", "max_kin", "kin_01", "k1_pre", "k2_pre", "rank_scaled")
 
 
