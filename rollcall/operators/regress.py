@@ -185,11 +185,11 @@ def contrasts(fit: Fit, frame: DataFrame, level: str, axes: Sequence[str]) -> Da
     """Differences of the linear predictor between the levels of ``level`` at
     every point of ``axes``. ``frame`` is a prediction grid: the levels of a
     point are a listed few, so the join is as small as the grid."""
-    rows = fit.with_design(frame).select(*axes, F.col(level).alias("l"), F.col("_x").alias("x"))
-    one = rows.select(*axes, F.col("l").alias("level1"), F.col("x").alias("x1"))
-    two = rows.select(*axes, F.col("l").alias("level2"), F.col("x").alias("x2"))
+    rows = fit.with_design(frame).select(*axes, F.col(level).alias("_l"), F.col("_x").alias("_v"))
+    one = rows.select(*axes, F.col("_l").alias("level1"), F.col("_v").alias("_v1"))
+    two = rows.select(*axes, F.col("_l").alias("level2"), F.col("_v").alias("_v2"))
     pairs = one.join(two, list(axes)).filter(F.col("level1") < F.col("level2"))
-    pairs = pairs.withColumn("_d", F.zip_with("x1", "x2", lambda p, q: p - q)).drop("x1", "x2")
+    pairs = pairs.withColumn("_d", F.zip_with("_v1", "_v2", lambda p, q: p - q)).drop("_v1", "_v2")
     est, se = fit.linear(F.col("_d")), fit.se(F.col("_d"))
     return pairs.withColumns({"estimate": est, "se": se}).withColumns({
         "lo": F.col("estimate") - Z95 * F.col("se"), "hi": F.col("estimate") + Z95 * F.col("se")}).drop("_d")
