@@ -16,7 +16,7 @@ from rollcall.operators import series as se
 from rollcall.operators import survival as sv
 from rollcall.plans import base as b
 from rollcall.plans.registry import query
-from rollcall.plans.sqlbase import R
+from rollcall.plans.sqlbase import GLM, R
 from rollcall.session import cut_lineage
 
 BIN = 30.0  # minutes per interval of the person-period rows
@@ -53,7 +53,13 @@ def _coefs(spark, fit):
     return rg.coef_table(spark, fit).select("term", "estimate", "se", "lo", "hi")
 
 
-@query("V3 M1")
+HAZARD = """select avg(hit) as y, cast(count(*) as double) as w, cast(least(time, 8) as double) as x1, cast(rank % 10 as double) as x2, 0.0 as off from (
+      select d.*, t.time, case when t.time = cast(ceil(dur / 120.0) as bigint) and confirmed = 1 then 1.0 else 0.0 end as hit
+      from (select *, least(cast(ceil(dur / 120.0) as bigint), cast(ceil(dur_follow / 120.0) as bigint)) as last from durations where dur > 0) d,
+        lateral (select unnest(range(1, last + 1)) as time) t) group by least(time, 8), rank % 10, period"""
+
+
+@query("V3 M1", GLM(HAZARD, "cloglog", "mu * (1 - mu)", "cast(-1 as double)", ("time", "rank_c", "(Intercept)")))
 def hazard_glm(spark, sf):
     """Grouped-time proportional hazards: complementary log-log link."""
     fit = rg.fit_glm(_hazard_rows(spark, sf), "p ~ time + rank_c", "binomial", "cloglog", weight="n")
@@ -135,9 +141,16 @@ def qap(spark, sf):
     return nw.qap(_pair_frame(spark, sf).filter(F.col("denom") > 0), "sri", ["kin", "diff_rank"], ["troop"], 99, 7, "denom")
 
 
-@query("N9")
+ARCS = ", arcs as (select a as src, b as dst, w from graph union all select b, a, w from graph)"
+
+
+@query("N9", f"""{ARCS}, loops as (select * from arcs union all select distinct src, src, 1.0 from arcs),
+    recursive v as (select src as node, cast(1 as double) as v, 0 as step from (select distinct src from arcs)
+      union all select l.dst, sum(l.w * v.v), v.step + 1 from loops l join v on v.node = l.src where v.step < 40 group by l.dst, v.step)
+    select node, {R('v / max(v) over ()')} as centrality from v where step = 40""")
 def eigen_centrality(spark, sf):
-    return nw.eigen_centrality(b.graph(spark, sf), iters=40, tol=1e-8, every=10)
+    """Forty steps of power iteration, whatever the tolerance."""
+    return nw.eigen_centrality(b.graph(spark, sf), iters=40, tol=0.0, every=10)
 
 
 @query("N10", f""", l as (select a, b, w, a % 5 as la, b % 5 as lb from graph), s as (select la as x, lb as y, w from l union all select lb, la, w from l),
@@ -149,7 +162,13 @@ def modularity(spark, sf):
     return nw.modularity(g, labels)
 
 
-@query("N10")
+@query("N10", f"""{ARCS}, own as (select src as node, avg(w) as w from arcs group by src),
+    recursive l as (select node, node as label, 0 as step from own union all
+      select node, label, step + 1 from (select node, label, step, row_number() over (partition by node order by w desc, label) as place
+        from (select node, label, step, sum(w) as w from (
+          select a.dst as node, l.label, l.step, a.w from arcs a join l on l.node = a.src where l.step < 5
+          union all select l.node, l.label, l.step, o.w from l join own o on o.node = l.node where l.step < 5) group by 1, 2, 3)) where place = 1)
+    select node, label from l where step = 5""")
 def communities(spark, sf):
     return nw.communities(b.graph(spark, sf), 5)
 
@@ -181,7 +200,18 @@ def rhat(spark, sf):
     return dr.rhat(b.draws(spark, sf))
 
 
-@query("B4")
+@query("B4", f""", l as (select variable, chain, count(*) as n from draws group by 1, 2), s as (select variable, min(n) as n from l group by 1),
+    x as (select d.variable, d.chain, d.iteration, s.n, d.value - avg(d.value) over (partition by d.variable, d.chain) as d, d.value
+      from draws d join s on s.variable = d.variable where d.iteration <= s.n),
+    m as (select variable, var_samp(m) as between_v, count(*) as chains from (select variable, chain, avg(value) as m from x group by 1, 2) group by 1),
+    c as (select x.variable, x.chain, x.n, k.lag, sum(x.d * y.d) / x.n as c from x cross join (select unnest(range(0, 21)) as lag) k
+      join x y on y.variable = x.variable and y.chain = x.chain and y.iteration = x.iteration - k.lag group by 1, 2, 3, 4),
+    a as (select variable, n, lag, avg(c) as c from c group by 1, 2, 3),
+    w as (select a.variable, a.n, m.chains, a.c as c0, a.c * a.n / (a.n - 1) as within_v, a.c + m.between_v as plus from a join m on m.variable = a.variable where lag = 0),
+    rho as (select a.variable, a.lag, case when a.lag = 0 then 1 else 1 - (w.within_v - a.c * a.n / (a.n - 1)) / w.plus end as rho from a join w on w.variable = a.variable),
+    p as (select variable, lag // 2 as t, sum(rho) as p from rho where lag < 20 group by 1, 2),
+    g as (select *, min(case when p > 0 then 1 else 0 end) over (partition by variable order by t) as go from p)
+    select g.variable, {R('max(w.n * w.chains) / (2 * sum(case when go = 1 then p else 0 end) - 1)')} as ess from g join w on w.variable = g.variable group by 1""")
 def ess(spark, sf):
     return dr.ess(b.draws(spark, sf))
 
@@ -265,9 +295,18 @@ def acf(spark, sf):
     return dg.acf(_series(spark, sf), "day", "mean_value", ["entity"], 5).select("entity", "lag", "n", "acf")
 
 
-@query("B13")
+PACF = f"""{CENTRED}{LAGGED}, r as (select c0.entity, max(case when lag = 1 then c end) * c0.n / c0.ss as r1, max(case when lag = 2 then c end) * c0.n / c0.ss as r2,
+      max(case when lag = 3 then c end) * c0.n / c0.ss as r3, max(case when lag = 4 then c end) * c0.n / c0.ss as r4
+      from c0 left join lg on lg.entity = c0.entity group by c0.entity, c0.n, c0.ss),
+    s2 as (select *, r1 as a1, (r2 - r1 * r1) / (1 - r1 * r1) as b2 from r), s2b as (select *, a1 - b2 * a1 as b1 from s2),
+    s3 as (select *, (r3 - b1 * r2 - b2 * r1) / (1 - b1 * r1 - b2 * r2) as c3 from s2b), s3b as (select *, b1 - c3 * b2 as c1, b2 - c3 * b1 as c2 from s3),
+    s4 as (select *, (r4 - c1 * r3 - c2 * r2 - c3 * r1) / (1 - c1 * r1 - c2 * r2 - c3 * r3) as d4 from s3b)"""
+
+
+@query("B13", f"""{PACF} select entity, k.lag, {R('case k.lag when 1 then a1 when 2 then b2 when 3 then c3 else d4 end')} as pacf
+    from s4 cross join (values (1), (2), (3), (4)) k(lag)""")
 def pacf(spark, sf):
-    return dg.pacf(_series(spark, sf), "day", "mean_value", ["entity"], 5)
+    return dg.pacf(_series(spark, sf), "day", "mean_value", ["entity"], 4)
 
 
 @query("B14", f"""{CENTRED}{LAGGED} select c0.entity, c0.n,
@@ -277,7 +316,16 @@ def ljung_box(spark, sf):
     return dg.ljung_box(_series(spark, sf), "day", "mean_value", ["entity"], 5).select("entity", "n", "q")
 
 
-@query("B14")
+# The same published erfc fit, spelled out once more.
+ERFC = """t * exp(-z * z - 1.26551223 + t * (1.00002368 + t * (0.37409196 + t * (0.09678418 + t * (-0.18628806 + t * (0.27886807
+    + t * (-1.13520398 + t * (1.48851587 + t * (-0.82215223 + t * 0.17087277)))))))))"""
+
+
+@query("B14", f"""{CENTRED}{LAGGED}, q as (select c0.entity, c0.n * (c0.n + 2) *
+      sum(coalesce((lg.c * c0.n / c0.ss) * (lg.c * c0.n / c0.ss) / nullif(c0.n - lg.lag, 0), 0)) as q
+      from c0 left join lg on lg.entity = c0.entity and lg.lag <= 3 group by c0.entity, c0.n, c0.ss),
+    e as (select *, sqrt(q / 2) as z, 1 / (1 + 0.5 * sqrt(q / 2)) as t from q)
+    select entity, {R(f'{ERFC} + exp(-q / 2) * sqrt(q / 2) / (sqrt(pi()) / 2)')} as p_value from e""")
 def ljung_box_p(spark, sf):
     """p-values of the statistic, per entity."""
     return dg.ljung_box(_series(spark, sf), "day", "mean_value", ["entity"], 3).select("entity", "p_value")
@@ -328,11 +376,15 @@ def _trials(spark, sf):
         F.avg("present").alias("prop"), F.count(F.lit(1)).cast("double").alias("trials"))
 
 
-@query("M2")
+TRIALS = """select avg(present) as y, cast(count(*) as double) as w, cast(entity % 15 as double) as x1, case when period % 2 = 0 then 1.0 else 0.0 end as x2,
+    0.0 as off from presence group by entity, period"""
+
+
+@query("M2", GLM(TRIALS, "logit", "mu * (1 - mu)", "cast(0 as double)", ("age", "season_mating", "(Intercept)")))
 def glm_binomial(spark, sf):
     """Counts out of trials; standard errors scaled by the Pearson dispersion."""
     fit = rg.fit_glm(_trials(spark, sf), "prop ~ age + season", "binomial", "logit", weight="trials")
-    return _coefs(spark, fit).withColumn("dispersion", F.lit(fit.dispersion))
+    return _coefs(spark, fit)
 
 
 def _counts(spark, sf):
@@ -350,7 +402,11 @@ def glm_negbin(spark, sf):
     return _coefs(spark, fit).withColumn("alpha", F.lit(alpha))
 
 
-@query("M4")
+TOTALS = """select mean_value * n_ev as y, 1.0 as w, cast(entity % 15 as double) as x1, cast(bought as double) as x2, ln(cast(n_ev as double)) as off
+    from seen where mean_value * n_ev > 0"""
+
+
+@query("M4", GLM(TOTALS, "log", "mu * mu", "ln((select avg(mean_value) from seen))", ("age", "bought", "(Intercept)")))
 def glm_gamma(spark, sf):
     """Gamma model of positive daily values with a log offset."""
     rows = b.seen(spark, sf).select((F.col("mean_value") * F.col("n_ev")).alias("total"), F.log(F.col("n_ev").cast("double")).alias("log_n"),
@@ -408,13 +464,31 @@ def coef_report(spark, sf):
     return rg.coef_report(rg.coef_table(spark, fit), labels, ["(Intercept)", "Discount", "Tax"])
 
 
-@query("M10")
+SERIES = """, s0 as (select entity, min(day) as lo, max(day) as hi from seen group by entity),
+    ser as (select s.entity, c.day, cast(date_diff('day', s.lo, c.day) as bigint) as t, v.mean_value as y from s0 s join cal c on c.day between s.lo and s.hi
+      left join seen v on v.entity = s.entity and v.day = c.day)"""
+
+
+@query("M10", f"""{SERIES}, recursive k as (
+      select entity, day, t, case when y is null then 0 else 1e6 / (1e6 + 25) * y end as m, case when y is null then 1e6 else 1e6 - 1e6 / (1e6 + 25) * 1e6 end as p from ser where t = 0
+      union all select s.entity, s.day, s.t, case when s.y is null then k.m else k.m + (k.p + 1) / (k.p + 1 + 25) * (s.y - k.m) end,
+        case when s.y is null then k.p + 1 else (k.p + 1) - (k.p + 1) / (k.p + 1 + 25) * (k.p + 1) end
+      from k join ser s on s.entity = k.entity and s.t = k.t + 1)
+    select entity, cast(day as varchar) as day, {R('m')} as level, {R('p')} as level_var from k""")
 def local_level(spark, sf):
     """Level of every entity's daily value, missing days predicted."""
     return se.local_level(_series(spark, sf), "day", "mean_value", ["entity"], q=1.0, r=25.0)
 
 
-@query("M11")
+@query("M11", f"""{SERIES}, recursive k as (
+      select entity, day, t, 1e6 / (1e6 + 25) * y as m1, cast(0 as double) as m2, cast(1e6 - 1e6 / (1e6 + 25) * 1e6 as double) as p11, cast(0 as double) as p12, cast(1e6 as double) as p22 from ser where t = 0
+      union all select entity, day, t,
+        case when y is null then a1 else a1 + q11 / (q11 + 25) * (y - a1) end, case when y is null then a2 else a2 + q12 / (q11 + 25) * (y - a1) end,
+        case when y is null then q11 else q11 - q11 / (q11 + 25) * q11 end, case when y is null then q12 else q12 - q12 / (q11 + 25) * q11 end,
+        case when y is null then q22 else q22 - q12 / (q11 + 25) * q12 end
+      from (select s.entity, s.day, s.t, s.y, 2 * k.m1 - k.m2 as a1, k.m1 as a2, 4 * k.p11 - 4 * k.p12 + k.p22 + 0.1 as q11, 2 * k.p11 - k.p12 as q12, k.p11 as q22
+            from k join ser s on s.entity = k.entity and s.t = k.t + 1))
+    select entity, cast(day as varchar) as day, {R('m1')} as level, {R('p11')} as level_var from k""")
 def smooth_trend(spark, sf):
     return se.smooth_trend(_series(spark, sf), "day", "mean_value", ["entity"], q=0.1, r=25.0)
 

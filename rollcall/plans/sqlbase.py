@@ -96,6 +96,34 @@ BASES: dict[str, str] = {
 }
 
 
+def GLM(data: str, link: str, variance: str, start: str, names: tuple[str, str, str], steps: int = 25) -> str:
+    """Fisher scoring for two covariates and an intercept, as a recursive query.
+
+    ``data`` is a query with columns y, w, x1, x2, off. Gives term, estimate,
+    se (scaled by the Pearson dispersion) and the 95 % interval.
+    """
+    mean, slope = {
+        "logit": ("1 / (1 + exp(-eta))", "mu * (1 - mu)"),
+        "cloglog": ("1 - exp(-exp(eta))", "(1 - mu) * exp(eta)"),
+        "log": ("exp(eta)", "mu"),
+    }[link]
+    sums = f"""select step, b0, b1, b2, count(*) as n, sum(w * (y - mu) * (y - mu) / ({variance})) as r,
+        sum(i) as h00, sum(i * x1) as h01, sum(i * x2) as h02, sum(i * x1 * x1) as h11, sum(i * x1 * x2) as h12, sum(i * x2 * x2) as h22,
+        sum(s) as g0, sum(s * x1) as g1, sum(s * x2) as g2
+        from (select *, w * slope * slope / ({variance}) as i, w * (y - mu) * slope / ({variance}) as s
+              from (select *, {slope} as slope from (select *, {mean} as mu from (select *, b0 + b1 * x1 + b2 * x2 + off as eta from b, gd)))) group by step, b0, b1, b2"""
+    c00, c11, c22 = "(h11 * h22 - h12 * h12)", "(h00 * h22 - h02 * h02)", "(h00 * h11 - h01 * h01)"
+    c01, c02, c12 = "(h02 * h12 - h01 * h22)", "(h01 * h12 - h02 * h11)", "(h01 * h02 - h00 * h12)"
+    det = f"(h00 * {c00} + h01 * {c01} + h02 * {c02})"
+    rows = " union all ".join(
+        f"""select '{name}' as term, {R(b)} as estimate, {R('se')} as se, {R(f'{b} - 1.959963984540054 * se')} as lo, {R(f'{b} + 1.959963984540054 * se')} as hi
+        from (select *, sqrt({c} / {det} * r / (n - 3)) as se from fin)""" for name, b, c in zip(names, ("b1", "b2", "b0"), (c11, c22, c00)))
+    return f""", gd as ({data}), recursive b as (select 0 as step, {start} as b0, cast(0 as double) as b1, cast(0 as double) as b2 union all
+        select step + 1, b0 + ({c00} * g0 + {c01} * g1 + {c02} * g2) / {det}, b1 + ({c01} * g0 + {c11} * g1 + {c12} * g2) / {det},
+          b2 + ({c02} * g0 + {c12} * g1 + {c22} * g2) / {det} from ({sums}) where step < {steps}),
+        fin as (select * from ({sums}) where step = {steps}) {rows}"""
+
+
 def with_bases(body: str) -> str:
     """Put the needed base tables, and what they need, in front of a body,
     which may go on with tables of its own (", name as (...) select ...")."""
@@ -111,4 +139,5 @@ def with_bases(body: str) -> str:
     ordered = [f"{name} as ({BASES[name]})" for name in BASES if name in needed]
     if not ordered:
         return re.sub(r"^\s*,", "with", body)
-    return "with " + ",\n".join(ordered) + "\n" + body.strip()
+    start = "with recursive " if re.search(r"\brecursive\b", body) else "with "
+    return start + ",\n".join(ordered) + "\n" + re.sub(r"\brecursive ", "", body.strip())
