@@ -13,11 +13,11 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.ml.feature import RFormula
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rollcall.functions.scalars import interval_label, inverse_logit, level_index, replace_all
 from rollcall.functions.tails import normal_cdf
@@ -26,11 +26,57 @@ from rollcall.session import cut_lineage
 Z95 = 1.959963984540054
 
 
+@dataclass
+class Design:
+    """Model terms with treatment coding: the first level is the reference.
+
+    ``terms`` are tuples of column names, more than one for an interaction.
+    ``levels`` lists the non-reference levels of the text columns. Interactions
+    multiply the coded columns, so they are never collinear with their parts.
+    """
+
+    response: str
+    terms: list[tuple[str, ...]]
+    levels: dict[str, list[str]]
+
+    @property
+    def columns(self) -> list[str]:
+        return list(dict.fromkeys(c for t in self.terms for c in t))
+
+    def coded(self) -> list[tuple[str, Column]]:
+        out: list[tuple[str, Column]] = []
+        for term in self.terms:
+            parts: list[tuple[str, Column]] = [("", F.lit(1.0))]
+            for c in term:
+                if c in self.levels:
+                    own = [(f"{c}_{v}", F.when(F.col(c) == v, 1.0).otherwise(0.0)) for v in self.levels[c]]
+                else:
+                    own = [(c, F.col(c).cast("double"))]
+                parts = [(f"{n}:{m}" if n else m, x * z) for n, x in parts for m, z in own]
+            out += parts
+        return out
+
+
+def make_design(df: DataFrame, formula: str, max_levels: int = 1000) -> Design:
+    """Terms of 'y ~ a + b + a:b'; the levels of text columns are read from the
+    frame (a covariate with too many levels is refused)."""
+    response, right = (part.strip() for part in formula.split("~"))
+    terms = [tuple(c.strip() for c in t.split(":")) for t in right.split("+")]
+    text = {c for t in terms for c in t if isinstance(df.schema[c].dataType, T.StringType)}
+    levels = {}
+    for c in sorted(text):
+        found = [r[0] for r in df.select(c).filter(F.col(c).isNotNull()).distinct().limit(max_levels + 1).collect()]
+        if len(found) > max_levels:
+            raise ValueError(f"{c} has more than {max_levels} levels")
+        levels[c] = sorted(found)[1:]
+    return Design(response, terms, levels)
+
+
 @dataclass
 class Fit:
-    """A fitted model: design transformer, names, coefficients, covariance."""
+    """A fitted model: design, names (intercept last), coefficients, covariance."""
 
-    design: object
+    design: Design
     names: list[str]
     beta: np.ndarray
     cov: np.ndarray
@@ -41,9 +87,7 @@ class Fit:
 
     def with_design(self, df: DataFrame) -> DataFrame:
         """Adds the array column ``_x`` (intercept last)."""
-        out = self.design.transform(df)
-        x = F.concat(vector_to_array("_features"), F.array(F.lit(1.0)))
-        return out.withColumn("_x", x).drop("_features")
+        return df.withColumn("_x", F.array(*[x for _, x in self.design.coded()], F.lit(1.0)))
 
     def linear(self, x: Column) -> Column:
         out = F.lit(0.0)
@@ -96,8 +140,10 @@ def fit_glm(df: DataFrame, formula: str, family: str, link: str, offset: str | N
     times and must not recompute what produced it.
     """
     df = cut_lineage(df)
-    design = RFormula(formula=formula, featuresCol="_features", labelCol="_label").fit(df)
-    ready = design.transform(df)
+    design = make_design(df, formula)
+    names, coded = zip(*design.coded())
+    df = df.dropna(subset=[design.response, *design.columns, *[c for c in (offset, weight, cluster) if c]])
+    ready = df.withColumns({"_features": array_to_vector(F.array(*coded)), "_label": F.col(design.response).cast("double")})
     glm_family = "poisson" if family == "negbin" else family
     params = dict(featuresCol="_features", labelCol="_label", family=glm_family, link=link, maxIter=50, tol=1e-8)
     if offset:
@@ -107,13 +153,11 @@ def fit_glm(df: DataFrame, formula: str, family: str, link: str, offset: str | N
     elif weight:
         params["weightCol"] = weight
     model = GeneralizedLinearRegression(**params).fit(ready)
-    attrs = ready.schema["_features"].metadata["ml_attr"]["attrs"]
-    names = [n for _, n in sorted((a["idx"], a["name"]) for kind in attrs.values() for a in kind)]
     beta = np.append(np.asarray(model.coefficients.toArray()), model.intercept)
     fit = Fit(design, [*names, "(Intercept)"], beta, np.zeros((len(beta), len(beta))), family, link, 1.0, offset)
 
     x = F.col("_x")
-    rows = fit.with_design(df).withColumn("_y", F.col("_label").cast("double"))
+    rows = fit.with_design(df).withColumn("_y", F.col(design.response).cast("double"))
     eta = fit.linear(x) + (F.col(offset) if offset else F.lit(0.0))
     rows = rows.withColumn("_eta", eta).withColumn("_mu", fit.mean(F.col("_eta")))
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
@@ -148,7 +192,7 @@ def fit_negbin(df: DataFrame, formula: str, offset: str | None = None, cluster:
     alpha, weighted = 0.0, df.withColumn("_nbw", F.lit(1.0))
     fit = fit_glm(weighted, formula, "negbin", "log", offset)
     for _ in range(rounds):
-        rows = fit.with_design(df).withColumn("_y", F.col("_label").cast("double"))
+        rows = fit.with_design(df).withColumn("_y", F.col(fit.design.response).cast("double"))
         eta = fit.linear(F.col("_x")) + (F.col(offset) if offset else F.lit(0.0))
         mu = F.exp(eta)
         got = rows.select(F.sum(((F.col("_y") - mu) * (F.col("_y") - mu) - F.col("_y"))).alias("a"),
@@ -178,7 +222,7 @@ def predict(fit: Fit, frame: DataFrame) -> DataFrame:
     out = rows.withColumns({"_eta": eta, "_se": se})
     return out.withColumns({
         "fit": fit.mean(F.col("_eta")), "fit_lo": fit.mean(F.col("_eta") - Z95 * F.col("_se")),
-        "fit_hi": fit.mean(F.col("_eta") + Z95 * F.col("_se"))}).drop("_eta", "_se", "_x", "_label")
+        "fit_hi": fit.mean(F.col("_eta") + Z95 * F.col("_se"))}).drop("_eta", "_se", "_x")
 
 
 def contrasts(fit: Fit, frame: DataFrame, level: str, axes: Sequence[str]) -> DataFrame:

@@ -16,7 +16,7 @@ from rollcall.operators import series as se
 from rollcall.operators import survival as sv
 from rollcall.plans import base as b
 from rollcall.plans.registry import query
-from rollcall.plans.sqlbase import GLM, R
+from rollcall.plans.sqlbase import COEFS, GLM, LINEAR, R
 from rollcall.session import cut_lineage
 
 BIN = 30.0  # minutes per interval of the person-period rows
@@ -59,14 +59,19 @@ HAZARD = """select avg(hit) as y, cast(count(*) as double) as w, cast(least(time
         lateral (select unnest(range(1, last + 1)) as time) t) group by least(time, 8), rank % 10, period"""
 
 
-@query("V3 M1", GLM(HAZARD, "cloglog", "mu * (1 - mu)", "cast(-1 as double)", ("time", "rank_c", "(Intercept)")))
+@query("V3 M1", GLM(HAZARD, 3, "cloglog", "mu * (1 - mu)", "-1") + COEFS("time", "rank_c", "(Intercept)"))
 def hazard_glm(spark, sf):
     """Grouped-time proportional hazards: complementary log-log link."""
     fit = rg.fit_glm(_hazard_rows(spark, sf), "p ~ time + rank_c", "binomial", "cloglog", weight="n")
     return _coefs(spark, fit)
 
 
-@query("V4 F11")
+POLY = f"""select y, w, x2 as x3, off, c / sqrt(s2) as x1, ((c - s3 / s2) * c - s2 / n) / sqrt(s4 - s3 * s3 / s2 - s2 * s2 / n) as x2
+    from (select *, count(*) over () as n, sum(c * c) over () as s2, sum(c ** 3) over () as s3, sum(c ** 4) over () as s4
+          from (select *, x1 - avg(x1) over () as c from ({HAZARD})))"""
+
+
+@query("V4 F11", GLM(POLY, 4, "logit", "mu * (1 - mu)", "-1") + COEFS("t1", "t2", "rank_c", "(Intercept)"))
 def hazard_logit(spark, sf):
     """Discrete-time logistic model with orthogonal polynomial time."""
     rows = fr.poly_columns(_hazard_rows(spark, sf), "time", 2, "t")
@@ -361,7 +366,14 @@ def _items(spark, sf):
     return fr.standardize(t, ["qty", "price", "disc", "tax"])[0]
 
 
-@query("M1 T9")
+ITEMS = """select case when l_returnflag = 'R' then 1.0 else 0.0 end as y, 1.0 as w, 0.0 as off, l_suppkey as cl,
+    (l_discount - avg(l_discount) over ()) / stddev_samp(l_discount) over () as x1, (l_tax - avg(l_tax) over ()) / stddev_samp(l_tax) over () as x2,
+    (l_discount - avg(l_discount) over ()) / stddev_samp(l_discount) over () * (l_tax - avg(l_tax) over ()) / stddev_samp(l_tax) over () as x3,
+    case when l_linestatus = 'O' then 1.0 else 0.0 end as x4 from lineitem"""
+
+
+@query("M1 T9", GLM(ITEMS, 5, "logit", "mu * (1 - mu)", "-0.5", cluster=True)
+       + COEFS("disc_std", "tax_std", "disc_std:tax_std", "status_O", "(Intercept)"))
 def glm_bernoulli(spark, sf):
     """Bernoulli model with an interaction and standard errors clustered by supplier."""
     fit = rg.fit_glm(_items(spark, sf), "y ~ disc_std + tax_std + disc_std:tax_std + status", "binomial", "logit", cluster="l_suppkey")
@@ -376,11 +388,11 @@ def _trials(spark, sf):
         F.avg("present").alias("prop"), F.count(F.lit(1)).cast("double").alias("trials"))
 
 
-TRIALS = """select avg(present) as y, cast(count(*) as double) as w, cast(entity % 15 as double) as x1, case when period % 2 = 0 then 1.0 else 0.0 end as x2,
+TRIALS = """select avg(present) as y, cast(count(*) as double) as w, cast(entity % 15 as double) as x1, case when period % 2 = 1 then 1.0 else 0.0 end as x2,
     0.0 as off from presence group by entity, period"""
 
 
-@query("M2", GLM(TRIALS, "logit", "mu * (1 - mu)", "cast(0 as double)", ("age", "season_mating", "(Intercept)")))
+@query("M2", GLM(TRIALS, 3, "logit", "mu * (1 - mu)", "0") + COEFS("age", "season_nonmating", "(Intercept)"))
 def glm_binomial(spark, sf):
     """Counts out of trials; standard errors scaled by the Pearson dispersion."""
     fit = rg.fit_glm(_trials(spark, sf), "prop ~ age + season", "binomial", "logit", weight="trials")
@@ -388,17 +400,16 @@ def glm_binomial(spark, sf):
 
 
 def _counts(spark, sf):
-    """Incidents per entity and day with log hours of observation."""
-    from rollcall.operators.rates import incident_rate
-
-    rows = incident_rate(b.incidents(spark, sf).select("entity", "day"), b.panel(spark, sf).filter(F.col("presence") == 1), ["day", "entity"])
-    return rows.select("entity", F.col("n_inc").cast("double").alias("n_inc"), (F.col("age") / 1.0).alias("age"),
-                       season(F.col("code")).alias("season"), F.log(F.col("dur") / 60.0).alias("log_hours"), "rate")
+    """Whole units of daily value per present entity, with log hours of observation."""
+    units = b.seen(spark, sf).select("entity", "day", F.floor(F.col("mean_value") * F.col("n_ev")).cast("double").alias("n_units"))
+    rows = b.panel(spark, sf).filter(F.col("presence") == 1).join(units, ["entity", "day"])
+    return rows.select("entity", "n_units", F.col("age").cast("double").alias("age"),
+                       season(F.col("code")).alias("season"), F.log(F.col("dur") / 60.0).alias("log_hours"))
 
 
 @query("M3")
 def glm_negbin(spark, sf):
-    fit, alpha = rg.fit_negbin(_counts(spark, sf), "n_inc ~ age + season", "log_hours", cluster="entity")
+    fit, alpha = rg.fit_negbin(_counts(spark, sf), "n_units ~ age + season", "log_hours", cluster="entity")
     return _coefs(spark, fit).withColumn("alpha", F.lit(alpha))
 
 
@@ -406,7 +417,7 @@ TOTALS = """select mean_value * n_ev as y, 1.0 as w, cast(entity % 15 as double)
     from seen where mean_value * n_ev > 0"""
 
 
-@query("M4", GLM(TOTALS, "log", "mu * mu", "ln((select avg(mean_value) from seen))", ("age", "bought", "(Intercept)")))
+@query("M4", GLM(TOTALS, 3, "log", "mu * mu", "ln((select avg(mean_value) from seen))") + COEFS("age", "bought", "(Intercept)"))
 def glm_gamma(spark, sf):
     """Gamma model of positive daily values with a log offset."""
     rows = b.seen(spark, sf).select((F.col("mean_value") * F.col("n_ev")).alias("total"), F.log(F.col("n_ev").cast("double")).alias("log_n"),
@@ -433,31 +444,54 @@ def _fit_and_grid(spark, sf):
                                               F.col("l_linestatus").alias("status"))
     rows, stats = fr.standardize(t, ["qty"])
     fit = rg.fit_glm(rows, "y ~ qty_std + status + qty_std:status", "binomial", "logit")
-    frame = fr.prediction_grid(t.select("status").distinct().withColumn("y", F.lit(0.0)),
+    frame = fr.prediction_grid(t.select("status").distinct(),
                                {"qty": F.array(*[F.lit(float(v)) for v in range(5, 51, 5)])}, stats, ["qty"])
     return fit, frame, stats
 
 
-@query("M6 F9")
+CURVE = """select case when l_returnflag = 'R' then 1.0 else 0.0 end as y, 1.0 as w, 0.0 as off, (l_quantity - m) / sd as x1, st as x2, (l_quantity - m) / sd * st as x3
+    from (select *, case when l_linestatus = 'O' then 1.0 else 0.0 end as st from lineitem, (select avg(l_quantity) as m, stddev_samp(l_quantity) as sd from lineitem))"""
+POINTS = f"""{GLM(CURVE, 4, 'logit', 'mu * (1 - mu)', '-0.5')},
+    pts as (select s.l_linestatus as status, q.qty * 5.0 as qty, (q.qty * 5 - z.m) / z.sd as x, case when s.l_linestatus = 'O' then 1.0 else 0.0 end as st
+      from (select distinct l_linestatus from lineitem) s, (select unnest(range(1, 11)) as qty) q, (select avg(l_quantity) as m, stddev_samp(l_quantity) as sd from lineitem) z)"""
+ETA, SE = LINEAR(["1", "x", "st", "x * st"])
+ETA2, _SE2 = LINEAR(["1", "(x + 1e-3)", "st", "(x + 1e-3) * st"])
+DIFF, DIFF_SE = LINEAR(["0", "0", "p.st - q.st", "p.x * (p.st - q.st)"])
+Z = "1.959963984540054"
+
+
+@query("M6 F9", f"""{POINTS} select status, {R('qty')} as qty, {R('1 / (1 + exp(-eta))')} as fit, {R(f'1 / (1 + exp(-(eta - {Z} * se)))')} as fit_lo,
+    {R(f'1 / (1 + exp(-(eta + {Z} * se)))')} as fit_hi from (select *, {ETA} as eta, {SE} as se from pts, fitv)""")
 def fitted_grid(spark, sf):
     fit, frame, _ = _fit_and_grid(spark, sf)
     return rg.predict(fit, frame).select("status", "qty", "fit", "fit_lo", "fit_hi")
 
 
-@query("M7 W8")
+@query("M7 W8", f"""{POINTS} select {R('qty')} as qty, level1, level2, {R('e')} as estimate, {R(f'e - {Z} * se')} as lo, {R(f'e + {Z} * se')} as hi
+    from (select p.qty, p.status as level1, q.status as level2, {DIFF} as e, {DIFF_SE} as se from pts p join pts q on q.qty = p.qty and p.status < q.status, fitv)""")
 def emm_contrasts(spark, sf):
     """Level contrasts along the raw covariate axis."""
     fit, frame, _ = _fit_and_grid(spark, sf)
     return rg.contrasts(fit, frame, "status", ["qty", "qty_std"]).select("qty", "level1", "level2", "estimate", "lo", "hi")
 
 
-@query("M8")
+@query("M8", f"""{POINTS} select status, {R('x')} as qty_std, {R('(1 / (1 + exp(-eta2)) - 1 / (1 + exp(-eta))) / 1e-3')} as slope
+    from (select *, {ETA} as eta, {ETA2} as eta2 from pts, fitv)""")
 def slopes(spark, sf):
     fit, frame, _ = _fit_and_grid(spark, sf)
-    return rg.slopes(fit, frame.select("status", "y", "qty_std"), "qty_std").select("status", "qty_std", "slope")
+    return rg.slopes(fit, frame.select("status", "qty_std"), "qty_std").select("status", "qty_std", "slope")
+
+
+REPORT = GLM(ITEMS.replace("as x3", "as x9").replace("as x4", "as x3"), 4, "logit", "mu * (1 - mu)", "-0.5")
+PD_Z = "(abs(estimate / se) / sqrt(2))"
 
 
-@query("M9")
+@query("M9", f"""{REPORT}, co as (select 1 as position, '(Intercept)' as label, b0 as estimate, sqrt(v00) as se from fitv
+      union all select 2, 'Discount', b1, sqrt(v11) from fitv union all select 3, 'Tax', b2, sqrt(v22) from fitv
+      union all select 4, 'Status O', b3, sqrt(v33) from fitv),
+    e as (select *, {PD_Z} as z, 1 / (1 + 0.5 * {PD_Z}) as t from co)
+    select cast(position as bigint) as position, label, {R('estimate')} as estimate, printf('[%.2f, %.2f]', estimate - {Z} * se, estimate + {Z} * se) as ci,
+      {R(f'100 * (1 - ({ERFC}) / 2)')} as pd_pct from e""")
 def coef_report(spark, sf):
     fit = rg.fit_glm(_items(spark, sf), "y ~ disc_std + tax_std + status", "binomial", "logit")
     labels = {"disc_std": "Discount", "tax_std": "Tax", r"status_(\w)": "Status $1"}

@@ -96,32 +96,73 @@ BASES: dict[str, str] = {
 }
 
 
-def GLM(data: str, link: str, variance: str, start: str, names: tuple[str, str, str], steps: int = 25) -> str:
-    """Fisher scoring for two covariates and an intercept, as a recursive query.
+def _det(rows: tuple[int, ...], cols: tuple[int, ...]) -> str:
+    """Determinant of a block of the symmetric information matrix h."""
+    if len(rows) == 1:
+        return f"h{min(rows[0], cols[0])}{max(rows[0], cols[0])}"
+    r, rest = rows[0], rows[1:]
+    parts = [f"{'-' if k % 2 else '+'} {_det((r,), (c,))} * ({_det(rest, cols[:k] + cols[k + 1:])})" for k, c in enumerate(cols)]
+    return " ".join(parts).removeprefix("+ ")
 
-    ``data`` is a query with columns y, w, x1, x2, off. Gives term, estimate,
-    se (scaled by the Pearson dispersion) and the 95 % interval.
+
+def GLM(data: str, p: int, link: str, variance: str, start: str, cluster: bool = False, steps: int = 25) -> str:
+    """Fisher scoring as a recursive query, for ``p`` coefficients with the intercept first.
+
+    ``data`` is a query with columns y, w, off, x1.. (and cl, the cluster). The
+    table ``fitv`` gets b0.. and the covariances v00.., scaled by the Pearson
+    dispersion or summed over clusters.
     """
     mean, slope = {
         "logit": ("1 / (1 + exp(-eta))", "mu * (1 - mu)"),
         "cloglog": ("1 - exp(-exp(eta))", "(1 - mu) * exp(eta)"),
         "log": ("exp(eta)", "mu"),
     }[link]
-    sums = f"""select step, b0, b1, b2, count(*) as n, sum(w * (y - mu) * (y - mu) / ({variance})) as r,
-        sum(i) as h00, sum(i * x1) as h01, sum(i * x2) as h02, sum(i * x1 * x1) as h11, sum(i * x1 * x2) as h12, sum(i * x2 * x2) as h22,
-        sum(s) as g0, sum(s * x1) as g1, sum(s * x2) as g2
-        from (select *, w * slope * slope / ({variance}) as i, w * (y - mu) * slope / ({variance}) as s
-              from (select *, {slope} as slope from (select *, {mean} as mu from (select *, b0 + b1 * x1 + b2 * x2 + off as eta from b, gd)))) group by step, b0, b1, b2"""
-    c00, c11, c22 = "(h11 * h22 - h12 * h12)", "(h00 * h22 - h02 * h02)", "(h00 * h11 - h01 * h01)"
-    c01, c02, c12 = "(h02 * h12 - h01 * h22)", "(h01 * h12 - h02 * h11)", "(h01 * h02 - h00 * h12)"
-    det = f"(h00 * {c00} + h01 * {c01} + h02 * {c02})"
-    rows = " union all ".join(
-        f"""select '{name}' as term, {R(b)} as estimate, {R('se')} as se, {R(f'{b} - 1.959963984540054 * se')} as lo, {R(f'{b} + 1.959963984540054 * se')} as hi
-        from (select *, sqrt({c} / {det} * r / (n - 3)) as se from fin)""" for name, b, c in zip(names, ("b1", "b2", "b0"), (c11, c22, c00)))
-    return f""", gd as ({data}), recursive b as (select 0 as step, {start} as b0, cast(0 as double) as b1, cast(0 as double) as b2 union all
-        select step + 1, b0 + ({c00} * g0 + {c01} * g1 + {c02} * g2) / {det}, b1 + ({c01} * g0 + {c11} * g1 + {c12} * g2) / {det},
-          b2 + ({c02} * g0 + {c12} * g1 + {c22} * g2) / {det} from ({sums}) where step < {steps}),
-        fin as (select * from ({sums}) where step = {steps}) {rows}"""
+    ix = range(p)
+    bs = ", ".join(f"b{i}" for i in ix)
+    pairs = [(i, j) for i in ix for j in ix if i <= j]
+    sym = lambda n, i, j: f"{n}{min(i, j)}{max(i, j)}"
+
+    def scores(b: str) -> str:
+        return f"""select *, w * slope * slope / ({variance}) as i, w * (y - mu) * slope / ({variance}) as s
+            from (select *, {slope} as slope from (select *, {mean} as mu from (
+              select *, 1.0 as x0, {' + '.join(f'b{i} * x{i}' if i else 'b0' for i in ix)} + off as eta from {b}, gd)))"""
+
+    def solved(b: str) -> str:
+        sums = ", ".join([f"sum(i * x{i} * x{j}) as h{i}{j}" for i, j in pairs] + [f"sum(s * x{i}) as g{i}" for i in ix])
+        cof = ", ".join(
+            f"{'-' if (i + j) % 2 else ''}({_det(tuple(k for k in ix if k != i), tuple(k for k in ix if k != j))}) as c{i}{j}" for i, j in pairs)
+        return f"""select *, {' + '.join(f'h0{j} * c0{j}' for j in ix)} as det from (select *, {cof} from (
+            select step, {bs}, count(*) as n, sum(w * (y - mu) * (y - mu) / ({variance})) as r, {sums} from ({scores(b)}) group by step, {bs}))"""
+
+    steps_sql = ", ".join(f"b{i} + ({' + '.join(f'{sym(chr(99), i, j)} * g{j}' for j in ix)}) / det" for i in ix)
+    first = ", ".join(f"cast({start if i == 0 else 0} as double) as b{i}" for i in ix)
+    out = f""", gd as ({data}), recursive b as (select 0 as step, {first} union all
+        select step + 1, {steps_sql} from ({solved('b')}) where step < {steps}), lastb as (select * from b where step = {steps}),
+        fin as ({solved('lastb')})"""
+    if not cluster:
+        return out + f", fitv as (select {bs}, {', '.join(f'c{i}{j} / det * r / (n - {p}) as v{i}{j}' for i, j in pairs)} from fin)"
+    meat = ", ".join(f"sum(u{i} * u{j}) as m{i}{j}" for i, j in pairs)
+    sandwich = ", ".join(
+        f"({' + '.join(f'{sym(chr(99), i, k)} * {sym(chr(109), k, q)} * {sym(chr(99), q, j)}' for k in ix for q in ix)}) / det / det as v{i}{j}"
+        for i, j in pairs)
+    return out + f""", meat as (select {meat} from (select cl, {', '.join(f'sum(s * x{i}) as u{i}' for i in ix)} from ({scores('lastb')}) group by cl)),
+        fitv as (select {bs}, {sandwich} from fin, meat)"""
+
+
+def COEFS(*names: str) -> str:
+    """Coefficient rows of ``fitv``; the intercept is named last but stands first there."""
+    order = [*range(1, len(names)), 0]
+    return " union all ".join(
+        f"""select '{name}' as term, {R(f'b{i}')} as estimate, {R(f'sqrt(v{i}{i})')} as se,
+        {R(f'b{i} - 1.959963984540054 * sqrt(v{i}{i})')} as lo, {R(f'b{i} + 1.959963984540054 * sqrt(v{i}{i})')} as hi from fitv"""
+        for name, i in zip(names, order))
+
+
+def LINEAR(xs: list[str]) -> tuple[str, str]:
+    """Linear predictor and its standard error for the design terms ``xs`` (intercept first)."""
+    eta = " + ".join(f"b{i} * ({x})" for i, x in enumerate(xs))
+    var = " + ".join(f"v{min(i, j)}{max(i, j)} * ({x}) * ({z})" for i, x in enumerate(xs) for j, z in enumerate(xs))
+    return eta, f"sqrt({var})"
 
 
 def with_bases(body: str) -> str:
@@ -137,7 +178,8 @@ def with_bases(body: str) -> str:
 
     visit(body)
     ordered = [f"{name} as ({BASES[name]})" for name in BASES if name in needed]
-    if not ordered:
-        return re.sub(r"^\s*,", "with", body)
     start = "with recursive " if re.search(r"\brecursive\b", body) else "with "
-    return start + ",\n".join(ordered) + "\n" + re.sub(r"\brecursive ", "", body.strip())
+    body = re.sub(r"\brecursive ", "", body.strip())
+    if ordered:
+        return start + ",\n".join(ordered) + "\n" + body
+    return start + body[1:] if body.startswith(",") else body

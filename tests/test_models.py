@@ -256,7 +256,7 @@ def test_predictions_contrasts_and_slopes(spark):
     y = (rng.uniform(size=len(x1)) < 1 / (1 + np.exp(-eta))).astype(float)
     df = frame(spark, y=y, x1=x1).withColumn("g", F.when(F.col("x1") > 0.2, "p").otherwise("q"))
     fit = rg.fit_glm(df, "y ~ x1 + g", "binomial", "logit")
-    grid = spark.createDataFrame([(0.0, v, g) for v in (-1.0, 1.0) for g in ("p", "q")], "y double, x1 double, g string")
+    grid = spark.createDataFrame([(v, g) for v in (-1.0, 1.0) for g in ("p", "q")], "x1 double, g string")
     rows = rg.predict(fit, grid).collect()
     assert all(r.fit_lo < r.fit < r.fit_hi for r in rows)
     by = {(r.x1, r.g): r.fit for r in rows}
@@ -287,3 +287,16 @@ def test_local_level_by_hand(spark):
 def test_smooth_trend_follows_a_line(spark):
     out = se.smooth_trend(series(spark, [float(i) for i in range(12)]), "day", "v", [], q=1e-6, r=1e-3).orderBy("day").collect()
     assert out[-1].level == pytest.approx(11.0, abs=1e-2)
+
+
+def test_interactions_are_coded_against_a_reference(spark):
+    rng, x1, *_ , eta, _mu = regression_data()
+    g = np.where(x1 > 0.2, 1.0, 0.0)
+    y = (rng.uniform(size=len(x1)) < 1 / (1 + np.exp(-eta))).astype(float)
+    df = frame(spark, y=y, x1=x1, g=g).withColumn("g", F.when(F.col("g") == 1, "q").otherwise("p"))
+    fit = rg.fit_glm(df, "y ~ x1 + g + x1:g", "binomial", "logit")
+    assert fit.names == ["x1", "g_q", "x1:g_q", "(Intercept)"]
+    beta, bread, mu = irls(np.column_stack([np.ones_like(x1), x1, g, x1 * g]), y, np.ones_like(y), "logit", "binomial")
+    assert list(fit.beta) == pytest.approx([beta[1], beta[2], beta[3], beta[0]], abs=1e-5)
+    scale = ((y - mu) ** 2 / (mu * (1 - mu))).sum() / (len(y) - 4)
+    assert np.sqrt(np.diag(fit.cov)) == pytest.approx(np.sqrt(np.diag(bread) * scale)[[1, 2, 3, 0]], rel=1e-4)
