@@ -130,16 +130,17 @@ def _mean_slope(link: str, eta: Column, mu: Column) -> Column:
 
 
 def fit_glm(df: DataFrame, formula: str, family: str, link: str, offset: str | None = None,
-            weight: str | None = None, cluster: str | None = None, alpha: float = 0.0) -> Fit:
+            weight: str | None = None, cluster: str | None = None, alpha: float = 0.0,
+            covariance: bool = True, keep: bool = True) -> Fit:
     """Fit and return coefficients with their covariance.
 
     The covariance is the inverse information, scaled by the Pearson
     dispersion, or the cluster-robust sandwich when ``cluster`` is given
     (score sums per cluster are one map-side combined aggregate). The frame
-    is written once to the checkpoint folder: the solver passes over it many
-    times and must not recompute what produced it.
+    is written once to the checkpoint folder (``keep``): the solver passes over
+    it many times and must not recompute what produced it.
     """
-    df = cut_lineage(df)
+    df = cut_lineage(df) if keep else df
     design = make_design(df, formula)
     names, coded = zip(*design.coded())
     df = df.dropna(subset=[design.response, *design.columns, *[c for c in (offset, weight, cluster) if c]])
@@ -156,15 +157,21 @@ def fit_glm(df: DataFrame, formula: str, family: str, link: str, offset: str | N
     beta = np.append(np.asarray(model.coefficients.toArray()), model.intercept)
     fit = Fit(design, [*names, "(Intercept)"], beta, np.zeros((len(beta), len(beta))), family, link, 1.0, offset)
 
+    return with_covariance(fit, df, weight, cluster, alpha) if covariance else fit
+
+
+def with_covariance(fit: Fit, df: DataFrame, weight: str | None = None, cluster: str | None = None, alpha: float = 0.0) -> Fit:
+    """Covariance of a fit over its frame: one aggregate, two with clusters."""
+    family, link, offset, beta = fit.family, fit.link, fit.offset, fit.beta
     x = F.col("_x")
-    rows = fit.with_design(df).withColumn("_y", F.col(design.response).cast("double"))
+    rows = fit.with_design(df).withColumn("_y", F.col(fit.design.response).cast("double"))
     eta = fit.linear(x) + (F.col(offset) if offset else F.lit(0.0))
     rows = rows.withColumn("_eta", eta).withColumn("_mu", fit.mean(F.col("_eta")))
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     mu, var = F.col("_mu"), _variance(family, F.col("_mu"), alpha)
     slope = _mean_slope(link, F.col("_eta"), mu)
     rows = rows.withColumns({"_w": w * slope * slope / var, "_s": w * (F.col("_y") - mu) * slope / var,
-                             "_r": w * (F.col("_y") - mu) * (F.col("_y") - mu) / var})
+                             "_r": w * (F.col("_y") - mu) * (F.col("_y") - mu) / var}).filter(F.col("_w").isNotNull())
     p = len(beta)
     upper = [(i, j) for i in range(p) for j in range(i, p)]
     info = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("_r").alias("r"),
@@ -189,22 +196,22 @@ def fit_negbin(df: DataFrame, formula: str, offset: str | None = None, cluster:
     """Negative-binomial counts: Poisson fits with weights 1 / (1 + alpha mu),
     alpha from the moment equation, repeated until alpha settles. The fixed
     point solves the score equations of the quadratic-variance model."""
-    alpha, weighted = 0.0, df.withColumn("_nbw", F.lit(1.0))
-    fit = fit_glm(weighted, formula, "negbin", "log", offset)
+    df = cut_lineage(df)
+    alpha, quiet = 0.0, dict(covariance=False, keep=False)
+    fit = fit_glm(df.withColumn("_nbw", F.lit(1.0)), formula, "negbin", "log", offset, **quiet)
     for _ in range(rounds):
-        rows = fit.with_design(df).withColumn("_y", F.col(fit.design.response).cast("double"))
-        eta = fit.linear(F.col("_x")) + (F.col(offset) if offset else F.lit(0.0))
-        mu = F.exp(eta)
-        got = rows.select(F.sum(((F.col("_y") - mu) * (F.col("_y") - mu) - F.col("_y"))).alias("a"),
-                          F.sum(mu * mu).alias("b")).first()
+        rows = fit.with_design(df)
+        mu = F.exp(fit.linear(F.col("_x")) + (F.col(offset) if offset else F.lit(0.0)))
+        y = F.col(fit.design.response).cast("double")
+        got = rows.select(F.sum((y - mu) * (y - mu) - mu).alias("a"), F.sum(mu * mu).alias("b")).first()
         new = max(float(got["a"]) / float(got["b"]), 0.0)
         done = abs(new - alpha) < tol * max(new, 1e-6)
         alpha = new
         weighted = rows.withColumn("_nbw", 1.0 / (1.0 + alpha * mu)).select(*df.columns, "_nbw")
-        fit = fit_glm(weighted, formula, "negbin", "log", offset, cluster=cluster, alpha=alpha)
+        fit = fit_glm(weighted, formula, "negbin", "log", offset, **quiet)
         if done:
             break
-    return fit, alpha
+    return with_covariance(fit, df, cluster=cluster, alpha=alpha), alpha
 
 
 def coef_table(spark, fit: Fit) -> DataFrame:

@@ -401,15 +401,21 @@ def glm_binomial(spark, sf):
 
 def _counts(spark, sf):
     """Whole units of daily value per present entity, with log hours of observation."""
-    units = b.seen(spark, sf).select("entity", "day", F.floor(F.col("mean_value") * F.col("n_ev")).cast("double").alias("n_units"))
+    units = b.seen(spark, sf).select("entity", "day", F.floor(F.round(F.col("mean_value") * F.col("n_ev"), 4)).cast("double").alias("n_units"))
     rows = b.panel(spark, sf).filter(F.col("presence") == 1).join(units, ["entity", "day"])
     return rows.select("entity", "n_units", F.col("age").cast("double").alias("age"),
                        season(F.col("code")).alias("season"), F.log(F.col("dur") / 60.0).alias("log_hours"))
 
 
-@query("M3")
+UNITS = """select floor(round(s.mean_value * s.n_ev, 4)) as y, 1.0 as w, cast(p.age as double) as x1, case when p.code like 'nm%' then 1.0 else 0.0 end as x2,
+    ln(p.dur / 60) as off, p.entity as cl from panel p join seen s on s.entity = p.entity and s.day = p.day where p.presence = 1"""
+
+
+@query("M3", GLM(UNITS, 3, "log", "(mu + al * mu * mu)", "1", cluster=True, steps=40, overdispersed=True) + f""", co as (
+    {COEFS('age', 'season_nonmating', '(Intercept)')}) select co.*, {R('al')} as alpha from co, fitv""")
 def glm_negbin(spark, sf):
-    fit, alpha = rg.fit_negbin(_counts(spark, sf), "n_units ~ age + season", "log_hours", cluster="entity")
+    """Overdispersed counts with an offset, errors clustered by entity."""
+    fit, alpha = rg.fit_negbin(_counts(spark, sf), "n_units ~ age + season", "log_hours", cluster="entity", rounds=10, tol=1e-7)
     return _coefs(spark, fit).withColumn("alpha", F.lit(alpha))
 
 

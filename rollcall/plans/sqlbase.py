@@ -105,12 +105,14 @@ def _det(rows: tuple[int, ...], cols: tuple[int, ...]) -> str:
     return " ".join(parts).removeprefix("+ ")
 
 
-def GLM(data: str, p: int, link: str, variance: str, start: str, cluster: bool = False, steps: int = 25) -> str:
+def GLM(data: str, p: int, link: str, variance: str, start: str, cluster: bool = False, steps: int = 25,
+        overdispersed: bool = False) -> str:
     """Fisher scoring as a recursive query, for ``p`` coefficients with the intercept first.
 
     ``data`` is a query with columns y, w, off, x1.. (and cl, the cluster). The
     table ``fitv`` gets b0.. and the covariances v00.., scaled by the Pearson
-    dispersion or summed over clusters.
+    dispersion or summed over clusters. ``overdispersed`` carries the moment
+    estimate ``al`` of the extra variance along, for use in ``variance``.
     """
     mean, slope = {
         "logit": ("1 / (1 + exp(-eta))", "mu * (1 - mu)"),
@@ -118,7 +120,8 @@ def GLM(data: str, p: int, link: str, variance: str, start: str, cluster: bool =
         "log": ("exp(eta)", "mu"),
     }[link]
     ix = range(p)
-    bs = ", ".join(f"b{i}" for i in ix)
+    bs = ", ".join([*(f"b{i}" for i in ix), *(["al"] if overdispersed else [])])
+    moment = ", greatest(sum((y - mu) * (y - mu) - mu) / sum(mu * mu), 0) as al2" if overdispersed else ""
     pairs = [(i, j) for i in ix for j in ix if i <= j]
     sym = lambda n, i, j: f"{n}{min(i, j)}{max(i, j)}"
 
@@ -132,10 +135,12 @@ def GLM(data: str, p: int, link: str, variance: str, start: str, cluster: bool =
         cof = ", ".join(
             f"{'-' if (i + j) % 2 else ''}({_det(tuple(k for k in ix if k != i), tuple(k for k in ix if k != j))}) as c{i}{j}" for i, j in pairs)
         return f"""select *, {' + '.join(f'h0{j} * c0{j}' for j in ix)} as det from (select *, {cof} from (
-            select step, {bs}, count(*) as n, sum(w * (y - mu) * (y - mu) / ({variance})) as r, {sums} from ({scores(b)}) group by step, {bs}))"""
+            select step, {bs}, count(*) as n, sum(w * (y - mu) * (y - mu) / ({variance})) as r, {sums}{moment} from ({scores(b)}) group by step, {bs}))"""
 
     steps_sql = ", ".join(f"b{i} + ({' + '.join(f'{sym(chr(99), i, j)} * g{j}' for j in ix)}) / det" for i in ix)
     first = ", ".join(f"cast({start if i == 0 else 0} as double) as b{i}" for i in ix)
+    if overdispersed:
+        steps_sql, first = steps_sql + ", al2", first + ", cast(0 as double) as al"
     out = f""", gd as ({data}), recursive b as (select 0 as step, {first} union all
         select step + 1, {steps_sql} from ({solved('b')}) where step < {steps}), lastb as (select * from b where step = {steps}),
         fin as ({solved('lastb')})"""
