@@ -140,6 +140,15 @@ def csi(spark, sf):
     return pr.sociality_index(b.bouts(spark, sf), ["period"], F.col("kind") == "R", F.col("kind") == "A")
 
 
+@query("N8", f""", e as (select s.together / s.denom as y, cast(s.denom as double) as w, 0.0 as off, cast(coalesce(k.kin, 0) as double) as x1, cast(abs(s.a - s.b) as double) as x2
+      from troop_sri s left join {KINU} k on k.a = s.a and k.b = s.b where s.denom > 0)
+    {GLM('select * from e', 3, 'identity', '1.0', '0', steps=3)} select 'kin' as predictor, {R('b1')} as coef, {R('b1 / sqrt(v11)')} as t_obs from fitv
+    union all select 'diff_rank', {R('b2')}, {R('b2 / sqrt(v22)')} from fitv""")
+def edge_regression(spark, sf):
+    """The fit behind the permutation test."""
+    return nw.edge_regression(_pair_frame(spark, sf).filter(F.col("denom") > 0), "sri", ["kin", "diff_rank"], "denom")
+
+
 @query("N8")
 def qap(spark, sf):
     """Association on kinship and rank distance, permuted within troops."""

@@ -72,13 +72,13 @@ def pivot_presence(spark, sf):
     return _roster_wide(spark, sf).fillna(0, subset=TYPES)
 
 
-@query("H3", f"""select entity, count(*) filter (period = 0) as n_0, count(*) filter (period = 1) as n_1, {R('avg(value) filter (period = 0)')} as mean_0,
-    {R('avg(value) filter (period = 1)')} as mean_1, {R('stddev_samp(value) filter (period = 0)')} as sd_0, {R('stddev_samp(value) filter (period = 1)')} as sd_1
+@query("H3", f"""select entity, count(*) filter (period = 0) as n_0, count(*) filter (period = 1) as n_1, count(*) filter (period = 2) as n_2, {R('avg(value) filter (period = 0)')} as mean_0,
+    {R('avg(value) filter (period = 1)')} as mean_1, {R('avg(value) filter (period = 2)')} as mean_2, {R('stddev_samp(value) filter (period = 0)')} as sd_0, {R('stddev_samp(value) filter (period = 1)')} as sd_1, {R('stddev_samp(value) filter (period = 2)')} as sd_2
     from ev group by entity""")
 def pivot_multi(spark, sf):
     aggs = {"n": F.count("value"), "mean": F.avg("value"), "sd": F.stddev_samp("value")}
-    wide = rs.to_wide_many(b.ev(spark, sf), ["entity"], "period", [0, 1], aggs)
-    return wide.select("entity", "n_0", "n_1", "mean_0", "mean_1", "sd_0", "sd_1").fillna(0, subset=["n_0", "n_1"])
+    wide = rs.to_wide_many(b.ev(spark, sf), ["entity"], "period", [0, 1, 2], aggs)
+    return wide.select("entity", *[f"{stat}_{p}" for stat in aggs for p in (0, 1, 2)]).fillna(0, subset=["n_0", "n_1", "n_2"])
 
 
 @query("H4 H5", """select group_id, split_part(group_id, '_', 1) as head, cast(split_part(group_id, '_', 2) as bigint) as no,
@@ -90,10 +90,15 @@ def split_key(spark, sf):
                                           head.alias("season_code"), tail.alias("year_code"))
 
 
-@query("H6", """, g as (select a, b, w from graph), s as (select a as x, b as y, w from g union all select b, a, w from g)
-    select x as a, max(case when y = 0 then w end) as "0", max(case when y = 1 then w end) as "1", max(case when y = 2 then w end) as "2" from s group by x""")
+@query("H6", """, g as (select least(a % 4, b % 4) as x, greatest(a % 4, b % 4) as y, sum(w) as w from graph group by 1, 2),
+    s as (select x, y, w from g union all select y, x, w from g where x <> y)
+    select x as a, max(case when y = 0 then w end) as "0", max(case when y = 1 then w end) as "1", max(case when y = 2 then w end) as "2",
+      max(case when y = 3 then w end) as "3" from s group by x""")
 def edge_matrix(spark, sf):
-    return rs.edges_to_matrix(b.graph(spark, sf), "a", "b", "w", [0, 1, 2])
+    """The graph folded to classes of nodes and shown as a square matrix."""
+    x, y = F.col("a") % 4, F.col("b") % 4
+    folded = b.graph(spark, sf).groupBy(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).agg(F.sum("w").alias("w"))
+    return rs.edges_to_matrix(folded, "a", "b", "w", [0, 1, 2, 3])
 
 
 @query("H7 W6", f"""select t.t, cast(t.day as varchar) as day, {R('avg(d.value)')} as mean from tday t left join draws d on d.i = t.t group by 1, 2""")

@@ -118,6 +118,7 @@ def GLM(data: str, p: int, link: str, variance: str, start: str, cluster: bool =
         "logit": ("1 / (1 + exp(-eta))", "mu * (1 - mu)"),
         "cloglog": ("1 - exp(-exp(eta))", "(1 - mu) * exp(eta)"),
         "log": ("exp(eta)", "mu"),
+        "identity": ("eta", "1.0"),
     }[link]
     ix = range(p)
     bs = ", ".join([*(f"b{i}" for i in ix), *(["al"] if overdispersed else [])])
