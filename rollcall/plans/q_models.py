@@ -357,6 +357,16 @@ def scaled_resid(spark, sf):
     return dg.scaled_residuals(dr.simulate_counts(d, obs, "t", "size", 20.0, 1000, 11), obs, ["t"], "y", 5)
 
 
+@query("B10 B16", f""", o as (select t.t, sum(p.present) as y, count(*) as size from tday t join presence p on p.day = t.day group by 1),
+    s as (select o.t, o.y, floor(o.size / (1 + exp(-d.value))) as sim from o join draws d on d.i = o.t)
+    select t, {R('avg(case when sim < y then 1.0 else 0.0 end)')} as below, {R('avg(case when sim = y then 1.0 else 0.0 end)')} as tied from s group by 1""")
+def expected_shares(spark, sf):
+    """Shares below and tied when every draw predicts its expected whole count."""
+    d, obs = _probabilities(spark, sf)
+    sim = d.join(obs, "t").select("t", F.floor(F.col("value") * F.col("size")).alias("y"))
+    return dg.scaled_residuals(sim, obs, ["t"], "y", 5).select("t", "below", "tied")
+
+
 @query("B17", f""", c as (select corr(l_quantity, l_extendedprice) as a, corr(l_quantity, l_discount) as b, corr(l_extendedprice, l_discount) as c from lineitem),
     d as (select *, 1 + 2 * a * b * c - a * a - b * b - c * c as det from c)
     select 'l_quantity' as variable, {R('(1 - c * c) / det')} as vif from d union all select 'l_extendedprice', {R('(1 - b * b) / det')} from d
