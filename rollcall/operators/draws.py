@@ -45,12 +45,14 @@ def interval(draws: DataFrame, by: Sequence[str], value: str = "value") -> DataF
     return exact_quantiles(draws, by, value, {"median": 0.5, "lo": 0.025, "hi": 0.975})
 
 
-def pair_differences(draws: DataFrame, level: str = "variable", keys: Sequence[str] = KEYS) -> DataFrame:
-    """Difference of every two levels within each draw.
+def pair_differences(draws: DataFrame, level: str = "variable", keys: Sequence[str] = KEYS,
+                     levels: Sequence[str] | None = None) -> DataFrame:
+    """Difference of every two levels (of the listed ones) within each draw.
 
     A draw holds one value per level (a fixed list), folded to one array row;
     each row then gives its level pairs, without a self-join.
     """
+    draws = draws if levels is None else draws.filter(F.col(level).isin(list(levels)))
     folded = draws.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(level).alias("l"), F.col("value").alias("v")))).alias("s"))
     first = folded.select(*keys, "s", F.posexplode("s").alias("i", "x"))
     pairs = first.select(*keys, "x", F.explode(F.slice("s", F.col("i") + 2, F.size("s"))).alias("y"))
@@ -58,9 +60,10 @@ def pair_differences(draws: DataFrame, level: str = "variable", keys: Sequence[s
                         (F.col("x.v") - F.col("y.v")).alias("value"))
 
 
-def pairwise_contrasts(draws: DataFrame, level: str = "variable", keys: Sequence[str] = KEYS) -> DataFrame:
+def pairwise_contrasts(draws: DataFrame, level: str = "variable", keys: Sequence[str] = KEYS,
+                       levels: Sequence[str] | None = None) -> DataFrame:
     """Mean and 95 % interval of every level difference."""
-    diffs = pair_differences(draws, level, keys)
+    diffs = pair_differences(draws, level, keys, levels)
     return exact_quantiles(diffs, ["level1", "level2"], "value", {"lo": 0.025, "hi": 0.975},
                            extra={"mean": F.avg("value")})
 

@@ -57,11 +57,26 @@ class Design:
         return out
 
 
+def model_terms(formula: str) -> tuple[str, list[tuple[str, ...]]]:
+    """Response and terms of 'y ~ a + b + a:b'."""
+    response, right = (part.strip() for part in formula.split("~"))
+    return response, [tuple(c.strip() for c in t.split(":")) for t in right.split("+")]
+
+
+def fold_patterns(df: DataFrame, response: str, covariates: Sequence[str], weight: str = "n") -> DataFrame:
+    """Mean response and count per covariate pattern.
+
+    A binomial likelihood only needs these cells, so an iterative fit passes
+    over the patterns instead of the rows; the fold is one map-side combined
+    aggregate.
+    """
+    return df.groupBy(*covariates).agg(F.avg(response).alias(response), F.count(F.lit(1)).cast("double").alias(weight))
+
+
 def make_design(df: DataFrame, formula: str, max_levels: int = 1000) -> Design:
-    """Terms of 'y ~ a + b + a:b'; the levels of text columns are read from the
+    """Terms of the formula; the levels of text columns are read from the
     frame (a covariate with too many levels is refused)."""
-    response, right = (part.strip() for part in formula.split("~"))
-    terms = [tuple(c.strip() for c in t.split(":")) for t in right.split("+")]
+    response, terms = model_terms(formula)
     text = {c for t in terms for c in t if isinstance(df.schema[c].dataType, T.StringType)}
     levels = {}
     for c in sorted(text):
@@ -137,10 +152,11 @@ def fit_glm(df: DataFrame, formula: str, family: str, link: str, offset: str | N
     The covariance is the inverse information, scaled by the Pearson
     dispersion, or the cluster-robust sandwich when ``cluster`` is given
     (score sums per cluster are one map-side combined aggregate). The frame
-    is written once to the checkpoint folder (``keep``): the solver passes over
-    it many times and must not recompute what produced it.
+    is written once to the checkpoint folder (``keep``), only with the columns
+    of the model: the solver passes over it many times and must not recompute
+    what produced it.
     """
-    df = cut_lineage(df) if keep else df
+    df = _kept(df, formula, offset, weight, cluster) if keep else df
     design = make_design(df, formula)
     names, coded = zip(*design.coded())
     df = df.dropna(subset=[design.response, *design.columns, *[c for c in (offset, weight, cluster) if c]])
@@ -160,6 +176,11 @@ def fit_glm(df: DataFrame, formula: str, family: str, link: str, offset: str | N
     return with_covariance(fit, df, weight, cluster, alpha) if covariance else fit
 
 
+def _kept(df: DataFrame, formula: str, *others: str | None) -> DataFrame:
+    response, terms = model_terms(formula)
+    return cut_lineage(df.select(*dict.fromkeys([response, *(c for t in terms for c in t), *(c for c in others if c)])))
+
+
 def with_covariance(fit: Fit, df: DataFrame, weight: str | None = None, cluster: str | None = None, alpha: float = 0.0) -> Fit:
     """Covariance of a fit over its frame: one aggregate, two with clusters."""
     family, link, offset, beta = fit.family, fit.link, fit.offset, fit.beta
@@ -196,7 +217,7 @@ def fit_negbin(df: DataFrame, formula: str, offset: str | None = None, cluster:
     """Negative-binomial counts: Poisson fits with weights 1 / (1 + alpha mu),
     alpha from the moment equation, repeated until alpha settles. The fixed
     point solves the score equations of the quadratic-variance model."""
-    df = cut_lineage(df)
+    df = _kept(df, formula, offset, cluster)
     alpha, quiet = 0.0, dict(covariance=False, keep=False)
     fit = fit_glm(df.withColumn("_nbw", F.lit(1.0)), formula, "negbin", "log", offset, **quiet)
     for _ in range(rounds):

@@ -43,10 +43,10 @@ def life_table(spark, sf):
 def _hazard_rows(spark, sf):
     """Person-period rows folded to counts per cell: the likelihood only needs
     the number at risk and the hits of every covariate pattern."""
-    rows = sv.person_period(b.durations(spark, sf), "dur", "dur_follow", 120.0, "confirmed")
-    cells = rows.groupBy(F.least("time", F.lit(8)).cast("double").alias("time"), (F.col("rank") % 10).cast("double").alias("rank_c"), "period").agg(
-        F.avg("hit").alias("p"), F.count(F.lit(1)).cast("double").alias("n"))
-    return cells
+    rows = sv.person_period(b.durations(spark, sf), "dur", "dur_follow", 120.0, "confirmed").select(
+        F.least("time", F.lit(8)).cast("double").alias("time"), (F.col("rank") % 10).cast("double").alias("rank_c"), "period",
+        F.col("hit").alias("p"))
+    return rg.fold_patterns(rows, "p", ["time", "rank_c", "period"])
 
 
 def _coefs(spark, fit):
@@ -403,8 +403,7 @@ def _trials(spark, sf):
     """Attendance counts per entity and period: proportion and trials."""
     p = b.presence(spark, sf).withColumns({"age": (F.col("entity") % 15).cast("double"),
                                            "season": season(b.period_label())})
-    return p.groupBy("entity", "period", "season", "age").agg(
-        F.avg("present").alias("prop"), F.count(F.lit(1)).cast("double").alias("trials"))
+    return rg.fold_patterns(p.withColumnRenamed("present", "prop"), "prop", ["entity", "period", "season", "age"], "trials")
 
 
 TRIALS = """select avg(present) as y, cast(count(*) as double) as w, cast(entity % 15 as double) as x1, case when period % 2 = 1 then 1.0 else 0.0 end as x2,
