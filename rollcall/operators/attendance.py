@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rollcall.functions.nulls import if_na, is_in, not_in, ratio, total
 from rollcall.functions.scalars import minutes_between, share_label
@@ -102,22 +103,25 @@ def arrival_rank(df: DataFrame, day: str, dur: str, entity: str, name: str = "ar
                  id_width: Column | int = 1_000_000) -> DataFrame:
     """Arrival order within the day; never-found entities come last, ties by entity.
 
-    Ordered by minute and id range, so a busy day is sorted by many tasks.
+    Ordered by minute and id range, so a busy day is sorted by many tasks. Ids
+    are cut into ranges of ``id_width``; text ids by their first three letters.
     """
+    if isinstance(df.schema[entity].dataType, T.StringType):
+        id_range, none = F.substring(F.col(entity), 1, 3), F.lit("")
+    else:
+        id_range, none = F.floor(F.col(entity) / id_width), F.lit(0)
     last_bin = 1_000_000_000
     slices = {
         "_minute": F.coalesce(F.floor(F.col(dur)), F.lit(last_bin)),
         "_unit": F.coalesce(F.col(dur) - F.floor(F.col(dur)), F.lit(0.0)) * 60,
-        "_ids": F.floor(F.col(entity) / id_width),
     }
-    slices["_unit"] = F.floor(slices["_unit"])
     order = [F.col(dur).asc_nulls_last(), F.col(entity)]
     # Within a one-second slice the exact time still decides before the id
     # range does, so the id range only splits rows without a time or with
     # whole-minute times.
     whole = F.col(dur).isNull() | (F.col(dur) == F.floor(F.col(dur)))
-    slices["_ids"] = F.when(whole, slices["_ids"] + 1).otherwise(last_bin)
-    slices["_unit"] = F.when(whole, F.lit(-1)).otherwise(slices["_unit"])
+    slices["_unit"] = F.when(whole, F.lit(-1)).otherwise(F.floor(slices["_unit"]))
+    slices["_ids"] = F.when(whole, id_range).otherwise(none)
     return split_row_number(df, [day], order, slices, name)
 
 

@@ -109,6 +109,12 @@ def test_arrival_rank_orders_null_last_and_ties_by_entity(spark):
         (9, 4.9), (1, 5.0), (2, 5.0), (0, 5.25), (4, 5.9), (0, None), (3, None)]
 
 
+def test_arrival_rank_with_text_ids(spark):
+    df = spark.createDataFrame([(1, 5.0, "kun"), (1, 5.0, "kil"), (1, None, "b"), (1, None, "a"), (1, 4.5, "zzz")], "day int, dur double, e string")
+    out = at.arrival_rank(df, "day", "dur", "e", "n")
+    assert [r.e for r in out.orderBy("n").collect()] == ["zzz", "kil", "kun", "a", "b"]
+
+
 def test_complete_days(days):
     df = days([(1, 3, 3), (2, 3, 3), (3, 2, 3), (5, 3, 3)], "day int, n_entity int, max_entity int")
     assert [r.day.day for r in at.complete_days(df).collect()] == [2]

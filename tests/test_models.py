@@ -146,6 +146,8 @@ def test_centrality_against_eigh(spark):
 
 def test_communities_and_modularity(spark):
     df, edges = small_graph(spark)
+    named = nw.communities(df.select(F.format_string("n%02d", "a").alias("a"), F.format_string("n%02d", "b").alias("b"), "w"), 10)
+    assert len({r.label for r in named.collect()}) == 2
     found = nw.communities(df, 10)
     labels = {r.node: r.label for r in found.collect()}
     assert len({labels[n] for n in (0, 1, 2, 3)}) == 1 and labels[0] != labels[10]
