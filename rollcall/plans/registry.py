@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rollcall.plans.sqlbase import with_bases
+from rollcall.session import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -39,6 +40,7 @@ def query(rows: str, sql: str | None = None):
 
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             spark.conf.set("spark.sql.session.timeZone", "UTC")
+            ship(spark)
             return comparable(fn(spark, sf_dir))
 
         run.__name__, run.__doc__ = name, fn.__doc__

@@ -1,11 +1,17 @@
-"""Session settings and the one place that decides where checkpoints go."""
+"""Session settings, the shared folder for intermediate tables, and shipping."""
 
 from __future__ import annotations
 
+import os
 import tempfile
+import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+_LOCAL: dict[str, str] = {}
+_SHIPPED: set[str] = set()
+
 
 def build_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A local session for tests and the benchmark; a cluster brings its own."""
@@ -25,16 +31,55 @@ def build_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
     return spark
 
 
-def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Write ``df`` to the session's checkpoint folder and read it back.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    The folder is the one named by ``spark.checkpoint.dir`` (shared storage on
-    a cluster, so a lost executor costs nothing). Only when the session names
-    none, as in a bare local test, is a temporary one used.
+    Only a local session may leave it unset (tests); it then gets a temporary
+    folder. On a cluster that would be one machine's own disk, so it raises.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if named:
+        return named.rstrip("/")
+    if not sc.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return _LOCAL.setdefault(sc.applicationId, tempfile.mkdtemp(prefix="rollcall-shared-"))
+
+
+def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
+    """Write ``df`` to the session's checkpoint folder and read it back, so that
+    a lost executor costs nothing."""
+    sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        configured = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="rollcall-ckpt-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=eager)
+
+
+def shared_table(df: DataFrame, codec: str = "zstd") -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back.
+
+    Unlike a checkpoint it has a size, columns that can be pruned, and one
+    computation for several readers. Spark removes it when the session ends.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/rollcall-{uuid.uuid4().hex}"
+    df.write.option("compression", codec).parquet(path)
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, for its functions that run in Python there."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="rollcall-ship-"), "rollcall.zip")
+    with zipfile.ZipFile(target, "w") as z:
+        for top, _, names in os.walk(package):
+            for n in names:
+                if n.endswith(".py"):
+                    z.write(os.path.join(top, n), os.path.relpath(os.path.join(top, n), os.path.dirname(package)))
+    sc.addPyFile(target)
+    _SHIPPED.add(sc.applicationId)
