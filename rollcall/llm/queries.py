@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rollcall.llm.packing import pack
 from rollcall.llm.registry import query, table
+from rollcall.llm.simhash import hexadecimal, near_groups
 from rollcall.llm.token_counts import count_tokens
 from rollcall.llm.token_planes import read_ids, write_ids
 
@@ -24,6 +25,13 @@ def op6_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
+@query()
+def op8_simhash(spark: SparkSession, sf: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    groups = near_groups(table(spark, sf, "documents"))
+    return groups.select("doc_id", hexadecimal(F.col("print")[0]).alias("fingerprint"), "component_id")
+
+
 @query()
 def op9_packing(spark: SparkSession, sf: str) -> DataFrame:
     """All documents in sequences of 1024 tokens."""
