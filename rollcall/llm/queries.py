@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rollcall.llm.packing import pack
 from rollcall.llm.registry import query, table
+from rollcall.llm.repetition import repetition
 from rollcall.llm.simhash import hexadecimal, near_groups
 from rollcall.llm.token_counts import count_tokens
 from rollcall.llm.token_planes import read_ids, write_ids
@@ -25,6 +26,12 @@ def op6_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
+@query()
+def op7_repetition(spark: SparkSession, sf: str) -> DataFrame:
+    """Counts, repetition coverage and verdict of every document."""
+    return repetition(table(spark, sf, "documents"))
+
+
 @query()
 def op8_simhash(spark: SparkSession, sf: str) -> DataFrame:
     """Fingerprint and component of every document."""
