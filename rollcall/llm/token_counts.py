@@ -99,7 +99,26 @@ def _documents(vocabulary: str, head):
     return run
 
 
-def count_tokens(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", head: int = 1 << 18) -> DataFrame:
+def _head(counted: DataFrame, most: int) -> dict[str, int]:
+    """The tokens of the most frequent pre-tokens, ``most`` at the most.
+
+    The least frequency comes from a histogram of fixed bins, so only these
+    entries reach the driver.
+    """
+    fit = counted.filter(F.length("piece") <= LONGEST).withColumn("bin", F.floor(16 * F.log2("freq")))
+    least, total = None, 0
+    for row in sorted(fit.groupBy("bin").count().collect(), reverse=True):
+        total += row["count"]
+        if total > most:
+            break
+        least = row["bin"]
+    if least is None:
+        return {}
+    top = fit.filter(F.col("bin") >= least).select("piece", "tokens").toPandas()
+    return dict(zip(top["piece"].tolist(), top["tokens"].tolist()))
+
+
+def count_tokens(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", head: int = 1 << 17) -> DataFrame:
     """doc_id, n_bytes, n_tokens of every row of ``docs`` (doc_id, text).
 
     The counts equal the lengths of the library's own encodings of the whole
@@ -111,9 +130,7 @@ def count_tokens(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", head: i
     seen = docs.select("text").mapInArrow(_frequencies(vocabulary), "piece string, freq long")
     seen = seen.groupBy("piece").agg(F.sum("freq").alias("freq"))
     counted = shared_table(seen.mapInArrow(_counted(vocabulary), "piece string, freq long, tokens long"))
-    top = (counted.filter(F.length("piece") <= LONGEST).orderBy(F.desc("freq"), "piece").limit(head)
-           .select("piece", "tokens").toPandas())
-    table = docs.sparkSession.sparkContext.broadcast(dict(zip(top["piece"].tolist(), top["tokens"].tolist())))
+    table = docs.sparkSession.sparkContext.broadcast(_head(counted, head))
     sized = docs.withColumn("n_bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))
     parts = sized.mapInArrow(_documents(vocabulary, table),
                              "row long, doc_id long, n_bytes long, base long, piece string, n long")
