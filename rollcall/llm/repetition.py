@@ -32,14 +32,15 @@ SCHEMA = ("doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lin
 _NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
 
 
-def _repeated(codes: np.ndarray) -> np.ndarray:
-    """Which values occur twice or more."""
-    order = np.argsort(codes)
+def _repeated(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which values occur twice or more, which have occurred before)."""
+    order = np.argsort(codes, kind="stable")
     same = codes[order[1:]] == codes[order[:-1]]
-    out = np.zeros(len(codes), bool)
-    out[order[1:][same]] = True
-    out[order[:-1][same]] = True
-    return out
+    again = np.zeros(len(codes), bool)
+    again[order[1:][same]] = True
+    both = again.copy()
+    both[order[:-1][same]] = True
+    return both, again
 
 
 def _covered(starts: np.ndarray, n: int, length: int) -> np.ndarray:
@@ -73,7 +74,7 @@ def measures(text: str | None) -> tuple:
         else:  # rank pairs first; ranks and ids fit 32 bits
             _, two = np.unique(ids[:-1] << np.uint64(32) | ids[1:], return_inverse=True)
             threes = two[:-1].astype(np.uint64) << np.uint64(32) | ids[2:]
-        at = np.nonzero(_repeated(threes))[0]
+        at = np.nonzero(_repeated(threes)[0])[0]
         repeat_words = int(_covered(at, 3, n).sum())
         values = (ids + np.uint64(1)) * _MIX
         values ^= values >> np.uint64(31)
@@ -85,9 +86,10 @@ def measures(text: str | None) -> tuple:
             for k in range(1, size):
                 rolling = rolling * _MIX + values[at + k]
                 rolling ^= rolling >> np.uint64(29)
-            at = at[_repeated(rolling)] if len(at) else at
-            if len(at):
-                inside[size] = int(sizes[_covered(at, size, n)].sum())
+            both, again = _repeated(rolling)
+            if again.any():
+                inside[size] = int(sizes[_covered(at[again], size, n)].sum())
+            at = at[both]
     return (n, int(sizes.sum()), len(_SYMBOL.findall(text)), dup_lines, repeat_words, line_chars, *inside.values())
 
 
@@ -103,8 +105,8 @@ def repetition(docs: DataFrame) -> DataFrame:
 
     n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words are plain
     counts; dup_chars_N and dup_line_chars are the word characters inside
-    N-word runs that occur twice or more, and inside lines equal to an earlier
-    one. base_failed: fewer than 50 words, or over half of them in repeated
+    N-word runs that have occurred before in the text, and inside lines equal
+    to an earlier one. base_failed: fewer than 50 words, or over half of them in repeated
     three-word runs. kept: not so, and every share within ``SHARES`` and
     ``LINE_SHARE``. A null text is empty and fails; repeated rows are judged
     each for itself; a null doc_id is kept; other columns are ignored.
