@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rollcall.llm.packing import pack
@@ -12,6 +12,13 @@ from rollcall.llm.simhash import hexadecimal, near_groups
 from rollcall.llm.token_counts import count_tokens
 from rollcall.llm.token_planes import read_ids, write_ids
 
+from rollcall.llm.toxicity import toxicity
+
+
+def held_out(modulus: int, rest: int) -> Column:
+    """Whether a doc_id belongs to the fold that no model learns from."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % modulus == rest, F.lit(False))
+
 
 @query()
 def op1_token_planes(spark: SparkSession, sf: str) -> DataFrame:
@@ -19,6 +26,13 @@ def op1_token_planes(spark: SparkSession, sf: str) -> DataFrame:
     return read_ids(spark, write_ids(table(spark, sf, "documents")))
 
 
+@query()
+def op5_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    """Score of every document for toxicity."""
+    scored = toxicity(table(spark, sf, "documents"), table(spark, sf, "labels"))
+    return scored.select("doc_id", held_out(5, 0).alias("held_out"), "score", "predicted")
+
+
 @query()
 def op6_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Bytes and tokens of every document."""
