@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rollcall.llm.byte_conv import quality
+from rollcall.llm.main_text import extract
 from rollcall.llm.packing import pack
 from rollcall.llm.registry import query, table
 from rollcall.llm.repetition import repetition
@@ -13,6 +15,8 @@ from rollcall.llm.token_counts import count_tokens
 from rollcall.llm.token_planes import read_ids, write_ids
 
 from rollcall.llm.toxicity import toxicity
+from rollcall.llm.url_rules import HOST_RULES, UNWANTED, host_rule, judge_urls, name_rule
+from rollcall.llm.url_rules import sql as url_sql
 
 
 def held_out(modulus: int, rest: int) -> Column:
@@ -26,6 +30,19 @@ def op1_token_planes(spark: SparkSession, sf: str) -> DataFrame:
     return read_ids(spark, write_ids(table(spark, sf, "documents")))
 
 
+@query()
+def op2_main_text(spark: SparkSession, sf: str) -> DataFrame:
+    """Main text of every page."""
+    return extract(table(spark, sf, "pages"))
+
+
+@query(url_sql())
+def op3_url_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """Host, path, rule and verdict of every page's url."""
+    rules = [host_rule(r, v) for r, v in HOST_RULES] + [name_rule(w) for w in UNWANTED]
+    return judge_urls(table(spark, sf, "pages"), rules)
+
+
 @query()
 def op5_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     """Score of every document for toxicity."""
@@ -57,3 +74,10 @@ def op8_simhash(spark: SparkSession, sf: str) -> DataFrame:
 def op9_packing(spark: SparkSession, sf: str) -> DataFrame:
     """All documents in sequences of 1024 tokens."""
     return pack(table(spark, sf, "documents"))
+
+
+@query()
+def op10_byte_conv(spark: SparkSession, sf: str) -> DataFrame:
+    """Score of every document for quality."""
+    scored = quality(table(spark, sf, "documents"), table(spark, sf, "labels"))
+    return scored.select("doc_id", held_out(4, 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
