@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rollcall.llm.byte_conv import quality
+from rollcall.llm.decontaminate import SQL as LEAKS_SQL
+from rollcall.llm.decontaminate import find_leaks
 from rollcall.llm.main_text import extract
 from rollcall.llm.packing import pack
 from rollcall.llm.registry import query, table
@@ -43,6 +45,12 @@ def op3_url_rules(spark: SparkSession, sf: str) -> DataFrame:
     return judge_urls(table(spark, sf, "pages"), rules)
 
 
+@query(LEAKS_SQL)
+def op4_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents that hold benchmark items, with the best window of each."""
+    return find_leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark")).drop("distance")
+
+
 @query()
 def op5_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     """Score of every document for toxicity."""
