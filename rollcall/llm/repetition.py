@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rollcall.llm.pieces import bare
 
@@ -27,9 +28,7 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 SHARES = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
 LINE_SHARE = 0.30
 
-SCHEMA = ("doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
-          "dup_line_chars long, " + ", ".join(f"dup_chars_{n} long" for n in SHARES))
-_NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
+COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "dup_line_chars", *(f"dup_chars_{n}" for n in SHARES)]
 
 
 def _repeated(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -52,7 +51,7 @@ def _covered(starts: np.ndarray, n: int, length: int) -> np.ndarray:
 
 
 def measures(text: str | None) -> tuple:
-    """The counts of one text, in the order of ``SCHEMA`` after doc_id."""
+    """The counts of one text, in the order of ``COUNTS``."""
     text = text or ""
     words = bare(text)
     sizes = np.fromiter(map(len, words), np.int64, len(words))
@@ -93,11 +92,26 @@ def measures(text: str | None) -> tuple:
     return (n, int(sizes.sum()), len(_SYMBOL.findall(text)), dup_lines, repeat_words, line_chars, *inside.values())
 
 
-def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = [measures(t) for t in batch.column("text").to_pylist()]
-        cols = [pa.array(c, pa.int64()) for c in zip(*rows)] if rows else [pa.array([], pa.int64())] * (len(_NAMES) - 1)
-        yield pa.record_batch([batch.column("doc_id"), *cols], _NAMES)
+def _measure(prefix: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [prefix + c for c in COUNTS]
+        for batch in batches:
+            rows = [measures(t) for t in batch.column("text").to_pylist()]
+            cols = [pa.array([r[k] for r in rows], pa.int64()) for k in range(len(names))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *cols], [*batch.schema.names, *names])
+
+    return run
+
+
+def with_verdict(docs: DataFrame, prefix: str = "") -> DataFrame:
+    """All columns of ``docs``, the counts, base_failed and kept; ``prefix`` starts the names of the new ones."""
+    schema = T.StructType([*docs.schema, *(T.StructField(prefix + c, T.LongType()) for c in COUNTS)])
+    rows, at = docs.mapInArrow(_measure(prefix), schema), lambda c: F.col(prefix + c)
+    failed = (at("n_words") < 50) | (100 * at("n_repeat_words") > 50 * at("n_words"))
+    within = at("dup_line_chars") <= LINE_SHARE * at("word_chars")
+    for n, share in SHARES.items():
+        within &= at(f"dup_chars_{n}") <= share * at("word_chars")
+    return rows.withColumn(prefix + "base_failed", failed).withColumn(prefix + "kept", ~failed & within)
 
 
 def repetition(docs: DataFrame) -> DataFrame:
@@ -112,9 +126,4 @@ def repetition(docs: DataFrame) -> DataFrame:
     each for itself; a null doc_id is kept; other columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    rows = docs.mapInArrow(_measure, SCHEMA)
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    within = F.col("dup_line_chars") <= LINE_SHARE * F.col("word_chars")
-    for n, share in SHARES.items():
-        within &= F.col(f"dup_chars_{n}") <= share * F.col("word_chars")
-    return rows.withColumn("base_failed", failed).withColumn("kept", ~failed & within)
+    return with_verdict(docs).drop("text")

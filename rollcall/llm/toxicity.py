@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rollcall.llm.trees import boost, isotonic
 from rollcall.session import shared_table
@@ -99,7 +100,7 @@ def _rows(lexicon):
     return run
 
 
-def _scores(model):
+def _scores(model, column: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon, trees, curve, prior = model.value
         for batch in batches:
@@ -109,7 +110,7 @@ def _scores(model):
             else:
                 x = np.array([features(t, lexicon) for t in texts]).reshape(-1, len(FEATURES))
                 p = curve.predict(trees.predict(x))
-            yield pa.record_batch([batch.column("doc_id"), pa.array(p, pa.float64())], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p, pa.float64())], [*batch.schema.names, column])
 
     return run
 
@@ -164,6 +165,12 @@ def toxicity(docs: DataFrame, labels: DataFrame, most: int = 20000, modulus: int
     their share of toxic rows.
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, most, modulus=modulus, held=held))
-    scored = docs.mapInArrow(_scores(model), "doc_id long, score double")
+    scored = with_score(docs, labels, "score", most, modulus, held).drop("text")
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def with_score(docs: DataFrame, labels: DataFrame, column: str, most: int = 20000, modulus: int = 5, held: int = 0) -> DataFrame:
+    """All columns of ``docs`` and the score, as ``toxicity`` gives it, in a further one."""
+    found = fit(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), labels, most, modulus=modulus, held=held)
+    model = docs.sparkSession.sparkContext.broadcast(found)
+    return docs.mapInArrow(_scores(model, column), T.StructType([*docs.schema, T.StructField(column, T.DoubleType())]))
