@@ -28,6 +28,7 @@ from rollcall.session import shared_table
 BLOCK = 2048
 #: Runs up to this length are compared as lists of pairs.
 SHORT = 24
+#: Odd numbers that mix further hashes out of one.
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
 
@@ -107,8 +108,8 @@ def block_keys(word: Column, radius: int, equal: int = 2) -> Column:
 
 # --- bit-sliced comparison ---------------------------------------------------------------------------
 
-def _near(planes: Iterator[np.ndarray], shape: tuple, radius: int) -> np.ndarray:
-    """Lanes (bits of words) whose difference planes have at most ``radius`` ones."""
+def _near(planes: Iterator[np.ndarray], shape: tuple, radius: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(lanes whose difference planes have at most ``radius`` ones, counter planes less their start)."""
     depth = max(1, radius.bit_length())
     start = (1 << depth) - 1 - radius
     full = ~np.uint64(0)
@@ -120,7 +121,17 @@ def _near(planes: Iterator[np.ndarray], shape: tuple, radius: int) -> np.ndarray
         over |= carry
         if n % 8 == 7 and (over == full).all():
             break
-    return ~over
+    return ~over, counter
+
+
+def _distances(mask: np.ndarray, counter: list[np.ndarray], radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, lane, distance) of the lanes in the mask; both are (rows, words)."""
+    row, lane = np.nonzero(np.unpackbits(mask.view(np.uint8), axis=1, bitorder="little"))
+    value = np.zeros(len(row), np.int32)
+    for b, plane in enumerate(counter):
+        value |= (plane[row, lane >> 6] >> (lane & 63).astype(np.uint64) & np.uint64(1)).astype(np.int32) << b
+    start = (1 << len(counter)) - 1 - radius
+    return row.astype(np.int32), lane.astype(np.int32), value - start
 
 
 def _vertical(prints: np.ndarray) -> np.ndarray:
@@ -132,60 +143,60 @@ def _vertical(prints: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(np.packbits(bits.T, axis=1, bitorder="little")).view(np.uint64)
 
 
-def _lanes(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, lane) of the bits that are set."""
-    return np.nonzero(np.unpackbits(mask.view(np.uint8), axis=1, bitorder="little"))
-
-
-def pairs_listed(prints: np.ndarray, a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
-    """Which of the listed pairs lie within the radius."""
-    out = np.zeros(len(a), bool)
+def pairs_listed(prints: np.ndarray, a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, distance) of the listed pairs within the radius."""
+    out = []
     for i in range(0, len(a), 1 << 15):
-        planes = _vertical(prints[a[i:i + (1 << 15)]] ^ prints[b[i:i + (1 << 15)]])
-        near = _near(iter(planes), planes.shape[1:], radius)
-        m = len(a[i:i + (1 << 15)])
-        out[i:i + m] = np.unpackbits(near.view(np.uint8), bitorder="little")[:m].astype(bool)
-    return out
+        x, y = a[i:i + (1 << 15)], b[i:i + (1 << 15)]
+        planes = _vertical(prints[x] ^ prints[y])[:, None, :]
+        _, lane, d = _distances(*_near(iter(planes), planes.shape[1:], radius), radius)
+        real = lane < len(x)
+        out.append((x[lane[real]], y[lane[real]], d[real]))
+    return tuple(np.concatenate(c) for c in zip(*out)) if out else (a, b, a)
 
 
-def pairs_between(left: np.ndarray, right: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(rows of left, rows of right) within the radius, left in small blocks."""
-    planes = _vertical(right)
+def pairs_between(left: np.ndarray, right: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of left, row of right, distance) within the radius, left in small blocks."""
+    planes, out = _vertical(right), []
     for i in range(0, len(left), 128):
         some = left[i:i + 128]
         bits = np.unpackbits(np.ascontiguousarray(some).view(np.uint8).reshape(len(some), -1), axis=1, bitorder="little")
-        flip = np.where(bits.T[:, :, None], ~np.uint64(0), np.uint64(0))
-        near = _near((p[None, :] ^ f for p, f in zip(planes, flip)), (len(some), planes.shape[1]), radius)
-        row, lane = _lanes(near)
+        flip = (np.where(b[:, None], ~np.uint64(0), np.uint64(0)) for b in bits.T)
+        row, lane, d = _distances(*_near((p[None, :] ^ f for p, f in zip(planes, flip)), (len(some), planes.shape[1]), radius), radius)
         real = lane < len(right)
-        yield row[real] + i, lane[real]
-
-
-def merge(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
-    """Give linked rows one label, the smallest."""
-    while len(a):
-        x, y = labels[a], labels[b]
-        apart = x != y
-        if not apart.any():
-            return
-        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
-        np.minimum.at(labels, np.maximum(x, y), np.minimum(x, y))
-        while (labels[labels] != labels).any():
-            labels[:] = labels[labels]
+        out.append((row[real] + i, lane[real], d[real]))
+    return tuple(np.concatenate(c) for c in zip(*out))
+
+
+def forest(n: int, a: np.ndarray, b: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a spanning forest of least distance: what they connect, shorter pairs first."""
+    labels, left, right = np.arange(n), [], []
+    for level in np.unique(d):
+        x, y = a[d == level], b[d == level]
+        while len(x):
+            p, q = labels[x], labels[y]
+            apart = p != q
+            x, y, p, q = x[apart], y[apart], p[apart], q[apart]
+            high, first = np.unique(np.maximum(p, q), return_index=True)
+            left.append(x[first])
+            right.append(y[first])
+            parent = np.arange(n)
+            parent[high] = np.minimum(p, q)[first]
+            while (parent[parent] != parent).any():
+                parent = parent[parent]
+            labels = parent[labels]
+    return (np.concatenate(left), np.concatenate(right)) if left else (labels[:0], labels[:0])
 
 
 def _links(radius: int):
-    def tree(nodes, labels):
-        far = np.nonzero(labels != np.arange(len(labels)))[0]
-        return nodes[far], nodes[labels[far]]
-
     def long_run(nodes, prints, side, cross: bool):
-        labels = np.arange(len(nodes))
-        at = np.nonzero(side == 0)[0] if cross else labels.copy()
-        to = np.nonzero(side == 1)[0] if cross else labels.copy()
-        for a, b in pairs_between(prints[at], prints[to], radius) if len(at) and len(to) else ():
-            merge(labels, at[a], to[b])
-        return tree(nodes, labels)
+        at = np.nonzero(side == 0)[0] if cross else np.arange(len(nodes))
+        to = np.nonzero(side == 1)[0] if cross else at
+        if not len(at) or not len(to):
+            return nodes[:0], nodes[:0]
+        a, b, d = pairs_between(prints[at], prints[to], radius)
+        a, b = forest(len(nodes), at[a], to[b], d)
+        return nodes[a], nodes[b]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(u, v):
@@ -210,12 +221,9 @@ def _links(radius: int):
                     a, b = (np.array(at)[:, None] + x).ravel(), (np.array(at)[:, None] + y).ravel()
                     new = (t["i"][a] == t["j"][a]) | (t["side"][a] != t["side"][b])
                     a, b = a[new], b[new]
-                    near = pairs_listed(t["print"], a, b, radius)
-                    labels = np.arange(len(t["node"]))
-                    merge(labels, a[near], b[near])
-                    u, v = tree(t["node"], labels)
-                    left.append(u)
-                    right.append(v)
+                    a, b = forest(len(t["node"]), *pairs_listed(t["print"], a, b, radius))
+                    left.append(t["node"][a])
+                    right.append(t["node"][b])
             if left:
                 yield out(np.concatenate(left), np.concatenate(right))
 
@@ -245,7 +253,7 @@ def links_within(nodes: DataFrame, radius: int) -> DataFrame:
     longs). Nodes that share a key are compared. A bucket of more than
     ``BLOCK`` nodes is dealt into blocks and each pair of blocks is a task of
     its own, so no task grows with a bucket; each task returns a spanning
-    forest of its links, never all pairs.
+    forest of its links of least distance, never all pairs.
     """
     keyed = nodes.select("node", "print", F.explode(F.array_distinct("keys")).alias("key"))
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
@@ -255,16 +263,44 @@ def links_within(nodes: DataFrame, radius: int) -> DataFrame:
     i, j = F.least("own", "other"), F.greatest("own", "other")
     rows = dealt.select("key", i.alias("i"), j.alias("j"), (F.col("own") == j).cast("int").alias("side"), "node", "print")
     return (rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-            .mapInArrow(_links(radius), "u long, v long").distinct())
+            .mapInArrow(_links(radius), "u long, v long")
+            .select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
 
 
-def near_groups(docs: DataFrame, shingle: int = 4, width: int = 1, radius: int = 4, minima: int = 0) -> DataFrame:
+def _sets(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t, size)).view(np.int64).tolist() for t in batch.column("text").to_pylist()]
+            yield pa.record_batch([batch.column("node"), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
+
+    return run
+
+
+def verified(links: DataFrame, owners: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The links whose texts have a Jaccard similarity of ``similarity`` or more.
+
+    ``owners``: node, of_doc, of_version, one text of every node.
+    """
+    linked = links.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    texts = docs.select("doc_id", "text", F.xxhash64(F.col("text").cast("string")).alias("version"))
+    same = F.col("doc_id").eqNullSafe(F.col("of_doc")) & (F.col("version") == F.col("of_version"))
+    sets = shared_table(texts.join(owners.join(linked, "node"), same).select("node", "text")
+                        .mapInArrow(_sets(shingle), "node long, shingles array<long>").dropDuplicates(["node"]))
+    pairs = (links.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u")
+             .join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v"))
+    both = F.size(F.array_intersect("a", "b"))
+    return pairs.filter(both >= similarity * (F.size("a") + F.size("b") - both) - 1e-9).select("u", "v")
+
+
+def near_groups(docs: DataFrame, shingle: int = 4, width: int = 1, radius: int = 4, minima: int = 0,
+                similarity: float | None = None) -> DataFrame:
     """doc_id, version, print, component_id, label of every row of ``docs`` (doc_id, text).
 
     With ``minima`` = 0 the links are exactly the pairs of fingerprints within
     ``radius`` bits (``width`` 1). Otherwise fingerprints are compared if one of
     that many minima of their shingle hashes agrees, which texts of similarity s
-    miss with probability (1 - s) ** minima.
+    miss with probability (1 - s) ** minima. With ``similarity`` an exact check
+    of the texts' shingle sets follows, of the pairs of each bucket's forest.
 
     component_id is the smallest doc_id of the component, label its own name.
     Null and blank texts have the fingerprint zero, and are linked like others;
@@ -279,10 +315,14 @@ def near_groups(docs: DataFrame, shingle: int = 4, width: int = 1, radius: int =
     keys = F.col("minima") if minima else block_keys(words.getItem(0), radius)
     if minima:
         keys = F.transform("minima", lambda x, k: F.xxhash64(k, x))
+    owner = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "version")).alias("owner")
     distinct = prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("print").alias("print"),
-                                          F.first("minima").alias("minima"))
+                                          F.first("minima").alias("minima"), owner)
     distinct = shared_table(distinct)
     links = links_within(distinct.select("node", "print", keys.alias("keys")), radius)
+    if similarity is not None:
+        owners = distinct.select("node", F.col("owner.doc_id").alias("of_doc"), F.col("owner.version").alias("of_version"))
+        links = verified(shared_table(links), owners, docs, shingle, similarity)
     labels = components(links)
     named = distinct.select("node", "least").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     named = shared_table(named)
@@ -291,15 +331,17 @@ def near_groups(docs: DataFrame, shingle: int = 4, width: int = 1, radius: int =
             .drop("node"))
 
 
-def one_of_each(docs: DataFrame, shingle: int = 5, width: int = 8, radius: int = 96, minima: int = 8) -> DataFrame:
+def one_of_each(docs: DataFrame, shingle: int = 5, width: int = 8, radius: int = 112, minima: int = 8,
+                similarity: float = 0.8) -> DataFrame:
     """The row of ``docs`` with the smallest doc_id of each group of near duplicates, all columns.
 
-    By default groups are texts whose shingles of five words are about 0.8
-    similar or more: 96 of 512 bits is where similarity 0.72 lies, two standard
-    errors below 0.8, so pairs of 0.8 are found and pairs of 0.6 are left alone.
+    A group is what pairs of a similarity of 0.8 or more connect (Jaccard, sets
+    of five-word shingles). Such pairs differ in 78 of 512 bits, give or take 8,
+    so the radius of 112 bits leaves out none but by an accident of four
+    standard errors.
     Of repeated rows one stays. A null doc_id stays if its group has no other.
     """
-    groups = near_groups(docs, shingle, width, radius, minima)
+    groups = near_groups(docs, shingle, width, radius, minima, similarity)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "version")).alias("f")
     chosen = groups.groupBy("label").agg(first).select(F.col("f.doc_id").alias("_kept_id"), F.col("f.version").alias("_kept_version"))
     same = F.col("doc_id").eqNullSafe(F.col("_kept_id")) & (F.col("_version") == F.col("_kept_version"))
