@@ -171,16 +171,22 @@ def last_arrival(durations: DataFrame, day: str = "day") -> DataFrame:
     return durations.groupBy(day).agg(F.max("dur").alias("last_time"))
 
 
-def histogram_cdf(df: DataFrame, col: str, width: float, upper: float) -> DataFrame:
+def histogram_cdf(df: DataFrame, col: str, width: float, upper: float | None = None) -> DataFrame:
     """Counts in ``(a, a + width]`` bins (the first also takes its left end)
-    and the running share. One row per bin, so the running sum is short."""
+    and the running share. One row per bin, so the running sum is short.
+
+    Bins reach from zero to ``upper``, or as far as the largest value when it
+    lies beyond, so that no value is left out. A negative value raises.
+    """
     from pyspark.sql.window import Window as W
 
-    n_bins = int(round(upper / width))
-    counted = (df.filter((F.col(col) >= 0) & (F.col(col) <= upper))
-               .select(F.greatest(F.ceil(F.col(col) / width) - 1, F.lit(0)).cast("bigint").alias("bin"))
+    place = F.greatest(F.ceil(F.col(col) / width) - 1, F.lit(0)).cast("bigint")
+    below = F.raise_error(F.concat(F.lit(f"{col} holds a negative value: "), F.col(col).cast("string"))).cast("bigint")
+    counted = (df.filter(F.col(col).isNotNull()).select(F.when(F.col(col) < 0, below).otherwise(place).alias("bin"))
                .groupBy("bin").agg(F.count(F.lit(1)).alias("n")))
-    bins = df.sparkSession.range(n_bins).withColumnRenamed("id", "bin")
+    least = int(round((upper or 0) / width)) - 1
+    last = counted.agg(F.greatest(F.coalesce(F.max("bin"), F.lit(-1)), F.lit(least)).alias("_last"))
+    bins = last.filter("_last >= 0").select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_last"))).alias("bin"))
     full = bins.join(counted, "bin", "left").fillna({"n": 0}).withColumn("_one", F.lit(1))
     run = W.partitionBy("_one").orderBy("bin").rowsBetween(W.unboundedPreceding, W.currentRow)
     whole = W.partitionBy("_one")

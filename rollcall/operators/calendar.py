@@ -40,7 +40,7 @@ def complete_calendar(df: DataFrame, day: str, by: Sequence[str] = (), span: Col
     series by the length of the calendar.
     """
     if not by:
-        return join_days(calendar(df, day), df, [day], "left")
+        return calendar(df, day).join(df, [day], "left")
     w = W.partitionBy(*by).orderBy(day)
     here = F.col(day)
     nxt = F.lead(day).over(w)
@@ -76,8 +76,6 @@ def shift_join(df: DataFrame, other: DataFrame, keys: Sequence[str], day: str, c
     """Attach columns that another table holds for the day before."""
     shifted = other.select(*keys, F.date_add(day, days).alias(day),
                            *[F.col(c).alias(f"{c}{suffix}") for c in cols])
-    if not keys:  # one row per day
-        return join_days(df, shifted, [day], "left")
     return df.join(shifted, [*keys, day], "left")
 
 
@@ -85,12 +83,12 @@ def complete(df: DataFrame, nesting: Sequence[str], levels: Mapping[str, Sequenc
     """Every observed ``nesting`` tuple with every combination of listed levels.
 
     The levels are short literal lists, exploded per tuple; measured rows are
-    attached by an equi-join.
+    attached by an equi-join. Rows with a level that is not listed stay.
     """
     frame = df.select(*nesting).distinct()
     for name, values in levels.items():
         frame = frame.withColumn(name, F.explode(F.array(*[F.lit(v) for v in values])))
-    out = frame.join(df, [*nesting, *levels], "left")
+    out = frame.join(df, [*nesting, *levels], "full")
     return out.fillna(dict(fill)) if fill else out
 
 

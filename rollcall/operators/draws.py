@@ -17,7 +17,7 @@ from rollcall.functions.nulls import if_na
 from rollcall.functions.scalars import draw_index
 from rollcall.operators.ranks import exact_quantiles
 from rollcall.operators.reshape import to_long
-from rollcall.session import cut_lineage
+from rollcall.session import cut_lineage, shared_table
 
 KEYS = ("chain", "iteration")
 # Fixed value: scale that makes the median absolute deviation a sd for normal data.
@@ -68,17 +68,19 @@ def pairwise_contrasts(draws: DataFrame, level: str = "variable", keys: Sequence
                            extra={"mean": F.avg("value")})
 
 
-def _shortest(draws: DataFrame) -> DataFrame:
-    """Draws cut to the length of the variable's shortest chain (column ``n``)."""
+def _equal_chains(draws: DataFrame) -> DataFrame:
+    """Draws with the length ``n`` of the variable's chains; unequal chains raise."""
     lengths = draws.groupBy("variable", "chain").agg(F.count(F.lit(1)).alias("_c"))
-    shortest = lengths.groupBy("variable").agg(F.min("_c").alias("n"))
-    return draws.join(shortest, "variable").filter(F.col("iteration") <= F.col("n"))
+    unequal = F.raise_error(F.concat(F.lit("chains of unequal length: "), F.col("variable").cast("string"))).cast("bigint")
+    n = lengths.groupBy("variable").agg(F.min("_c").alias("_a"), F.max("_c").alias("_b")).select(
+        "variable", F.when(F.col("_a") == F.col("_b"), F.col("_a")).otherwise(unequal).alias("n"))
+    return draws.join(n, "variable")
 
 
 def rhat(draws: DataFrame) -> DataFrame:
     """Split-chain potential scale reduction."""
     half = F.floor(F.col("n") / 2)
-    part = _shortest(draws).withColumn("n", half).filter(F.col("iteration") <= 2 * F.col("n"))
+    part = _equal_chains(draws).withColumn("n", half).filter(F.col("iteration") <= 2 * F.col("n"))
     part = part.withColumn("_half", F.when(F.col("iteration") <= F.col("n"), 1).otherwise(2))
     chains = part.groupBy("variable", "n", "chain", "_half").agg(
         F.avg("value").alias("m"), F.var_samp("value").alias("v"))
@@ -87,45 +89,63 @@ def rhat(draws: DataFrame) -> DataFrame:
         F.sqrt(((F.col("n") - 1) / F.col("n") * within + between) / within).alias("rhat")).drop("n")
 
 
-def ess(draws: DataFrame, max_lag: int = 20, block: int = 1024) -> DataFrame:
-    """Effective sample size from lag covariances, summed in pairs until the
-    first negative pair (or ``max_lag``).
+def _lag_covariances(dev: DataFrame, lags: range, block: int) -> DataFrame:
+    """Covariance of each variable at the given lags, the mean over its chains.
 
-    A chain is cut into blocks of iterations, each with the last ``max_lag``
-    rows of the block before as context, so a long chain is handled by many
-    tasks and no row is copied once per lag.
+    A chain is cut into blocks of iterations, each with the rows before it that
+    the largest lag needs, so a long chain is handled by many tasks and no row
+    is copied once per lag.
     """
-    cut = cut_lineage(_shortest(draws).select("variable", "chain", "iteration", "n", "value"))
-    stats = cut.groupBy("variable", "chain").agg(F.avg("value").alias("_m"))
+    block = max(block, 2 * lags[-1])
     here = F.floor(F.col("iteration") / block)
-    tail = F.col("iteration") % block >= block - max_lag
-    dev = cut.join(stats, ["variable", "chain"]).select(
-        "variable", "chain", "iteration", "n", (F.col("value") - F.col("_m")).alias("d"), here.alias("_home"),
-        F.explode(F.when(tail, F.array(here, here + 1)).otherwise(F.array(here))).alias("_block"))
+    tail = F.col("iteration") % block >= block - lags[-1]
+    cut = dev.select("*", here.alias("_home"), F.explode(F.when(tail, F.array(here, here + 1)).otherwise(F.array(here))).alias("_block"))
     w = W.partitionBy("variable", "chain", "_block").orderBy("iteration")
-    ahead = dev.withColumns({f"_l{k}": F.max("d").over(w.rangeBetween(-k, -k)) for k in range(1, max_lag + 1)})
-    products = [F.col("d") * F.col("d")] + [F.col("d") * F.col(f"_l{k}") for k in range(1, max_lag + 1)]
-    cov = (ahead.filter(F.col("_home") == F.col("_block")).groupBy("variable", "chain", "n")
-           .agg(*[F.sum(p).alias(f"s{k}") for k, p in enumerate(products)])
-           .select("variable", "n", F.posexplode(F.array(*[
-               F.coalesce(F.col(f"s{k}"), F.lit(0.0)) / F.col("n") for k in range(max_lag + 1)])).alias("lag", "c")))
-    per_chain = stats.groupBy("variable").agg(F.var_samp("_m").alias("between"), F.count(F.lit(1)).alias("chains"))
-    lagged = cov.groupBy("variable", "n", "lag").agg(F.avg("c").alias("c"))
-    arrays = lagged.groupBy("variable", "n").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("lag", "c"))), lambda s: s["c"]).alias("c")).join(per_chain, "variable")
-    within = F.col("c")[0] * F.col("n") / (F.col("n") - 1)
-    plus = F.col("c")[0] + F.coalesce("between", F.lit(0.0))
-    rho = F.transform("c", lambda c, i: F.when(i == 0, F.lit(1.0)).otherwise(
-        1.0 - (F.col("within") - c * F.col("n") / (F.col("n") - 1)) / F.col("plus")))
-    arrays = arrays.withColumns({"within": within, "plus": plus}).withColumn("rho", rho)
-    pair_sums = F.transform(F.sequence(F.lit(0), F.lit((max_lag + 1) // 2 - 1)),
-                            lambda t: F.get("rho", 2 * t) + F.get("rho", 2 * t + 1))
-    kept = F.aggregate(
-        "pairs", F.struct(F.lit(0.0).alias("s"), F.lit(True).alias("go")),
-        lambda acc, p: F.struct((acc["s"] + F.when(acc["go"] & (p > 0), p).otherwise(0.0)).alias("s"),
-                                (acc["go"] & F.coalesce(p > 0, F.lit(False))).alias("go")))
-    return (arrays.withColumn("pairs", pair_sums).withColumn("_k", kept)
-            .select("variable", (F.col("n") * F.col("chains") / (2.0 * F.col("_k.s") - 1.0)).alias("ess")))
+    ahead = cut.withColumns({f"_l{k}": F.max("d").over(w.rangeBetween(-k, -k)) for k in lags})
+    sums = ahead.filter(F.col("_home") == F.col("_block")).groupBy("variable", "chain", "n").agg(
+        *[F.sum(F.col("d") * F.col(f"_l{k}")).alias(f"s{k}") for k in lags])
+    each = sums.select("variable", "n", F.explode(F.array(*[
+        F.struct(F.lit(k).alias("lag"), (F.coalesce(f"s{k}", F.lit(0.0)) / F.col("n")).alias("c")) for k in lags])).alias("_p"))
+    return each.groupBy("variable", "n", F.col("_p.lag").alias("lag")).agg(F.avg("_p.c").alias("c"))
+
+
+def ess(draws: DataFrame, step: int = 20, block: int = 1024) -> DataFrame:
+    """Effective sample size from lag covariances, summed in pairs until the
+    first pair that is not positive.
+
+    Lags are added ``step`` (an even number) at a time, for the variables whose
+    pairs have all been positive so far, until each has turned or its chains
+    end: there is no largest lag. Chains of one variable are equally long.
+    """
+    even = _equal_chains(draws).select("variable", "chain", "iteration", "n", "value")
+    means = even.groupBy("variable", "chain").agg(F.avg("value").alias("_m"))
+    dev = shared_table(even.join(means, ["variable", "chain"]).select(
+        "variable", "chain", "iteration", "n", (F.col("value") - F.col("_m")).alias("d")))
+    per_chain = means.groupBy("variable").agg(F.var_samp("_m").alias("between"), F.count(F.lit(1)).alias("chains"))
+    first = _lag_covariances(dev, range(0, step), block)
+    scale = shared_table(first.filter("lag = 0").join(per_chain, "variable").select(
+        "variable", "chains", (F.col("c") * F.col("n") / (F.col("n") - 1)).alias("within"),
+        (F.col("c") + F.coalesce("between", F.lit(0.0))).alias("plus")))
+    rho = F.when(F.col("lag") == 0, 1.0).otherwise(
+        1.0 - (F.col("within") - F.col("c") * F.col("n") / (F.col("n") - 1)) / F.col("plus"))
+    lag, now, pairs = 0, first, None
+    while True:
+        found = (now.join(scale, "variable").groupBy("variable", "n", "chains", F.floor(F.col("lag") / 2).alias("t"))
+                 .agg(F.sum(rho).alias("p"), F.max("lag").alias("_last"))
+                 .filter((F.col("_last") < F.col("n")) & (F.col("_last") % 2 == 1)))
+        found = shared_table(found)
+        pairs = found if pairs is None else pairs.unionByName(found)
+        lag += step
+        going = found.groupBy("variable", "n").agg(F.min("p").alias("_p")).filter((F.col("_p") > 0) & (F.col("n") > lag))
+        going = shared_table(going.select("variable"))
+        if going.isEmpty():
+            break
+        now = _lag_covariances(dev.join(going, "variable", "left_semi"), range(lag, lag + step), block)
+    w = W.partitionBy("variable").orderBy("t").rowsBetween(W.unboundedPreceding, W.currentRow)
+    kept = pairs.withColumn("_low", F.min("p").over(w))
+    total = F.sum(F.when(F.col("_low") > 0, F.col("p")).otherwise(0.0))
+    return kept.groupBy("variable", "n", "chains").agg(total.alias("_s")).select(
+        "variable", (F.col("n") * F.col("chains") / (2.0 * F.col("_s") - 1.0)).alias("ess"))
 
 
 def direction(draws: DataFrame, by: Sequence[str] = ("variable",), value: str = "value") -> DataFrame:

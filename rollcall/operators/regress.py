@@ -74,8 +74,12 @@ def fold_patterns(df: DataFrame, response: str, covariates: Sequence[str], weigh
 
 
 def make_design(df: DataFrame, formula: str, max_levels: int = 1000) -> Design:
-    """Terms of the formula; the levels of text columns are read from the
-    frame (a covariate with too many levels is refused)."""
+    """Terms of the formula; the levels of text columns are read from the frame.
+
+    The design is dense and solved on the driver, so ``max_levels`` is a limit
+    of the method: a text covariate with more levels raises. A factor of that
+    size belongs into ``cluster``, or into a numeric column.
+    """
     response, terms = model_terms(formula)
     text = {c for t in terms for c in t if isinstance(df.schema[c].dataType, T.StringType)}
     levels = {}
@@ -146,12 +150,15 @@ def _mean_slope(link: str, eta: Column, mu: Column) -> Column:
 
 def fit_glm(df: DataFrame, formula: str, family: str, link: str, offset: str | None = None,
             weight: str | None = None, cluster: str | None = None, alpha: float = 0.0,
-            covariance: bool = True, keep: bool = True) -> Fit:
+            covariance: bool = True, keep: bool = True, overdispersed: bool = False) -> Fit:
     """Fit and return coefficients with their covariance.
 
-    The covariance is the inverse information, scaled by the Pearson
-    dispersion, or the cluster-robust sandwich when ``cluster`` is given
-    (score sums per cluster are one map-side combined aggregate). The frame
+    The covariance is the inverse information, or the cluster-robust sandwich
+    when ``cluster`` is given (score sums per cluster are one map-side combined
+    aggregate). Families with a scale of their own (gamma, gaussian) are scaled
+    by the Pearson dispersion. Binomial fits are not, so rows folded to counts
+    per pattern give the errors of the rows themselves; ``overdispersed`` asks
+    for the scaling, for true counts out of trials. The frame
     is written once to the checkpoint folder (``keep``), only with the columns
     of the model: the solver passes over it many times and must not recompute
     what produced it.
@@ -173,7 +180,7 @@ def fit_glm(df: DataFrame, formula: str, family: str, link: str, offset: str | N
     beta = np.append(np.asarray(model.coefficients.toArray()), model.intercept)
     fit = Fit(design, [*names, "(Intercept)"], beta, np.zeros((len(beta), len(beta))), family, link, 1.0, offset)
 
-    return with_covariance(fit, df, weight, cluster, alpha) if covariance else fit
+    return with_covariance(fit, df, weight, cluster, alpha, overdispersed) if covariance else fit
 
 
 def _kept(df: DataFrame, formula: str, *others: str | None) -> DataFrame:
@@ -181,7 +188,8 @@ def _kept(df: DataFrame, formula: str, *others: str | None) -> DataFrame:
     return cut_lineage(df.select(*dict.fromkeys([response, *(c for t in terms for c in t), *(c for c in others if c)])))
 
 
-def with_covariance(fit: Fit, df: DataFrame, weight: str | None = None, cluster: str | None = None, alpha: float = 0.0) -> Fit:
+def with_covariance(fit: Fit, df: DataFrame, weight: str | None = None, cluster: str | None = None, alpha: float = 0.0,
+                    overdispersed: bool = False) -> Fit:
     """Covariance of a fit over its frame: one aggregate, two with clusters."""
     family, link, offset, beta = fit.family, fit.link, fit.offset, fit.beta
     x = F.col("_x")
@@ -204,7 +212,8 @@ def with_covariance(fit: Fit, df: DataFrame, weight: str | None = None, cluster:
         meat = scores.agg(*[F.sum(F.col(f"g{i}") * F.col(f"g{j}")).alias(f"m{i}_{j}") for i, j in upper]).first()
         fit.cov = bread @ _symmetric(meat, "m", p) @ bread
     else:
-        fit.cov = bread * (1.0 if family == "negbin" else fit.dispersion if family != "poisson" else 1.0)
+        scaled = overdispersed or family not in ("binomial", "poisson", "negbin")
+        fit.cov = bread * (fit.dispersion if scaled else 1.0)
     return fit
 
 
@@ -268,17 +277,12 @@ def contrasts(fit: Fit, frame: DataFrame, level: str, axes: Sequence[str]) -> Da
 
 
 def slopes(fit: Fit, frame: DataFrame, covariate: str, step: float = 1e-3) -> DataFrame:
-    """Finite-difference slope of the fitted mean along ``covariate``."""
-    keys = [c for c in frame.columns if c != covariate]
-    low = predict(fit, frame).select(*keys, covariate, F.col("fit").alias("f0"))
-    moved = frame.withColumn(covariate, F.col(covariate) + step)
-    high = predict(fit, moved).select(*keys, (F.col(covariate) - step).alias(f"{covariate}_at"), F.col("fit").alias("f1"))
-    same = [low[k].eqNullSafe(high[k]) for k in keys]
-    near = F.abs(low[covariate] - high[f"{covariate}_at"]) < step / 2
-    cond = near
-    for c in same:
-        cond = cond & c
-    return low.join(high, cond).select(*[low[k] for k in keys], low[covariate], ((F.col("f1") - F.col("f0")) / step).alias("slope"))
+    """Finite-difference slope of the fitted mean along ``covariate``: both
+    means come from the same row."""
+    here = fit.mean(fit.linear(F.col("_x")))
+    low = fit.with_design(frame).withColumn("_f0", here).withColumn("_at", F.col(covariate))
+    high = fit.with_design(low.withColumn(covariate, F.col("_at") + step)).withColumn("_f1", here)
+    return high.withColumns({covariate: F.col("_at"), "slope": (F.col("_f1") - F.col("_f0")) / step}).select(*frame.columns, "slope")
 
 
 def coef_report(coefs: DataFrame, labels: Mapping[str, str], order: Sequence[str], digits: int = 2) -> DataFrame:

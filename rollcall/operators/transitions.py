@@ -68,9 +68,10 @@ def max_pair_value(events: DataFrame, pairs: DataFrame, entity: str, keys: Seque
     gives null as soon as one of the others has no pair row, which is found by
     counting; ``fill`` replaces a null result; ``keep_loose`` also keeps the
     maximum over the listed others under that name. ``pairs`` has ``entity``,
-    ``entity2`` and ``value``, one row per ordered pair.
+    ``entity2`` and ``value``, one row per ordered pair; a row of an entity with
+    itself says nothing about others and is left out.
     """
-    keys = list(keys)
+    keys, pairs = list(keys), pairs.filter(F.col(entity) != F.col(f"{entity}2"))
     flagged = events.filter(F.col(flag) == 1).select(*keys, F.col(entity).alias("_other"))
     sizes = flagged.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n_flagged"))
     listed = pairs.select(F.col(entity), F.col(f"{entity}2").alias("_other"), F.col(value).alias("_v"))

@@ -145,7 +145,7 @@ def sizes(spark: SparkSession, sf: str) -> DataFrame:
     here = seen_days(spark, sf).withColumn("present", F.lit(1))
     counted = at.group_size(eligible(spark, sf, here), ["group_id"])
     days = group_days(spark, sf).select("group_id", "day", "period", "code", "dur")
-    return (join_days(days, counted, ["group_id"], "left").fillna({"n_entity": 0})
+    return (days.join(counted, ["group_id"], "left").fillna({"n_entity": 0})
             .withColumn("max_entity", roster_total(spark, sf)))
 
 

@@ -104,9 +104,9 @@ def confirmed_durations(spark, sf):
 
 
 @query("D13 A10 W4", f""", last as (select day, max({MIN('start', 'found_time')}) as last_time from found group by day),
-    bins as (select unnest(range(0, 24)) as bin),
     counted as (select greatest(cast(ceil(last_time / 60.0) as bigint) - 1, 0) as bin, count(*) as n from last
-        where last_time between 0 and 1440 group by 1)
+        where last_time is not null group by 1),
+    bins as (select unnest(range(0, greatest((select max(bin) from counted) + 1, 24))) as bin)
     select cast(b.bin as bigint) as bin, {R('b.bin * 60.0')} as lower, coalesce(c.n, 0) as n,
       {R("sum(coalesce(c.n, 0)) over (order by b.bin) / sum(coalesce(c.n, 0)) over ()")} as cdf
     from bins b left join counted c on c.bin = b.bin""")
@@ -115,13 +115,13 @@ def last_arrival_cdf(spark, sf):
     return at.histogram_cdf(at.last_arrival(timed), "last_time", 60, 1440)
 
 
-@query("A10", f""", bins as (select unnest(range(0, 50)) as bin),
-    counted as (select greatest(cast(ceil(value / 10.0) as bigint) - 1, 0) as bin, count(*) as n from ev where value between 0 and 500 group by 1)
+@query("A10", f""", counted as (select greatest(cast(ceil(value / 10.0) as bigint) - 1, 0) as bin, count(*) as n from ev where value is not null group by 1),
+    bins as (select unnest(range(0, (select max(bin) from counted) + 1)) as bin)
     select cast(b.bin as bigint) as bin, {R('b.bin * 10.0')} as lower, coalesce(c.n, 0) as n,
       {R("sum(coalesce(c.n, 0)) over (order by b.bin) / sum(coalesce(c.n, 0)) over ()")} as cdf
     from bins b left join counted c on c.bin = b.bin""")
 def hist_cdf(spark, sf):
-    return at.histogram_cdf(b.ev(spark, sf), "value", 10, 500)
+    return at.histogram_cdf(b.ev(spark, sf), "value", 10)
 
 
 @query("D14", f"""select code, entity, count(*) as possible, cast(coalesce(sum(presence), 0) as bigint) as n,

@@ -32,20 +32,19 @@ def person_period(spark, sf):
     return sv.person_period(b.durations(spark, sf), "dur", "dur_follow", BIN, "confirmed").select("day", "entity", "time", "hit")
 
 
-@query("V2 W5", f""", n as (select period, cast(ceil(dur / 30.0) as bigint) as bin, count(*) as n, sum(confirmed) as events from durations where dur > 0 group by 1, 2),
+@query("V2 W5", f""", n as (select period, cast(ceil(dur) as bigint) as bin, count(*) as n, sum(confirmed) as events from durations where dur > 0 group by 1, 2),
     h as (select period, bin, cast(events as bigint) as events, cast(sum(n) over (partition by period order by bin desc) as bigint) as at_risk from n)
     select period, bin, events, at_risk, {R('events / at_risk')} as hazard,
       {R('1 - product(1 - events / at_risk) over (partition by period order by bin rows unbounded preceding)')} as cum_detect from h""")
 def life_table(spark, sf):
-    return sv.life_table(b.durations(spark, sf), "dur", "confirmed", BIN, ["period"])
+    return sv.life_table(b.durations(spark, sf), "dur", "confirmed", 1.0, ["period"])
 
 
 def _hazard_rows(spark, sf):
     """Person-period rows folded to counts per cell: the likelihood only needs
     the number at risk and the hits of every covariate pattern."""
-    rows = sv.person_period(b.durations(spark, sf), "dur", "dur_follow", 120.0, "confirmed").select(
-        F.least("time", F.lit(8)).cast("double").alias("time"), (F.col("rank") % 10).cast("double").alias("rank_c"), "period",
-        F.col("hit").alias("p"))
+    rows = sv.person_period(b.durations(spark, sf), "dur", "dur_follow", BIN, "confirmed").select(
+        F.col("time").cast("double").alias("time"), F.col("rank").cast("double").alias("rank_c"), "period", F.col("hit").alias("p"))
     return rg.fold_patterns(rows, "p", ["time", "rank_c", "period"])
 
 
@@ -53,10 +52,10 @@ def _coefs(spark, fit):
     return rg.coef_table(spark, fit).select("term", "estimate", "se", "lo", "hi")
 
 
-HAZARD = """select avg(hit) as y, cast(count(*) as double) as w, cast(least(time, 8) as double) as x1, cast(rank % 10 as double) as x2, 0.0 as off from (
-      select d.*, t.time, case when t.time = cast(ceil(dur / 120.0) as bigint) and confirmed = 1 then 1.0 else 0.0 end as hit
-      from (select *, least(cast(ceil(dur / 120.0) as bigint), cast(ceil(dur_follow / 120.0) as bigint)) as last from durations where dur > 0) d,
-        lateral (select unnest(range(1, last + 1)) as time) t) group by least(time, 8), rank % 10, period"""
+HAZARD = """select avg(hit) as y, cast(count(*) as double) as w, cast(time as double) as x1, cast(rank as double) as x2, 0.0 as off from (
+      select d.*, t.time, case when t.time = cast(ceil(dur / 30.0) as bigint) and confirmed = 1 then 1.0 else 0.0 end as hit
+      from (select *, least(cast(ceil(dur / 30.0) as bigint), cast(ceil(dur_follow / 30.0) as bigint)) as last from durations where dur > 0) d,
+        lateral (select unnest(range(1, last + 1)) as time) t) group by time, rank, period"""
 
 
 @query("V3 M1", GLM(HAZARD, 3, "cloglog", "mu * (1 - mu)", "-1") + COEFS("time", "rank_c", "(Intercept)"))
@@ -218,12 +217,12 @@ def rhat(spark, sf):
     x as (select d.variable, d.chain, d.iteration, s.n, d.value - avg(d.value) over (partition by d.variable, d.chain) as d, d.value
       from draws d join s on s.variable = d.variable where d.iteration <= s.n),
     m as (select variable, var_samp(m) as between_v, count(*) as chains from (select variable, chain, avg(value) as m from x group by 1, 2) group by 1),
-    c as (select x.variable, x.chain, x.n, k.lag, sum(x.d * y.d) / x.n as c from x cross join (select unnest(range(0, 21)) as lag) k
+    c as (select x.variable, x.chain, x.n, k.lag, sum(x.d * y.d) / x.n as c from x join (select unnest(range(0, (select max(n) from s))) as lag) k on k.lag < x.n
       join x y on y.variable = x.variable and y.chain = x.chain and y.iteration = x.iteration - k.lag group by 1, 2, 3, 4),
     a as (select variable, n, lag, avg(c) as c from c group by 1, 2, 3),
     w as (select a.variable, a.n, m.chains, a.c as c0, a.c * a.n / (a.n - 1) as within_v, a.c + m.between_v as plus from a join m on m.variable = a.variable where lag = 0),
     rho as (select a.variable, a.lag, case when a.lag = 0 then 1 else 1 - (w.within_v - a.c * a.n / (a.n - 1)) / w.plus end as rho from a join w on w.variable = a.variable),
-    p as (select variable, lag // 2 as t, sum(rho) as p from rho where lag < 20 group by 1, 2),
+    p as (select variable, lag // 2 as t, sum(rho) as p from rho group by 1, 2 having count(*) = 2),
     g as (select *, min(case when p > 0 then 1 else 0 end) over (partition by variable order by t) as go from p)
     select g.variable, {R('max(w.n * w.chains) / (2 * sum(case when go = 1 then p else 0 end) - 1)')} as ess from g join w on w.variable = g.variable group by 1""")
 def ess(spark, sf):
@@ -247,7 +246,7 @@ def prob_direction(spark, sf):
     return dr.direction(b.draws(spark, sf))
 
 
-@query("B8", f""", c as (select variable, avg(value) as mean, quantile_cont(value, 0.4) as lo, quantile_cont(value, 0.6) as hi from draws group by 1)
+@query("B8", f""", c as (select variable, avg(value) as mean, quantile_cont(value, 0.025) as lo, quantile_cont(value, 0.975) as hi from draws group by 1)
     select case when variable < 'p[4' then 'base' else variable end as level1, case when variable < 'p[4' then variable else 'base' end as level2,
       {R("case when variable < 'p[4' then -mean else mean end")} as mean, {R("case when variable < 'p[4' then -hi else lo end")} as lo,
       {R("case when variable < 'p[4' then -lo else hi end")} as hi, case when lo * hi > 0 then '***' else 'n.s' end as mark from c""")
@@ -256,7 +255,7 @@ def signif_grid(spark, sf):
     from rollcall.operators.ranks import exact_quantiles
 
     d = b.draws(spark, sf)
-    c = exact_quantiles(d, ["variable"], "value", {"lo": 0.4, "hi": 0.6}, extra={"mean": F.avg("value")})
+    c = exact_quantiles(d, ["variable"], "value", {"lo": 0.025, "hi": 0.975}, extra={"mean": F.avg("value")})
     c = c.select(F.col("variable").alias("level1"), F.lit("base").alias("level2"), "mean", "lo", "hi")
     out = dr.orient(c, F.col("level1") < "p[4")
     return out.withColumn("mark", dr.significance(F.col("lo"), F.col("hi")))
@@ -410,10 +409,10 @@ TRIALS = """select avg(present) as y, cast(count(*) as double) as w, cast(entity
     0.0 as off from presence group by entity, period"""
 
 
-@query("M2", GLM(TRIALS, 3, "logit", "mu * (1 - mu)", "0") + COEFS("age", "season_nonmating", "(Intercept)"))
+@query("M2", GLM(TRIALS, 3, "logit", "mu * (1 - mu)", "0", scaled=True) + COEFS("age", "season_nonmating", "(Intercept)"))
 def glm_binomial(spark, sf):
     """Counts out of trials; standard errors scaled by the Pearson dispersion."""
-    fit = rg.fit_glm(_trials(spark, sf), "prop ~ age + season", "binomial", "logit", weight="trials")
+    fit = rg.fit_glm(_trials(spark, sf), "prop ~ age + season", "binomial", "logit", weight="trials", overdispersed=True)
     return _coefs(spark, fit)
 
 

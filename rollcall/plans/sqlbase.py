@@ -106,12 +106,13 @@ def _det(rows: tuple[int, ...], cols: tuple[int, ...]) -> str:
 
 
 def GLM(data: str, p: int, link: str, variance: str, start: str, cluster: bool = False, steps: int = 25,
-        overdispersed: bool = False) -> str:
+        overdispersed: bool = False, scaled: bool | None = None) -> str:
     """Fisher scoring as a recursive query, for ``p`` coefficients with the intercept first.
 
     ``data`` is a query with columns y, w, off, x1.. (and cl, the cluster). The
-    table ``fitv`` gets b0.. and the covariances v00.., scaled by the Pearson
-    dispersion or summed over clusters. ``overdispersed`` carries the moment
+    table ``fitv`` gets b0.. and the covariances v00.., summed over clusters or,
+    unless the variance is binomial (``scaled`` overrides), scaled by the Pearson
+    dispersion. ``overdispersed`` carries the moment
     estimate ``al`` of the extra variance along, for use in ``variance``.
     """
     mean, slope = {
@@ -146,7 +147,8 @@ def GLM(data: str, p: int, link: str, variance: str, start: str, cluster: bool =
         select step + 1, {steps_sql} from ({solved('b')}) where step < {steps}), lastb as (select * from b where step = {steps}),
         fin as ({solved('lastb')})"""
     if not cluster:
-        return out + f", fitv as (select {bs}, {', '.join(f'c{i}{j} / det * r / (n - {p}) as v{i}{j}' for i, j in pairs)} from fin)"
+        scale = f" * r / (n - {p})" if scaled or (scaled is None and variance != "mu * (1 - mu)") else ""
+        return out + f", fitv as (select {bs}, {', '.join(f'c{i}{j} / det{scale} as v{i}{j}' for i, j in pairs)} from fin)"
     meat = ", ".join(f"sum(u{i} * u{j}) as m{i}{j}" for i, j in pairs)
     sandwich = ", ".join(
         f"({' + '.join(f'{sym(chr(99), i, k)} * {sym(chr(109), k, q)} * {sym(chr(99), q, j)}' for k in ix for q in ix)}) / det / det as v{i}{j}"

@@ -30,7 +30,8 @@ def read_sheets(spark: SparkSession, paths: Mapping[str, str], schema: str | T.S
                 fmt: str = "csv") -> dict[str, DataFrame]:
     """One table per sheet name, from CSV or Parquet folders."""
     if fmt == "parquet":
-        return {name: spark.read.parquet(path) for name, path in paths.items()}
+        reader = spark.read.schema(schema) if schema is not None else spark.read
+        return {name: reader.parquet(path) for name, path in paths.items()}
     return {name: read_csv(spark, path, schema) for name, path in paths.items()}
 
 
