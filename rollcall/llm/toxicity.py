@@ -28,9 +28,12 @@ SECOND = set("you your yours you're ur u du dich dir dein deine ihr euch sie tu
              "tú ti tus usted ustedes vosotros".split())
 _LEET = str.maketrans("0134578@$!|+", "oieastbasiit")
 _WORDS = re.compile(r"[^\W\d_]+")
-_MIXED = re.compile(r"[^\W\d_]+[\d@$!|+*._-]+[^\W\d_][^\s,;:?]*|[\d@$]+[^\W\d_][^\s,;:?]*")
+_MIXED = re.compile(r"(?<![^\W\d_])[^\W\d_]++[\d@$!|+*._-]++[^\W\d_][^\s,;:?]*|[\d@$]++[^\W\d_][^\s,;:?]*")
+#: Marks that may follow a plain word.
+_AFTER = ".,!?;:%&$#*|)]\"'"
 _LETTERS = re.compile(r"[\W\d_]+")
 _LONG = re.compile(r"([^\W\d_])\1\1")
+_CAPITAL, _SHOUTED, _MARK, _DIGIT = (re.compile(p) for p in ("[A-ZÀ-ÖØ-Þ]", r"\b[A-Z]{3,}\b", r"[^\w\s]", r"\d"))
 NEAR = 3
 FEATURES = ("log_words word_density word_hits start_density start_hits stated_density weight near_second second capitals "
             "shouted exclaim question marks digits mixed mixed_hits long_runs").split()
@@ -40,7 +43,8 @@ def words_of(text: str) -> tuple[list[str], list[str]]:
     """(plain words, words read from obfuscated spellings), lower-cased."""
     low = text.lower()
     read = []
-    for m in _MIXED.findall(low):
+    doubtful = [t for t in low.split() if not t.isalpha() and not t.rstrip(_AFTER).isalpha()]
+    for m in _MIXED.findall(" ".join(doubtful)):
         w = _LETTERS.sub("", m.translate(_LEET))
         if len(w) > 2:
             read.append(w)
@@ -54,24 +58,31 @@ def terms_of(text: str) -> set[str]:
     return words | {f"{w[:4]}-" for w in words if len(w) > 4} | {f"{w[:5]}-" for w in words if len(w) > 5}
 
 
-def features(text: str | None, lexicon: dict[str, float]) -> list[float]:
+def split_lexicon(lexicon: dict[str, float]) -> tuple[dict[str, float], dict[str, float]]:
+    """(words, word beginnings) with their weights."""
+    return ({t: w for t, w in lexicon.items() if t[-1] != "-"}, {t[:-1]: w for t, w in lexicon.items() if t[-1] == "-"})
+
+
+def features(text: str | None, lexicon: tuple[dict[str, float], dict[str, float]]) -> list[float]:
     """The dense features of a whole text, in the order of ``FEATURES``."""
-    text = text or ""
+    text, (words, starts) = text or "", lexicon
     plain, read = words_of(text)
-    n, chars = max(1, len(plain)), max(1, len(text))
-    known = {w: w in lexicon for w in set(plain)}
-    starts = {w: (f"{w[:5]}-" in lexicon if len(w) > 5 else False) or (f"{w[:4]}-" in lexicon if len(w) > 4 else False) for w in known}
-    hits = [i for i, w in enumerate(plain) if known[w] or starts[w]]
-    n_word = sum(known[plain[i]] for i in hits)
-    n_start = sum(starts[plain[i]] for i in hits)
-    weight = sum(max(lexicon.get(plain[i], 0.0), lexicon.get(f"{plain[i][:5]}-", 0.0), lexicon.get(f"{plain[i][:4]}-", 0.0)) for i in hits)
-    near = sum(any(w in SECOND for w in plain[max(0, i - NEAR):i + NEAR + 1]) for i in hits)
+    n, chars, found = max(1, len(plain)), max(1, len(text)), {}
+    once = set(plain)
+    for w in once:
+        start = max(starts.get(w[:5], 0.0) if len(w) > 5 else 0.0, starts.get(w[:4], 0.0) if len(w) > 4 else 0.0)
+        if start or w in words:
+            found[w] = (w in words, start > 0, max(words.get(w, 0.0), start))
+    hits = [i for i, w in enumerate(plain) if w in found] if found else []
+    n_word, n_start = sum(found[plain[i]][0] for i in hits), sum(found[plain[i]][1] for i in hits)
+    weight = sum(found[plain[i]][2] for i in hits)
+    near = sum(not SECOND.isdisjoint(plain[max(0, i - NEAR):i + NEAR + 1]) for i in hits)
     stated = sum(plain[i] in _STATED for i in hits)
-    caps = sum(map(str.isupper, text)) if not text.islower() else 0
+    second = 0 if SECOND.isdisjoint(once) else sum(map(SECOND.__contains__, plain))
     return [np.log1p(len(plain)), n_word / n, np.log1p(n_word), n_start / n, np.log1p(n_start), stated / n, weight / n, near / n,
-            sum(w in SECOND for w in plain) / n, caps / chars, len(re.findall(r"\b[A-Z]{3,}\b", text)) / n,
-            text.count("!") / n, text.count("?") / n, len(re.findall(r"[^\w\s]", text)) / chars, len(re.findall(r"\d", text)) / chars,
-            len(read) / n, sum(w in lexicon for w in read) / n, len(_LONG.findall(text)) / n]
+            second / n, len(_CAPITAL.findall(text)) / chars, len(_SHOUTED.findall(text)) / n,
+            text.count("!") / n, text.count("?") / n, len(_MARK.findall(text)) / chars, len(_DIGIT.findall(text)) / chars,
+            len(read) / n, sum(w in words for w in read) / n, len(_LONG.findall(text)) / n]
 
 
 _STATED = frozenset(INSULTS)
@@ -136,13 +147,13 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 20000, lexicon_size: int
     total = {bool(r["label"]): r["count"] for r in train.groupBy("label").count().collect()}
     bad, good = total.get(True, 0), total.get(False, 0)
     if min(bad, good) < 5:  # too few to learn from
-        return {}, None, None, (bad + 0.5) / (bad + good + 1)
+        return ({}, {}), None, None, (bad + 0.5) / (bad + good + 1)
     odds = F.log((F.col("bad") + 0.5) / (bad + 1)) - F.log((F.col("good") + 0.5) / (good + 1))
     learnt = (train.mapInArrow(_terms, "term string, bad long, good long").groupBy("term")
               .agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).withColumn("weight", odds)
               .filter((F.col("bad") >= 3) & (F.col("weight") >= 2.5) & (F.length("term") <= 64))
               .orderBy(F.desc(F.col("weight") * F.sqrt("bad")), "term").limit(lexicon_size).select("term", "weight").collect())
-    lexicon = {**dict.fromkeys(INSULTS, 2.5), **{r["term"]: r["weight"] for r in learnt}}
+    lexicon = split_lexicon({**dict.fromkeys(INSULTS, 2.5), **{r["term"]: r["weight"] for r in learnt}})
     rows = train.mapInArrow(_rows(spark.sparkContext.broadcast(lexicon)), "doc_id long, label int, x array<double>").toPandas()
     rows = rows.sort_values("doc_id")
     x, y = np.array(rows["x"].tolist()).reshape(-1, len(FEATURES)), rows["label"].to_numpy(float)

@@ -77,7 +77,7 @@ def test_toxicity_held_out(spark, docs):
 
 
 def test_toxicity_reads_disguise():
-    plain_, masked, clean = (features(t, {"moron": 3.0}) for t in ("you are a moron", "you are a m0r0n", "you are a friend"))
+    plain_, masked, clean = (features(t, ({"moron": 3.0}, {})) for t in ("you are a moron", "you are a m0r0n", "you are a friend"))
     assert plain_[1] > 0 and plain_[7] > 0 and masked[16] > 0 and clean[1] == clean[16] == 0
 
 
