@@ -99,30 +99,37 @@ def pause_ok(found: DataFrame, days: DataFrame, keys: Sequence[str]) -> DataFram
     return last.join(days, list(keys), "left").withColumn("exclude", flag)
 
 
+def id_ranges(df: DataFrame, entity: str, id_width: Column | int) -> Column:
+    """A column that rises with the id and takes many values: ranges of
+    ``id_width`` for numbers, for text the three letters after what the
+    smallest and the largest id have in common."""
+    if not isinstance(df.schema[entity].dataType, T.StringType):
+        return F.floor(F.col(entity) / id_width)
+    ends = df.agg(F.min(entity).alias("lo"), F.max(entity).alias("hi"))
+    same = F.filter(F.sequence(F.lit(1), F.length("lo")), lambda k: F.substring("lo", F.lit(1), k) == F.substring("hi", F.lit(1), k))
+    common = ends.select(F.coalesce(F.size(same), F.lit(0))).scalar()
+    return F.substring(F.col(entity), common + 1, F.lit(3))
+
+
 def arrival_rank(df: DataFrame, day: str, dur: str, entity: str, name: str = "arrival",
                  id_width: Column | int = 1_000_000) -> DataFrame:
     """Arrival order within the day; never-found entities come last, ties by entity.
 
-    Ordered by minute and id range, so a busy day is sorted by many tasks. Ids
-    are cut into ranges of ``id_width``; text ids by their first three letters.
+    Ordered by second and id range, so a busy day is sorted by many tasks. The
+    ids divide the rows of a second only where all of them have one time: no
+    time at all, or that of the minute in which everybody was found.
     """
-    if isinstance(df.schema[entity].dataType, T.StringType):
-        id_range, none = F.substring(F.col(entity), 1, 3), F.lit("")
-    else:
-        id_range, none = F.floor(F.col(entity) / id_width), F.lit(0)
-    last_bin = 1_000_000_000
-    slices = {
-        "_minute": F.coalesce(F.floor(F.col(dur)), F.lit(last_bin)),
-        "_unit": F.coalesce(F.col(dur) - F.floor(F.col(dur)), F.lit(0.0)) * 60,
-    }
+    text = isinstance(df.schema[entity].dataType, T.StringType)
+    last_bin, time = 1_000_000_000, F.col(dur)
+    cut = df.withColumns({"_minute": F.coalesce(F.floor(time), F.lit(last_bin)),
+                          "_unit": F.coalesce(F.floor((time - F.floor(time)) * 60), F.lit(-1))})
+    spread = cut.groupBy(day, "_minute", "_unit").agg(
+        F.coalesce(F.min(dur) == F.max(dur), F.lit(True)).alias("_one_time"))
+    cut = cut.join(spread, [day, "_minute", "_unit"])
+    ids = F.when(F.col("_one_time"), id_ranges(df, entity, id_width)).otherwise(F.lit("") if text else F.lit(0))
     order = [F.col(dur).asc_nulls_last(), F.col(entity)]
-    # Within a one-second slice the exact time still decides before the id
-    # range does, so the id range only splits rows without a time or with
-    # whole-minute times.
-    whole = F.col(dur).isNull() | (F.col(dur) == F.floor(F.col(dur)))
-    slices["_unit"] = F.when(whole, F.lit(-1)).otherwise(F.floor(slices["_unit"]))
-    slices["_ids"] = F.when(whole, id_range).otherwise(none)
-    return split_row_number(df, [day], order, slices, name)
+    slices = {"_minute": F.col("_minute"), "_unit": F.col("_unit"), "_ids": ids}
+    return split_row_number(cut, [day], order, slices, name).drop("_one_time")
 
 
 def arrival_curve(found: DataFrame, day: str = "day", entity: str = "entity",

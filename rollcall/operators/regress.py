@@ -276,6 +276,21 @@ def contrasts(fit: Fit, frame: DataFrame, level: str, axes: Sequence[str]) -> Da
         "lo": F.col("estimate") - Z95 * F.col("se"), "hi": F.col("estimate") + Z95 * F.col("se")}).drop("_d")
 
 
+def marginal_means(fit: Fit, frame: DataFrame, level: str) -> DataFrame:
+    """Estimated mean of the linear predictor per level, averaged over the grid.
+
+    ``frame`` is a prediction grid with every level at the same points, so each
+    combination of the other factors counts alike. Columns ``level``, estimate,
+    se, lo, hi on the link scale and ``mean`` on the response scale.
+    """
+    mean_x = [F.avg(F.col("_x")[i]).alias(f"_x{i}") for i in range(len(fit.beta))]
+    rows = fit.with_design(frame).groupBy(level).agg(*mean_x)
+    rows = rows.select(level, F.array(*[F.col(f"_x{i}") for i in range(len(fit.beta))]).alias("_x"))
+    out = rows.withColumns({"estimate": fit.linear(F.col("_x")), "se": fit.se(F.col("_x"))})
+    return out.withColumns({"lo": F.col("estimate") - Z95 * F.col("se"), "hi": F.col("estimate") + Z95 * F.col("se"),
+                            "mean": fit.mean(F.col("estimate"))}).drop("_x")
+
+
 def slopes(fit: Fit, frame: DataFrame, covariate: str, step: float = 1e-3) -> DataFrame:
     """Finite-difference slope of the fitted mean along ``covariate``: both
     means come from the same row."""

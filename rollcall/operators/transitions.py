@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from rollcall.functions.nulls import if_na
 from rollcall.operators.calendar import prev_day
@@ -101,3 +102,17 @@ def leave_out_totals(rows: DataFrame, keys: Sequence[str], flag: str, amounts: M
         for e in (F.sum(amount).alias(name), F.coalesce(F.sum(F.when(flagged, amount)), F.lit(0)).alias(f"_less_{name}"))])
     return out.withColumns({f"{name}_other": F.col(name) - F.col(f"_less_{name}") for name in amounts}).drop(
         *[f"_less_{name}" for name in amounts])
+
+
+def departures_of_seen(seen: DataFrame, entity: str, day: str, last: Column, keys: Sequence[str] = ()) -> DataFrame:
+    """Departures from sightings alone: one row per day after a sighting.
+
+    ``seen`` has one row per (keys, entity, day) of presence; nobody is looked
+    for after ``last``. An entity has left on the day after a sighting unless
+    it is seen on that day too, so absent days are never built.
+    """
+    w = W.partitionBy(*keys, entity).orderBy(day)
+    after = F.date_add(F.col(day), 1)
+    rows = seen.select(*keys, entity, after.alias(day), F.lead(day).over(w).alias("_next")).filter(F.col(day) <= last)
+    left = F.when(F.col("_next") == F.col(day), 0).otherwise(1)
+    return rows.withColumn("departure", left).drop("_next")

@@ -498,6 +498,18 @@ def emm_contrasts(spark, sf):
     return rg.contrasts(fit, frame, "status", ["qty", "qty_std"]).select("qty", "level1", "level2", "estimate", "lo", "hi")
 
 
+MEAN, MEAN_SE = LINEAR(["1", "x", "st", "xst"])
+
+
+@query("M7", f"""{POINTS}, av as (select status, avg(x) as x, avg(st) as st, avg(x * st) as xst from pts group by 1)
+    select status, {R('e')} as estimate, {R('se')} as se, {R(f'e - {Z} * se')} as lo, {R(f'e + {Z} * se')} as hi, {R('1 / (1 + exp(-e))')} as mean
+    from (select status, {MEAN} as e, {MEAN_SE} as se from av, fitv)""")
+def emm_means(spark, sf):
+    """Estimated means per level, averaged over the covariate's grid."""
+    fit, frame, _ = _fit_and_grid(spark, sf)
+    return rg.marginal_means(fit, frame.select("status", "qty_std"), "status")
+
+
 @query("M8", f"""{POINTS} select status, {R('x')} as qty_std, {R('(1 / (1 + exp(-eta2)) - 1 / (1 + exp(-eta))) / 1e-3')} as slope
     from (select *, {ETA} as eta, {ETA2} as eta2 from pts, fitv)""")
 def slopes(spark, sf):

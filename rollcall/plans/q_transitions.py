@@ -25,7 +25,8 @@ DEP = """, d as (select t.*, q.present as pre from presence t left join presence
     {R('avg(case when present = 0 then 1.0 else 0.0 end) * 10')} as rate10 from d where pre = 1 group by period""")
 def departures(spark, sf):
     """Flagship: present yesterday, absent today, per 10 days and period."""
-    moves = tr.transitions(b.presence(spark, sf), "entity", "day", "departure").filter(F.col("present_pre") == 1)
+    seen = b.seen_days(spark, sf).drop("period")
+    moves = tr.departures_of_seen(seen, "entity", "day", b.span(spark, sf).getField("hi")).withColumn("period", b.period_of(F.col("day")))
     return (at.frequency_per(moves, ["period"], "departure", name="rate10")
             .select("period", F.col("n").alias("at_risk"), F.col("sum_flag").alias("n_left"), "rate10"))
 
