@@ -39,3 +39,30 @@ def chi_square_upper(x: Column, df: int) -> Column:
     for i in range(1, (df - 1) // 2 + 1):
         out = out + F.exp(-half) * F.pow(half, F.lit(i - 0.5)) / math.gamma(i + 0.5)
     return out
+
+
+# Coefficients of Acklam's rational approximation of the normal
+# quantile (relative error under 1.2e-9), from the highest power down.
+QUANTILE_MID = ([-3.969683028665376e+01, 2.209460984245205e+02, -2.759285104469687e+02, 1.383577518672690e+02,
+                 -3.066479806614716e+01, 2.506628277459239e+00],
+                [-5.447609879822406e+01, 1.615858368580409e+02, -1.556989798598866e+02, 6.680131188771972e+01,
+                 -1.328068155288572e+01, 1.0])
+QUANTILE_TAIL = ([-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e+00, -2.549732539343734e+00,
+                  4.374664141464968e+00, 2.938163982698783e+00],
+                 [7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e+00, 3.754408661907416e+00, 1.0])
+QUANTILE_CUT = 0.02425
+
+
+def normal_quantile(p: Column) -> Column:
+    """Quantile of the standard normal distribution for p strictly between 0 and 1."""
+    def poly(coefs: list[float], x: Column) -> Column:
+        out = F.lit(coefs[0])
+        for c in coefs[1:]:
+            out = out * x + F.lit(c)
+        return out
+
+    q = p - 0.5
+    mid = poly(QUANTILE_MID[0], q * q) * q / poly(QUANTILE_MID[1], q * q)
+    t = F.sqrt(-2.0 * F.log(F.least(p, 1.0 - p)))
+    tail = poly(QUANTILE_TAIL[0], t) / poly(QUANTILE_TAIL[1], t)
+    return F.when(p < QUANTILE_CUT, tail).when(p > 1.0 - QUANTILE_CUT, -tail).otherwise(mid)

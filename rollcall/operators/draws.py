@@ -15,7 +15,8 @@ from pyspark.sql.window import Window as W
 
 from rollcall.functions.nulls import if_na
 from rollcall.functions.scalars import draw_index
-from rollcall.operators.ranks import exact_quantiles
+from rollcall.functions.tails import normal_quantile
+from rollcall.operators.ranks import exact_quantiles, split_row_number
 from rollcall.operators.reshape import to_long
 from rollcall.session import cut_lineage, shared_table
 
@@ -33,7 +34,7 @@ def summarize_draws(draws: DataFrame, by: Sequence[str] = ("variable",)) -> Data
     by = list(by)
     q = exact_quantiles(draws, by, "value", {"q2_5": 0.025, "q5": 0.05, "median": 0.5, "q95": 0.95, "q97_5": 0.975},
                         extra={"mean": F.avg("value"), "sd": F.stddev_samp("value")})
-    q = cut_lineage(q)  # one row per key, read twice below
+    q = shared_table(q)  # one row per key, read twice below; as a file it has a size, so the planner can broadcast it
     spread = (draws.join(q.select(*by, "median"), by)
               .withColumn("dev", F.abs(F.col("value") - F.col("median"))))
     mad = exact_quantiles(spread, by, "dev", {"mad": 0.5}).withColumn("mad", F.col("mad") * MAD_SCALE)
@@ -89,6 +90,64 @@ def rhat(draws: DataFrame) -> DataFrame:
         F.sqrt(((F.col("n") - 1) / F.col("n") * within + between) / within).alias("rhat")).drop("n")
 
 
+def split_halves(draws: DataFrame) -> DataFrame:
+    """Each chain as two, of its first and its last half; the middle draw of an
+    odd chain is left out, as the published measures do."""
+    even = _equal_chains(draws)
+    half = F.floor(F.col("n") / 2)
+    late = F.col("iteration") > F.col("n") - half
+    return even.filter((F.col("iteration") <= half) | late).select(
+        "variable", (2 * F.col("chain") + late.cast("int")).alias("chain"),
+        F.when(late, F.col("iteration") - (F.col("n") - half)).otherwise(F.col("iteration")).alias("iteration"), "value")
+
+
+def rank_normalised(draws: DataFrame) -> DataFrame:
+    """Values replaced by the normal quantiles of their ranks over all chains of
+    the variable; ties share their mean rank.
+
+    Ranks are counted in 256 slices of the variable's range, so the draws of a
+    variable are sorted by many tasks.
+    """
+    ends = draws.groupBy("variable").agg(F.min("value").alias("_lo"), F.max("value").alias("_hi"), F.count(F.lit(1)).alias("_s"))
+    place = F.when(F.col("_hi") > F.col("_lo"), F.floor(255 * (F.col("value") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")))).otherwise(F.lit(0))
+    ranked = split_row_number(draws.join(ends, "variable"), ["variable"], [F.col("value")], {"_slice": place}, "_rank")
+    shared = ranked.groupBy("variable", "value").agg(F.avg("_rank").alias("_mean_rank"))
+    z = normal_quantile((F.col("_mean_rank") - 0.375) / (F.col("_s") + 0.25))
+    return (ranked.join(shared, ["variable", "value"]).select("variable", "chain", "iteration", z.alias("value")))
+
+
+def _reduction(chains: DataFrame) -> DataFrame:
+    """Potential scale reduction of chains as they are."""
+    each = chains.groupBy("variable", "chain").agg(F.avg("value").alias("m"), F.var_samp("value").alias("v"), F.count(F.lit(1)).alias("n"))
+    within, n = F.avg("v"), F.min("n")
+    return each.groupBy("variable").agg(F.sqrt(((n - 1) / n * within + F.var_samp("m")) / within).alias("rhat"))
+
+
+def rhat_rank(draws: DataFrame) -> DataFrame:
+    """Rank-normalised split R-hat: the larger one of the values and of their
+    distances from the median."""
+    halves = split_halves(draws)
+    middle = exact_quantiles(halves, ["variable"], "value", {"_median": 0.5})
+    folded = halves.join(middle.select("variable", "_median"), "variable").select(
+        "variable", "chain", "iteration", F.abs(F.col("value") - F.col("_median")).alias("value"))
+    both = _reduction(rank_normalised(halves)).unionByName(_reduction(rank_normalised(folded)))
+    return both.groupBy("variable").agg(F.max("rhat").alias("rhat"))
+
+
+def ess_bulk(draws: DataFrame) -> DataFrame:
+    """Effective sample size of the rank-normalised half chains."""
+    return ess(rank_normalised(split_halves(draws)))
+
+
+def ess_tail(draws: DataFrame) -> DataFrame:
+    """The smaller effective sample size of the indicators of the 5 % and 95 % quantiles."""
+    halves = split_halves(draws)
+    cuts = exact_quantiles(halves, ["variable"], "value", {"_q05": 0.05, "_q95": 0.95}).select("variable", "_q05", "_q95")
+    sides = halves.join(cuts, "variable")
+    below = lambda c: sides.select("variable", "chain", "iteration", (F.col("value") <= F.col(c)).cast("double").alias("value"))
+    return ess(below("_q05")).unionByName(ess(below("_q95"))).groupBy("variable").agg(F.min("ess").alias("ess"))
+
+
 def _lag_covariances(dev: DataFrame, lags: range, block: int) -> DataFrame:
     """Covariance of each variable at the given lags, the mean over its chains.
 

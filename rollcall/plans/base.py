@@ -230,6 +230,14 @@ def draws(spark: SparkSession, sf: str) -> DataFrame:
                        F.col("value").cast("double").alias("value"))
 
 
+def draws_wide(spark: SparkSession, sf: str) -> DataFrame:
+    """The same draws as a sampler writes them: one column per variable."""
+    t = table(spark, sf, "embeddings")
+    width = t.agg(F.max(F.size("embedding"))).first()[0] or 0
+    return t.select((F.col("vec_id") % 4 + 1).alias("chain"), (F.floor(F.col("vec_id") / 4) + 1).alias("iteration"),
+                    *[F.get("embedding", F.lit(i)).cast("double").alias(f"p[{i + 1}]") for i in range(width)])
+
+
 def tday(spark: SparkSession, sf: str) -> DataFrame:
     days = ev(spark, sf)
     lo = day_span(days).getField("lo")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rollcall.functions.scalars import season
+from rollcall.functions.tails import QUANTILE_CUT, QUANTILE_MID, QUANTILE_TAIL
 from rollcall.operators import calendar as cal
 from rollcall.operators import diagnostics as dg
 from rollcall.operators import draws as dr
@@ -193,7 +194,8 @@ def communities(spark, sf):
       {R('median(value)')} as median, {R('quantile_cont(value, 0.95)')} as q95, {R('quantile_cont(value, 0.975)')} as q97_5, {R('1.4826 * median(abs(value - med))')} as mad
     from draws d join m on m.variable = d.variable group by 1""")
 def draws_summary(spark, sf):
-    return dr.summarize_draws(b.draws(spark, sf))
+    wide = b.draws_wide(spark, sf)
+    return dr.summarize_draws(dr.draws_to_long(wide, [c for c in wide.columns if c.startswith("p[")]))
 
 
 DIFFS = """, x as (select p.variable as level1, q.variable as level2, p.value - q.value as value from draws p join draws q
@@ -213,9 +215,11 @@ def rhat(spark, sf):
     return dr.rhat(b.draws(spark, sf))
 
 
-@query("B4", f""", l as (select variable, chain, count(*) as n from draws group by 1, 2), s as (select variable, min(n) as n from l group by 1),
+def ESS(src: str) -> str:
+    """The table ``essv``: effective sample sizes of the chains of ``src``, over all lags."""
+    return f""", l as (select variable, chain, count(*) as n from {src} group by 1, 2), s as (select variable, min(n) as n from l group by 1),
     x as (select d.variable, d.chain, d.iteration, s.n, d.value - avg(d.value) over (partition by d.variable, d.chain) as d, d.value
-      from draws d join s on s.variable = d.variable where d.iteration <= s.n),
+      from {src} d join s on s.variable = d.variable where d.iteration <= s.n),
     m as (select variable, var_samp(m) as between_v, count(*) as chains from (select variable, chain, avg(value) as m from x group by 1, 2) group by 1),
     c as (select x.variable, x.chain, x.n, k.lag, sum(x.d * y.d) / x.n as c from x join (select unnest(range(0, (select max(n) from s))) as lag) k on k.lag < x.n
       join x y on y.variable = x.variable and y.chain = x.chain and y.iteration = x.iteration - k.lag group by 1, 2, 3, 4),
@@ -223,12 +227,73 @@ def rhat(spark, sf):
     w as (select a.variable, a.n, m.chains, a.c as c0, a.c * a.n / (a.n - 1) as within_v, a.c + m.between_v as plus from a join m on m.variable = a.variable where lag = 0),
     rho as (select a.variable, a.lag, case when a.lag = 0 then 1 else 1 - (w.within_v - a.c * a.n / (a.n - 1)) / w.plus end as rho from a join w on w.variable = a.variable),
     p as (select variable, lag // 2 as t, sum(rho) as p from rho group by 1, 2 having count(*) = 2),
-    g as (select *, min(case when p > 0 then 1 else 0 end) over (partition by variable order by t) as go from p)
-    select g.variable, {R('max(w.n * w.chains) / (2 * sum(case when go = 1 then p else 0 end) - 1)')} as ess from g join w on w.variable = g.variable group by 1""")
+    g as (select *, min(case when p > 0 then 1 else 0 end) over (partition by variable order by t) as go from p),
+    essv as (select g.variable, max(w.n * w.chains) / (2 * sum(case when go = 1 then p else 0 end) - 1) as ess
+      from g join w on w.variable = g.variable group by 1)"""
+
+
+ESS_ROWS = f" select variable, {R('ess')} as ess from essv"
+
+
+@query("B4", ESS("draws") + ESS_ROWS)
 def ess(spark, sf):
     return dr.ess(b.draws(spark, sf))
 
 
+def _poly(coefs: list[float], x: str) -> str:
+    out = repr(coefs[0])
+    for c in coefs[1:]:
+        out = f"({out} * {x} + {c!r})"
+    return out
+
+
+def _probit(p: str) -> str:
+    """The normal quantile of the SQL expression ``p``."""
+    q, t = f"({p} - 0.5)", f"sqrt(-2 * ln(least({p}, 1 - {p})))"
+    mid = f"{_poly(QUANTILE_MID[0], f'({q} * {q})')} * {q} / {_poly(QUANTILE_MID[1], f'({q} * {q})')}"
+    tail = f"{_poly(QUANTILE_TAIL[0], t)} / {_poly(QUANTILE_TAIL[1], t)}"
+    return f"case when {p} < {QUANTILE_CUT} then {tail} when {p} > 1 - {QUANTILE_CUT} then -({tail}) else {mid} end"
+
+
+HALVES = """, ln as (select variable, min(n) as n, min(n) // 2 as h from (select variable, chain, count(*) as n from draws group by 1, 2) group by 1),
+    halves as (select d.variable, 2 * d.chain + case when d.iteration > ln.n - ln.h then 1 else 0 end as chain,
+        case when d.iteration > ln.n - ln.h then d.iteration - (ln.n - ln.h) else d.iteration end as iteration, d.value
+      from draws d join ln on ln.variable = d.variable where d.iteration <= ln.h or d.iteration > ln.n - ln.h)"""
+
+
+def RANKED(src: str, to: str) -> str:
+    """``src`` with values replaced by the normal quantiles of their mean ranks."""
+    p = "((r - 0.375) / (s + 0.25))"
+    return f""", {to} as (select variable, chain, iteration, {_probit(p)} as value from (select *,
+      rank() over (partition by variable order by value) + (count(*) over (partition by variable, value) - 1) / 2.0 as r,
+      count(*) over (partition by variable) as s from {src}))"""
+
+
+@query("B4", f"""{HALVES}, folded as (select variable, chain, iteration, abs(value - median(value) over (partition by variable)) as value from halves)
+    {RANKED('halves', 'z1')}{RANKED('folded', 'z2')},
+    c as (select 1 as k, variable, chain, avg(value) as m, var_samp(value) as v, count(*) as n from z1 group by all
+      union all select 2, variable, chain, avg(value), var_samp(value), count(*) from z2 group by all),
+    r as (select variable, k, sqrt(((min(n) - 1) / min(n) * avg(v) + var_samp(m)) / avg(v)) as rhat from c group by 1, 2)
+    select variable, {R('max(rhat)')} as rhat from r group by 1""")
+def rhat_rank(spark, sf):
+    """Rank-normalised split R-hat."""
+    return dr.rhat_rank(b.draws(spark, sf))
+
+
+@query("B4", HALVES + RANKED("halves", "ranked") + ESS("ranked") + ESS_ROWS)
+def ess_bulk(spark, sf):
+    return dr.ess_bulk(b.draws(spark, sf))
+
+
+@query("B4", f"""{HALVES}, qs as (select variable, quantile_cont(value, 0.05) as q1, quantile_cont(value, 0.95) as q2 from halves group by 1),
+    sides as (select h.variable || '#' || k.k as variable, chain, iteration,
+        case when value <= case when k.k = 1 then q1 else q2 end then 1.0 else 0.0 end as value
+      from halves h join qs on qs.variable = h.variable cross join (select unnest([1, 2]) as k) k)
+    {ESS('sides')} select split_part(variable, '#', 1) as variable, {R('min(ess)')} as ess from essv group by 1""")
+def ess_tail(spark, sf):
+    return dr.ess_tail(b.draws(spark, sf))
+
+
 @query("B5 F12 H7", f"""select t.t, cast(t.day as varchar) as day, {R('median(d.value)')} as median, {R('quantile_cont(d.value, 0.025)')} as lo, {R('quantile_cont(d.value, 0.975)')} as hi
     from tday t left join draws d on d.i = t.t group by 1, 2""")
 def index_posterior(spark, sf):

@@ -112,3 +112,24 @@ def test_arrivals_of_a_crowded_minute_are_split_by_id(spark, text):
     for day in (1, 2):
         order = sorted((r for r in rows if r[0] == day), key=lambda r: (r[2] is None, r[2] or 0, r[1]))
         assert [got[day, r[1]] for r in order] == list(range(1, 401))
+
+
+def test_normal_quantile(spark):
+    from statistics import NormalDist
+
+    from rollcall.functions.tails import normal_quantile
+
+    p = [1e-9, 0.001, 0.02425, 0.1, 0.5, 0.7, 0.98, 1 - 1e-7]
+    got = spark.createDataFrame([(v,) for v in p], "p double").select("p", normal_quantile(F.col("p")).alias("z")).collect()
+    assert all(abs(r.z - NormalDist().inv_cdf(r.p)) < 1e-7 * max(1, abs(r.z)) for r in got)
+
+
+def test_ranks_share_ties(spark):
+    from statistics import NormalDist
+
+    from rollcall.operators.draws import rank_normalised
+
+    df = spark.createDataFrame([(1, i, "a", v) for i, v in enumerate([5.0, 1.0, 1.0, 9.0, 1.0])], "chain int, iteration int, variable string, value double")
+    got = {r.iteration: r.value for r in rank_normalised(df).collect()}
+    want = {i: NormalDist().inv_cdf((r - 0.375) / 5.25) for i, r in enumerate([4, 2, 2, 5, 2])}
+    assert all(abs(got[i] - want[i]) < 1e-7 for i in want)
