@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rollcall.llm.decontaminate import find_leaks
+from rollcall.llm.names import unused
 from rollcall.llm.packing import pack
 from rollcall.llm.repetition import with_verdict
 from rollcall.llm.simhash import one_of_each
@@ -21,13 +22,15 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score for toxicity is under one half."""
     ship(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return with_score(docs, labels, "_toxicity").filter("_toxicity < 0.5").select(*docs.columns)
+    score = unused(docs, "_toxicity")
+    return with_score(docs, labels, score).filter(F.col(score) < 0.5).select(*docs.columns)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that neither fail the base rules nor repeat themselves."""
     ship(spark)
-    return with_verdict(docs, "_rule_").filter("_rule_kept").select(*docs.columns)
+    rule = unused(docs, "_rule_")
+    return with_verdict(docs, rule).filter(f"{rule}kept").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,8 +42,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a window that is a benchmark item."""
     leaks = find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    leaked = leaks.select(F.col("doc_id").alias("_leaked")).distinct()
-    return docs.join(leaked, F.col("doc_id").eqNullSafe(F.col("_leaked")), "left_anti").select(*docs.columns)
+    leaked = unused(docs, "_leaked")
+    ids = leaks.select(F.col("doc_id").alias(leaked)).distinct()
+    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col(leaked)), "left_anti").select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

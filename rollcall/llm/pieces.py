@@ -23,9 +23,9 @@ from functools import lru_cache
 import numpy as np
 
 # White space by Unicode, as the vocabularies' patterns read it.
-BLANK = "\t-\r \x85\xa0  -     　"
+BLANK = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Characters that send a text down the slower, general way.
-_ODD = re.compile("[\0\t\x0b-\r\x1c-\x1f\x85\xa0 ᠎ -     　]")
+_ODD = re.compile("[\0\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _RUNS = re.compile(f"[{BLANK}]*[^{BLANK}]+|[{BLANK}]+")
 _BARE = re.compile("[^\x20\t-\r]+")
 #: Chunks that a worker remembers, and the longest that it does.

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rollcall.llm.components import components
+from rollcall.llm.names import unused
 from rollcall.session import shared_table
 
 #: Fingerprints of a bucket that one task compares with each other.
@@ -343,10 +344,11 @@ def one_of_each(docs: DataFrame, shingle: int = 5, width: int = 8, radius: int =
     """
     groups = near_groups(docs, shingle, width, radius, minima, similarity)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "version")).alias("f")
-    chosen = groups.groupBy("label").agg(first).select(F.col("f.doc_id").alias("_kept_id"), F.col("f.version").alias("_kept_version"))
-    same = F.col("doc_id").eqNullSafe(F.col("_kept_id")) & (F.col("_version") == F.col("_kept_version"))
-    rows = docs.withColumn("_version", F.xxhash64(F.col("text").cast("string")))
-    return rows.join(chosen.distinct(), same, "left_semi").dropDuplicates(["doc_id", "_version"]).select(*docs.columns)
+    v, of_id, of_v = (unused(docs, n) for n in ("_near_version", "_kept_id", "_kept_version"))
+    chosen = groups.groupBy("label").agg(first).select(F.col("f.doc_id").alias(of_id), F.col("f.version").alias(of_v)).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col(of_id)) & (F.col(v) == F.col(of_v))
+    rows = docs.withColumn(v, F.xxhash64(F.col("text").cast("string")))
+    return rows.join(chosen, same, "left_semi").dropDuplicates(["doc_id", v]).select(*docs.columns)
 
 
 def hexadecimal(word: Column) -> Column:
