@@ -300,5 +300,7 @@ def test_interactions_are_coded_against_a_reference(spark):
     assert fit.names == ["x1", "g_q", "x1:g_q", "(Intercept)"]
     beta, bread, mu = irls(np.column_stack([np.ones_like(x1), x1, g, x1 * g]), y, np.ones_like(y), "logit", "binomial")
     assert list(fit.beta) == pytest.approx([beta[1], beta[2], beta[3], beta[0]], abs=1e-5)
+    assert np.sqrt(np.diag(fit.cov)) == pytest.approx(np.sqrt(np.diag(bread))[[1, 2, 3, 0]], rel=1e-4)
     scale = ((y - mu) ** 2 / (mu * (1 - mu))).sum() / (len(y) - 4)
-    assert np.sqrt(np.diag(fit.cov)) == pytest.approx(np.sqrt(np.diag(bread) * scale)[[1, 2, 3, 0]], rel=1e-4)
+    wide = rg.fit_glm(df, "y ~ x1 + g + x1:g", "binomial", "logit", overdispersed=True)
+    assert np.sqrt(np.diag(wide.cov)) == pytest.approx(np.sqrt(np.diag(bread) * scale)[[1, 2, 3, 0]], rel=1e-4)
