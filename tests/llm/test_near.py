@@ -98,6 +98,17 @@ def test_one_of_each_leaves_no_similar_pair_and_keeps_the_rest(docs):
     assert {r.doc_id for r in one_of_each(docs).collect()} == want
 
 
+def test_copies_with_a_run_of_equal_words(spark):
+    rows, n = [], 20
+    for i in range(n):
+        text = " ".join(f"w{i}x{k}" for k in range(300))
+        rows += [(2 * i, f"{text} end"), (2 * i + 1, f"{text} {'- ' * (40 + 10 * i)}end")]
+    sets = [set(shingles(t, 5)) for _, t in rows]
+    assert all(len(a & b) >= 0.9 * len(a | b) for a, b in zip(sets[::2], sets[1::2]))
+    got = one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.doc_id for r in got) == list(range(0, 2 * n, 2))
+
+
 def test_one_of_each_of_odd_rows(odd, none):
     kept = one_of_each(odd)
     assert kept.columns == odd.columns
