@@ -27,6 +27,8 @@ from rollcall.session import shared_table
 
 #: Fingerprints of a bucket that one task compares with each other.
 BLOCK = 2048
+#: Links of a node that follow first where a link of a forest fails; each round takes 16 times as many.
+FIRST = 16
 #: Runs up to this length are compared as lists of pairs.
 SHORT = 24
 #: Odd numbers that mix further hashes out of one.
@@ -194,15 +196,36 @@ def forest(n: int, a: np.ndarray, b: np.ndarray, d: np.ndarray) -> tuple[np.ndar
     return (np.concatenate(left), np.concatenate(right)) if left else (labels[:0], labels[:0])
 
 
-def _links(radius: int):
-    def long_run(nodes, prints, side, cross: bool):
-        at = np.nonzero(side == 0)[0] if cross else np.arange(len(nodes))
-        to = np.nonzero(side == 1)[0] if cross else at
+def nearest(n: int, a: np.ndarray, b: np.ndarray, d: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b) of the pairs among the ``most`` shortest of either end, and the rows that had more."""
+    end, pair = np.concatenate([a, b]), np.tile(np.arange(len(a)), 2)
+    order = np.lexsort((pair, d[pair], end))
+    count = np.bincount(end, minlength=n)
+    place = np.arange(len(end)) - np.repeat(np.cumsum(count) - count, count)
+    chosen = np.unique(pair[order[place < most]])
+    return a[chosen], b[chosen], np.unique(end[order[place >= most]]) if len(chosen) < len(a) else a[:0]
+
+
+def _links(radius: int, most: int | None):
+    def chosen(t, a, b, d):
+        """Nodes of the links that stand for the pairs (a, b); a link to itself says that a node has more."""
+        if most is None:
+            a, b = forest(len(t["node"]), a, b, d)
+            return t["node"][a], t["node"][b]
+        apart = t["label"][a] != t["label"][b]
+        a, b, more = nearest(len(t["node"]), a[apart], b[apart], d[apart], most)
+        return t["node"][np.concatenate([a, more])], t["node"][np.concatenate([b, more])]
+
+    def long_run(t, cross: bool):
+        at = np.nonzero(t["side"] == 0)[0] if cross else np.arange(len(t["node"]))
+        to = np.nonzero(t["side"] == 1)[0] if cross else at
         if not len(at) or not len(to):
-            return nodes[:0], nodes[:0]
-        a, b, d = pairs_between(prints[at], prints[to], radius)
-        a, b = forest(len(nodes), at[a], to[b], d)
-        return nodes[a], nodes[b]
+            return t["node"][:0], t["node"][:0]
+        a, b, d = pairs_between(t["print"][at], t["print"][to], radius)
+        a, b = at[a], to[b]
+        if not cross:
+            a, b, d = a[a < b], b[a < b], d[a < b]
+        return chosen(t, a, b, d)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(u, v):
@@ -215,7 +238,7 @@ def _links(radius: int):
             starts, ends = np.r_[0, change], np.r_[change, len(t["node"])]
             short, left, right = ends - starts <= SHORT, [], []
             for s, e in zip(starts[~short], ends[~short]):
-                u, v = long_run(t["node"][s:e], t["print"][s:e], t["side"][s:e], t["i"][s] != t["j"][s])
+                u, v = long_run({c: x[s:e] for c, x in t.items()}, t["i"][s] != t["j"][s])
                 left.append(u)
                 right.append(v)
             by = {}
@@ -227,9 +250,9 @@ def _links(radius: int):
                     a, b = (np.array(at)[:, None] + x).ravel(), (np.array(at)[:, None] + y).ravel()
                     new = (t["i"][a] == t["j"][a]) | (t["side"][a] != t["side"][b])
                     a, b = a[new], b[new]
-                    a, b = forest(len(t["node"]), *pairs_listed(t["print"], a, b, radius))
-                    left.append(t["node"][a])
-                    right.append(t["node"][b])
+                    u, v = chosen(t, *pairs_listed(t["print"], a, b, radius))
+                    left.append(u)
+                    right.append(v)
             if left:
                 yield out(np.concatenate(left), np.concatenate(right))
 
@@ -237,7 +260,7 @@ def _links(radius: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            t = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "i", "j", "side", "node")}
+            t = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "i", "j", "side", "node", "label")}
             p = batch.column("print")
             t["print"] = p.flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(batch.num_rows, -1)
             if held is not None:
@@ -252,7 +275,7 @@ def _links(radius: int):
     return run
 
 
-def links_within(nodes: DataFrame, radius: int) -> DataFrame:
+def links_within(nodes: DataFrame, radius: int, most: int | None = None) -> DataFrame:
     """Links (u, v) that connect what bucket mates within ``radius`` connect.
 
     ``nodes``: node (long, unique), print (array of longs), keys (array of
@@ -260,16 +283,22 @@ def links_within(nodes: DataFrame, radius: int) -> DataFrame:
     ``BLOCK`` nodes is dealt into blocks and each pair of blocks is a task of
     its own, so no task grows with a bucket; each task returns a spanning
     forest of its links of least distance, never all pairs.
+
+    With ``most`` nodes have a label (long) too, and each task returns, of every
+    node's links to other labels, the ``most`` of least distance; a node that
+    has more of them is also linked to itself.
     """
-    keyed = nodes.select("node", "print", F.explode(F.array_distinct("keys")).alias("key"))
+    label = F.col("node") if most is None else F.col("label")
+    nodes = nodes.select("node", "print", "keys", label.alias("label"))
+    keyed = nodes.select("node", "print", "label", F.explode(F.array_distinct("keys")).alias("key"))
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     dealt = (keyed.join(shared, "key").withColumn("nb", F.ceil(F.col("n") / BLOCK).cast("int"))
              .withColumn("own", F.pmod(F.hash("node"), F.col("nb")))
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))))
     i, j = F.least("own", "other"), F.greatest("own", "other")
-    rows = dealt.select("key", i.alias("i"), j.alias("j"), (F.col("own") == j).cast("int").alias("side"), "node", "print")
+    rows = dealt.select("key", i.alias("i"), j.alias("j"), (F.col("own") == j).cast("int").alias("side"), "node", "print", "label")
     return (rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-            .mapInArrow(_links(radius), "u long, v long")
+            .mapInArrow(_links(radius, most), "u long, v long")
             .select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
 
 
@@ -298,6 +327,39 @@ def verified(links: DataFrame, owners: DataFrame, docs: DataFrame, shingle: int,
     return pairs.filter(both >= similarity * (F.size("a") + F.size("b") - both) - 1e-9).select("u", "v")
 
 
+def similar_links(links: DataFrame, nodes: DataFrame, owners: DataFrame, docs: DataFrame, radius: int, shingle: int,
+                  similarity: float) -> DataFrame:
+    """Links (u, v) that connect what bucket mates of ``similarity`` or more connect.
+
+    ``links`` are the forests of ``nodes`` (see ``links_within``). A link that
+    fails the exact check may stand in a forest for others that would pass. So
+    where one failed, the pairs between different groups of what passed follow,
+    each node's nearest first and ever more of them, until a round has left out
+    none. What passes joins groups, so pairs inside one are never tried.
+    """
+    links = shared_table(links)
+    passed = shared_table(verified(links, owners, docs, shingle, similarity))
+    failed = links.join(passed, ["u", "v"], "left_anti")
+    met = components(links)
+    doubtful = met.join(failed.select(F.col("u").alias("node")), "node", "left_semi").select("label").distinct()
+    doubtful = shared_table(met.join(doubtful, "label", "left_semi").select("node"))
+    if doubtful.isEmpty():
+        return passed
+    open_, tried, most = shared_table(nodes.join(doubtful, "node", "left_semi")), links, FIRST
+    inside = shared_table(passed.join(doubtful.withColumnRenamed("node", "u"), "u", "left_semi"))
+    while True:
+        labelled = (open_.join(components(inside), "node", "left")
+                    .withColumn("label", F.coalesce("label", "node")))
+        found = shared_table(links_within(shared_table(labelled), radius, most))
+        new = shared_table(found.filter("u <> v").join(tried, ["u", "v"], "left_anti"))
+        if not new.isEmpty():
+            good = shared_table(verified(new, owners, docs, shingle, similarity))
+            inside, passed, tried = inside.unionByName(good), passed.unionByName(good), tried.unionByName(new)
+        if found.filter("u = v").isEmpty():
+            return passed
+        most *= 16
+
+
 def near_groups(docs: DataFrame, shingle: int = 4, width: int = 1, radius: int = 4, minima: int = 0,
                 similarity: float | None = None) -> DataFrame:
     """doc_id, version, print, component_id, label of every row of ``docs`` (doc_id, text).
@@ -306,7 +368,8 @@ def near_groups(docs: DataFrame, shingle: int = 4, width: int = 1, radius: int =
     ``radius`` bits (``width`` 1). Otherwise fingerprints are compared if one of
     that many minima of their shingle hashes agrees, which texts of similarity s
     miss with probability (1 - s) ** minima. With ``similarity`` an exact check
-    of the texts' shingle sets follows, of the pairs of each bucket's forest.
+    of the texts' shingle sets follows, first of the pairs of each bucket's
+    forest, then of all other pairs that these leave in different groups.
 
     component_id is the smallest doc_id of the component, label its own name.
     Null and blank texts have the fingerprint zero, and are linked like others;
@@ -325,10 +388,11 @@ def near_groups(docs: DataFrame, shingle: int = 4, width: int = 1, radius: int =
     distinct = prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("print").alias("print"),
                                           F.first("minima").alias("minima"), owner)
     distinct = shared_table(distinct)
-    links = links_within(distinct.select("node", "print", keys.alias("keys")), radius)
+    nodes = distinct.select("node", "print", keys.alias("keys"))
+    links = links_within(nodes, radius)
     if similarity is not None:
         owners = distinct.select("node", F.col("owner.doc_id").alias("of_doc"), F.col("owner.version").alias("of_version"))
-        links = verified(shared_table(links), owners, docs, shingle, similarity)
+        links = similar_links(links, nodes, owners, docs, radius, shingle, similarity)
     labels = components(links)
     named = distinct.select("node", "least").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     named = shared_table(named)

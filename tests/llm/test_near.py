@@ -109,6 +109,26 @@ def test_copies_with_a_run_of_equal_words(spark):
     assert sorted(r.doc_id for r in got) == list(range(0, 2 * n, 2))
 
 
+@pytest.mark.parametrize("first,short", [(16, 24), (1, 3)])
+def test_true_pairs_in_a_family_that_shares_a_template(spark, monkeypatch, first, short):
+    monkeypatch.setattr(simhash, "FIRST", first)
+    monkeypatch.setattr(simhash, "SHORT", short)
+    r, rows = np.random.default_rng(5), []
+    for f in range(6):  # 350 of 400 shingles shared: 0.778 to each other; one true pair of 375: about 0.82
+        template = [f"t{f}w{k}" for k in range(354)]
+        for i in range(40):
+            own = [f"f{f}d{i}w{k}" for k in range(50)]
+            if i == 1:
+                own[:12] = [f"f{f}d0w{k}" for k in range(12)]
+            rows.append((100 * f + i, " ".join(template + own)))
+    sets = [set(shingles(t, 5)) for _, t in rows]
+    links = [(i, j) for i in range(len(rows)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert links == [(40 * f + 1, 40 * f) for f in range(6)]
+    r.shuffle(rows)
+    want = {d for d, _ in rows} - {100 * f + 1 for f in range(6)}
+    assert {d.doc_id for d in one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == want
+
+
 def test_one_of_each_of_odd_rows(odd, none):
     kept = one_of_each(odd)
     assert kept.columns == odd.columns
