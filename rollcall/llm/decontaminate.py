@@ -4,9 +4,11 @@ A window is as long as a benchmark item and starts at a shingle that an item of
 that length holds: moving a window on to its first such shingle never lowers
 its similarity, so no other start is needed. Windows that hold too few of the
 items' shingles to reach the similarity are left out; equal windows count once
-however many documents bear them. SimHash fingerprints of windows and items
-meet by length and by a block of bits: of radius + 1 blocks at least one agrees
-for every pair within the radius. Exact similarity of weighted shingles decides.
+however many documents bear them. A window and an item meet if the window holds
+one of the item's rarest shingles: of an item of n shingles, of which a match
+must hold ``need``, at least one of the n - need + 1 rarest is in every match.
+Exact similarity of weighted shingles decides; SimHash fingerprints only give
+the distance of what is found, so no pair is lost by an estimate.
 """
 
 from __future__ import annotations
@@ -41,43 +43,45 @@ def simhash(hashes: Column) -> Column:
     return _bound(hashes, lambda h: F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("bigint"), lambda acc, k: acc.bitwiseOR(bit(h, k))))
 
 
-def blocks(print_: Column, radius: int) -> Column:
-    """(number, bits) of radius + 1 blocks; prints within the radius share one."""
-    cuts = [round(64 * i / (radius + 1)) for i in range(radius + 2)]
-    return F.array(*[F.struct(F.lit(n).alias("block"), F.shiftrightunsigned(print_, a).bitwiseAND(F.lit((1 << (b - a)) - 1).cast("bigint")).alias("bits"))
-                     for n, (a, b) in enumerate(zip(cuts, cuts[1:]))])
-
-
 def overlap(a: Column, b: Column) -> Column:
     """Sum of the smaller weight of every shingle; a weight is its number of occurrences."""
     times = lambda h, v: F.size(F.filter(h, lambda x: x == v))
     return F.aggregate(F.array_intersect(a, b), F.lit(0), lambda n, v: n + F.least(times(a, v), times(b, v)))
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 16) -> DataFrame:
+def find_leaks(docs: DataFrame, items: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id, item_id, start, n_words, similarity, distance: the best window of each item in each document.
 
     ``docs`` (doc_id, text) against ``items`` (item_id, text). Words are runs of
     letters and digits, lower-cased; a window has as many as the item, or fewer
     at the end of a document; ties go to the first start. A pair is found if the
-    weighted Jaccard similarity of the shingles is at least ``similarity`` and
-    the fingerprints differ in at most ``radius`` bits. Items of fewer words
+    weighted Jaccard similarity of the shingles is at least ``similarity``;
+    distance is that of the fingerprints, in bits of 64. Items of fewer words
     than a shingle, null and empty texts never match; equal rows of ``docs`` are
     one; a null doc_id or item_id is kept; other columns are ignored; an empty
     table on either side gives an empty result.
     """
     m = shingle - 1
     known = (items.select("item_id", shingles(F.col("text"), shingle).alias("hashes")).filter(F.size("hashes") > 0).distinct()
-             .withColumn("size", F.size("hashes")))
-    known = shared_table(known.withColumn("print", simhash(F.col("hashes"))))
+             .withColumn("size", F.size("hashes")).withColumn("kind", F.xxhash64("size", "hashes")))
+    known = shared_table(known)
     wanted = known.select(F.explode("hashes").alias("hash"), "size").groupBy("hash").agg(F.collect_set("size").alias("sizes"))
-    if known.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0] <= BROADCAST_SHINGLES:
-        wanted = F.broadcast(wanted)
+    small = known.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0] <= BROADCAST_SHINGLES
+    wanted = F.broadcast(wanted) if small else wanted
+
+    need = F.ceil(F.lit(similarity) * F.col("size") - 1e-9).cast("int")
+    kinds = known.groupBy("kind", "size").agg(F.first("hashes").alias("item_hashes"))
+    kinds = shared_table(kinds.withColumn("item_print", simhash(F.col("item_hashes"))))
+    each = kinds.select("kind", "size", F.explode("item_hashes").alias("hash"))
+    times = each.distinct().groupBy("size", "hash").agg(F.count(F.lit(1)).alias("times"))
+    rare = (each.join(times, ["size", "hash"]).groupBy("kind", "size")
+            .agg(F.array_sort(F.collect_list(F.struct("times", "hash"))).alias("held"))
+            .select("kind", "size", F.explode(F.array_distinct(F.slice("held", F.lit(1), F.col("size") - need + 1)["hash"])).alias("hash")))
+    rare = F.broadcast(rare) if small else rare
 
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("version"))
     places = texts.select("doc_id", "version", F.posexplode(shingles(F.col("text"), shingle)).alias("start", "hash"))
     hits = places.join(wanted, "hash").select("doc_id", "version", "start", F.explode("sizes").alias("size"))
-    need = F.ceil(F.lit(similarity) * F.col("size") - 1e-9).cast("int")
     # the need-th hit from a start on must lie within the window
     full = lambda at, i: F.get(at, i + F.col("need") - 1) - F.get(at, i) < F.col("size")
     starts = (hits.groupBy("doc_id", "version", "size").agg(F.array_sort(F.collect_set("start")).alias("at"))
@@ -95,23 +99,23 @@ def find_leaks(docs: DataFrame, items: DataFrame, shingle: int = 5, similarity:
     windows = shared_table(windows.distinct())
 
     unique = windows.groupBy("content", "size").agg(F.first("hashes").alias("hashes")).withColumn("print", simhash(F.col("hashes")))
-    one = shared_table(unique).withColumn("b", F.explode(blocks(F.col("print"), radius)))
-    two = known.select("item_id", F.col("hashes").alias("item_hashes"), F.col("print").alias("item_print"), "size",
-                       F.explode(blocks(F.col("print"), radius)).alias("b"))
+    unique = shared_table(unique)
+    met = (unique.select("content", "size", F.explode(F.array_distinct("hashes")).alias("hash")).join(rare, ["size", "hash"])
+           .select("content", "kind").distinct())
     distance = F.bit_count(F.col("print").bitwiseXOR(F.col("item_print")))
-    near = (one.join(two, ["size", "b"]).withColumn("distance", distance.cast("long")).filter(F.col("distance") <= radius)
-            .drop("b").distinct())
+    near = met.join(unique, "content").join(kinds.drop("size"), "kind").withColumn("distance", distance.cast("long"))
     shared = overlap(F.col("hashes"), F.col("item_hashes"))
     whole = F.size("hashes") + F.size("item_hashes") - F.col("shared")
     found = (near.withColumn("shared", shared).withColumn("similarity", F.col("shared") / whole)
-             .filter(F.col("similarity") >= similarity - 1e-12).select("content", "item_id", "similarity", "distance"))
+             .filter(F.col("similarity") >= similarity - 1e-12).select("content", "kind", "similarity", "distance")
+             .join(known.select("kind", "item_id"), "kind").drop("kind"))
     best = F.max_by(F.struct("start", (F.size("hashes") + m).alias("n_words"), "similarity", "distance"), F.struct("similarity", -F.col("start")))
     return (windows.join(found, "content").groupBy("doc_id", "item_id").agg(best.alias("b"))
             .select("doc_id", "item_id", F.col("b.start").cast("long").alias("start"), F.col("b.n_words").cast("long").alias("n_words"),
                     F.round("b.similarity", 6).alias("similarity"), F.col("b.distance").alias("distance")))
 
 
-#: The pairs by similarity alone; fingerprints of pairs this near lie within the radius.
+#: The pairs by similarity alone.
 SQL = r"""
 with d as (
   select doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') as w from documents),

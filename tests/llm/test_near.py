@@ -152,3 +152,15 @@ def test_leaks(spark, odd, none):
     assert 0.8 <= got[9].similarity < 1
     assert find_leaks(none, items).count() == 0 and find_leaks(docs, items.filter("false")).count() == 0
     assert find_leaks(odd, items).count() == 0
+
+
+def test_leaks_at_the_bound(spark):
+    items, docs = [], []
+    for i in range(1600):  # edits that leave 8 of 10, 40 of 50 shingles
+        n, at = ((13, 12), (49, 20))[i % 2]
+        words = [f"i{i}w{k}" for k in range(n)]
+        items.append((i, " ".join(words)))
+        words[at] = "edited"
+        docs.append((i, " ".join([f"before{i}"] * 3 + words + [f"after{i}"] * 9)))
+    got = find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted((r.doc_id, r.item_id, r.start, r.similarity) for r in got.collect()) == [(i, i, 3, 0.8) for i in range(1600)]
