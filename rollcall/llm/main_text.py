@@ -26,7 +26,7 @@ _ATTR = re.compile(r"""\b(class|id|role|style)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\
 _HIDDEN = re.compile(r"""\bhidden\b|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 
 # Elements by their part in a page.
-SILENT = set("script style noscript template head title svg math iframe object canvas audio video".split())
+SILENT = set("script style noscript template title svg math iframe object canvas audio video".split())
 BLOCKS = set("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure "
              "footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section select "
              "summary table tbody td textarea tfoot th thead tr ul button".split())
@@ -51,6 +51,8 @@ _ELEMENT = {"nav": "menu", "menu": "menu", "header": "header", "footer": "footer
 FEATURES = ["words", "links", "words_before", "links_before", "words_after", "links_after", "heading", "item", "within",
             *KINDS, "hidden", "apart"]
 _APART = frozenset(KINDS) - {"article", "header"} | {"hidden"}
+#: Parts whose name may stand on an element that wraps the whole page.
+_WRAPS = _APART - {"hidden"}
 
 
 @dataclass
@@ -60,6 +62,14 @@ class Block:
     linked: int
     tag: str
     kinds: frozenset = field(default_factory=frozenset)
+    within: tuple = ()
+
+
+class Holder:
+    """An open element: its name, own kinds, words without a link, and whether an article or h1 is in it."""
+
+    def __init__(self, name: str, kinds: frozenset):
+        self.name, self.kinds, self.words, self.leads = name, kinds, 0, "article" in kinds
 
 
 def kinds_of(name: str, attributes: str) -> frozenset:
@@ -82,8 +92,9 @@ def _kinds(name: str, attributes: str) -> frozenset:
 def blocks_of(page: str) -> list[Block]:
     """The flat text blocks of a page, in order."""
     out: list[Block] = []
-    stack: list[tuple[str, frozenset, frozenset]] = []  # element, own kinds, all kinds
-    now: frozenset = frozenset()
+    stack: list[Holder] = []
+    held: tuple = ()  # the open elements that name a part
+    missing: set[str] = set()  # elements without a further end tag
     texts: list[str] = []
     links: list[str] = []
     tag, in_link, at, skip = "body", False, 0, None
@@ -93,7 +104,7 @@ def blocks_of(page: str) -> list[Block]:
             words = html.unescape("".join(texts)).split()
             if words:
                 linked = len(html.unescape("".join(links)).split())
-                out.append(Block(" ".join(words), len(words), min(linked, len(words)), tag, now | own))
+                out.append(Block(" ".join(words), len(words), min(linked, len(words)), tag, own, held))
             texts.clear()
             links.clear()
 
@@ -114,9 +125,14 @@ def blocks_of(page: str) -> list[Block]:
             continue
         name = name.lower()
         if name in SILENT:
-            if not close and not attributes.endswith("/"):
+            if not close and not attributes.endswith("/") and name not in missing:
                 stop = re.compile(f"</{name}\\b[^>]*>", re.I).search(page, pos)
-                pos = stop.end() if stop else size
+                if stop:
+                    pos = stop.end()
+                elif name in ("script", "style"):  # code to the end of the page
+                    pos = size
+                else:
+                    missing.add(name)
             texts.append(" ")
         elif name == "a":
             in_link = not close
@@ -128,19 +144,38 @@ def blocks_of(page: str) -> list[Block]:
             in_link = False
             if name in HOLDERS:
                 if close:
-                    at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
+                    at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i].name == name), None)
                     if at is not None:
                         del stack[at:]
                 else:
-                    stack.append((name, _kinds(name, attributes), now | _kinds(name, attributes)))
-                now = stack[-1][2] if stack else frozenset()
+                    stack.append(Holder(name, _kinds(name, attributes)))
+                held = tuple(h for h in stack if h.kinds)
             elif not close:
                 own = _kinds(name, attributes)
             tag = "body" if close else name
     flush()
+    _name_parts(out)
     return out
 
 
+def _name_parts(blocks: list[Block]) -> None:
+    """Gives blocks the kinds of what they stand in.
+
+    An element that holds most of the page's words without a link, and in it an
+    article or the first heading, wraps the page: that its name also speaks of
+    a form or a sidebar says nothing of its blocks.
+    """
+    for b in blocks:
+        for h in b.within:
+            h.words += b.words - b.linked
+            h.leads = h.leads or b.tag == "h1" or "article" in b.kinds
+        for outer, h in zip(b.within, b.within[1:]):
+            outer.leads = outer.leads or "article" in h.kinds
+    whole = sum(b.words - b.linked for b in blocks)
+    for b in blocks:
+        b.kinds = b.kinds.union(*(h.kinds - _WRAPS if h.leads and 2 * h.words > whole else h.kinds for h in b.within))
+
+
 def features(blocks: list[Block]) -> np.ndarray:
     """One row of ``FEATURES`` per block."""
     words = np.array([b.words for b in blocks], float)

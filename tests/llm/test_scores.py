@@ -143,6 +143,30 @@ def test_main_text():
     assert len(blocks_of("<p>a<p>b<div>c</div>d")) == 4
 
 
+BODY = "<h1>A heading of the page</h1><p>" + "Some words of the article stand here. " * 8 + "</p><p>" + "And more of them follow. " * 9 + "</p>"
+MENU = "<nav><ul><li><a href=a>One</a></li><li><a href=b>Two</a></li></ul></nav>"
+
+
+@pytest.mark.parametrize("page", [
+    f"<html><head><title>t</title><body>{MENU}<article>{BODY}</article></body></html>",
+    f"<html><head><meta charset=utf-8><title>t</title><style>p {{}}</style>{MENU}<article>{BODY}</article>",
+    f"<html><head><title>t</title></head><body><iframe src=x><article>{BODY}</article></body></html>",
+    f"<body><form action=x>{MENU}<div>{BODY}</div></form></body>",
+    f"<body><form action=x>{MENU}<article>{BODY}</article></form></body>",
+    f"<body>{MENU}<div class='content has-sidebar'><article>{BODY}</article></div></body>",
+    f"<body>{MENU}<article class='post tags-social'>{BODY}</article></body>",
+])
+def test_main_text_of_other_layouts(page):
+    text = main_text(page, block_tree())
+    assert text.startswith("A heading of the page\n\nSome words") and text.endswith("follow.") and "One" not in text
+
+
+def test_parts_beside_the_article_stay_out():
+    talk = "<p>" + "Someone says a thing about it. " * 60 + "</p>"
+    page = f"<body><article>{BODY}</article><div class=comments><h2>Talk</h2>{talk}</div><div class=sidebar>{talk}</div><div hidden>{BODY}</div></body>"
+    assert "Someone" not in main_text(page, block_tree()) and main_text(page, block_tree()).count("A heading") == 1
+
+
 def test_main_text_of_pages(spark, table):
     got = {r.page_id: r for r in extract(table("pages")).collect()}
     for r in table("pages").collect():
