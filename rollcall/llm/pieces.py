@@ -59,17 +59,20 @@ class Encoder:
     """Ids by a vocabulary file, remembered per chunk (little-endian uint32).
 
     A new chunk that is a word with marks goes to the library's model as these
-    two pre-tokens; any other goes to the library whole.
+    two pre-tokens; any other goes to the library whole. Without ``specials``
+    the special strings are plain text.
     """
 
-    def __init__(self, name: str, cut: Callable[[str], list[str]], lower: bool):
+    def __init__(self, name: str, cut: Callable[[str], list[str]], lower: bool, specials: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from public_tokenizers import path
         from tokenizers import Tokenizer
 
         self.tok, self.cut, self.lower, self.known = Tokenizer.from_file(path(name)), cut, lower, {}
         self.model, self.letters = self.tok.model, _byte_letters()
-        self.special = sorted((t.content for t in self.tok.get_added_tokens_decoder().values()), key=len, reverse=True)
+        self.tok.encode_special_tokens = not specials
+        added = self.tok.get_added_tokens_decoder().values() if specials else ()
+        self.special = sorted((t.content for t in added), key=len, reverse=True)
         self.at_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
 
     def chunks(self, text: str) -> list[str]:

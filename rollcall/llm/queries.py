@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rollcall.llm.alignment import align
 from rollcall.llm.byte_conv import quality
 from rollcall.llm.decontaminate import SQL as LEAKS_SQL
 from rollcall.llm.decontaminate import find_leaks
+from rollcall.llm.importance import SQL as RESAMPLE_SQL
+from rollcall.llm.importance import resample
 from rollcall.llm.main_text import extract
 from rollcall.llm.packing import pack
 from rollcall.llm.registry import query, table
 from rollcall.llm.repetition import repetition
+from rollcall.llm.sharding import read_shards, text_bytes, write_shards
 from rollcall.llm.simhash import hexadecimal, near_groups
 from rollcall.llm.token_counts import count_tokens
 from rollcall.llm.token_planes import read_ids, write_ids
@@ -89,3 +93,25 @@ def op10_byte_conv(spark: SparkSession, sf: str) -> DataFrame:
     """Score of every document for quality."""
     scored = quality(table(spark, sf, "documents"), table(spark, sf, "labels"))
     return scored.select("doc_id", held_out(4, 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query()
+def op11_sharding(spark: SparkSession, sf: str) -> DataFrame:
+    """Shard and slot of every document, from the files of 40 shuffled shards."""
+    docs = table(spark, sf, "documents")
+    rows = read_shards(spark, write_shards(docs, shards=40), docs.schema)
+    text = F.col("record.text")
+    return rows.select("record.doc_id", (text_bytes(text) + 16).alias("size"), F.crc32(F.coalesce(text, F.lit(""))).alias("text_crc32"),
+                       F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query(RESAMPLE_SQL)
+def op12_resampling(spark: SparkSession, sf: str) -> DataFrame:
+    """Weight, score and rank of every document for a draw that resembles the benchmark."""
+    return resample(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query()
+def op13_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    """Groups and links of the tokens of two tokenizers, per document."""
+    return align(table(spark, sf, "documents"))
