@@ -20,6 +20,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +30,8 @@ from pyspark.sql import functions as F
 from rollcall.llm.pieces import BLANK, Encoder, blank_led
 from rollcall.session import shared_table
 
-#: Documents and bytes of a product, and bytes of chunks that a task remembers.
-DOCS, BYTES, REMEMBERED = 512, 1 << 21, 1 << 25
+#: Documents and bytes of a product; bytes of chunks, and words, that a worker remembers.
+DOCS, BYTES, REMEMBERED, WORDS = 512, 1 << 21, 1 << 25, 1 << 18
 _AFTER = re.compile(f"[^{BLANK}▁]([{BLANK}])")
 
 
@@ -167,22 +168,18 @@ class Aligner:
 
     def learn(self, new: list[str]) -> None:
         """Make the blocks of new chunks."""
-        first = len(self.text)
-        for c in new:
-            self.code[c] = len(self.code)
-            self.size += len(c) + 64
-        a_ids = [np.frombuffer(x, "<u4").astype(np.int64) for x in self.a.ids(new)]
-        b_ids = [np.array(x, np.int64) for x in self.b_ids(new)]
-        n_bytes = []
-        for k, c in enumerate(new):
-            raw = c.encode()
-            n_bytes.append(len(raw))
-            fits = b"".join([self.a_bytes[i] for i in a_ids[k]]) == raw and b"".join([self.b_bytes[i] for i in b_ids[k]]) == raw
-            self.facts[5].add(np.array([fits]))
-            if not fits:
-                a_ids[k], b_ids[k], n_bytes[k] = a_ids[k][:0], b_ids[k][:0], 0
-        chunk_a, chunk_b = (np.repeat(np.arange(len(new)), [len(x) for x in ids]) for ids in (a_ids, b_ids))
-        a, b = np.concatenate(a_ids), np.concatenate(b_ids)
+        self.code.update(zip(new, range(len(self.code), len(self.code) + len(new))))
+        self.size += sum(map(len, new)) + 64 * len(new)
+        raw, a_ids, b_ids = [c.encode() for c in new], list(self.a.ids(new)), self.b_ids(new)
+        if len(self.a.known) > WORDS:  # the blocks hold the chunks; these are only words met again in new ones
+            self.a.known.clear()
+        fits = self.spelled(raw, a_ids, b_ids)
+        for k in np.flatnonzero(~fits):
+            raw[k], a_ids[k], b_ids[k] = b"", b"", []
+        n_a, n_b = np.array([len(x) // 4 for x in a_ids]), np.array([len(x) for x in b_ids])
+        a = np.frombuffer(b"".join(a_ids), "<u4").astype(np.int64)
+        b = np.fromiter(chain.from_iterable(b_ids), np.int64, n_b.sum())
+        chunk_a = np.repeat(np.arange(len(new)), n_a)
         a_ends, b_ends = np.cumsum(self.a_len[a]), np.cumsum(self.b_len[b])
         links = overlaps(a_ends, b_ends)
         chunk = chunk_a[links.rows()]
@@ -191,24 +188,31 @@ class Aligner:
         # what every token of A shares its group with: the group incidence times the groups' numbers of B tokens
         mates = product(Csr.ones(np.ones(len(a), np.int64), of_a, len(cut)),
                         Csr(np.arange(len(cut) + 1), np.zeros(len(cut), np.int64), np.bincount(of_b, minlength=len(cut)), 1))
-        in_chunk = np.searchsorted(np.cumsum(n_bytes), cut)
+        in_chunk = np.searchsorted(np.cumsum([len(r) for r in raw]), cut)
         count = lambda owner, weights=None: np.bincount(owner, weights, minlength=len(new)).astype(np.int64)
-        for held, values in zip(self.facts, (count(chunk_a), count(chunk_b), count(in_chunk), count(chunk), count(chunk_a, mates.val))):
+        for held, values in zip(self.facts, (n_a, n_b, count(in_chunk), count(chunk), count(chunk_a, mates.val), fits)):
             held.add(values)
         pair, times = np.unique(chunk * (len(self.a_bytes) * self.n_b) + a[links.rows()] * self.n_b + b[links.col], return_counts=True)
         owner, pair = np.divmod(pair, len(self.a_bytes) * self.n_b)
         self.link.add(pair)
         self.times.add(times)
         self.ptr.add(self.ptr.all()[-1] + np.cumsum(count(owner)))
-        self.text += [b""] * len(new)
-        if not len(cut):
-            return
-        parts_a = np.split(a, np.flatnonzero(np.diff(of_a)) + 1)
-        parts_b = np.split(b, np.flatnonzero(np.diff(of_b)) + 1)
-        spelled = [f"{','.join(map(str, x.tolist()))}|{','.join(map(str, y.tolist()))}" for x, y in zip(parts_a, parts_b)]
-        at = np.r_[0, np.cumsum(count(in_chunk))]
-        for k in range(len(new)):
-            self.text[first + k] = ";".join(spelled[at[k]:at[k + 1]]).encode()
+        digits_a, digits_b = list(map(str, a.tolist())), list(map(str, b.tolist()))
+        ends = zip(np.searchsorted(of_a, np.arange(len(cut)), "right").tolist(), np.searchsorted(of_b, np.arange(len(cut)), "right").tolist())
+        spelled, i, j = [], 0, 0
+        for p, q in ends:
+            spelled.append(f"{','.join(digits_a[i:p])}|{','.join(digits_b[j:q])}")
+            i, j = p, q
+        i = 0
+        for p in np.cumsum(count(in_chunk)).tolist():
+            self.text.append(";".join(spelled[i:p]).encode())
+            i = p
+
+    def spelled(self, raw: list[bytes], a_ids: list[bytes], b_ids: list[list[int]]) -> np.ndarray:
+        """Which chunks are what their tokens of both kinds spell."""
+        a = [b"".join([self.a_bytes[i] for i in np.frombuffer(x, "<u4").tolist()]) for x in a_ids]
+        b = [b"".join([self.b_bytes[i] for i in x]) for x in b_ids]
+        return np.array([x == y == z for x, y, z in zip(raw, a, b)], bool)
 
     def documents(self, texts: list[str | None]) -> tuple[list[np.ndarray], Csr, list[str]]:
         """(per text: tokens of A, of B, groups, links, pairs in a group; texts x id pairs; digests)."""
