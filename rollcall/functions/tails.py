@@ -66,3 +66,60 @@ def normal_quantile(p: Column) -> Column:
     t = F.sqrt(-2.0 * F.log(F.least(p, 1.0 - p)))
     tail = poly(QUANTILE_TAIL[0], t) / poly(QUANTILE_TAIL[1], t)
     return F.when(p < QUANTILE_CUT, tail).when(p > 1.0 - QUANTILE_CUT, -tail).otherwise(mid)
+
+
+def _log_gamma_rise(x: Column, d: Column) -> Column:
+    """log gamma(x + d) - log gamma(x) for x of 20 or more; nothing large is subtracted, however large x is."""
+    tail = lambda v: 1 / (12 * v) - 1 / (360 * v ** 3) + 1 / (1260 * v ** 5)
+    return d * F.log(x) + (x + d - 0.5) * F.log1p(d / x) - d + tail(x + d) - tail(x)
+
+
+def _digamma_rise(x: Column, d: Column) -> Column:
+    tail = lambda v: -1 / (2 * v) - 1 / (12 * v ** 2) + 1 / (120 * v ** 4) - 1 / (252 * v ** 6) + 1 / (240 * v ** 8)
+    return F.log1p(d / x) + tail(x + d) - tail(x)
+
+
+def _trigamma_fall(x: Column, d: Column) -> Column:
+    tail = lambda v: 1 / (2 * v ** 2) + 1 / (6 * v ** 3) - 1 / (30 * v ** 5) + 1 / (42 * v ** 7) - 1 / (30 * v ** 9)
+    return d / (x * (x + d)) + tail(x) - tail(x + d)
+
+
+#: Terms of ``rising`` that are added one by one; the rest has a closed form there.
+_EXACT = 20
+
+
+def rising(a: Column, n: Column) -> Column:
+    """Struct of the sums over j = 0 .. n - 1 of log(a + j), 1 / (a + j) and 1 / (a + j)^2.
+
+    The first terms are added; beyond them, where a + j is at least 20, the
+    differences of gamma, digamma and trigamma are series of a few terms. So a
+    count of any size costs the same.
+    """
+    def sums(v: Column) -> Column:
+        a, n = v["a"], v["n"]
+        low = F.slice(F.sequence(F.lit(0), F.lit(_EXACT - 1)), F.lit(1), F.least(n, F.lit(_EXACT)).cast("int"))
+        added = lambda f: F.aggregate(low, F.lit(0.0), lambda s, j: s + f(a + j))
+        rest = lambda f: F.when(n > _EXACT, f(a + _EXACT, n - _EXACT)).otherwise(0.0)
+        return F.struct((added(F.log) + rest(_log_gamma_rise)).alias("s0"), (added(lambda x: 1 / x) + rest(_digamma_rise)).alias("s1"),
+                        (added(lambda x: 1 / (x * x)) + rest(_trigamma_fall)).alias("s2"))
+
+    # bound, so that the sums are made once however often they are used
+    return F.transform(F.array(F.struct(a.cast("double").alias("a"), n.cast("double").alias("n"))), sums)[0]
+
+
+def ratio_below_zero(weights: Column) -> Column:
+    """Probability that a sum of squared standard normal numbers with these weights is below zero.
+
+    The inversion integral of its characteristic function, over exp(pi / 2
+    sinh(g)), where equal steps of g converge at once: what is left of the
+    integrand neither oscillates nor has ends.
+    """
+    def term(k: Column) -> Column:
+        g = k / 16.0
+        u = F.exp(math.pi / 2 * F.sinh(g))
+        angle = F.aggregate(weights, F.lit(0.0), lambda s, w: s + F.atan(w * u))
+        size = F.aggregate(weights, F.lit(0.0), lambda s, w: s + F.log(1 + (w * u) * (w * u)))
+        return math.pi / 32 * F.cosh(g) * F.sin(angle / 2) / F.exp(size / 4)
+
+    total = F.aggregate(F.sequence(F.lit(-64), F.lit(64)), F.lit(0.0), lambda s, k: s + term(k))
+    return F.greatest(F.least(0.5 - total / math.pi, F.lit(1.0)), F.lit(0.0))

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from rollcall.functions.nulls import if_na, is_in, not_in, ratio, total
 from rollcall.functions.scalars import minutes_between, share_label
-from rollcall.operators.ranks import split_row_number
+from rollcall.operators.ranks import sorted_row_number
 from rollcall.operators.reshape import to_wide
 
 # Codes of the sighting sheet that carry no clock time.
@@ -99,47 +99,22 @@ def pause_ok(found: DataFrame, days: DataFrame, keys: Sequence[str]) -> DataFram
     return last.join(days, list(keys), "left").withColumn("exclude", flag)
 
 
-def id_ranges(df: DataFrame, entity: str, id_width: Column | int) -> Column:
-    """A column that rises with the id and takes many values: ranges of
-    ``id_width`` for numbers, for text the three letters after what the
-    smallest and the largest id have in common."""
-    if not isinstance(df.schema[entity].dataType, T.StringType):
-        return F.floor(F.col(entity) / id_width)
-    ends = df.agg(F.min(entity).alias("lo"), F.max(entity).alias("hi"))
-    same = F.filter(F.sequence(F.lit(1), F.length("lo")), lambda k: F.substring("lo", F.lit(1), k) == F.substring("hi", F.lit(1), k))
-    common = ends.select(F.coalesce(F.size(same), F.lit(0))).scalar()
-    return F.substring(F.col(entity), common + 1, F.lit(3))
-
-
-def arrival_rank(df: DataFrame, day: str, dur: str, entity: str, name: str = "arrival",
-                 id_width: Column | int = 1_000_000) -> DataFrame:
+def arrival_rank(df: DataFrame, day: str, dur: str, entity: str, name: str = "arrival") -> DataFrame:
     """Arrival order within the day; never-found entities come last, ties by entity.
 
-    Ordered by second and id range, so a busy day is sorted by many tasks. The
-    ids divide the rows of a second only where all of them have one time: no
-    time at all, or that of the minute in which everybody was found.
+    Numbers come from a sort over ranges of (day, time, entity), so neither a
+    busy day nor a crowded second, of one time or of many, is one task's work.
     """
-    text = isinstance(df.schema[entity].dataType, T.StringType)
-    last_bin, time = 1_000_000_000, F.col(dur)
-    cut = df.withColumns({"_minute": F.coalesce(F.floor(time), F.lit(last_bin)),
-                          "_unit": F.coalesce(F.floor((time - F.floor(time)) * 60), F.lit(-1))})
-    spread = cut.groupBy(day, "_minute", "_unit").agg(
-        F.coalesce(F.min(dur) == F.max(dur), F.lit(True)).alias("_one_time"))
-    cut = cut.join(spread, [day, "_minute", "_unit"])
-    ids = F.when(F.col("_one_time"), id_ranges(df, entity, id_width)).otherwise(F.lit("") if text else F.lit(0))
-    order = [F.col(dur).asc_nulls_last(), F.col(entity)]
-    slices = {"_minute": F.col("_minute"), "_unit": F.col("_unit"), "_ids": ids}
-    return split_row_number(cut, [day], order, slices, name).drop("_one_time")
-
-
-def arrival_curve(found: DataFrame, day: str = "day", entity: str = "entity",
-                  id_width: Column | int = 1_000_000) -> DataFrame:
+    return sorted_row_number(df, [day], [F.col(dur).asc_nulls_last(), F.col(entity)], name)
+
+
+def arrival_curve(found: DataFrame, day: str = "day", entity: str = "entity") -> DataFrame:
     """Minutes to first sighting, arrival order and cumulative share found.
 
     ``found`` needs ``start``, ``found_time`` and ``max_entity``.
     """
     timed = found.withColumn("dur", minutes_between(F.col("start"), F.col("found_time")))
-    ranked = arrival_rank(timed, day, "dur", entity, "arrival", id_width)
+    ranked = arrival_rank(timed, day, "dur", entity, "arrival")
     return ranked.withColumn("prop", ratio(F.col("arrival"), F.col("max_entity")))
 
 
@@ -217,8 +192,8 @@ def attendance_rate(panel: DataFrame, by: Sequence[str], presence: str = "presen
     return counts.withColumn("prop", ratio(F.col("n"), F.col("possible")))
 
 
-def attendance_table(rates: DataFrame, row: str, column: str, levels: Sequence[str]) -> DataFrame:
-    """'0.83(10/12)' per row entity and listed column level."""
+def attendance_table(rates: DataFrame, row: str, column: str, levels: Sequence[str] | None = None) -> DataFrame:
+    """'0.83(10/12)' per row entity and column level, all of them unless listed."""
     labelled = rates.withColumn("label", share_label(F.col("n"), F.col("possible")))
     return to_wide(labelled, [row], column, "label", levels, F.max)
 

@@ -6,6 +6,7 @@ calendar; every series is handled by the same grouped plan.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -15,7 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from rollcall.functions.tails import chi_square_upper
+from rollcall.functions.tails import chi_square_upper, ratio_below_zero
+from rollcall.operators.draws import uniform
 
 
 def _keyed(df: DataFrame, by: Sequence[str]) -> tuple[DataFrame, list[str]]:
@@ -107,12 +109,31 @@ def durbin_watson(df: DataFrame, day: str, value: str, by: Sequence[str] = ()) -
     return out.drop("_series")
 
 
+def durbin_watson_test(df: DataFrame, day: str, value: str, by: Sequence[str] = ()) -> DataFrame:
+    """The statistic with its exact p-values for independent normal values.
+
+    The statistic is a ratio of quadratic forms whose eigenvalues depend on the
+    length of the series alone. ``p_positive`` is the chance of a smaller one,
+    ``p_value`` counts both sides; both are null for fewer than three values.
+    """
+    out = durbin_watson(df, day, value, by)
+    n = F.col("n")
+    weights = F.transform(F.sequence(F.lit(1).cast("bigint"), n - 1), lambda j: 2 - 2 * F.cos(math.pi * j / n) - F.col("dw"))
+    out = out.withColumn("p_positive", F.when((n > 2) & F.col("dw").isNotNull(), ratio_below_zero(weights)))
+    return out.withColumn("p_value", F.least(2 * F.least(F.col("p_positive"), 1 - F.col("p_positive")), F.lit(1.0)))
+
+
+def regrouped(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """Residuals summed per key (a day, an entity), before a test of the sums."""
+    return df.filter(F.col(value).isNotNull()).groupBy(*by).agg(F.sum(value).alias(value))
+
+
 def scaled_residuals(sim: DataFrame, observed: DataFrame, keys: Sequence[str], y: str, seed: int) -> DataFrame:
     """Share of simulated values below the observed one; ties are spread by a
     seeded uniform number per row key."""
     keys = list(keys)
     joined = sim.select(*keys, F.col("y").alias("_sim")).join(observed.select(*keys, F.col(y).alias("_obs")), keys)
-    u = (F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1_000_003)) + 0.5) / 1_000_003.0
+    u = uniform(seed, *keys)
     shares = joined.groupBy(*keys).agg(
         F.avg(F.when(F.col("_sim") < F.col("_obs"), 1.0).otherwise(0.0)).alias("below"),
         F.avg(F.when(F.col("_sim") == F.col("_obs"), 1.0).otherwise(0.0)).alias("tied"))

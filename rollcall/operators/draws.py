@@ -7,15 +7,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from rollcall.functions.nulls import if_na
 from rollcall.functions.scalars import draw_index
-from rollcall.functions.tails import normal_quantile
+from rollcall.functions.tails import normal_quantile, rising
 from rollcall.operators.ranks import exact_quantiles, split_row_number
 from rollcall.operators.reshape import to_long
 from rollcall.session import cut_lineage, shared_table
@@ -61,12 +59,48 @@ def pair_differences(draws: DataFrame, level: str = "variable", keys: Sequence[s
                         (F.col("x.v") - F.col("y.v")).alias("value"))
 
 
+#: Bytes of level arrays that one task of ``pairwise_contrasts`` holds, about.
+TILE_BYTES = 8 << 20
+
+
 def pairwise_contrasts(draws: DataFrame, level: str = "variable", keys: Sequence[str] = KEYS,
                        levels: Sequence[str] | None = None) -> DataFrame:
-    """Mean and 95 % interval of every level difference."""
-    diffs = pair_differences(draws, level, keys, levels)
-    return exact_quantiles(diffs, ["level1", "level2"], "value", {"lo": 0.025, "hi": 0.975},
-                           extra={"mean": F.avg("value")})
+    """Mean and 95 % interval of every level difference.
+
+    A level is one row: the array of its values in the order of the draws, one
+    value each. Levels are dealt into tiles and joined tile by tile, and mean
+    and quantiles are taken inside the row of a pair, so no difference is ever
+    shuffled. Draws that only one of two levels has are left out of the pair; a
+    level with two values for a draw raises.
+    """
+    draws = draws if levels is None else draws.filter(F.col(level).isin(list(levels)))
+    entry = F.struct(F.struct(*keys).alias("k"), F.col("value").cast("double").alias("v"))
+    folded = draws.filter(F.col("value").isNotNull()).groupBy(F.col(level).alias("l")).agg(F.array_sort(F.collect_list(entry)).alias("s"))
+    twice = F.raise_error(F.concat(F.lit("two values for a draw of "), F.col("l").cast("string")))
+    rows = folded.select("l", F.col("s.k").alias("k"), F.col("s.v").alias("v"))
+    rows = rows.withColumn("k", F.when(F.size(F.array_distinct("k")) == F.size("k"), F.col("k")).otherwise(twice))
+    rows = shared_table(rows.withColumn("same", F.xxhash64("k")))
+    n_levels, longest = rows.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
+    tiles = max(1, -(-n_levels * 8 * (longest or 1) // TILE_BYTES))
+    own = F.pmod(F.xxhash64("l"), F.lit(tiles)).cast("int")
+    dealt = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
+    side = lambda p, q: dealt.select(F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own",
+                                     *[F.col(c).alias(f"{c}{p}") for c in ("l", "k", "v", "same")]).withColumnRenamed("own", q)
+    # a pair meets in the tile pair of its two tiles alone
+    pairs = side(1, "own1").join(side(2, "own2"), ["i", "j"]).filter(
+        (F.col("l1") < F.col("l2")) & (F.least("own1", "own2") == F.col("i")) & (F.greatest("own1", "own2") == F.col("j")))
+    both = F.array_intersect("k1", "k2")
+    met = lambda c: F.transform(both, lambda k: F.element_at(F.map_from_arrays(f"k{c}", f"v{c}"), k))
+    first, second = (F.when(F.col("same1") == F.col("same2"), F.col(f"v{c}")).otherwise(met(c)) for c in (1, 2))
+    diffs = pairs.select("l1", "l2", F.sort_array(F.zip_with(first, second, lambda x, y: x - y)).alias("d")).filter(F.size("d") > 0)
+
+    def quantile(p: float) -> Column:
+        h = (F.size("d") - 1) * p
+        low, high = F.get("d", F.floor(h).cast("int")), F.get("d", F.ceil(h).cast("int"))
+        return low + (high - low) * (h - F.floor(h))
+
+    mean = F.aggregate("d", F.lit(0.0), lambda s, x: s + x) / F.size("d")
+    return diffs.select(F.col("l1").alias("level1"), F.col("l2").alias("level2"), quantile(0.025).alias("lo"), quantile(0.975).alias("hi"), mean.alias("mean"))
 
 
 def _equal_chains(draws: DataFrame) -> DataFrame:
@@ -241,36 +275,55 @@ def level_posterior(draws: DataFrame, data: DataFrame, index: str, level: str) -
     return interval(indexed, [level])
 
 
+def uniform(seed: int, *keys) -> Column:
+    """A number in (0, 1) for every value of the keys, from the first 52 bits of md5('seed:key:key').
+
+    It depends on nothing else, so a retried task repeats it, and any engine can.
+    """
+    text = F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys])
+    return (F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("bigint") + 0.5) / float(1 << 52)
+
+
 def sample_iterations(draws: DataFrame, n: int, seed: int) -> DataFrame:
-    """``n`` iterations drawn without replacement, by a seeded hash order."""
-    order = F.xxhash64(F.lit(seed), "chain", "iteration")
+    """``n`` iterations drawn without replacement, by the order of md5('seed:chain:iteration')."""
+    order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("chain").cast("string"), F.col("iteration").cast("string")).cast("binary"))
     return draws.select("chain", "iteration").distinct().orderBy(order, "chain", "iteration").limit(n)
 
 
-def simulate_counts(draws: DataFrame, data: DataFrame, index: str, size: str, precision: float,
+def beta_binomial_quantile(u: Column, n: Column, a: Column, b: Column) -> Column:
+    """The smallest count whose cumulative probability reaches ``u``, of n trials with a share from Beta(a, b).
+
+    Probabilities follow from each other by their ratio, on the log scale, so
+    none is lost where the first ones are too small for a double.
+    """
+    zero = rising(b, n)["s0"] - rising(a + b, n)["s0"]
+    start = F.struct(zero.alias("lp"), F.lit(0.0).alias("cdf"), F.lit(0).cast("bigint").alias("y"))
+
+    def step(s: Column, k: Column) -> Column:
+        cdf = s["cdf"] + F.exp(s["lp"])
+        ratio = (n - k) * (a + k) / ((k + 1) * (b + n - k - 1))
+        return F.struct((s["lp"] + F.log(ratio)).alias("lp"), cdf.alias("cdf"), (s["y"] + (cdf < u).cast("bigint")).alias("y"))
+
+    counted = F.aggregate(F.sequence(F.lit(0).cast("bigint"), n - 1), start, step, lambda s: s["y"])
+    return F.when(n > 0, counted).when(n == 0, F.lit(0).cast("bigint"))
+
+
+def simulate_counts(draws: DataFrame, data: DataFrame, index: str, size: str, precision: float | str,
                     n_draws: int = 1000, seed: int = 1) -> DataFrame:
     """Beta-binomial predictive counts for every data row and sampled draw.
 
-    ``draws`` holds one probability per (chain, iteration, index). A group is
-    one index with its ``n_draws`` sampled values, and its random stream is
-    seeded by (seed, index): a retried task repeats its numbers.
+    ``draws`` holds one probability per (chain, iteration, index); ``precision``
+    is a number, or the column of ``draws`` with that of the same draw. A count
+    is the quantile of a uniform number of (seed, index, chain, iteration), all
+    in built-in functions.
     """
-    chosen = draws.join(sample_iterations(draws, n_draws, seed), list(KEYS))
-    rows = chosen.join(data.select(index, size), index).select(
-        F.col(index).cast("bigint").alias("idx"), F.col(size).cast("bigint").alias("size"),
-        F.col("chain").cast("bigint").alias("chain"), F.col("iteration").cast("bigint").alias("iteration"),
-        F.col("value").alias("p"))
-
-    def simulate(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["chain", "iteration"])
-        rng = np.random.default_rng([seed, int(pdf["idx"].iloc[0])])
-        p = pdf["p"].clip(1e-6, 1 - 1e-6).to_numpy()
-        theta = rng.beta(p * precision, (1 - p) * precision)
-        pdf = pdf.assign(y=rng.binomial(pdf["size"].to_numpy(), theta))
-        return pdf[["idx", "chain", "iteration", "y"]]
-
-    out = rows.groupBy("idx").applyInPandas(simulate, "idx bigint, chain bigint, iteration bigint, y bigint")
-    return out.withColumnRenamed("idx", index)
+    given = F.col(precision) if isinstance(precision, str) else F.lit(float(precision))
+    chosen = draws.select(*KEYS, index, F.col("value").alias("_p"), given.alias("_precision")).join(sample_iterations(draws, n_draws, seed), list(KEYS))
+    rows = chosen.join(data.select(index, F.col(size).cast("bigint").alias("_size")), index)
+    rows = rows.withColumns({"_a": F.col("_p") * F.col("_precision"), "_b": F.col("_precision") - F.col("_p") * F.col("_precision")})
+    y = beta_binomial_quantile(uniform(seed, index, *KEYS), F.col("_size"), F.col("_a"), F.col("_b"))
+    return rows.select(F.col(index).cast("bigint").alias(index), F.col("chain").cast("bigint").alias("chain"),
+                       F.col("iteration").cast("bigint").alias("iteration"), y.alias("y"))
 
 
 def predictive_long(sim: DataFrame, observed: DataFrame, index: str, y: str) -> DataFrame:

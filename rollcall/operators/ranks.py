@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from rollcall.session import cut_lineage
+
 
 def split_row_number(df: DataFrame, by: Sequence[str], order: Sequence[Column],
                      slices: Mapping[str, Column], name: str) -> DataFrame:
@@ -30,6 +32,26 @@ def split_row_number(df: DataFrame, by: Sequence[str], order: Sequence[Column],
             .drop("_within", "_before", *slices))
 
 
+def sorted_row_number(df: DataFrame, by: Sequence[str], order: Sequence[Column], name: str) -> DataFrame:
+    """``row_number`` over (by, order), by one sort over ranges of both together.
+
+    A range is a partition: a group of any size, with any ties in its first
+    columns, is dealt over many. The sorted rows are written once; a row's
+    number is its place in its partition and the sizes of the group's parts in
+    earlier ones, of which there are no more than groups and partitions.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = [*[F.col(c) for c in by], *order]
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    dealt = cut_lineage(df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
+                        .withColumn("_part", F.spark_partition_id()).withColumn("_at", place))
+    sizes = dealt.groupBy(*by, "_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    earlier = W.partitionBy(*by).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    sizes = sizes.select(*by, "_part", (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first") + 1).alias("_before"))
+    return (dealt.join(sizes, [*by, "_part"]).withColumn(name, (F.col("_at") + F.col("_before")).cast("bigint"))
+            .drop("_part", "_at", "_before"))
+
+
 def exact_quantiles(df: DataFrame, by: Sequence[str], col: str, probs: Mapping[str, float],
                     accuracy: int = 10_000, extra: Mapping[str, Column] | None = None) -> DataFrame:
     """Linear-interpolation quantiles, exact, without buffering a group.

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from rollcall.functions.nulls import n_distinct
 from rollcall.operators.calendar import grid
+from rollcall.operators.reshape import listed
 
 
 def incident_rate(incidents: DataFrame, exposure: DataFrame, keys: Sequence[str], per_minutes: float = 60.0,
@@ -35,10 +36,12 @@ def rate_by_actor(incidents: DataFrame, exposure: DataFrame, nesting: Sequence[s
     """Rate by actor class ('other' when not listed) and target state.
 
     Every observed day gets every class and state; rows stay only where the
-    actor was available. ``availability`` has the nesting day, the actor class
+    actor was available. A state that is neither listed nor null raises.
+    ``availability`` has the nesting day, the actor class
     and ``available``; a missing row counts as available.
     """
     classed = incidents.withColumn("actor_class", F.when(F.col(actor).isin(list(actors)), F.col(actor)).otherwise("other"))
+    classed = classed.withColumn(state, listed(F.col(state), states, state).cast(classed.schema[state].dataType))
     counted = (classed.filter(F.col(state).isNotNull())
                .groupBy(*nesting, "actor_class", state).agg(F.count(F.lit(1)).alias("n_inc")))
     frame = grid(exposure.select(*nesting, dur), {

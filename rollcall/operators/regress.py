@@ -23,6 +23,7 @@ from rollcall.functions.scalars import interval_label, inverse_logit, level_inde
 from rollcall.functions.tails import normal_cdf
 from rollcall.session import cut_lineage
 
+# Fixed value: the 97.5 % quantile of the normal distribution.
 Z95 = 1.959963984540054
 
 
@@ -149,13 +150,13 @@ def _mean_slope(link: str, eta: Column, mu: Column) -> Column:
 
 
 def fit_glm(df: DataFrame, formula: str, family: str, link: str, offset: str | None = None,
-            weight: str | None = None, cluster: str | None = None, alpha: float = 0.0,
-            covariance: bool = True, keep: bool = True, overdispersed: bool = False) -> Fit:
+            weight: str | None = None, cluster: str | Sequence[str] | None = None, alpha: float = 0.0,
+            covariance: bool = True, keep: bool = True, overdispersed: bool = False, steps: int = 100) -> Fit:
     """Fit and return coefficients with their covariance.
 
     The covariance is the inverse information, or the cluster-robust sandwich
-    when ``cluster`` is given (score sums per cluster are one map-side combined
-    aggregate). Families with a scale of their own (gamma, gaussian) are scaled
+    when ``cluster`` is given: one column, or two that cross (see
+    ``clustered_meat``). A fit that has not settled after ``steps`` raises. Families with a scale of their own (gamma, gaussian) are scaled
     by the Pearson dispersion. Binomial fits are not, so rows folded to counts
     per pattern give the errors of the rows themselves; ``overdispersed`` asks
     for the scaling, for true counts out of trials. The frame
@@ -163,13 +164,14 @@ def fit_glm(df: DataFrame, formula: str, family: str, link: str, offset: str | N
     of the model: the solver passes over it many times and must not recompute
     what produced it.
     """
-    df = _kept(df, formula, offset, weight, cluster) if keep else df
+    clusters = cluster_columns(cluster)
+    df = _kept(df, formula, offset, weight, *clusters) if keep else df
     design = make_design(df, formula)
     names, coded = zip(*design.coded())
-    df = df.dropna(subset=[design.response, *design.columns, *[c for c in (offset, weight, cluster) if c]])
+    df = df.dropna(subset=[design.response, *design.columns, *[c for c in (offset, weight, *clusters) if c]])
     ready = df.withColumns({"_features": array_to_vector(F.array(*coded)), "_label": F.col(design.response).cast("double")})
     glm_family = "poisson" if family == "negbin" else family
-    params = dict(featuresCol="_features", labelCol="_label", family=glm_family, link=link, maxIter=50, tol=1e-8)
+    params = dict(featuresCol="_features", labelCol="_label", family=glm_family, link=link, maxIter=steps, tol=1e-8)
     if offset:
         params["offsetCol"] = offset
     if family == "negbin":
@@ -177,10 +179,48 @@ def fit_glm(df: DataFrame, formula: str, family: str, link: str, offset: str | N
     elif weight:
         params["weightCol"] = weight
     model = GeneralizedLinearRegression(**params).fit(ready)
+    if model.summary.numIterations >= steps:
+        raise RuntimeError(f"{formula}: not settled after {steps} steps")
     beta = np.append(np.asarray(model.coefficients.toArray()), model.intercept)
     fit = Fit(design, [*names, "(Intercept)"], beta, np.zeros((len(beta), len(beta))), family, link, 1.0, offset)
 
-    return with_covariance(fit, df, weight, cluster, alpha, overdispersed) if covariance else fit
+    return with_covariance(fit, df, weight, clusters, alpha, overdispersed) if covariance else fit
+
+
+def cluster_columns(cluster: str | Sequence[str] | None) -> list[str]:
+    """One or two grouping columns as a list; more than two raise."""
+    out = [cluster] if isinstance(cluster, str) else list(cluster or [])
+    if len(out) > 2:
+        raise ValueError("errors cross two groupings at most")
+    return out
+
+
+def clustered_meat(rows: DataFrame, clusters: Sequence[str], scores: Sequence[Column]) -> np.ndarray:
+    """Sum of the products of the clusters' score sums.
+
+    Two groupings that cross: the matrix by the one, plus that by the other,
+    less that by both together, for what is in the same group of either counts
+    once. The rows are folded to pairs of groups first, which both roll up.
+    """
+    names = [f"_g{i}" for i in range(len(scores))]
+    pairs = [(i, j) for i in range(len(scores)) for j in range(i, len(scores))]
+
+    def products(df: DataFrame) -> np.ndarray:
+        row = df.agg(*[F.sum(F.col(names[i]) * F.col(names[j])).alias(f"m{i}_{j}") for i, j in pairs]).first()
+        return _symmetric(row, "m", len(names))
+
+    folded = rows.groupBy(*clusters).agg(*[F.sum(s).alias(n) for n, s in zip(names, scores)])
+    if len(clusters) == 1:
+        return products(folded)
+    folded = cut_lineage(folded)
+    by = lambda c: products(folded.groupBy(c).agg(*[F.sum(n).alias(n) for n in names]))
+    return by(clusters[0]) + by(clusters[1]) - products(folded)
+
+
+def nearest_covariance(cov: np.ndarray) -> np.ndarray:
+    """``cov`` with its negative eigenvalues, which a difference of matrices can have, set to zero."""
+    values, vectors = np.linalg.eigh((cov + cov.T) / 2)
+    return cov if values[0] >= 0 else (vectors * np.maximum(values, 0)) @ vectors.T
 
 
 def _kept(df: DataFrame, formula: str, *others: str | None) -> DataFrame:
@@ -188,9 +228,9 @@ def _kept(df: DataFrame, formula: str, *others: str | None) -> DataFrame:
     return cut_lineage(df.select(*dict.fromkeys([response, *(c for t in terms for c in t), *(c for c in others if c)])))
 
 
-def with_covariance(fit: Fit, df: DataFrame, weight: str | None = None, cluster: str | None = None, alpha: float = 0.0,
-                    overdispersed: bool = False) -> Fit:
-    """Covariance of a fit over its frame: one aggregate, two with clusters."""
+def with_covariance(fit: Fit, df: DataFrame, weight: str | None = None, cluster: str | Sequence[str] | None = None,
+                    alpha: float = 0.0, overdispersed: bool = False) -> Fit:
+    """Covariance of a fit over its frame: one aggregate, two with clusters, four with crossed ones."""
     family, link, offset, beta = fit.family, fit.link, fit.offset, fit.beta
     x = F.col("_x")
     rows = fit.with_design(df).withColumn("_y", F.col(fit.design.response).cast("double"))
@@ -207,10 +247,8 @@ def with_covariance(fit: Fit, df: DataFrame, weight: str | None = None, cluster:
                     *[F.sum(F.col("_w") * x[i] * x[j]).alias(f"i{i}_{j}") for i, j in upper]).first()
     bread = np.linalg.pinv(_symmetric(info, "i", p))
     fit.dispersion = float(info["r"]) / max(info["n"] - p, 1)
-    if cluster:
-        scores = rows.groupBy(cluster).agg(*[F.sum(F.col("_s") * x[i]).alias(f"g{i}") for i in range(p)])
-        meat = scores.agg(*[F.sum(F.col(f"g{i}") * F.col(f"g{j}")).alias(f"m{i}_{j}") for i, j in upper]).first()
-        fit.cov = bread @ _symmetric(meat, "m", p) @ bread
+    if clusters := cluster_columns(cluster):
+        fit.cov = nearest_covariance(bread @ clustered_meat(rows, clusters, [F.col("_s") * x[i] for i in range(p)]) @ bread)
     else:
         scaled = overdispersed or family not in ("binomial", "poisson", "negbin")
         fit.cov = bread * (fit.dispersion if scaled else 1.0)
@@ -222,10 +260,11 @@ def _symmetric(row, prefix: str, p: int) -> np.ndarray:
 
 
 def fit_negbin(df: DataFrame, formula: str, offset: str | None = None, cluster: str | None = None,
-               rounds: int = 6, tol: float = 1e-4) -> tuple[Fit, float]:
+               rounds: int = 100, tol: float = 1e-6) -> tuple[Fit, float]:
     """Negative-binomial counts: Poisson fits with weights 1 / (1 + alpha mu),
-    alpha from the moment equation, repeated until alpha settles. The fixed
-    point solves the score equations of the quadratic-variance model."""
+    alpha from the moment equation, repeated until alpha settles; raises if it
+    does not. The fixed point solves the score equations of the quadratic-variance
+    model. ``likelihood.fit_negbin_likelihood`` has the alpha of greatest likelihood."""
     df = _kept(df, formula, offset, cluster)
     alpha, quiet = 0.0, dict(covariance=False, keep=False)
     fit = fit_glm(df.withColumn("_nbw", F.lit(1.0)), formula, "negbin", "log", offset, **quiet)
@@ -240,8 +279,8 @@ def fit_negbin(df: DataFrame, formula: str, offset: str | None = None, cluster:
         weighted = rows.withColumn("_nbw", 1.0 / (1.0 + alpha * mu)).select(*df.columns, "_nbw")
         fit = fit_glm(weighted, formula, "negbin", "log", offset, **quiet)
         if done:
-            break
-    return with_covariance(fit, df, cluster=cluster, alpha=alpha), alpha
+            return with_covariance(fit, df, cluster=cluster, alpha=alpha), alpha
+    raise RuntimeError(f"{formula}: alpha not settled after {rounds} rounds")
 
 
 def coef_table(spark, fit: Fit) -> DataFrame:

@@ -31,15 +31,42 @@ def to_long(df: DataFrame, ids: Sequence[str], cols: Sequence[str], name: str, v
     return df.unpivot([F.col(c) for c in ids], [F.col(f"`{c}`") for c in cols], name, value)
 
 
-def to_wide(df: DataFrame, keys: Sequence[str], name: str, value: str, levels: Sequence,
+def levels_of(df: DataFrame, name: str, most: int = 10_000) -> list:
+    """All values of a column but null, in order: the columns of a wide form. More than ``most`` raise."""
+    found = [r[0] for r in df.select(name).filter(F.col(name).isNotNull()).distinct().limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"{name} has more than {most} values")
+    return sorted(found)
+
+
+def listed(col: Column, levels: Sequence, name: str) -> Column:
+    """``col``; a value that is neither listed nor null raises where it is met."""
+    other = F.raise_error(F.concat(F.lit(f"{name} has a value that is not listed: "), col.cast("string")))
+    return F.when(col.isNull() | col.isin(list(levels)), col).otherwise(other)
+
+
+def to_wide(df: DataFrame, keys: Sequence[str], name: str, value: str, levels: Sequence | None = None,
             agg=F.first) -> DataFrame:
-    """One column per listed level. Listing them spares Spark a pass to find them."""
+    """One column per level: of all that the column holds, or of the listed ones,
+    which spares a pass to find them; a level that is not listed raises."""
+    if levels is None:
+        levels = levels_of(df, name)
+    else:
+        df = df.withColumn(name, listed(F.col(name), levels, name).cast(df.schema[name].dataType))
+    if not levels:
+        return df.select(*keys).distinct()
     return df.groupBy(*keys).pivot(name, list(levels)).agg(agg(value))
 
 
-def to_wide_many(df: DataFrame, keys: Sequence[str], name: str, levels: Sequence,
+def to_wide_many(df: DataFrame, keys: Sequence[str], name: str, levels: Sequence | None,
                  aggs: Mapping[str, Column]) -> DataFrame:
-    """Several statistics per level, named ``<stat>_<level>``."""
+    """Several statistics per level, named ``<stat>_<level>``; levels as for ``to_wide``."""
+    if levels is None:
+        levels = levels_of(df, name)
+    else:
+        df = df.withColumn(name, listed(F.col(name), levels, name).cast(df.schema[name].dataType))
+    if not levels:
+        return df.select(*keys).distinct()
     named = [expr.alias(stat) for stat, expr in aggs.items()]
     wide = df.groupBy(*keys).pivot(name, list(levels)).agg(*named)
     renames = {f"{lv}_{stat}": f"{stat}_{lv}" for lv in levels for stat in aggs}
@@ -80,8 +107,8 @@ def dummies(col: Column, values: Sequence, prefix: str) -> dict[str, Column]:
     return {f"{prefix}{v}": F.when(col == v, 1).when(col != v, 0) for v in values}
 
 
-def edges_to_matrix(edges: DataFrame, a: str, b: str, w: str, levels: Sequence) -> DataFrame:
-    """Display form of an edge table over a short listed set of columns."""
+def edges_to_matrix(edges: DataFrame, a: str, b: str, w: str, levels: Sequence | None = None) -> DataFrame:
+    """Display form of an edge table: a row and a column per node; levels as for ``to_wide``."""
     both = edges.select(F.col(a), F.col(b), F.col(w)).unionByName(
         edges.select(F.col(b).alias(a), F.col(a).alias(b), F.col(w)))
-    return both.groupBy(a).pivot(b, list(levels)).agg(F.first(w))
+    return to_wide(both, [a], b, w, levels)

@@ -9,6 +9,8 @@ from rollcall.functions.scalars import net_minutes
 from rollcall.operators import attendance as at
 from rollcall.operators.calendar import calendar, day_span, join_days, prev_day
 from rollcall.operators.transitions import transition_flags
+from rollcall.plans import registry
+from rollcall.session import shared_table
 
 EXCLUDED_GROUPS = ["g20240108_1"]
 TROOP = 50  # members of a social unit at most, by construction of the ids
@@ -29,17 +31,24 @@ def ev(spark: SparkSession, sf: str) -> DataFrame:
     return out.withColumn("period", period_of(F.col("day")))
 
 
-def users(spark: SparkSession, sf: str) -> DataFrame:
-    return ev(spark, sf).select("entity").distinct()
+_FOLDED: dict[tuple[str, str], DataFrame] = {}
+registry.ON_START.append(_FOLDED.clear)
 
 
-def span(spark: SparkSession, sf: str) -> Column:
-    return day_span(ev(spark, sf))
+def entity_days(spark: SparkSession, sf: str) -> DataFrame:
+    """The events folded to one row per entity and day, written once for all branches of a query."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _FOLDED:
+        _FOLDED[key] = shared_table(seen(spark, sf))
+    return _FOLDED[key]
+
+
+def users(spark: SparkSession, sf: str) -> DataFrame:
+    return entity_days(spark, sf).select("entity").distinct()
 
 
-def id_width(spark: SparkSession, sf: str) -> Column:
-    """Width of one of 256 equal id ranges."""
-    return F.greatest(F.ceil((ev(spark, sf).select(F.max("entity")).scalar() + 1) / 256), F.lit(1))
+def span(spark: SparkSession, sf: str) -> Column:
+    return day_span(entity_days(spark, sf))
 
 
 def seen(spark: SparkSession, sf: str) -> DataFrame:
@@ -50,8 +59,7 @@ def seen(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def seen_days(spark: SparkSession, sf: str) -> DataFrame:
-    days = ev(spark, sf).select("entity", "day").distinct()
-    return days.withColumn("period", period_of(F.col("day")))
+    return entity_days(spark, sf).select("entity", "day", period_of(F.col("day")).alias("period"))
 
 
 def presence(spark: SparkSession, sf: str) -> DataFrame:
@@ -63,7 +71,7 @@ def presence_timed(spark: SparkSession, sf: str) -> DataFrame:
     """Presence grid that keeps first and last sighting (null when absent)."""
     from rollcall.operators.calendar import complete_calendar
 
-    first_last = seen(spark, sf).select("entity", "day", "first_seen", "last_seen")
+    first_last = entity_days(spark, sf).select("entity", "day", "first_seen", "last_seen")
     full = complete_calendar(first_last, "day", ["entity"], span(spark, sf))
     return full.withColumns({"present": F.col("first_seen").isNotNull().cast("int"), "period": period_of(F.col("day"))})
 
@@ -88,7 +96,7 @@ def sighting_codes(rows: DataFrame) -> DataFrame:
 
 def day_obs(spark: SparkSession, sf: str) -> DataFrame:
     """One row per observed day (bounded by the calendar)."""
-    days = ev(spark, sf).groupBy("day").agg(F.min("ts").alias("start"), F.max("ts").alias("fin"))
+    days = entity_days(spark, sf).groupBy("day").agg(F.min("first_seen").alias("start"), F.max("last_seen").alias("fin"))
     paused = F.dayofmonth("day") % 7 == 0
     return days.select("day", period_of(F.col("day")).alias("period"), "start", "fin",
                        F.when(paused, F.col("start") + F.expr("interval 4 hours")).alias("suspend"),
@@ -173,9 +181,7 @@ def trans(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def state(spark: SparkSession, sf: str) -> DataFrame:
-    bought = F.max(F.when(F.col("event_type") == "purchase", 1).otherwise(0)).alias("bought")
-    return (ev(spark, sf).groupBy("entity", "day").agg(bought)
-            .select("entity", "day", F.when(F.col("entity") % 19 != 0, F.col("bought")).alias("rs")))
+    return entity_days(spark, sf).select("entity", "day", F.when(F.col("entity") % 19 != 0, F.col("bought")).alias("rs"))
 
 
 def incidents(spark: SparkSession, sf: str) -> DataFrame:
@@ -189,7 +195,7 @@ def incidents(spark: SparkSession, sf: str) -> DataFrame:
 
 def kin(spark: SparkSession, sf: str) -> DataFrame:
     """Listed relatives: a few rows per entity."""
-    top = ev(spark, sf).select(F.max("entity")).scalar()
+    top = entity_days(spark, sf).select(F.max("entity")).scalar()
     rel = F.array(*[F.struct(F.lit(d).alias("d"), F.lit(k).alias("k")) for d, k in ((10, 0.5), (-10, 0.5), (5, 0.25), (-5, 0.25))])
     return (users(spark, sf).withColumn("r", F.explode(rel))
             .select("entity", (F.col("entity") + F.col("r.d")).alias("entity2"), F.col("r.k").alias("kin"))
@@ -203,9 +209,9 @@ def focal(spark: SparkSession, sf: str) -> DataFrame:
 
 def keyed(spark: SparkSession, sf: str) -> DataFrame:
     """Daily presence of the two named key entities (k1, k2)."""
-    key_days = ev(spark, sf).filter(F.col("entity").isin(1, 2)).groupBy("day").agg(
+    key_days = entity_days(spark, sf).filter(F.col("entity").isin(1, 2)).groupBy("day").agg(
         F.max(F.when(F.col("entity") == 1, 1)).alias("k1"), F.max(F.when(F.col("entity") == 2, 1)).alias("k2"))
-    return join_days(calendar(ev(spark, sf)), key_days, ["day"], "left").fillna({"k1": 0, "k2": 0})
+    return join_days(calendar(entity_days(spark, sf)), key_days, ["day"], "left").fillna({"k1": 0, "k2": 0})
 
 
 def bouts(spark: SparkSession, sf: str) -> DataFrame:
@@ -239,7 +245,7 @@ def draws_wide(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def tday(spark: SparkSession, sf: str) -> DataFrame:
-    days = ev(spark, sf)
+    days = entity_days(spark, sf)
     lo = day_span(days).getField("lo")
     return calendar(days).select("day", period_of(F.col("day")).alias("period"),
                                  (F.datediff("day", lo) + 1).cast("bigint").alias("t"))
@@ -247,7 +253,7 @@ def tday(spark: SparkSession, sf: str) -> DataFrame:
 
 def found(spark: SparkSession, sf: str) -> DataFrame:
     """Confirmed sightings with their time, on the observed days."""
-    hits = at.decode_sightings(sighting_codes(seen(spark, sf).withColumns(
+    hits = at.decode_sightings(sighting_codes(entity_days(spark, sf).withColumns(
         {"present": F.lit(1), "period": period_of(F.col("day"))}))).filter(F.col("confirmed") == 1)
     return join_days(hits, day_obs(spark, sf).drop("period"), ["day"]).withColumn("max_entity", roster_total(spark, sf))
 

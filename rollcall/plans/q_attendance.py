@@ -86,7 +86,7 @@ def arrival_rank(spark, sf):
     """Arrival order of the whole roster, absent entities last."""
     rows = join_days(b.presence_timed(spark, sf), b.day_obs(spark, sf).select("day", "start"), ["day"])
     rows = rows.select("entity", "day", minutes_between(F.col("start"), F.col("first_seen")).alias("dur"))
-    return at.arrival_rank(rows, "day", "dur", "entity", "arrival", b.id_width(spark, sf)).select("entity", "day", "arrival")
+    return at.arrival_rank(rows, "day", "dur", "entity", "arrival").select("entity", "day", "arrival")
 
 
 @query("D11", f"""select cast(day as varchar) as day, group_id, entity, {R('dur')} as dur, {R('dur_follow')} as dur_follow,
@@ -137,7 +137,7 @@ def attendance_rate(spark, sf):
       max(case when code = 'm21' then label end) as m21 from l group by entity""")
 def attendance_table(spark, sf):
     rates = at.attendance_rate(b.panel(spark, sf), ["code", "entity"])
-    return at.attendance_table(rates, "entity", "code", ["m19", "nm20", "m21"])
+    return at.attendance_table(rates, "entity", "code")
 
 
 def _stays(spark, sf):

@@ -10,6 +10,7 @@ from rollcall.operators import calendar as cal
 from rollcall.operators import diagnostics as dg
 from rollcall.operators import draws as dr
 from rollcall.operators import frames as fr
+from rollcall.operators import likelihood as lk
 from rollcall.operators import network as nw
 from rollcall.operators import pairs as pr
 from rollcall.operators import regress as rg
@@ -17,10 +18,10 @@ from rollcall.operators import series as se
 from rollcall.operators import survival as sv
 from rollcall.plans import base as b
 from rollcall.plans.registry import query
-from rollcall.plans.sqlbase import COEFS, GLM, LINEAR, R
+from rollcall.plans.sqlbase import COEFS, GLM, LINEAR, LOGITS, SHAPED, R
 from rollcall.session import cut_lineage
 
-BIN = 30.0  # minutes per interval of the person-period rows
+BIN = 30.0  # minutes per interval of the rows that ``person_period`` lists
 
 
 # Time to event -----------------------------------------------------------
@@ -41,43 +42,84 @@ def life_table(spark, sf):
     return sv.life_table(b.durations(spark, sf), "dur", "confirmed", 1.0, ["period"])
 
 
+@query("V1", """, d as (select period, confirmed, dur, least(cast(ceil(dur) as bigint), cast(ceil(dur_follow) as bigint)) as last from durations where dur > 0)
+    select period, t.time, count(*) as n, cast(sum(case when t.time = cast(ceil(dur) as bigint) and confirmed = 1 then 1 else 0 end) as bigint) as hits
+    from d, lateral (select unnest(range(1, last + 1)) as time) t group by 1, 2""")
+def person_minutes(spark, sf):
+    """Person-period rows by the minute, counted per period and minute."""
+    rows = sv.person_period(b.durations(spark, sf), "dur", "dur_follow", 1.0, "confirmed")
+    return rows.groupBy("period", "time").agg(F.count(F.lit(1)).alias("n"), F.sum("hit").alias("hits"))
+
+
 def _hazard_rows(spark, sf):
-    """Person-period rows folded to counts per cell: the likelihood only needs
-    the number at risk and the hits of every covariate pattern."""
-    rows = sv.person_period(b.durations(spark, sf), "dur", "dur_follow", BIN, "confirmed").select(
-        F.col("time").cast("double").alias("time"), F.col("rank").cast("double").alias("rank_c"), "period", F.col("hit").alias("p"))
-    return rg.fold_patterns(rows, "p", ["time", "rank_c", "period"])
+    """Person-period rows by the minute, folded to counts per cell: the likelihood
+    only needs the number at risk and the hits of every covariate pattern."""
+    rows = sv.person_period(b.durations(spark, sf), "dur", "dur_follow", 1.0, "confirmed").select(
+        (F.col("time") / 60).alias("time"), F.col("rank").cast("double").alias("rank_c"), F.col("hit").alias("p"))
+    return rg.fold_patterns(rows, "p", ["time", "rank_c"])
 
 
 def _coefs(spark, fit):
     return rg.coef_table(spark, fit).select("term", "estimate", "se", "lo", "hi")
 
 
-HAZARD = """select avg(hit) as y, cast(count(*) as double) as w, cast(time as double) as x1, cast(rank as double) as x2, 0.0 as off from (
-      select d.*, t.time, case when t.time = cast(ceil(dur / 30.0) as bigint) and confirmed = 1 then 1.0 else 0.0 end as hit
-      from (select *, least(cast(ceil(dur / 30.0) as bigint), cast(ceil(dur_follow / 30.0) as bigint)) as last from durations where dur > 0) d,
-        lateral (select unnest(range(1, last + 1)) as time) t) group by time, rank, period"""
+HAZARD = """select avg(hit) as y, cast(count(*) as double) as w, time / 60 as x1, cast(rank as double) as x2, 0.0 as off from (
+      select d.*, t.time, case when t.time = cast(ceil(dur) as bigint) and confirmed = 1 then 1.0 else 0.0 end as hit
+      from (select *, least(cast(ceil(dur) as bigint), cast(ceil(dur_follow) as bigint)) as last from durations where dur > 0) d,
+        lateral (select unnest(range(1, last + 1)) as time) t) group by time, rank"""
 
 
-@query("V3 M1", GLM(HAZARD, 3, "cloglog", "mu * (1 - mu)", "-1") + COEFS("time", "rank_c", "(Intercept)"))
+@query("V3 M1", GLM(HAZARD, 3, "cloglog", "mu * (1 - mu)", "-5") + COEFS("time", "rank_c", "(Intercept)"))
 def hazard_glm(spark, sf):
     """Grouped-time proportional hazards: complementary log-log link."""
     fit = rg.fit_glm(_hazard_rows(spark, sf), "p ~ time + rank_c", "binomial", "cloglog", weight="n")
     return _coefs(spark, fit)
 
 
-POLY = f"""select y, w, x2 as x3, off, c / sqrt(s2) as x1, ((c - s3 / s2) * c - s2 / n) / sqrt(s4 - s3 * s3 / s2 - s2 * s2 / n) as x2
+POLY = f"""select y, w, x2 as x3, off, sqrt(n) * c / sqrt(s2) as x1, sqrt(n) * ((c - s3 / s2) * c - s2 / n) / sqrt(s4 - s3 * s3 / s2 - s2 * s2 / n) as x2
     from (select *, count(*) over () as n, sum(c * c) over () as s2, sum(c ** 3) over () as s3, sum(c ** 4) over () as s4
           from (select *, x1 - avg(x1) over () as c from ({HAZARD})))"""
 
 
-@query("V4 F11", GLM(POLY, 4, "logit", "mu * (1 - mu)", "-1") + COEFS("t1", "t2", "rank_c", "(Intercept)"))
+@query("V4 F11", GLM(POLY, 4, "logit", "mu * (1 - mu)", "-5") + COEFS("t1", "t2", "rank_c", "(Intercept)"))
 def hazard_logit(spark, sf):
-    """Discrete-time logistic model with orthogonal polynomial time."""
-    rows = fr.poly_columns(_hazard_rows(spark, sf), "time", 2, "t")
+    """Discrete-time logistic model with orthogonal polynomial time (columns of mean square 1)."""
+    cells = cut_lineage(_hazard_rows(spark, sf))
+    root = float(cells.count()) ** 0.5
+    rows = fr.poly_columns(cells, "time", 2, "t").withColumns({c: F.col(c) * root for c in ("t1", "t2")})
     return _coefs(spark, rg.fit_glm(rows, "p ~ t1 + t2 + rank_c", "binomial", "logit", weight="n"))
 
 
+COX = """, cd as (select dur as t, confirmed as d, rank / 100.0 as x1, case when period % 2 = 1 then 1.0 else 0.0 end as x2 from durations
+      where dur is not null and confirmed is not null and rank is not null and period is not null),
+    recursive cb as (select 0 as step, cast(0 as double) as b1, cast(0 as double) as b2, cast(0 as double) as i11, cast(0 as double) as i12, cast(0 as double) as i22
+      union all select step + 1, b1 + (h22 * g1 - h12 * g2) / (h11 * h22 - h12 * h12), b2 + (h11 * g2 - h12 * g1) / (h11 * h22 - h12 * h12), h11, h12, h22 from (
+        select step, b1, b2, sum(v1 - s1) as g1, sum(v2 - s2) as g2, sum(s11) as h11, sum(s12) as h12, sum(s22) as h22 from (
+          select step, b1, b2, t, max(v1) as v1, max(v2) as v2, sum(m1) as s1, sum(m2) as s2,
+            sum(m11 - m1 * m1) as s11, sum(m12 - m1 * m2) as s12, sum(m22 - m2 * m2) as s22 from (
+            select step, b1, b2, t, v1, v2, (r1 - f * d1) / (r0 - f * d0) as m1, (r2 - f * d2) / (r0 - f * d0) as m2,
+              (r11 - f * d11) / (r0 - f * d0) as m11, (r12 - f * d12) / (r0 - f * d0) as m12, (r22 - f * d22) / (r0 - f * d0) as m22 from (
+              select *, unnest(range(0, n)) / n as f from (
+                select step, b1, b2, t, n, v1, v2, d0, d1, d2, d11, d12, d22, sum(s0) over w as r0, sum(s1) over w as r1, sum(s2) over w as r2,
+                  sum(s11) over w as r11, sum(s12) over w as r12, sum(s22) over w as r22 from (
+                  select step, b1, b2, t, cast(sum(d) as bigint) as n, sum(d * x1) as v1, sum(d * x2) as v2,
+                    sum(e) as s0, sum(e * x1) as s1, sum(e * x2) as s2, sum(e * x1 * x1) as s11, sum(e * x1 * x2) as s12, sum(e * x2 * x2) as s22,
+                    sum(d * e) as d0, sum(d * e * x1) as d1, sum(d * e * x2) as d2, sum(d * e * x1 * x1) as d11, sum(d * e * x1 * x2) as d12, sum(d * e * x2 * x2) as d22
+                  from (select *, exp(b1 * x1 + b2 * x2) as e from cb, cd where step < 12) group by step, b1, b2, t)
+                window w as (partition by step order by t desc)) where n > 0)) group by step, b1, b2, t) group by step, b1, b2)),
+    cf as (select *, i11 * i22 - i12 * i12 as det from cb where step = 12)"""
+
+
+@query("V3", COX + f""" select 'rank100' as term, {R('b1')} as estimate, {R('sqrt(i22 / det)')} as se from cf
+    union all select 'season', {R('b2')}, {R('sqrt(i11 / det)')} from cf""")
+def cox(spark, sf):
+    """Proportional hazards of being found, by partial likelihood with tied minutes."""
+    rows = b.durations(spark, sf).select("dur", "confirmed", (F.col("rank") / 100).alias("rank100"),
+                                         F.pmod("period", F.lit(2)).cast("double").alias("season"))
+    fit = lk.fit_cox(rows, "dur", "confirmed", ["rank100", "season"])
+    return rg.coef_table(spark, fit).select("term", "estimate", "se")
+
+
 # Dyads -------------------------------------------------------------------
 
 def _sri(spark, sf):
@@ -149,22 +191,62 @@ def edge_regression(spark, sf):
     return nw.edge_regression(_pair_frame(spark, sf).filter(F.col("denom") > 0), "sri", ["kin", "diff_rank"], "denom")
 
 
-@query("N8")
+PERMS = 999
+EDGES = f"""select s.troop, s.a, s.b, s.together / s.denom as y, cast(s.denom as double) as w, cast(coalesce(k.kin, 0) as double) as x1, cast(abs(s.a - s.b) as double) as x2
+      from troop_sri s left join {KINU} k on k.a = s.a and k.b = s.b where s.denom > 0"""
+MOVED = f""", e as ({EDGES}), m as (select sum(w * x1) / sum(w) as m1, sum(w * x2) / sum(w) as m2 from e),
+    c as (select sum(w * (x1 - m1) * (x2 - m2)) / sum(w * (x2 - m2) ** 2) as c1, sum(w * (x1 - m1) * (x2 - m2)) / sum(w * (x1 - m1) ** 2) as c2 from e, m),
+    src as (select troop, a, b, y as yp, w as wp, x1 - m1 - c1 * (x2 - m2) as e1, x2 - m2 - c2 * (x1 - m1) as e2 from e, m, c),
+    nodes as (select distinct troop, unnest([a, b]) as node from e),
+    spread as (select troop, node, perm, row_number() over (partition by troop, perm order by md5('7:' || perm || ':' || node)) as place
+      from nodes, (select unnest(range(0, {PERMS + 1})) as perm)),
+    image as (select s.troop, s.perm, s.node, f.node as image from spread s join spread f on f.troop = s.troop and f.place = s.place and f.perm = 0 where s.perm > 0),
+    moved as (select i.perm, e.y, e.w, e.x1, e.x2, src.yp, src.wp, src.e1, src.e2 from e join image i on i.troop = e.troop and i.node = e.a
+      join image j on j.troop = e.troop and j.perm = i.perm and j.node = e.b
+      join src on src.troop = e.troop and src.a = least(i.image, j.image) and src.b = greatest(i.image, j.image))"""
+PERMUTED = """select 0 as perm, 0 as model, y, w, x1, x2 from e union all select perm, 0, yp, wp, x1, x2 from moved
+    union all select perm, 1, y, w, e1, x2 from moved union all select perm, 2, y, w, x1, e2 from moved"""
+
+
+@query("N8", MOVED + LOGITS(PERMUTED, "perm, model", 3, steps=12) + f""", o as (select * from fits where perm = 0),
+    q as (select f.model, case f.model when 0 then f.z0 when 1 then f.z1 else f.z2 end as z, case f.model when 0 then o.z0 when 1 then o.z1 else o.z2 end as z_obs,
+      case f.model when 0 then o.b0 when 1 then o.b1 else o.b2 end as coef from fits f, o where f.perm > 0)
+    select case model when 0 then '(Intercept)' when 1 then 'kin' else 'diff_rank' end as predictor, {R('coef')} as coef, {R('z_obs')} as z_obs, count(*) as n_perm,
+      {R('avg(case when abs(z) >= abs(z_obs) then 1.0 else 0.0 end)')} as p_value from q group by model, coef, z_obs""")
 def qap(spark, sf):
-    """Association on kinship and rank distance, permuted within troops."""
-    return nw.qap(_pair_frame(spark, sf).filter(F.col("denom") > 0), "sri", ["kin", "diff_rank"], ["troop"], 99, 7, "denom")
+    """Association counts on kinship and rank distance, permuted within troops."""
+    rows = _pair_frame(spark, sf).filter(F.col("denom") > 0)
+    return nw.permutation_regression(rows, "sri", ["kin", "diff_rank"], ["troop"], PERMS, 7, "denom")
+
+
+LINEAR_FITS = f""", g as (select perm, model, sum(w) as n0, sum(w * x1) as n1, sum(w * x2) as n2, sum(w * x1 * x1) as n11, sum(w * x1 * x2) as n12, sum(w * x2 * x2) as n22,
+      sum(w * y) as y0, sum(w * x1 * y) as y1, sum(w * x2 * y) as y2, sum(w * y * y) as yy, count(*) as n from ({PERMUTED}) group by 1, 2),
+    s as (select *, n11 - n1 * n1 / n0 as a11, n12 - n1 * n2 / n0 as a12, n22 - n2 * n2 / n0 as a22, y1 - n1 * y0 / n0 as c1, y2 - n2 * y0 / n0 as c2, yy - y0 * y0 / n0 as cc from g),
+    r as (select *, a11 * a22 - a12 * a12 as det from s), f as (select *, (a22 * c1 - a12 * c2) / det as b1, (a11 * c2 - a12 * c1) / det as b2 from r),
+    v as (select *, (cc - b1 * c1 - b2 * c2) / (n - 3) as s2 from f), t as (select *, b1 / sqrt(s2 * a22 / det) as t1, b2 / sqrt(s2 * a11 / det) as t2 from v)"""
+
+
+@query("N8", MOVED + LINEAR_FITS + f""", o as (select * from t where perm = 0)
+    select 'kin' as predictor, {R('max(o.b1)')} as coef, {R('max(o.t1)')} as t_obs, count(*) as n_perm, {R('avg(case when abs(t.t1) >= abs(o.t1) then 1.0 else 0.0 end)')} as p_value
+      from t, o where t.perm > 0 and t.model = 1
+    union all select 'diff_rank', {R('max(o.b2)')}, {R('max(o.t2)')}, count(*), {R('avg(case when abs(t.t2) >= abs(o.t2) then 1.0 else 0.0 end)')}
+      from t, o where t.perm > 0 and t.model = 2""")
+def qap_linear(spark, sf):
+    """The same with a weighted linear fit."""
+    return nw.qap(_pair_frame(spark, sf).filter(F.col("denom") > 0), "sri", ["kin", "diff_rank"], ["troop"], PERMS, 7, "denom")
 
 
 ARCS = ", arcs as (select a as src, b as dst, w from graph union all select b, a, w from graph)"
 
 
-@query("N9", f"""{ARCS}, loops as (select * from arcs union all select distinct src, src, 1.0 from arcs),
+@query("N9", f"""{ARCS}, deg as (select src, sum(w) as d from arcs group by src), loops as (select * from arcs union all
+      select src, src, (select sum(d * d) / sum(d) from deg) from deg),
     recursive v as (select src as node, cast(1 as double) as v, 0 as step from (select distinct src from arcs)
-      union all select l.dst, sum(l.w * v.v), v.step + 1 from loops l join v on v.node = l.src where v.step < 40 group by l.dst, v.step)
-    select node, {R('v / max(v) over ()')} as centrality from v where step = 40""")
+      union all select dst, s / max(s) over (), step from (select l.dst, sum(l.w * v.v) as s, v.step + 1 as step
+        from loops l join v on v.node = l.src where v.step < 200 group by l.dst, v.step))
+    select node, {R('v')} as centrality from v where step = 200""")
 def eigen_centrality(spark, sf):
-    """Forty steps of power iteration, whatever the tolerance."""
-    return nw.eigen_centrality(b.graph(spark, sf), iters=40, tol=0.0, every=10)
+    return nw.eigen_centrality(b.graph(spark, sf))
 
 
 @query("N10", f""", l as (select a, b, w, a % 5 as la, b % 5 as lb from graph), s as (select la as x, lb as y, w from l union all select lb, la, w from l),
@@ -176,15 +258,31 @@ def modularity(spark, sf):
     return nw.modularity(g, labels)
 
 
+TURN = "node % 2 = step % 2"
+
+
 @query("N10", f"""{ARCS}, own as (select src as node, avg(w) as w from arcs group by src),
-    recursive l as (select node, node as label, 0 as step from own union all
-      select node, label, step + 1 from (select node, label, step, row_number() over (partition by node order by w desc, label) as place
-        from (select node, label, step, sum(w) as w from (
-          select a.dst as node, l.label, l.step, a.w from arcs a join l on l.node = a.src where l.step < 5
-          union all select l.node, l.label, l.step, o.w from l join own o on o.node = l.node where l.step < 5) group by 1, 2, 3)) where place = 1)
-    select node, label from l where step = 5""")
+    recursive l as (select node, node as label, 0 as step from own union all select node, label, step + 1 from (
+      select node, label, step from l where step < 120 and not {TURN} union all
+      select node, label, step from (select node, label, step, row_number() over (partition by node order by w desc, label) as place from (
+        select node, label, step, sum(w) as w from (
+          select a.dst as node, l.label, l.step, a.w from arcs a join l on l.node = a.src where l.step < 120
+          union all select l.node, l.label, l.step, o.w from l join own o on o.node = l.node where l.step < 120) where {TURN} group by 1, 2, 3)) where place = 1))
+    select node, label from l where step = 120""")
+def label_propagation(spark, sf):
+    return nw.label_propagation(b.graph(spark, sf), F.pmod("node", F.lit(2)))
+
+
+@query("N10", f"""{ARCS} select count(distinct src) as n_nodes, 0 as raising, 1 as above_propagation, 1 as named_by_least from arcs""")
 def communities(spark, sf):
-    return nw.communities(b.graph(spark, sf), 5)
+    """Modularity search: all nodes labelled, no single move that raises it, not below label propagation."""
+    g = cut_lineage(b.graph(spark, sf))
+    labels = cut_lineage(nw.communities(g))
+    found, other = (nw.modularity(g, x).first() for x in (labels, nw.label_propagation(g)))
+    names = labels.groupBy("label").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("n"))
+    return names.agg(F.sum("n").alias("n_nodes"), F.lit(nw.raising_moves(g, labels).count()).alias("raising"),
+                     F.lit(int(found.q >= other.q - 1e-12)).alias("above_propagation"),
+                     F.min((F.col("label") == F.col("least")).cast("int")).alias("named_by_least"))
 
 
 # Draws -------------------------------------------------------------------
@@ -327,25 +425,44 @@ def signif_grid(spark, sf):
 
 
 def _probabilities(spark, sf):
-    """Draws on the probability scale, with the observed counts of the day."""
+    """Draws on the probability scale with the precision of the same draw, and the observed counts of the day."""
     from rollcall.functions.scalars import draw_index, inverse_logit
 
-    d = b.draws(spark, sf).select("chain", "iteration", draw_index(F.col("variable")).cast("bigint").alias("t"),
-                                  inverse_logit(F.col("value")).alias("value"))
+    wide = b.draws(spark, sf)
+    precision = wide.filter("variable = 'p[64]'").select("chain", "iteration", (20 * F.exp("value")).alias("precision"))
+    d = wide.select("chain", "iteration", draw_index(F.col("variable")).cast("bigint").alias("t"), inverse_logit(F.col("value")).alias("value"))
     obs = b.presence(spark, sf).groupBy("day").agg(F.sum("present").alias("y"), F.count(F.lit(1)).alias("size"))
-    return d, b.tday(spark, sf).join(obs, "day").select("t", "y", "size")
+    return d.join(precision, ["chain", "iteration"]), b.tday(spark, sf).join(obs, "day").select("t", "y", "size")
+
+
+def UNIFORM(*keys: str) -> str:
+    """The number in (0, 1) that md5 makes of the keys."""
+    return f"((('0x' || substr(md5(concat_ws(':', {', '.join(keys)})), 1, 13))::bigint + 0.5) / 4503599627370496)"
+
 
+SIMULATED = f""", obs as (select t.t, sum(p.present) as y, count(*) as size from tday t join presence p on p.day = t.day group by 1),
+    it as (select chain, iteration from (select distinct chain, iteration from draws) order by md5('11:' || chain || ':' || iteration), chain, iteration limit 1000),
+    ph as (select chain, iteration, 20 * exp(value) as phi from draws where variable = 'p[64]'),
+    pr as (select obs.t, obs.size, d.chain, d.iteration, phi / (1 + exp(-d.value)) as a, phi - phi / (1 + exp(-d.value)) as b, {UNIFORM('11', 'obs.t', 'd.chain', 'd.iteration')} as u
+      from draws d join it using (chain, iteration) join ph using (chain, iteration) join obs on obs.t = d.i),
+    steps as (select *, unnest(range(0, size)) as k, list_sum(list_transform(range(0, size), lambda j: ln((b + j) / (a + b + j)))) as zero from pr),
+    logs as (select *, zero + coalesce(sum(ln((size - k) * (a + k) / ((k + 1) * (b + size - k - 1)))) over (partition by t, chain, iteration order by k
+      rows between unbounded preceding and 1 preceding), 0) as lp from steps),
+    upto as (select *, sum(exp(lp)) over (partition by t, chain, iteration order by k rows unbounded preceding) as cdf from logs),
+    sim as (select t, chain, iteration, count(*) filter (cdf < u) as y from upto group by 1, 2, 3)"""
 
-@query("B9")
+
+@query("B9", SIMULATED + " select t, chain, iteration, y from sim")
 def post_pred(spark, sf):
+    """Beta-binomial counts of every day for every sampled draw, with the draw's own precision."""
     d, obs = _probabilities(spark, sf)
-    return dr.simulate_counts(d, obs, "t", "size", precision=20.0, n_draws=1000, seed=11)
+    return dr.simulate_counts(d, obs, "t", "size", "precision", n_draws=1000, seed=11)
 
 
-@query("B10")
+@query("B10", SIMULATED + " select t, 'y_pred' as source, y from sim union all select t, 'y', cast(y as bigint) from obs")
 def ppc_long(spark, sf):
     d, obs = _probabilities(spark, sf)
-    return dr.predictive_long(dr.simulate_counts(d, obs, "t", "size", 20.0, 1000, 11), obs, "t", "y")
+    return dr.predictive_long(dr.simulate_counts(d, obs, "t", "size", "precision", 1000, 11), obs, "t", "y")
 
 
 @query("B11", f""", f as (select i as t, avg(value) as fitted from draws group by 1), o as (select p.day, avg(present) as share from presence p group by 1)
@@ -415,10 +532,39 @@ def durbin_watson(spark, sf):
     return dg.durbin_watson(_series(spark, sf), "day", "mean_value", ["entity"])
 
 
-@query("B16")
+SPAN = "exp(pi() / 2 * sinh(g / 16.0))"
+DW_P = f""", dwn as (select *, unnest(range(-64, 65)) as g from dws where n > 2 and dw is not null),
+    dwt as (select *, pi() / 32 * cosh(g / 16.0) * sin(0.5 * list_sum(list_transform(range(1, n), lambda j: atan((2 - 2 * cos(pi() * j / n) - dw) * {SPAN}))))
+      / exp(0.25 * list_sum(list_transform(range(1, n), lambda j: ln(1 + ((2 - 2 * cos(pi() * j / n) - dw) * {SPAN}) ** 2)))) as f from dwn),
+    dwp as (select key, 0.5 - sum(f) / pi() as below from dwt group by key)"""
+DW_ROWS = f"select d.key, d.n, {R('d.dw')} as dw, {R('greatest(least(p.below, 1), 0)')} as p_positive, {R('least(1, 2 * least(greatest(least(p.below, 1), 0), 1 - greatest(least(p.below, 1), 0)))')} as p_value from dws d left join dwp p using (key)"
+
+
+@query("B15", f"""{CENTRED}, s as (select *, d - lag(d) over (partition by entity order by day) as step from v),
+    dws as (select entity as key, count(*) as n, sum(step * step) / nullif(sum(d * d), 0) as dw from s group by 1){DW_P} {DW_ROWS}""")
+def durbin_watson_p(spark, sf):
+    """Serial correlation per entity: p-values of the exact distribution for the series' length."""
+    return dg.durbin_watson_test(_series(spark, sf), "day", "mean_value", ["entity"]).withColumnRenamed("entity", "key")
+
+
+@query("B15", f""", r as (select day, sum(mean_value - (select avg(mean_value) from seen)) as d0 from seen group by 1), v as (select day, d0 - avg(d0) over () as d from r),
+    s as (select *, d - lag(d) over (order by day) as step from v),
+    dws as (select 0 as key, count(*) as n, sum(step * step) / nullif(sum(d * d), 0) as dw from s){DW_P} {DW_ROWS}""")
+def durbin_watson_daily(spark, sf):
+    """The same of the residuals of all entities, regrouped by day."""
+    rows = _series(spark, sf)
+    mean = rows.agg(F.avg("mean_value").alias("m"))
+    resid = rows.withColumn("resid", F.col("mean_value") - mean.scalar())
+    out = dg.durbin_watson_test(dg.regrouped(resid, ["day"], "resid"), "day", "resid")
+    return out.select(F.lit(0).cast("bigint").alias("key"), "n", "dw", "p_positive", "p_value")
+
+
+@query("B16", SIMULATED + f""", sh as (select obs.t, avg(case when sim.y < obs.y then 1.0 else 0.0 end) as below, avg(case when sim.y = obs.y then 1.0 else 0.0 end) as tied
+      from obs join sim on sim.t = obs.t group by 1)
+    select t, {R('below')} as below, {R('tied')} as tied, {R(f"below + {UNIFORM('5', 't')} * tied")} as scaled from sh""")
 def scaled_resid(spark, sf):
     d, obs = _probabilities(spark, sf)
-    return dg.scaled_residuals(dr.simulate_counts(d, obs, "t", "size", 20.0, 1000, 11), obs, ["t"], "y", 5)
+    return dg.scaled_residuals(dr.simulate_counts(d, obs, "t", "size", "precision", 1000, 11), obs, ["t"], "y", 5)
 
 
 @query("B10 B16", f""", o as (select t.t, sum(p.present) as y, count(*) as size from tday t join presence p on p.day = t.day group by 1),
@@ -442,27 +588,34 @@ def vif(spark, sf):
 # Regression --------------------------------------------------------------
 
 def _items(spark, sf):
-    t = b.table(spark, sf, "lineitem").select("l_orderkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus")
-    t = t.select("l_suppkey", (F.col("l_returnflag") == "R").cast("double").alias("y"), F.col("l_quantity").alias("qty"),
+    t = b.table(spark, sf, "lineitem").select("l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
+    t = t.select("l_suppkey", F.to_date("l_shipdate").alias("shipped"), (F.col("l_returnflag") == "R").cast("double").alias("y"), F.col("l_quantity").alias("qty"),
                  F.col("l_extendedprice").alias("price"), (F.col("l_discount") * 100).alias("disc"), (F.col("l_tax") * 100).alias("tax"),
                  F.col("l_linestatus").alias("status"), F.col("l_returnflag").alias("flag"))
     return fr.standardize(t, ["qty", "price", "disc", "tax"])[0]
 
 
-ITEMS = """select case when l_returnflag = 'R' then 1.0 else 0.0 end as y, 1.0 as w, 0.0 as off, l_suppkey as cl,
+ITEMS = """select case when l_returnflag = 'R' then 1.0 else 0.0 end as y, 1.0 as w, 0.0 as off, l_suppkey as cl, cast(l_shipdate as date) as cl2,
     (l_discount - avg(l_discount) over ()) / stddev_samp(l_discount) over () as x1, (l_tax - avg(l_tax) over ()) / stddev_samp(l_tax) over () as x2,
     (l_discount - avg(l_discount) over ()) / stddev_samp(l_discount) over () * (l_tax - avg(l_tax) over ()) / stddev_samp(l_tax) over () as x3,
     case when l_linestatus = 'O' then 1.0 else 0.0 end as x4 from lineitem"""
 
 
-@query("M1 T9", GLM(ITEMS, 5, "logit", "mu * (1 - mu)", "-0.5", cluster=True)
+@query("M1 T9", GLM(ITEMS, 5, "logit", "mu * (1 - mu)", "-0.5", cluster=True, crossed=True)
        + COEFS("disc_std", "tax_std", "disc_std:tax_std", "status_O", "(Intercept)"))
 def glm_bernoulli(spark, sf):
-    """Bernoulli model with an interaction and standard errors clustered by supplier."""
-    fit = rg.fit_glm(_items(spark, sf), "y ~ disc_std + tax_std + disc_std:tax_std + status", "binomial", "logit", cluster="l_suppkey")
+    """Bernoulli model with an interaction; errors over supplier and ship date, which cross."""
+    fit = rg.fit_glm(_items(spark, sf), "y ~ disc_std + tax_std + disc_std:tax_std + status", "binomial", "logit", cluster=["l_suppkey", "shipped"])
     return _coefs(spark, fit)
 
 
+@query("M1", GLM(ITEMS.replace("as x3", "as x9").replace("as x4", "as x3"), 4, "logit", "mu * (1 - mu)", "-0.5", cluster=True)
+       + COEFS("disc_std", "tax_std", "status_O", "(Intercept)"))
+def glm_clustered(spark, sf):
+    """Standard errors clustered by supplier alone."""
+    return _coefs(spark, rg.fit_glm(_items(spark, sf), "y ~ disc_std + tax_std + status", "binomial", "logit", cluster="l_suppkey"))
+
+
 def _trials(spark, sf):
     """Attendance counts per entity and period: proportion and trials."""
     p = b.presence(spark, sf).withColumns({"age": (F.col("entity") % 15).cast("double"),
@@ -481,6 +634,22 @@ def glm_binomial(spark, sf):
     return _coefs(spark, fit)
 
 
+def _sum_over(a: str, n: str, power: str = "") -> str:
+    """Sum of 1 / (a + j)^power over j below n, term by term."""
+    return f"coalesce(list_sum(list_transform(range(0, cast({n} as bigint)), lambda j: 1 / ({a} + j){power})), 0)"
+
+
+@query("M2")
+def glm_betabinomial(spark, sf):
+    """Entities in a group out of the day's roster, with a share that varies from day to day.
+
+    No SQL: Newton steps from a plain start need the guards of ``likelihood.newton``, which a recursive query has not.
+    """
+    rows = b.sizes(spark, sf).select("n_entity", "max_entity", (F.col("dur") / 60).alias("hours"), season(F.col("code")).alias("season"))
+    fit, phi = lk.fit_beta_binomial(rows, "n_entity ~ hours + season", "max_entity")
+    return _coefs(spark, fit).withColumn("phi", F.lit(phi))
+
+
 def _counts(spark, sf):
     """Whole units of daily value per present entity, with log hours of observation."""
     units = b.seen(spark, sf).select("entity", "day", F.floor(F.round(F.col("mean_value") * F.col("n_ev"), 4)).cast("double").alias("n_units"))
@@ -493,11 +662,19 @@ UNITS = """select floor(round(s.mean_value * s.n_ev, 4)) as y, 1.0 as w, cast(p.
     ln(p.dur / 60) as off, p.entity as cl from panel p join seen s on s.entity = p.entity and s.day = p.day where p.presence = 1"""
 
 
-@query("M3", GLM(UNITS, 3, "log", "(mu + al * mu * mu)", "1", cluster=True, steps=40, overdispersed=True) + f""", co as (
+NEGBIN = {
+    "_r1": _sum_over("k", "y"), "_r2": _sum_over("k", "y", " ** 2"), "_k": "_r1 + th + 1 - ln(k + mu) - (k + y) / (k + mu)",
+    "s": "k * (y - mu) / (k + mu)", "t": "k * _k", "ss": "-k * mu * (k + y) / (k + mu) ** 2", "st": "k * (y - mu) * mu / (k + mu) ** 2",
+    "tt": "k * _k + k * k * (-_r2 + 1 / k - 1 / (k + mu) - (mu - y) / (k + mu) ** 2)"}
+
+
+@query("M3", SHAPED(UNITS, 3, "exp(eta)", NEGBIN, ("1", "0"))
+       + GLM("select * from pd", 3, "log", "(mu + al * mu * mu)", "1", cluster=True, overdispersed=True,
+             given="select 0 as step, b0, b1, b2, exp(-th) as al from lastp") + f""", co as (
     {COEFS('age', 'season_nonmating', '(Intercept)')}) select co.*, {R('al')} as alpha from co, fitv""")
 def glm_negbin(spark, sf):
     """Overdispersed counts with an offset, errors clustered by entity."""
-    fit, alpha = rg.fit_negbin(_counts(spark, sf), "n_units ~ age + season", "log_hours", cluster="entity", rounds=10, tol=1e-7)
+    fit, alpha = lk.fit_negbin_likelihood(_counts(spark, sf), "n_units ~ age + season", "log_hours", cluster="entity")
     return _coefs(spark, fit).withColumn("alpha", F.lit(alpha))
 
 
@@ -627,6 +804,29 @@ def smooth_trend(spark, sf):
     return se.smooth_trend(_series(spark, sf), "day", "mean_value", ["entity"], q=0.1, r=25.0)
 
 
+@query("M10", f"""{SERIES}, recursive k as (
+      select entity, day, t, case when y is null then 0 else 1e6 / (1e6 + 25) * y end as m, case when y is null then 1e6 else 1e6 - 1e6 / (1e6 + 25) * 1e6 end as p from ser where t = 0
+      union all select s.entity, s.day, s.t, case when s.y is null then k.m else k.m + (k.p + 1) / (k.p + 1 + 25) * (s.y - k.m) end,
+        case when s.y is null then k.p + 1 else (k.p + 1) - (k.p + 1) / (k.p + 1 + 25) * (k.p + 1) end
+      from k join ser s on s.entity = k.entity and s.t = k.t + 1),
+    sm as (select entity, day, t, m, p from k where (entity, t) in (select entity, max(t) from k group by entity)
+      union all select k.entity, k.day, k.t, k.m + k.p / (k.p + 1) * (sm.m - k.m), k.p + (k.p / (k.p + 1)) ** 2 * (sm.p - k.p - 1)
+      from sm join k on k.entity = sm.entity and k.t = sm.t - 1)
+    select entity, cast(day as varchar) as day, {R('m')} as level, {R('p')} as level_var from sm""")
+def local_level_smoothed(spark, sf):
+    """Level of every day given the whole series."""
+    return se.smoothed_level(_series(spark, sf), "day", "mean_value", ["entity"], q=1.0, r=25.0)
+
+
+@query("M10")
+def local_level_fit(spark, sf):
+    """Variances of greatest likelihood, the effect of a state, and the gain of the last round (no SQL: each round smooths anew)."""
+    rows = b.seen(spark, sf).select("entity", "day", "mean_value", "bought")
+    fit = se.fit_level(rows, "day", "mean_value", ["entity"], ["bought"], start=(1.0, 100.0), tol=1e-5)
+    falls = sum(y < x - 1e-9 * abs(x) for x, y in zip(fit.history, fit.history[1:]))
+    return spark.createDataFrame([(fit.q, fit.r, float(fit.beta[0]), falls)], "q double, r double, bought double, falls long")
+
+
 @query("M12 F10 W6", f""", c as (select * from cal where day between (select min(day) from mgd) and (select max(day) from mgd))
     select cast(c.day as varchar) as day, {R('m.n_entity')} as n_entity, {R('m.dur')} as dur, row_number() over (order by c.day) as t_index,
       case when m.n_entity is not null then count(m.n_entity) over (order by c.day) end as obs_index,

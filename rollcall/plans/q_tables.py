@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -18,9 +20,10 @@ from rollcall.operators.survival import cumulative_detection
 from rollcall.plans import base as b
 from rollcall.plans.registry import query
 from rollcall.plans.sqlbase import R
+from rollcall.session import delete_at_end, shared_folder
+from rollcall.sources import load_result, read_csv, read_periods, save_result
 from rollcall.sources import stack_periods as stack
 
-TYPES = ["click", "error", "purchase", "signup", "view"]
 MONEY = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
@@ -56,20 +59,22 @@ def drop_na(spark, sf):
 def _roster_wide(spark, sf):
     """Wide roster by event type: one column per type, null when none."""
     return rs.to_wide(b.ev(spark, sf).groupBy("entity", "day", "event_type").agg(F.count(F.lit(1)).alias("n")),
-                      ["entity", "day"], "event_type", "n", TYPES, F.max)
+                      ["entity", "day"], "event_type", "n", None, F.max)
 
 
 @query("H1", """, w as (select distinct entity, day from ev), n as (select entity, day, event_type, count(*) as n from ev group by 1, 2, 3)
     select w.entity, cast(w.day as varchar) as day, t.event_type, n.n from w cross join (values ('click'), ('error'), ('purchase'), ('signup'), ('view')) t(event_type)
     left join n on n.entity = w.entity and n.day = w.day and n.event_type = t.event_type""")
 def unpivot_roster(spark, sf):
-    return rs.to_long(_roster_wide(spark, sf), ["entity", "day"], TYPES, "event_type", "n")
+    wide = _roster_wide(spark, sf)
+    return rs.to_long(wide, ["entity", "day"], wide.columns[2:], "event_type", "n")
 
 
 @query("H2 R16", """select entity, cast(day as varchar) as day, count(*) filter (event_type = 'click') as click, count(*) filter (event_type = 'error') as error,
     count(*) filter (event_type = 'purchase') as purchase, count(*) filter (event_type = 'signup') as signup, count(*) filter (event_type = 'view') as view from ev group by 1, 2""")
 def pivot_presence(spark, sf):
-    return _roster_wide(spark, sf).fillna(0, subset=TYPES)
+    wide = _roster_wide(spark, sf)
+    return wide.fillna(0, subset=wide.columns[2:])
 
 
 @query("H3", f"""select entity, count(*) filter (period = 0) as n_0, count(*) filter (period = 1) as n_1, count(*) filter (period = 2) as n_2, {R('avg(value) filter (period = 0)')} as mean_0,
@@ -77,8 +82,36 @@ def pivot_presence(spark, sf):
     from ev group by entity""")
 def pivot_multi(spark, sf):
     aggs = {"n": F.count("value"), "mean": F.avg("value"), "sd": F.stddev_samp("value")}
-    wide = rs.to_wide_many(b.ev(spark, sf), ["entity"], "period", [0, 1, 2], aggs)
-    return wide.select("entity", *[f"{stat}_{p}" for stat in aggs for p in (0, 1, 2)]).fillna(0, subset=["n_0", "n_1", "n_2"])
+    wide = rs.to_wide_many(b.ev(spark, sf), ["entity"], "period", None, aggs)
+    return wide.fillna(0, subset=[c for c in wide.columns if c.startswith("n_")])
+
+
+@query("S1", """select l_orderkey, l_partkey, l_linenumber, l_quantity, l_returnflag, cast(cast(l_shipdate as date) as varchar) as l_shipdate from lineitem""")
+def csv_scan(spark, sf):
+    """Columns written as CSV and read with their types found in the file."""
+    t = b.table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_returnflag", F.to_date("l_shipdate").alias("l_shipdate"))
+    path = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
+    t.write.csv(path, header=True, nullValue="NA")
+    delete_at_end(spark, path)
+    return read_csv(spark, path)
+
+
+@query("S4 S5", f"""select period, entity, {R('avg(value)')} as mean, count(*) as n from ev group by 1, 2""")
+def saved_result(spark, sf):
+    """A result kept in partitions by period, and loaded again."""
+    path = f"{shared_folder(spark)}/result-{uuid.uuid4().hex}"
+    save_result(b.ev(spark, sf).groupBy("period", "entity").agg(F.avg("value").alias("mean"), F.count(F.lit(1)).alias("n")), path, "period")
+    delete_at_end(spark, path)
+    return load_result(spark, path)
+
+
+@query("S3", """select period, entity, count(*) as n from ev where period between 1 and 2 group by 1, 2""")
+def period_scan(spark, sf):
+    """Many periods as one partitioned table, of which only the wanted ones are read."""
+    path = f"{shared_folder(spark)}/periods-{uuid.uuid4().hex}"
+    save_result(b.ev(spark, sf).select("period", "entity", "event_id"), path, "period")
+    delete_at_end(spark, path)
+    return read_periods(spark, path, "period", [1, 2]).groupBy("period", "entity").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("H4 H5", """select group_id, split_part(group_id, '_', 1) as head, cast(split_part(group_id, '_', 2) as bigint) as no,
@@ -98,7 +131,7 @@ def edge_matrix(spark, sf):
     """The graph folded to classes of nodes and shown as a square matrix."""
     x, y = F.col("a") % 4, F.col("b") % 4
     folded = b.graph(spark, sf).groupBy(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).agg(F.sum("w").alias("w"))
-    return rs.edges_to_matrix(folded, "a", "b", "w", [0, 1, 2, 3])
+    return rs.edges_to_matrix(folded, "a", "b", "w")
 
 
 @query("H7 W6", f"""select t.t, cast(t.day as varchar) as day, {R('avg(d.value)')} as mean from tday t left join draws d on d.i = t.t group by 1, 2""")
@@ -123,7 +156,7 @@ def grid(spark, sf):
     e = b.ev(spark, sf).withColumn("class", F.col("entity") % 4)
     s = b.span(spark, sf)
     frame = cal.grid(e.select("class").distinct(), {
-        "event_type": F.array(*[F.lit(t) for t in TYPES]), "day": F.sequence(s.getField("lo"), s.getField("hi"))})
+        "event_type": F.array(*[F.lit(t) for t in rs.levels_of(e, "event_type")]), "day": F.sequence(s.getField("lo"), s.getField("hi"))})
     counted = e.groupBy("class", "event_type", "day").agg(F.count(F.lit(1)).alias("n"))
     return frame.join(counted, ["class", "event_type", "day"], "left").fillna({"n": 0})
 
@@ -155,9 +188,9 @@ def cv(spark, sf):
 
 @query("A8", """select l_returnflag, count(*) filter (l_linestatus = 'F') as f, count(*) filter (l_linestatus = 'O') as o from lineitem group by 1""")
 def contingency(spark, sf):
-    t = b.table(spark, sf, "lineitem").select("l_returnflag", "l_linestatus")
-    wide = t.groupBy("l_returnflag").pivot("l_linestatus", ["F", "O"]).agg(F.count(F.lit(1)))
-    return wide.select("l_returnflag", F.col("F").alias("f"), F.col("O").alias("o")).fillna(0)
+    t = b.table(spark, sf, "lineitem").select("l_returnflag", F.lower("l_linestatus").alias("status"))
+    counts = t.groupBy("l_returnflag", "status").agg(F.count(F.lit(1)).alias("n"))
+    return rs.to_wide(counts, ["l_returnflag"], "status", "n", None, F.sum).fillna(0)
 
 
 @query("A9", f"""select l_suppkey, l_returnflag, count(*) as n, {R('avg(l_quantity)')} as mean from lineitem group by 1, 2 having count(*) >= 200""")

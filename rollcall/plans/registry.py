@@ -14,6 +14,8 @@ from rollcall.session import ship
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 ROWS: dict[str, str] = {}
+#: Called before each query is planned.
+ON_START: list[Callable[[], None]] = []
 
 
 def comparable(df: DataFrame) -> DataFrame:
@@ -41,6 +43,8 @@ def query(rows: str, sql: str | None = None):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             spark.conf.set("spark.sql.session.timeZone", "UTC")
             ship(spark)
+            for start in ON_START:
+                start()
             return comparable(fn(spark, sf_dir))
 
         run.__name__, run.__doc__ = name, fn.__doc__

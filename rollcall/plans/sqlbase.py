@@ -106,7 +106,7 @@ def _det(rows: tuple[int, ...], cols: tuple[int, ...]) -> str:
 
 
 def GLM(data: str, p: int, link: str, variance: str, start: str, cluster: bool = False, steps: int = 25,
-        overdispersed: bool = False, scaled: bool | None = None) -> str:
+        overdispersed: bool = False, scaled: bool | None = None, crossed: bool = False, given: str = "") -> str:
     """Fisher scoring as a recursive query, for ``p`` coefficients with the intercept first.
 
     ``data`` is a query with columns y, w, off, x1.. (and cl, the cluster). The
@@ -114,6 +114,8 @@ def GLM(data: str, p: int, link: str, variance: str, start: str, cluster: bool =
     unless the variance is binomial (``scaled`` overrides), scaled by the Pearson
     dispersion. ``overdispersed`` carries the moment
     estimate ``al`` of the extra variance along, for use in ``variance``.
+    ``crossed`` clusters by cl and by cl2; ``given`` is a query of the final
+    step, b0.. (and al), which then are not searched for.
     """
     mean, slope = {
         "logit": ("1 / (1 + exp(-eta))", "mu * (1 - mu)"),
@@ -143,9 +145,9 @@ def GLM(data: str, p: int, link: str, variance: str, start: str, cluster: bool =
     first = ", ".join(f"cast({start if i == 0 else 0} as double) as b{i}" for i in ix)
     if overdispersed:
         steps_sql, first = steps_sql + ", al2", first + ", cast(0 as double) as al"
-    out = f""", gd as ({data}), recursive b as (select 0 as step, {first} union all
-        select step + 1, {steps_sql} from ({solved('b')}) where step < {steps}), lastb as (select * from b where step = {steps}),
-        fin as ({solved('lastb')})"""
+    search = f""", recursive b as (select 0 as step, {first} union all
+        select step + 1, {steps_sql} from ({solved('b')}) where step < {steps}), lastb as (select * from b where step = {steps})"""
+    out = f", gd as ({data}){f', lastb as ({given})' if given else search}, fin as ({solved('lastb')})"
     if not cluster:
         scale = f" * r / (n - {p})" if scaled or (scaled is None and variance != "mu * (1 - mu)") else ""
         return out + f", fitv as (select {bs}, {', '.join(f'c{i}{j} / det{scale} as v{i}{j}' for i, j in pairs)} from fin)"
@@ -153,10 +155,73 @@ def GLM(data: str, p: int, link: str, variance: str, start: str, cluster: bool =
     sandwich = ", ".join(
         f"({' + '.join(f'{sym(chr(99), i, k)} * {sym(chr(109), k, q)} * {sym(chr(99), q, j)}' for k in ix for q in ix)}) / det / det as v{i}{j}"
         for i, j in pairs)
-    return out + f""", meat as (select {meat} from (select cl, {', '.join(f'sum(s * x{i}) as u{i}' for i in ix)} from ({scores('lastb')}) group by cl)),
+    sums = ", ".join(f"sum(s * x{i}) as u{i}" for i in ix)
+    by = lambda cols: f"select {meat} from (select {cols}, {sums} from ({scores('lastb')}) group by {cols})"
+    if crossed:
+        terms = ", ".join(f"sum(sign * m{i}{j}) as m{i}{j}" for i, j in pairs)
+        whole = f"select {terms} from (select 1 as sign, * from ({by('cl')}) union all select 1, * from ({by('cl2')}) union all select -1, * from ({by('cl, cl2')}))"
+    else:
+        whole = by("cl")
+    return out + f""", meat as ({whole}),
         fitv as (select {bs}, {sandwich} from fin, meat)"""
 
 
+def LOGITS(data: str, keys: str, p: int, steps: int = 25) -> str:
+    """Logistic fits, one per value of ``keys``, of ``data`` (keys, y, w, x1..): the table ``fits`` has b0.. and z0.. ."""
+    ix = range(p)
+    bs = ", ".join(f"b{i}" for i in ix)
+    pairs = [(i, j) for i in ix for j in ix if i <= j]
+    sym = lambda i, j: f"c{min(i, j)}{max(i, j)}"
+
+    def solved(b: str) -> str:
+        sums = ", ".join([f"sum(w * mu * (1 - mu) * x{i} * x{j}) as h{i}{j}" for i, j in pairs] + [f"sum(w * (y - mu) * x{i}) as g{i}" for i in ix])
+        cof = ", ".join(
+            f"{'-' if (i + j) % 2 else ''}({_det(tuple(k for k in ix if k != i), tuple(k for k in ix if k != j))}) as c{i}{j}" for i, j in pairs)
+        return f"""select *, {' + '.join(f'h0{j} * c0{j}' for j in ix)} as det from (select *, {cof} from (
+            select step, {keys}, {bs}, {sums} from (select *, 1 / (1 + exp(-({' + '.join(f'b{i} * x{i}' for i in ix)}))) as mu from (
+              select *, 1.0 as x0 from {b} join ld using ({keys}))) group by step, {keys}, {bs}))"""
+
+    to = ", ".join(f"b{i} + ({' + '.join(f'{sym(i, j)} * g{j}' for j in ix)}) / det" for i in ix)
+    return f""", ld as ({data}), recursive lb as (select 0 as step, {keys}, {', '.join(f'cast(0 as double) as b{i}' for i in ix)} from (select distinct {keys} from ld)
+        union all select step + 1, {keys}, {to} from ({solved('lb')}) where step < {steps}), ll as (select * from lb where step = {steps}),
+        fits as (select {keys}, {bs}, {', '.join(f'b{i} / sqrt(c{i}{i} / det) as z{i}' for i in ix)} from ({solved('ll')}))"""
+
+
+def SHAPED(data: str, p: int, mean: str, parts: dict[str, str], start: tuple[str, str], steps: int = 40) -> str:
+    """Newton steps for ``p`` coefficients and the logarithm ``th`` of a shape, as a recursive query.
+
+    ``data`` has y, w, off, x1.. and what ``parts`` use: the first and second
+    derivatives s, t, ss, st, tt of a row's log likelihood, with mu = ``mean`` of
+    eta. A step changes no parameter by more than 1. The tables ``lastp`` (b0..,
+    th) and ``fitp`` (b0.., v00.. from the curvature) hold the result.
+    """
+    ix, full = range(p), range(p + 1)
+    bs = ", ".join([*(f"b{i}" for i in ix), "th"])
+    pairs = [(i, j) for i in full for j in full if i <= j]
+    xs = lambda i: f"x{i}" if i < p else "1"
+    second = lambda i, j: "tt" if i == p else "st" if j == p else "ss"
+    sym = lambda i, j: f"c{min(i, j)}{max(i, j)}"
+
+    def solved(b: str) -> str:
+        rows = f"""select *, {', '.join(f'{e} as {n}' for n, e in parts.items() if n[0] == '_')} from (select *, {mean} as mu from (
+            select *, 1.0 as x0, exp(th) as k, {' + '.join(f'b{i} * x{i}' if i else 'b0' for i in ix)} + off as eta from {b}, pd))"""
+        rows = f"select *, {', '.join(f'w * ({e}) as {n}' for n, e in parts.items() if n[0] != '_')} from ({rows})"
+        sums = ", ".join([f"sum({second(i, j)} * {xs(i)} * {xs(j)}) as h{i}{j}" for i, j in pairs]
+                         + [f"sum({'t' if i == p else 's'} * {xs(i)}) as g{i}" for i in full])
+        cof = ", ".join(
+            f"{'-' if (i + j) % 2 else ''}({_det(tuple(k for k in full if k != i), tuple(k for k in full if k != j))}) as c{i}{j}" for i, j in pairs)
+        return f"""select *, {' + '.join(f'h0{j} * c0{j}' for j in full)} as det from (select *, {cof} from (
+            select step, {bs}, {sums} from ({rows}) group by step, {bs}))"""
+
+    moves = ", ".join(f"-({' + '.join(f'{sym(i, j)} * g{j}' for j in full)}) / det as d{i}" for i in full)
+    cap = f"least(1, 1 / greatest({', '.join(f'abs(d{i})' for i in full)}, 1e-300))"
+    to = ", ".join([*(f"b{i} + d{i} * {cap}" for i in ix), f"th + d{p} * {cap}"])
+    first = ", ".join([*(f"cast({start[0] if i == 0 else 0} as double) as b{i}" for i in ix), f"cast({start[1]} as double) as th"])
+    return f""", pd as ({data}), recursive p as (select 0 as step, {first} union all
+        select step + 1, {to} from (select *, {moves} from ({solved('p')})) where step < {steps}), lastp as (select * from p where step = {steps}),
+        fitp as (select {bs}, {', '.join(f'-c{i}{j} / det as v{i}{j}' for i, j in pairs if j < p)} from ({solved('lastp')}))"""
+
+
 def COEFS(*names: str) -> str:
     """Coefficient rows of ``fitv``; the intercept is named last but stands first there."""
     order = [*range(1, len(names)), 0]

@@ -19,6 +19,7 @@ def build_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
         SparkSession.builder.master(f"local[{cores}]")
         .appName("rollcall")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", memory)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
@@ -64,9 +65,25 @@ def shared_table(df: DataFrame, codec: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/rollcall-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
+    delete_at_end(spark, path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._shared_path = path
+    return out
+
+
+def release(table: DataFrame) -> None:
+    """Remove the files of a ``shared_table`` that nothing reads any more."""
+    spark, path = table.sparkSession, getattr(table, "_shared_path", None)
+    if path is None:
+        raise ValueError("not a shared table")
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def delete_at_end(spark: SparkSession, path: str) -> None:
+    """Have a path that this session made removed when the session ends."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
 
 
 def ship(spark: SparkSession) -> None:

@@ -21,9 +21,9 @@ PERIOD_SCHEMAS: dict[str, str] = {
 }
 
 
-def read_csv(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
-    """CSV with a header and a stated schema (no inference pass); 'NA' is null."""
-    return spark.read.csv(path, header=True, schema=schema, nullValue="NA")
+def read_csv(spark: SparkSession, path: str, schema: str | T.StructType | None = None) -> DataFrame:
+    """CSV with a header; 'NA' is null. Without a stated schema one pass over all rows finds the types."""
+    return spark.read.csv(path, header=True, schema=schema, inferSchema=schema is None, nullValue="NA")
 
 
 def read_sheets(spark: SparkSession, paths: Mapping[str, str], schema: str | T.StructType | None = None,
@@ -46,6 +46,13 @@ def stack_periods(tables: Mapping[str, DataFrame], column: str = "period") -> Da
     return out
 
 
+def read_periods(spark: SparkSession, path: str, column: str = "period", wanted=None, schema: str | T.StructType | None = None) -> DataFrame:
+    """One read of a folder with a partition per period, tagged by ``column``; of the wanted periods alone, if given."""
+    reader = spark.read.schema(schema) if schema is not None else spark.read
+    df = reader.parquet(path)
+    return df if wanted is None else df.filter(F.col(column).isin(list(wanted)))
+
+
 def save_result(df: DataFrame, path: str, partition_by: str | None = None) -> None:
     """Keep a result for later runs."""
     writer = df.write.mode("overwrite")

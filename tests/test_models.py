@@ -140,7 +140,7 @@ def test_centrality_against_eigh(spark):
         i, j = nodes.index(a), nodes.index(b)
         m[i, j] = m[j, i] = w
     v = np.abs(np.linalg.eigh(m)[1][:, -1])
-    got = {r.node: r.centrality for r in nw.eigen_centrality(df, iters=400, tol=1e-13, every=20).collect()}
+    got = {r.node: r.centrality for r in nw.eigen_centrality(df, tol=1e-10, every=20).collect()}
     assert [got[n] for n in nodes] == pytest.approx(list(v / v.max()), abs=1e-4)
 
 
@@ -176,7 +176,7 @@ def test_qap_coefficients_and_p_values(spark):
 
 def test_permutations_are_bijections(spark):
     nodes = spark.range(30).select((F.col("id") % 2).alias("u"), F.col("id").alias("e"))
-    rows = nw.permuted_nodes(nodes, ["u"], "e", 3, 1).collect()
+    rows = nw.permuted_nodes(nodes, ["u"], "e", range(1, 4), 1).collect()
     assert len(rows) == 90
     for p in (1, 2, 3):
         for u in (0, 1):
@@ -244,7 +244,7 @@ def test_gamma_with_offset(spark):
 def test_negative_binomial_solves_its_score_equations(spark):
     rng, x1, x2, _, off, _, mu = regression_data(2000)
     y = rng.poisson(mu * rng.gamma(2.0, 0.5, size=len(mu))).astype(float)
-    fit, alpha = rg.fit_negbin(frame(spark, y=y, x1=x1, x2=x2, off=off), "y ~ x1 + x2", "off", rounds=12)
+    fit, alpha = rg.fit_negbin(frame(spark, y=y, x1=x1, x2=x2, off=off), "y ~ x1 + x2", "off")
     x = np.column_stack([x1, x2, np.ones_like(x1)])
     m = np.exp(x @ fit.beta + off)
     score = x.T @ ((y - m) / (1 + alpha * m))

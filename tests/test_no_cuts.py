@@ -102,13 +102,12 @@ def test_departures_of_seen(spark, days):
 
 @pytest.mark.parametrize("text", [True, False])
 def test_arrivals_of_a_crowded_minute_are_split_by_id(spark, text):
-    from rollcall.operators.attendance import arrival_rank, id_ranges
+    from rollcall.operators.attendance import arrival_rank
 
     ids = [f"user_{i:05d}" if text else i for i in range(400)]
     rows = [(1, e, 3.5 if k % 3 else None) for k, e in enumerate(ids)] + [(2, e, k * 0.004) for k, e in enumerate(ids)]
     df = spark.createDataFrame(rows, f"day int, entity {'string' if text else 'int'}, dur double")
-    assert df.select(id_ranges(df, "entity", 10).alias("r")).distinct().count() >= 4
-    got = {(r.day, r.entity): r.arrival for r in arrival_rank(df, "day", "dur", "entity", id_width=10).collect()}
+    got = {(r.day, r.entity): r.arrival for r in arrival_rank(df, "day", "dur", "entity").collect()}
     for day in (1, 2):
         order = sorted((r for r in rows if r[0] == day), key=lambda r: (r[2] is None, r[2] or 0, r[1]))
         assert [got[day, r[1]] for r in order] == list(range(1, 401))

@@ -22,7 +22,7 @@ def hot(spark):
 
 
 def test_arrival_order_on_a_hot_day(spark, hot):
-    out = at.arrival_rank(hot, "day", "dur", "entity", "n", id_width=50).toPandas()
+    out = at.arrival_rank(hot, "day", "dur", "entity", "n").toPandas()
     want = out.assign(k=out["dur"].fillna(np.inf)).sort_values(["day", "k", "entity"])
     want["m"] = want.groupby("day").cumcount() + 1
     assert (want["n"] == want["m"]).all() and len(want) == 12_000
