@@ -21,7 +21,7 @@ from rollcall.llm.token_counts import count_tokens
 from rollcall.llm.token_planes import read_ids, write_ids
 
 from rollcall.llm.toxicity import toxicity
-from rollcall.llm.url_rules import HOST_RULES, UNWANTED, host_rule, judge_urls, name_rule
+from rollcall.llm.url_rules import judge_urls, registered_rules
 from rollcall.llm.url_rules import sql as url_sql
 
 
@@ -45,8 +45,7 @@ def op2_main_text(spark: SparkSession, sf: str) -> DataFrame:
 @query(url_sql())
 def op3_url_rules(spark: SparkSession, sf: str) -> DataFrame:
     """Host, path, rule and verdict of every page's url."""
-    rules = [host_rule(r, v) for r, v in HOST_RULES] + [name_rule(w) for w in UNWANTED]
-    return judge_urls(table(spark, sf, "pages"), rules)
+    return judge_urls(table(spark, sf, "pages"), registered_rules())
 
 
 @query(LEAKS_SQL)
@@ -79,7 +78,7 @@ def op7_repetition(spark: SparkSession, sf: str) -> DataFrame:
 def op8_simhash(spark: SparkSession, sf: str) -> DataFrame:
     """Fingerprint and component of every document."""
     groups = near_groups(table(spark, sf, "documents"))
-    return groups.select("doc_id", hexadecimal(F.col("print")[0]).alias("fingerprint"), "component_id")
+    return groups.select("doc_id", hexadecimal(F.col("print")).alias("fingerprint"), "component_id")
 
 
 @query()
