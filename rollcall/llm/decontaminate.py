@@ -4,22 +4,30 @@ A window is as long as a benchmark item and starts at a shingle that an item of
 that length holds: moving a window on to its first such shingle never lowers
 its similarity, so no other start is needed. Windows that hold too few of the
 items' shingles to reach the similarity are left out; equal windows count once
-however many documents bear them. A window and an item meet if the window holds
-one of the item's rarest shingles: of an item of n shingles, of which a match
-must hold ``need``, at least one of the n - need + 1 rarest is in every match.
-Exact similarity of weighted shingles decides; SimHash fingerprints only give
-the distance of what is found, so no pair is lost by an estimate.
+however many documents bear them.
+
+Windows and items of one length meet by their SimHash fingerprints, through a
+multi-index: 64 bits are cut into blocks, and two fingerprints within the radius
+have a block in which they differ by no more than the radius over the number of
+blocks. The items' side lists all such neighbours of each of its blocks, so an
+equal block is enough. Exact similarity of weighted shingles then decides.
 """
 
 from __future__ import annotations
 
+from math import comb
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rollcall.session import shared_table
 
-#: Shingles of the benchmark up to which they are broadcast to the documents.
+#: Shingles of the benchmark up to which they, and rows of its index up to which that, are broadcast.
 BROADCAST_SHINGLES = 1_000_000
+#: Bits by which fingerprints may differ. Pairs of similarity 0.8 differ by 9 bits, give or take 3.
+RADIUS = 22
+# Widths of the blocks of a fingerprint.
+BLOCKS = (11, 11, 11, 11, 10, 10)
 
 
 def _bound(value: Column, body) -> Column:
@@ -49,19 +57,54 @@ def overlap(a: Column, b: Column) -> Column:
     return F.aggregate(F.array_intersect(a, b), F.lit(0), lambda n, v: n + F.least(times(a, v), times(b, v)))
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+def blocks_of(print_: Column) -> Column:
+    """Array of (block, bits, value), the blocks of a fingerprint."""
+    at, out = 0, []
+    for n, bits in enumerate(BLOCKS):
+        value = F.call_function("shiftrightunsigned", print_, F.lit(at)).bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
+        out.append(F.struct(F.lit(n).alias("block"), F.lit(bits).alias("bits"), value.alias("value")))
+        at += bits
+    return F.array(*out)
+
+
+def neighbours(kinds: DataFrame, radius: int) -> DataFrame:
+    """kind, size, block, value: every value of a block within its share of the radius of the kind's own."""
+    few = radius // len(BLOCKS)
+    widths = sorted(set(BLOCKS))
+    masks = kinds.sparkSession.range(1 << widths[-1]).select(
+        F.col("id").cast("int").alias("mask"), F.explode(F.array(*[F.lit(b) for b in widths])).alias("bits"))
+    masks = masks.filter((F.bit_count("mask") <= few) & (F.col("mask") < F.call_function("shiftleft", F.lit(1), F.col("bits"))))
+    own = kinds.select("kind", "size", F.explode(blocks_of(F.col("item_print"))).alias("b")).select("kind", "size", "b.*")
+    return own.join(F.broadcast(masks), "bits").select("kind", "size", "block", F.col("value").bitwiseXOR(F.col("mask")).alias("value"))
+
+
+def short_leaks(docs: DataFrame, items: DataFrame, words: int) -> DataFrame:
+    """Leaks of the items of exactly ``words`` words: the same words in a row, first place."""
+    wanted = items.select("item_id", F.explode(shingles(F.col("text"), words)).alias("hash"))
+    places = docs.select("doc_id", F.posexplode(shingles(F.col("text"), words)).alias("start", "hash"))
+    return places.join(wanted, "hash").groupBy("doc_id", "item_id").agg(F.min("start").cast("long").alias("start")).select(
+        "doc_id", "item_id", "start", F.lit(words).cast("long").alias("n_words"), F.lit(1.0).alias("similarity"), F.lit(0).cast("long").alias("distance"))
+
+
+def find_leaks(docs: DataFrame, items: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = RADIUS) -> DataFrame:
     """doc_id, item_id, start, n_words, similarity, distance: the best window of each item in each document.
 
     ``docs`` (doc_id, text) against ``items`` (item_id, text). Words are runs of
     letters and digits, lower-cased; a window has as many as the item, or fewer
     at the end of a document; ties go to the first start. A pair is found if the
-    weighted Jaccard similarity of the shingles is at least ``similarity``;
-    distance is that of the fingerprints, in bits of 64. Items of fewer words
-    than a shingle, null and empty texts never match; equal rows of ``docs`` are
-    one; a null doc_id or item_id is kept; other columns are ignored; an empty
-    table on either side gives an empty result.
+    fingerprints differ by ``radius`` bits of 64 at most (distance) and the
+    weighted Jaccard similarity of the shingles is at least ``similarity``. An
+    item of fewer words than a shingle is one shingle of all its words, and is
+    found where these stand in a row. Null and empty texts never match; equal
+    rows of ``docs`` are one, and long texts are searched whole; a null doc_id
+    or item_id is kept; other columns are ignored; an empty table on either side
+    gives an empty result.
     """
     m = shingle - 1
+    words = F.size(F.array_remove(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}]+"), ""))
+    counted = items.select("item_id", "text", words.alias("_words"))
+    lengths = [r[0] for r in counted.filter(F.col("_words").between(1, m)).select("_words").distinct().collect()]  # ``m`` at the most
+    short = [short_leaks(docs, counted.filter(F.col("_words") == n), n) for n in sorted(lengths)]
     known = (items.select("item_id", shingles(F.col("text"), shingle).alias("hashes")).filter(F.size("hashes") > 0).distinct()
              .withColumn("size", F.size("hashes")).withColumn("kind", F.xxhash64("size", "hashes")))
     known = shared_table(known)
@@ -72,13 +115,6 @@ def find_leaks(docs: DataFrame, items: DataFrame, shingle: int = 5, similarity:
     need = F.ceil(F.lit(similarity) * F.col("size") - 1e-9).cast("int")
     kinds = known.groupBy("kind", "size").agg(F.first("hashes").alias("item_hashes"))
     kinds = shared_table(kinds.withColumn("item_print", simhash(F.col("item_hashes"))))
-    each = kinds.select("kind", "size", F.explode("item_hashes").alias("hash"))
-    times = each.distinct().groupBy("size", "hash").agg(F.count(F.lit(1)).alias("times"))
-    rare = (each.join(times, ["size", "hash"]).groupBy("kind", "size")
-            .agg(F.array_sort(F.collect_list(F.struct("times", "hash"))).alias("held"))
-            .select("kind", "size", F.explode(F.array_distinct(F.slice("held", F.lit(1), F.col("size") - need + 1)["hash"])).alias("hash")))
-    rare = F.broadcast(rare) if small else rare
-
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("version"))
     places = texts.select("doc_id", "version", F.posexplode(shingles(F.col("text"), shingle)).alias("start", "hash"))
     hits = places.join(wanted, "hash").select("doc_id", "version", "start", F.explode("sizes").alias("size"))
@@ -100,19 +136,27 @@ def find_leaks(docs: DataFrame, items: DataFrame, shingle: int = 5, similarity:
 
     unique = windows.groupBy("content", "size").agg(F.first("hashes").alias("hashes")).withColumn("print", simhash(F.col("hashes")))
     unique = shared_table(unique)
-    met = (unique.select("content", "size", F.explode(F.array_distinct("hashes")).alias("hash")).join(rare, ["size", "hash"])
-           .select("content", "kind").distinct())
+    index = neighbours(kinds, radius)
+    per_kind = sum(comb(b, k) for b in BLOCKS for k in range(radius // len(BLOCKS) + 1))
+    if small and kinds.count() * per_kind <= BROADCAST_SHINGLES:
+        index = F.broadcast(index)
+    probes = unique.select("content", "size", F.explode(blocks_of(F.col("print"))).alias("b")).select("content", "size", "b.block", "b.value")
+    met = probes.join(index, ["size", "block", "value"]).select("content", "kind").distinct()
     distance = F.bit_count(F.col("print").bitwiseXOR(F.col("item_print")))
-    near = met.join(unique, "content").join(kinds.drop("size"), "kind").withColumn("distance", distance.cast("long"))
+    near = (met.join(unique, "content").join(kinds.drop("size"), "kind").withColumn("distance", distance.cast("long"))
+            .filter(F.col("distance") <= radius))
     shared = overlap(F.col("hashes"), F.col("item_hashes"))
     whole = F.size("hashes") + F.size("item_hashes") - F.col("shared")
     found = (near.withColumn("shared", shared).withColumn("similarity", F.col("shared") / whole)
              .filter(F.col("similarity") >= similarity - 1e-12).select("content", "kind", "similarity", "distance")
              .join(known.select("kind", "item_id"), "kind").drop("kind"))
     best = F.max_by(F.struct("start", (F.size("hashes") + m).alias("n_words"), "similarity", "distance"), F.struct("similarity", -F.col("start")))
-    return (windows.join(found, "content").groupBy("doc_id", "item_id").agg(best.alias("b"))
-            .select("doc_id", "item_id", F.col("b.start").cast("long").alias("start"), F.col("b.n_words").cast("long").alias("n_words"),
-                    F.round("b.similarity", 6).alias("similarity"), F.col("b.distance").alias("distance")))
+    out = (windows.join(found, "content").groupBy("doc_id", "item_id").agg(best.alias("b"))
+           .select("doc_id", "item_id", F.col("b.start").cast("long").alias("start"), F.col("b.n_words").cast("long").alias("n_words"),
+                   F.round("b.similarity", 6).alias("similarity"), F.col("b.distance").alias("distance")))
+    for part in short:
+        out = out.unionByName(part)
+    return out
 
 
 #: The pairs by similarity alone.
@@ -137,4 +181,10 @@ sim as (
   from ws join ic on ic.size = ws.size and ic.s = ws.s group by doc_id, item_id, ws.start, held, ws.size)
 select doc_id, item_id, start, held + 4 as n_words, round(similarity, 6) as similarity
 from sim where similarity >= 0.8 - 1e-12
-qualify row_number() over (partition by doc_id, item_id order by similarity desc, start) = 1"""
+qualify row_number() over (partition by doc_id, item_id order by similarity desc, start) = 1
+union all
+select doc_id, item_id, min(p), k, 1.0 from (
+  select doc_id, k, p, array_to_string(w[p + 1 : p + k], ' ') as s
+  from (select doc_id, w, k, unnest(range(0, len(w) - k + 1)) as p from d, (values (1), (2), (3), (4)) n(k) where len(w) >= k)) x
+join (select item_id, len(w) as k, array_to_string(w, ' ') as s from i where len(w) between 1 and 4) y using (k, s)
+group by doc_id, item_id, k"""
