@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from rollcall.llm.toxicity import sample_labelled
 from rollcall.llm.trees import sigmoid
+from rollcall.session import shared_table
 
 #: Bytes of a window and of its step; windows of a segment; segments of a chunk and of its step.
 WIDTH, STEP, SEGMENT, CHUNK, STRIDE = 8, 4, 16, 4, 3
@@ -154,19 +155,28 @@ def _scores(model):
     return run
 
 
-def quality(docs: DataFrame, labels: DataFrame, most: int = 4000, modulus: int = 4, held: int = 2) -> DataFrame:
+def training_rows(docs: DataFrame, labels: DataFrame, most: int, most_bytes: int, modulus: int, held: int):
+    """Labelled rows as a pandas frame: in the order of a hash of doc_id, while their texts hold ``most_bytes`` together."""
+    rows = shared_table(sample_labelled(docs, labels, "quality", most, modulus, held))
+    sizes = rows.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size"), F.xxhash64("doc_id").alias("place")).toPandas()
+    sizes = sizes.sort_values(["place", "doc_id"])
+    chosen = sizes.loc[sizes["size"].cumsum() <= most_bytes, "doc_id"].tolist()
+    wanted = docs.sparkSession.createDataFrame([(int(v),) for v in chosen], "doc_id long")
+    return rows.join(F.broadcast(wanted), "doc_id").toPandas().sort_values("doc_id")  # ``most`` ids
+
+
+def quality(docs: DataFrame, labels: DataFrame, most: int = 4000, modulus: int = 4, held: int = 2, most_bytes: int = 64 << 20) -> DataFrame:
     """doc_id and score (0 to 1; higher: label 1 likelier) of every row of ``docs``.
 
     The network learns from at most ``most`` rows of ``labels`` (doc_id,
-    quality) whose crc32(doc_id) mod ``modulus`` is not ``held``, and reads
-    nothing but the bytes of whole texts. A null or empty text is one window of
+    quality) whose crc32(doc_id) mod ``modulus`` is not ``held``, of
+    ``most_bytes`` together, and reads nothing but the bytes of whole texts. A null or empty text is one window of
     filling; repeated rows get equal scores; a null doc_id is kept; other
     columns are ignored. With fewer than five training rows of either label
     every score is their share of label 1.
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    # ``most`` bounds what the driver holds
-    rows = sample_labelled(docs, labels, "quality", most, modulus, held).toPandas().sort_values("doc_id")
+    rows = training_rows(docs, labels, most, most_bytes, modulus, held)
     y = rows["label"].to_numpy(float)
     if min(y.sum(), (1 - y).sum()) < 5:
         model = (None, (y.sum() + 0.5) / (len(y) + 1))

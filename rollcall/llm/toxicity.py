@@ -3,7 +3,8 @@
 The features are densities of a lexicon (stated words, and words and word
 beginnings that training rows tie to the label), how near the second person
 stands to them, capitals, punctuation and obfuscation. Isotonic regression on
-rows that the trees have not seen turns their output into a probability.
+rows that neither the lexicon nor the trees have seen turns the trees' output
+into a probability.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ _LETTERS = re.compile(r"[\W\d_]+")
 _LONG = re.compile(r"([^\W\d_])\1\1")
 _CAPITAL, _SHOUTED, _MARK, _DIGIT = (re.compile(p) for p in ("[A-ZÀ-ÖØ-Þ]", r"\b[A-Z]{3,}\b", r"[^\w\s]", r"\d"))
 NEAR = 3
+#: What a learnt term needs: toxic training rows, log-odds, and letters at most.
+LEAST_BAD, LEAST_ODDS, LONGEST_TERM = 3, 2.5, 64
 FEATURES = ("log_words word_density word_hits start_density start_hits stated_density weight near_second second capitals "
             "shouted exclaim question marks digits mixed mixed_hits long_runs").split()
 
@@ -106,7 +109,8 @@ def _rows(lexicon):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = [features(t, lexicon.value) for t in batch.column("text").to_pylist()]
-            yield pa.record_batch([batch.column("doc_id"), batch.column("label"), pa.array(x, pa.list_(pa.float64()))], ["doc_id", "label", "x"])
+            yield pa.record_batch([*(batch.column(c) for c in ("doc_id", "label", "aside")), pa.array(x, pa.list_(pa.float64()))],
+                                  ["doc_id", "label", "aside", "x"])
 
     return run
 
@@ -130,34 +134,44 @@ def sample_labelled(docs: DataFrame, labels: DataFrame, label: str, most: int, m
     """doc_id, text, label of at most ``most`` labelled rows outside the held-out fold.
 
     Rows are chosen by a hash of doc_id; of a doc_id with several labels the
-    largest counts. Null labels and doc_ids don't train.
+    largest counts, of one with several texts that of the smallest hash. Null
+    labels and doc_ids don't train.
     """
     fold = F.crc32(F.col("doc_id").cast("string")) % modulus
     chosen = (labels.select(F.col("doc_id").cast("long"), F.col(label).cast("int").alias("label")).dropna()
               .filter(fold != held).groupBy("doc_id").agg(F.max("label").alias("label"))
               .orderBy(F.xxhash64("doc_id"), "doc_id").limit(most))
     # at most ``most`` rows of 12 bytes
-    return docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label").dropDuplicates(["doc_id"])
+    found = docs.join(F.broadcast(chosen), "doc_id")
+    one = F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("one")
+    return found.groupBy("doc_id", "label").agg(one).select("doc_id", F.col("one.text").alias("text"), "label")
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = 20000, lexicon_size: int = 4096, modulus: int = 5, held: int = 0):
-    """(lexicon, trees, curve, prior) from at most ``most`` labelled rows."""
+    """(lexicon, trees, curve, prior) from at most ``most`` labelled rows.
+
+    Every fourth row, by a hash of its doc_id, is set aside for the curve before
+    anything is learnt. The lexicon has the ``lexicon_size`` terms of highest
+    odds, of ``LEAST_BAD`` toxic rows and ``LEAST_ODDS`` at least.
+    """
     spark = docs.sparkSession
-    train = shared_table(sample_labelled(docs, labels, "toxic", most, modulus, held))
+    train = sample_labelled(docs, labels, "toxic", most, modulus, held)
+    train = shared_table(train.withColumn("aside", F.pmod(F.xxhash64("doc_id", F.lit("curve")), F.lit(4)) == 3))
     total = {bool(r["label"]): r["count"] for r in train.groupBy("label").count().collect()}
     bad, good = total.get(True, 0), total.get(False, 0)
     if min(bad, good) < 5:  # too few to learn from
         return ({}, {}), None, None, (bad + 0.5) / (bad + good + 1)
-    odds = F.log((F.col("bad") + 0.5) / (bad + 1)) - F.log((F.col("good") + 0.5) / (good + 1))
-    learnt = (train.mapInArrow(_terms, "term string, bad long, good long").groupBy("term")
+    seen = {bool(r["label"]): r["count"] for r in train.filter("not aside").groupBy("label").count().collect()}
+    odds = F.log((F.col("bad") + 0.5) / (seen.get(True, 0) + 1)) - F.log((F.col("good") + 0.5) / (seen.get(False, 0) + 1))
+    learnt = (train.filter("not aside").mapInArrow(_terms, "term string, bad long, good long").groupBy("term")
               .agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).withColumn("weight", odds)
-              .filter((F.col("bad") >= 3) & (F.col("weight") >= 2.5) & (F.length("term") <= 64))
+              .filter((F.col("bad") >= LEAST_BAD) & (F.col("weight") >= LEAST_ODDS) & (F.length("term") <= LONGEST_TERM))
               .orderBy(F.desc(F.col("weight") * F.sqrt("bad")), "term").limit(lexicon_size).select("term", "weight").collect())
     lexicon = split_lexicon({**dict.fromkeys(INSULTS, 2.5), **{r["term"]: r["weight"] for r in learnt}})
-    rows = train.mapInArrow(_rows(spark.sparkContext.broadcast(lexicon)), "doc_id long, label int, x array<double>").toPandas()
+    rows = train.mapInArrow(_rows(spark.sparkContext.broadcast(lexicon)), "doc_id long, label int, aside boolean, x array<double>").toPandas()
     rows = rows.sort_values("doc_id")
     x, y = np.array(rows["x"].tolist()).reshape(-1, len(FEATURES)), rows["label"].to_numpy(float)
-    part = np.arange(len(y)) % 4 == 3  # for the curve, unseen by the trees
+    part = rows["aside"].to_numpy(bool)
     if min(y[part].sum(), (1 - y[part]).sum(), y[~part].sum(), (1 - y[~part]).sum()) < 1:
         part = np.zeros(len(y), bool)
     trees = boost(x[~part], y[~part])
@@ -170,8 +184,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, most: int = 20000, modulus: int
 
     Fitted on at most ``most`` rows of ``labels`` (doc_id, toxic) whose
     crc32(doc_id) mod ``modulus`` is not ``held``; scores come from the whole
-    texts alone. Null and empty texts get the score of a text without words;
-    repeated rows get equal scores; a null doc_id is kept; other columns are
+    texts, however long, alone. Null and empty texts get the score of a text
+    without words; repeated rows get equal scores; a null doc_id is kept; other columns are
     ignored. With fewer than five training rows of either label the score is
     their share of toxic rows.
     """

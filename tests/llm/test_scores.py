@@ -1,19 +1,22 @@
 """Trees, repetition, toxicity, quality, main text and URL rules."""
 
 import re
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rollcall.llm import byte_conv
+from rollcall.llm import byte_conv, url_rules
 from rollcall.llm.byte_conv import quality
-from rollcall.llm.main_text import blocks_of, block_tree, extract, labelled_table, main_text
+from rollcall.llm.main_text import FEATURES, KINDS, blocks_of, block_tree, extract, labelled_page, labelled_table, main_text
+from rollcall.llm.main_text import features as block_features
 from rollcall.llm.queries import held_out
 from rollcall.llm.repetition import COUNTS, SHARES, measures, repetition
-from rollcall.llm.toxicity import features, toxicity
+from rollcall.llm.toxicity import INSULTS, SECOND, features, sample_labelled, split_lexicon, toxicity
+from rollcall.llm.toxicity import words_of as toxicity_words
 from rollcall.llm.trees import boost, isotonic, sigmoid
-from rollcall.llm.url_rules import host_rule, judge_urls, name_rule
+from rollcall.llm.url_rules import ending_rule, folder_rule, host_rule, judge_urls, name_rule, registered_rules
 
 BIG = "/root/testdata/sf0.1"
 
@@ -138,9 +141,43 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><b
 def test_main_text():
     assert main_text(PAGE, block_tree()) == "Head & tail\n\nOne link two three\n\n<b> four five\n\nLast."
     assert [main_text(p, block_tree()) for p in (None, "", "  ", "<p></p>", "<!-- x", "<")] == ["", "", "", "", "", "<"]
+    assert len(blocks_of("<p>a<p>b<div>c</div>d")) == 4
+    blocks = blocks_of('<p>one</p><script>var a = "<!--", b = x<y="</script><p>two <a title="a > b">three</a></p>')
+    assert [(b.text, b.linked) for b in blocks] == [("one", 0), ("two three", 1)]
+
+
+def labelled_pages(kind, n=150, seed=5):
+    r, x, y = np.random.default_rng(seed), [], []
+    for _ in range(n):
+        blocks, labels = labelled_page(r, kind < 4, kind in (0, 1, 4))
+        if blocks:
+            x.append(block_features(blocks))
+            y += labels
+    return np.concatenate(x), np.array(y)
+
+
+def test_neighbours_decide_about_blocks():
     x, y = labelled_table()
     assert ((block_tree().predict(x) > 0) == (y > 0)).mean() > 0.99
-    assert len(blocks_of("<p>a<p>b<div>c</div>d")) == 4
+    near = [FEATURES.index(c) for c in ("words_before", "links_before", "words_after", "links_after")]
+    names = [FEATURES.index(c) for c in (*KINDS, "hidden", "apart", "within")]
+    for kind in (0, 2, 4, 5):
+        x, y = labelled_pages(kind)
+        right = lambda z: ((block_tree().predict(z) > 0) == y).mean()
+        mixed, bare = x.copy(), x.copy()
+        mixed[:, near] = mixed[np.random.default_rng(1).permutation(len(x))][:, near]
+        bare[:, names] = 0
+        assert right(x) > 0.98 and right(mixed) < right(x) - 0.08
+        assert right(bare) > 0.98 if kind == 5 else right(bare) < right(x)
+
+
+@pytest.mark.parametrize("unit", ["<div class=main>x", '<a "', "<a ", '<a ">" x', "<a x=\">\"", "<svg>", "</div><section>", "</script", "<!--",
+                                  "<script>", "<p class='x", "<div><p>text <a href=q>l</a></p>"])
+def test_main_text_of_deep_and_unclosed_pages(unit):
+    page = unit * (4_000_000 // len(unit)) + ">" + "<p>" + "the words at the end " * 5 + "</p>"
+    start = time.process_time()
+    main_text(page, block_tree())
+    assert time.process_time() - start < 20  # 10 seconds on a slow machine; quadratic ones take hours
 
 
 BODY = "<h1>A heading of the page</h1><p>" + "Some words of the article stand here. " * 8 + "</p><p>" + "And more of them follow. " * 9 + "</p>"
@@ -176,7 +213,7 @@ def test_main_text_of_pages(spark, table):
         want = "\n\n".join(p for p in parts if p)
         assert (got[r.page_id].text, got[r.page_id].n_chars, got[r.page_id].url) == (want, len(want), r.url)
     odd = spark.createDataFrame([(1, None, None, 1), (None, "u", "<p>Some words stand here as they are.</p>", 2), (1, None, None, 1)],
-                                "page_id long, url string, html string, text int")
+                                "page_id long, url string, html string, text int").withColumn("n_chars", F.lit("x")).withColumn("words", F.lit(1))
     assert sorted((str(r.page_id), r.n_chars) for r in extract(odd).collect()) == [("1", 0), ("1", 0), ("None", 34)]
     assert extract(odd.filter("false")).count() == 0
 
@@ -206,6 +243,100 @@ def test_url_rules(spark):
     assert judge_urls(df, []).filter("verdict = 'allow'").count() == len(rows)
 
 
+def test_rules_without_tokens_and_many_rules(spark):
+    rules = [host_rule("пример/", "block"), host_rule("пример/да/", "allow"), name_rule("ab-cd"), *registered_rules(), *registered_rules()[:9]]
+    hosts = ["пример", "x.пример", "ab-cd.net", "x.ab-cd-e.net", "abcd.net", "my.free-bets.example.net", "spam.org", "a.com", "b.org"]
+    paths = ["", "/", "/да/1", "/login", "/x/login/y", "/xlogin/", "/a/b.PDF", "/a/b.pdf", "/feed", "/de/1", "/fr/x.zip", "/a.pdf/b"]
+    df = spark.createDataFrame([(i, f"http://{h}{p}") for i, (h, p) in enumerate((h, p) for h in hosts for p in paths)], "page_id long, url string")
+    for many in (1_000_000, 1):  # broadcast or joined
+        url_rules.BROADCAST_RULES, kept = many, url_rules.BROADCAST_RULES
+        got = {r.page_id: (r.rule, r.verdict) for r in judge_urls(df, rules).collect()}
+        url_rules.BROADCAST_RULES = kept
+        for i, (h, p) in enumerate((h, p) for h in hosts for p in paths):
+            fit = [(w, pattern, rule, verdict) for rule, pattern, _, verdict, w in rules if re.search(pattern, h + p)]
+            assert got[i] == (max(fit)[2:] if fit else (None, "allow")), (h, p)
+    assert judge_urls(df, [folder_rule("login")]).filter("verdict = 'block'").count() == 2 * len(hosts)
+    assert judge_urls(df, [ending_rule("pdf")]).filter("verdict = 'block'").count() == len(hosts)
+
+
+def plain_features(text, lexicon):
+    """The dense features again, word by word."""
+    words, starts = lexicon
+    low = (text or "").lower()
+    plain_ = re.findall(r"[^\W\d_]+", low)
+    read = toxicity_words(text or "")[1]
+    rows = []
+    for i, w in enumerate(plain_):
+        start = max([starts.get(w[:k], 0.0) for k in (4, 5) if len(w) > k] or [0.0])
+        near = any(v in SECOND for v in plain_[max(0, i - 3):i + 4])
+        rows.append((w in words, start > 0, max(words.get(w, 0.0), start), near, w in SECOND, w in INSULTS))
+    n, chars, text = max(1, len(plain_)), max(1, len(text or "")), text or ""
+    hit = [r for r in rows if r[0] or r[1]]
+    return [np.log1p(len(plain_)), sum(r[0] for r in hit) / n, np.log1p(sum(r[0] for r in hit)), sum(r[1] for r in hit) / n,
+            np.log1p(sum(r[1] for r in hit)), sum(r[5] for r in hit) / n, sum(r[2] for r in hit) / n, sum(r[3] for r in hit) / n,
+            sum(r[4] for r in rows) / n, sum(c in CAPITALS for c in text) / chars,
+            len(re.findall(r"\b[A-Z]{3,}\b", text)) / n, text.count("!") / n, text.count("?") / n,
+            sum(bool(re.match(r"[^\w\s]", c)) for c in text) / chars, sum(c.isdecimal() for c in text) / chars, len(read) / n,
+            sum(w in words for w in read) / n, len(re.findall(r"([^\W\d_])\1\1", text)) / n]
+
+
+CAPITALS = {chr(c) for c in [*range(65, 91), *range(0xC0, 0xD7), *range(0xD8, 0xDF)]}
+
+
+def test_toxicity_features_against_a_plain_version(docs):
+    lexicon = split_lexicon({**dict.fromkeys(INSULTS, 2.5), "the": 1.0, "ther-": 3.0, "thing-": 2.0, "en": 0.5})
+    for r in docs.limit(60).collect():
+        assert np.allclose(features(r.text, lexicon), plain_features(r.text, lexicon)), r.doc_id
+    for text in ("", None, "YOU stupid MORON!!! why??", "st*pid sooo b4d", "stupid du trottel"):
+        assert np.allclose(features(text, lexicon), plain_features(text, lexicon))
+
+
+def test_toxicity_curve_on_rows_it_has_not_seen(spark):
+    df, labels = (spark.read.parquet(f"{BIG}/{t}.parquet") for t in ("documents", "labels"))
+    rows = toxicity(df, labels).join(labels, "doc_id").filter(held_out(5, 0)).select("toxic", "score").toPandas()
+    for low, high in ((0.0, 0.2), (0.2, 0.5), (0.5, 0.8), (0.8, 1.01)):
+        part = rows[(rows["score"] >= low) & (rows["score"] < high)]
+        if len(part):  # the mean score lies within the error of the share of toxic rows
+            error = 3 * np.sqrt(max(part["score"].mean() * (1 - part["score"].mean()), 0.01) / len(part)) + 0.03
+            assert abs(part["score"].mean() - part["toxic"].mean()) < error, (low, len(part))
+
+
+def test_labels_of_repeated_ids(spark):
+    docs = spark.createDataFrame([(1, "a"), (1, "b"), (1, "b"), (2, None), (None, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, 1), (2, None), (None, 1)], "doc_id long, toxic int")
+    one = sample_labelled(docs, labels, "toxic", 100, 5, 9).collect()
+    two = sample_labelled(docs.repartition(3), labels, "toxic", 100, 5, 9).collect()
+    assert sorted(map(str, one)) == sorted(map(str, two)) and sorted((r.doc_id, r.label) for r in one) == [(1, 1), (2, 1)]
+
+
+def plain_logit(net, x):
+    relu = lambda v: np.maximum(v, 0)
+    windows = [np.concatenate([net.embed[b] for b in x[i:i + 8]]) @ net.filters for i in range(0, len(x) - 7, 4)]
+    segs = [relu(np.max(windows[i:i + 16], axis=0) + net.bias) for i in range(0, len(windows), 16)]
+    chunks, at = [], 0
+    while True:
+        chunks.append(np.max(segs[at:at + 4], axis=0))
+        if at + 4 >= len(segs):
+            break
+        at += 3
+    return float(np.concatenate([np.max(chunks, axis=0), np.mean(chunks, axis=0)]) @ net.out + net.base[0])
+
+
+def test_training_texts_are_bounded(table):
+    rows = byte_conv.training_rows(table("documents"), table("labels"), 4000, 60_000, 4, 2)
+    whole = byte_conv.training_rows(table("documents"), table("labels"), 4000, 1 << 30, 4, 2)
+    assert 0 < len(rows) < len(whole) and sum(len((t or "").encode()) for t in rows["text"]) <= 60_000
+
+
+def test_network_against_a_plain_forward_pass():
+    net, rng = byte_conv.new_net(), np.random.default_rng(3)
+    for p in net.parts():
+        p += rng.normal(0, 0.1, p.shape).astype(np.float32)
+    for text in ("", "short", "Some longer text with ümlauts. " * 40):
+        x = byte_conv.bytes_of(text)
+        assert abs(byte_conv.logit(net, x) - plain_logit(net, x)) < 1e-3
+
+
 def test_sigmoid_is_bounded():
     assert 0 < sigmoid(np.array([-1e9]))[0] < sigmoid(np.array([1e9]))[0] <= 1
 
