@@ -120,7 +120,8 @@ def durbin_watson_test(df: DataFrame, day: str, value: str, by: Sequence[str] =
     n = F.col("n")
     weights = F.transform(F.sequence(F.lit(1).cast("bigint"), n - 1), lambda j: 2 - 2 * F.cos(math.pi * j / n) - F.col("dw"))
     out = out.withColumn("p_positive", F.when((n > 2) & F.col("dw").isNotNull(), ratio_below_zero(weights)))
-    return out.withColumn("p_value", F.least(2 * F.least(F.col("p_positive"), 1 - F.col("p_positive")), F.lit(1.0)))
+    both = F.least(2 * F.least(F.col("p_positive"), 1 - F.col("p_positive")), F.lit(1.0))
+    return out.withColumn("p_value", F.when(F.col("p_positive").isNotNull(), both))
 
 
 def regrouped(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:

@@ -143,7 +143,8 @@ def fit_level(df: DataFrame, day: str, value: str, by: Sequence[str] = (), covar
     A value is the level, the effects of the day's covariates and noise; a day
     without a value, or without a covariate, tells nothing of them. Each round
     smooths all series and never lowers the likelihood (``history``); it ends
-    when a round adds less than ``tol`` per value, and raises after ``most``.
+    when two rounds add less than ``tol`` per value, and raises after ``most``.
+    EM nears its end slowly, so what is left to gain may be many times that.
     """
     packed = cut_lineage(_packed(df, day, value, by, covariates)[0].select("_y", "_xs"))
     step, p = TREND if trend else LEVEL, len(covariates)
@@ -182,7 +183,7 @@ def fit_level(df: DataFrame, day: str, value: str, by: Sequence[str] = (), covar
         if not s["n"]:
             raise ValueError("no values to fit")
         model.history.append(s["ll"])
-        if len(model.history) > 1 and model.history[-1] - model.history[-2] < tol * s["n"]:
+        if len(model.history) > 2 and model.history[-1] - model.history[-3] < tol * s["n"]:
             return model
         if p and len(model.history) % 2:  # effects and variances in turn: each raises the likelihood by itself
             model.beta = np.linalg.lstsq(np.array([[s[f"a{i}_{j}"] for j in range(p)] for i in range(p)]), np.array([s[f"b{i}"] for i in range(p)]), rcond=None)[0]

@@ -537,7 +537,7 @@ DW_P = f""", dwn as (select *, unnest(range(-64, 65)) as g from dws where n > 2
     dwt as (select *, pi() / 32 * cosh(g / 16.0) * sin(0.5 * list_sum(list_transform(range(1, n), lambda j: atan((2 - 2 * cos(pi() * j / n) - dw) * {SPAN}))))
       / exp(0.25 * list_sum(list_transform(range(1, n), lambda j: ln(1 + ((2 - 2 * cos(pi() * j / n) - dw) * {SPAN}) ** 2)))) as f from dwn),
     dwp as (select key, 0.5 - sum(f) / pi() as below from dwt group by key)"""
-DW_ROWS = f"select d.key, d.n, {R('d.dw')} as dw, {R('greatest(least(p.below, 1), 0)')} as p_positive, {R('least(1, 2 * least(greatest(least(p.below, 1), 0), 1 - greatest(least(p.below, 1), 0)))')} as p_value from dws d left join dwp p using (key)"
+DW_ROWS = f"select d.key, d.n, {R('d.dw')} as dw, case when p.below is not null then {R('greatest(least(p.below, 1), 0)')} end as p_positive, case when p.below is not null then {R('least(1, 2 * least(greatest(least(p.below, 1), 0), 1 - greatest(least(p.below, 1), 0)))')} end as p_value from dws d left join dwp p using (key)"
 
 
 @query("B15", f"""{CENTRED}, s as (select *, d - lag(d) over (partition by entity order by day) as step from v),
