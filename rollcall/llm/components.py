@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollcall.session import shared_table
+from rollcall.session import release, shared_table
 
 
 def _large(links: DataFrame) -> DataFrame:
@@ -26,8 +26,9 @@ def components(links: DataFrame) -> DataFrame:
     """(node, label): the smallest node that each linked node reaches.
 
     ``links`` has long columns u and v; direction and repetition don't matter.
-    Every round is a table in the shared folder, and rounds go on until the
-    links no longer change, when each points to its label. Minima are combined
+    Every round is a table in the shared folder, removed once the next one is
+    written, and rounds go on until the links no longer change, when each points
+    to its label. Minima are combined
     before the shuffle, so a hub costs no task more than its rows. Nodes
     without a link to another node are not in the result.
     """
@@ -39,4 +40,5 @@ def components(links: DataFrame) -> DataFrame:
             return down.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(
                 down.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
         seen = now
-        down = shared_table(_small(_large(down).distinct()).distinct())
+        done, down = down, shared_table(_small(_large(down).distinct()).distinct())
+        release(done)

@@ -6,9 +6,8 @@ fingerprints are added plane by plane into carry-save counters that start so
 high that a carry out of the top means "beyond the radius", and a block is
 abandoned once that holds for all of it.
 
-Which fingerprints meet in a bucket is exact for narrow radii (``block_keys``:
-of m blocks of bits, at least m - radius agree) and rests on shared minima of
-the shingle hashes for wide ones (``minima``).
+Which fingerprints meet in a bucket is exact: of m blocks of bits, two
+fingerprints within the radius have at least m - radius alike (``block_keys``).
 """
 
 from __future__ import annotations
@@ -27,12 +26,8 @@ from rollcall.session import shared_table
 
 #: Fingerprints of a bucket that one task compares with each other.
 BLOCK = 2048
-#: Links of a node that follow first where a link of a forest fails; each round takes 16 times as many.
-FIRST = 16
 #: Runs up to this length are compared as lists of pairs.
 SHORT = 24
-#: Odd numbers that mix further hashes out of one.
-_ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
 
 def shingle_hashes(text: str | None, size: int) -> np.ndarray:
@@ -49,51 +44,28 @@ def shingle_hashes(text: str | None, size: int) -> np.ndarray:
     return np.array([xxh64_intdigest(line[a:b - 1], 42) for a, b in zip(starts, ends[size - 1:])], np.uint64)
 
 
-def mixed(h: np.ndarray, k: int) -> np.ndarray:
-    """The k-th further hash of hashes."""
-    if not k:
-        return h
-    x = (h ^ np.uint64(k)) * _ODD[k % 4]
-    x ^= x >> np.uint64(29)
-    x = (x + np.uint64(k)) * _ODD[(k + 1) % 4]
-    return x ^ (x >> np.uint64(32))
+def fingerprint(h: np.ndarray) -> int:
+    """A bit is 1 if it is set in over half of the hashes; a signed long."""
+    total = np.zeros(64, np.int64)
+    for i in range(0, len(h), 1 << 14):  # bounded however long the text
+        part = h[i:i + (1 << 14)].view(np.uint8).reshape(-1, 8)
+        total += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
+    return int(np.packbits(2 * total > len(h), bitorder="little").view(np.int64)[0])
 
 
-def fingerprint(h: np.ndarray, width: int = 1) -> np.ndarray:
-    """``width`` words; a bit is 1 if it is set in over half of the hashes."""
-    out = np.zeros(width, np.uint64)
-    for k in range(width if len(h) else 0):
-        total = np.zeros(64, np.int64)
-        for i in range(0, len(h), 1 << 14):  # bounded however long the text
-            part = mixed(h[i:i + (1 << 14)], k).view(np.uint8).reshape(-1, 8)
-            total += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
-        out[k] = np.packbits(2 * total > len(h), bitorder="little").view(np.uint64)[0]
-    return out
-
-
-def _prints(size: int, width: int, minima: int, sets: bool):
+def _prints(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints, keys = [], []
-            for text in batch.column("text").to_pylist():
-                h = shingle_hashes(text, size)
-                if sets:
-                    h = np.unique(h)
-                prints.append(fingerprint(h, width).view(np.int64).tolist())
-                keys.append([int(mixed(h, 64 + k).min().view(np.int64)) for k in range(minima)] if len(h) else [0] * minima)
-            yield pa.record_batch([batch.column("doc_id"), batch.column("version"), pa.array(prints, pa.list_(pa.int64())),
-                                   pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "version", "print", "minima"])
+            prints = [fingerprint(shingle_hashes(t, size)) for t in batch.column("text").to_pylist()]
+            yield pa.record_batch([batch.column("doc_id"), batch.column("version"), pa.array(prints, pa.int64())], ["doc_id", "version", "print"])
 
     return run
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4, width: int = 1, minima: int = 0, sets: bool = False) -> DataFrame:
-    """doc_id, version (hash of the text), print (array of ``width`` longs), minima (array of longs).
-
-    With ``sets`` a shingle that repeats counts once.
-    """
+def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
+    """doc_id, version (hash of the text), print (a long)."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64("text").alias("version"))
-    return docs.mapInArrow(_prints(shingle, width, minima, sets), "doc_id long, version long, print array<long>, minima array<long>")
+    return docs.mapInArrow(_prints(shingle), "doc_id long, version long, print long")
 
 
 def block_keys(word: Column, radius: int, equal: int = 2) -> Column:
@@ -196,25 +168,11 @@ def forest(n: int, a: np.ndarray, b: np.ndarray, d: np.ndarray) -> tuple[np.ndar
     return (np.concatenate(left), np.concatenate(right)) if left else (labels[:0], labels[:0])
 
 
-def nearest(n: int, a: np.ndarray, b: np.ndarray, d: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(a, b) of the pairs among the ``most`` shortest of either end, and the rows that had more."""
-    end, pair = np.concatenate([a, b]), np.tile(np.arange(len(a)), 2)
-    order = np.lexsort((pair, d[pair], end))
-    count = np.bincount(end, minlength=n)
-    place = np.arange(len(end)) - np.repeat(np.cumsum(count) - count, count)
-    chosen = np.unique(pair[order[place < most]])
-    return a[chosen], b[chosen], np.unique(end[order[place >= most]]) if len(chosen) < len(a) else a[:0]
-
-
-def _links(radius: int, most: int | None):
+def _links(radius: int):
     def chosen(t, a, b, d):
-        """Nodes of the links that stand for the pairs (a, b); a link to itself says that a node has more."""
-        if most is None:
-            a, b = forest(len(t["node"]), a, b, d)
-            return t["node"][a], t["node"][b]
-        apart = t["label"][a] != t["label"][b]
-        a, b, more = nearest(len(t["node"]), a[apart], b[apart], d[apart], most)
-        return t["node"][np.concatenate([a, more])], t["node"][np.concatenate([b, more])]
+        """Nodes of the links that stand for the pairs (a, b)."""
+        a, b = forest(len(t["node"]), a, b, d)
+        return t["node"][a], t["node"][b]
 
     def long_run(t, cross: bool):
         at = np.nonzero(t["side"] == 0)[0] if cross else np.arange(len(t["node"]))
@@ -260,9 +218,8 @@ def _links(radius: int, most: int | None):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            t = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "i", "j", "side", "node", "label")}
-            p = batch.column("print")
-            t["print"] = p.flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(batch.num_rows, -1)
+            t = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "i", "j", "side", "node")}
+            t["print"] = t["node"].view(np.uint64).reshape(-1, 1)
             if held is not None:
                 t = {c: np.concatenate([held[c], t[c]]) for c in t}
             same = (t["key"] == t["key"][-1]) & (t["i"] == t["i"][-1]) & (t["j"] == t["j"][-1])
@@ -275,145 +232,54 @@ def _links(radius: int, most: int | None):
     return run
 
 
-def links_within(nodes: DataFrame, radius: int, most: int | None = None) -> DataFrame:
-    """Links (u, v) that connect what bucket mates within ``radius`` connect.
-
-    ``nodes``: node (long, unique), print (array of longs), keys (array of
-    longs). Nodes that share a key are compared. A bucket of more than
-    ``BLOCK`` nodes is dealt into blocks and each pair of blocks is a task of
-    its own, so no task grows with a bucket; each task returns a spanning
-    forest of its links of least distance, never all pairs.
+def links_within(prints: DataFrame, radius: int) -> DataFrame:
+    """Links (u, v) that connect what fingerprints within ``radius`` bits connect.
 
-    With ``most`` nodes have a label (long) too, and each task returns, of every
-    node's links to other labels, the ``most`` of least distance; a node that
-    has more of them is also linked to itself.
+    ``prints``: node (long), distinct fingerprints. Those that share a key are
+    compared. A bucket of more than ``BLOCK`` is dealt into blocks and each pair
+    of blocks is a group of its own, so no task grows with a bucket; each group
+    returns a spanning forest of its links of least distance, never all pairs.
     """
-    label = F.col("node") if most is None else F.col("label")
-    nodes = nodes.select("node", "print", "keys", label.alias("label"))
-    keyed = nodes.select("node", "print", "label", F.explode(F.array_distinct("keys")).alias("key"))
+    keyed = prints.select("node", F.explode(F.array_distinct(block_keys(F.col("node"), radius))).alias("key"))
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     dealt = (keyed.join(shared, "key").withColumn("nb", F.ceil(F.col("n") / BLOCK).cast("int"))
              .withColumn("own", F.pmod(F.hash("node"), F.col("nb")))
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))))
     i, j = F.least("own", "other"), F.greatest("own", "other")
-    rows = dealt.select("key", i.alias("i"), j.alias("j"), (F.col("own") == j).cast("int").alias("side"), "node", "print", "label")
+    rows = dealt.select("key", i.alias("i"), j.alias("j"), (F.col("own") == j).cast("int").alias("side"), "node")
     return (rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-            .mapInArrow(_links(radius, most), "u long, v long")
+            .mapInArrow(_links(radius), "u long, v long")
             .select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
 
 
-def _sets(size: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [np.unique(shingle_hashes(t, size)).view(np.int64).tolist() for t in batch.column("text").to_pylist()]
-            yield pa.record_batch([batch.column("node"), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
-
-    return run
-
-
-def verified(links: DataFrame, owners: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The links whose texts have a Jaccard similarity of ``similarity`` or more.
-
-    ``owners``: node, of_doc, of_version, one text of every node.
-    """
-    linked = links.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    texts = docs.select("doc_id", "text", F.xxhash64(F.col("text").cast("string")).alias("version"))
-    same = F.col("doc_id").eqNullSafe(F.col("of_doc")) & (F.col("version") == F.col("of_version"))
-    sets = shared_table(texts.join(owners.join(linked, "node"), same).select("node", "text")
-                        .mapInArrow(_sets(shingle), "node long, shingles array<long>").dropDuplicates(["node"]))
-    pairs = (links.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u")
-             .join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v"))
-    both = F.size(F.array_intersect("a", "b"))
-    return pairs.filter(both >= similarity * (F.size("a") + F.size("b") - both) - 1e-9).select("u", "v")
-
-
-def similar_links(links: DataFrame, nodes: DataFrame, owners: DataFrame, docs: DataFrame, radius: int, shingle: int,
-                  similarity: float) -> DataFrame:
-    """Links (u, v) that connect what bucket mates of ``similarity`` or more connect.
-
-    ``links`` are the forests of ``nodes`` (see ``links_within``). A link that
-    fails the exact check may stand in a forest for others that would pass. So
-    where one failed, the pairs between different groups of what passed follow,
-    each node's nearest first and ever more of them, until a round has left out
-    none. What passes joins groups, so pairs inside one are never tried.
-    """
-    links = shared_table(links)
-    passed = shared_table(verified(links, owners, docs, shingle, similarity))
-    failed = links.join(passed, ["u", "v"], "left_anti")
-    met = components(links)
-    doubtful = met.join(failed.select(F.col("u").alias("node")), "node", "left_semi").select("label").distinct()
-    doubtful = shared_table(met.join(doubtful, "label", "left_semi").select("node"))
-    if doubtful.isEmpty():
-        return passed
-    open_, tried, most = shared_table(nodes.join(doubtful, "node", "left_semi")), links, FIRST
-    inside = shared_table(passed.join(doubtful.withColumnRenamed("node", "u"), "u", "left_semi"))
-    while True:
-        labelled = (open_.join(components(inside), "node", "left")
-                    .withColumn("label", F.coalesce("label", "node")))
-        found = shared_table(links_within(shared_table(labelled), radius, most))
-        new = shared_table(found.filter("u <> v").join(tried, ["u", "v"], "left_anti"))
-        if not new.isEmpty():
-            good = shared_table(verified(new, owners, docs, shingle, similarity))
-            inside, passed, tried = inside.unionByName(good), passed.unionByName(good), tried.unionByName(new)
-        if found.filter("u = v").isEmpty():
-            return passed
-        most *= 16
-
-
-def near_groups(docs: DataFrame, shingle: int = 4, width: int = 1, radius: int = 4, minima: int = 0,
-                similarity: float | None = None) -> DataFrame:
+def near_groups(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
     """doc_id, version, print, component_id, label of every row of ``docs`` (doc_id, text).
 
-    With ``minima`` = 0 the links are exactly the pairs of fingerprints within
-    ``radius`` bits (``width`` 1). Otherwise fingerprints are compared if one of
-    that many minima of their shingle hashes agrees, which texts of similarity s
-    miss with probability (1 - s) ** minima. With ``similarity`` an exact check
-    of the texts' shingle sets follows, first of the pairs of each bucket's
-    forest, then of all other pairs that these leave in different groups.
-
+    The links are exactly the pairs of fingerprints within ``radius`` bits.
     component_id is the smallest doc_id of the component, label its own name.
     Null and blank texts have the fingerprint zero, and are linked like others;
     fewer words than ``shingle`` are one shingle. Repeated rows and ties share
-    a component. A null doc_id is a member that never names its component;
-    other columns are ignored; an empty table gives an empty one.
+    a component; very long texts are hashed whole. A null doc_id is a member
+    that never names its component; other columns are ignored; an empty table
+    gives an empty one.
     """
-    prints = shared_table(fingerprints(docs, shingle, width, minima, similarity is not None))
-    words = F.col("print")
-    node = words.getItem(0) if width == 1 else F.xxhash64("print", "minima")
-    prints = prints.withColumn("node", node)
-    keys = F.col("minima") if minima else block_keys(words.getItem(0), radius)
-    if minima:
-        keys = F.transform("minima", lambda x, k: F.xxhash64(k, x))
-    owner = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "version")).alias("owner")
-    distinct = prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("print").alias("print"),
-                                          F.first("minima").alias("minima"), owner)
-    distinct = shared_table(distinct)
-    nodes = distinct.select("node", "print", keys.alias("keys"))
-    links = links_within(nodes, radius)
-    if similarity is not None:
-        owners = distinct.select("node", F.col("owner.doc_id").alias("of_doc"), F.col("owner.version").alias("of_version"))
-        links = similar_links(links, nodes, owners, docs, radius, shingle, similarity)
-    labels = components(links)
-    named = distinct.select("node", "least").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    named = shared_table(named)
+    prints = shared_table(fingerprints(docs, shingle))
+    distinct = shared_table(prints.groupBy(F.col("print").alias("node")).agg(F.min("doc_id").alias("least")))
+    labels = components(links_within(distinct.select("node"), radius))
+    named = shared_table(distinct.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
     names = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    return (prints.select("doc_id", "version", "print", "node").join(named.join(names, "label").select("node", "label", "component_id"), "node")
-            .drop("node"))
+    found = named.join(names, "label").select(F.col("node").alias("print"), "label", "component_id")
+    return prints.join(found, "print").select("doc_id", "version", "print", "component_id", "label")
 
 
-def one_of_each(docs: DataFrame, shingle: int = 5, width: int = 8, radius: int = 112, minima: int = 8,
-                similarity: float = 0.8) -> DataFrame:
+def one_of_each(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
     """The row of ``docs`` with the smallest doc_id of each group of near duplicates, all columns.
 
-    A group is what pairs of a similarity of 0.8 or more connect (Jaccard, sets
-    of five-word shingles). Fingerprints are those of the sets, so a shingle that
-    repeats weighs no more than others. Pairs of 0.8 differ in 78 of 512 bits,
-    give or take 8, so the radius of 112 bits leaves out none but by an accident
-    of four standard errors: computed for all sets of up to 100 shingles, at most
-    3 in 10 000 pairs, but for sets of 4 and 5, of which 3 in 100 are lost.
-    Of repeated rows one stays. A null doc_id stays if its group has no other.
+    Groups are those of ``near_groups``: what pairs of fingerprints within
+    ``radius`` bits connect, and nothing beside the bits is compared. Of
+    repeated rows one stays; a null doc_id stays if its group has no other.
     """
-    groups = near_groups(docs, shingle, width, radius, minima, similarity)
+    groups = near_groups(docs, shingle, radius)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "version")).alias("f")
     v, of_id, of_v = (unused(docs, n) for n in ("_near_version", "_kept_id", "_kept_version"))
     chosen = groups.groupBy("label").agg(first).select(F.col("f.doc_id").alias(of_id), F.col("f.version").alias(of_v)).distinct()

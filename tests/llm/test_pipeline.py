@@ -36,7 +36,7 @@ def test_stages_agree_with_their_operators(spark, tables, table):
     a, b, c, d, e = tables
     assert ids(b) == ids(toxicity(a, table("labels")).filter("predicted = 0"))
     assert ids(c) == ids(repetition(b).filter("kept"))
-    groups = near_groups(c, 5, 8, 112, 8, 0.8)
+    groups = near_groups(c)
     assert ids(d) == ids(groups.filter("doc_id = component_id"))
     assert ids(e) == ids(d) - ids(find_leaks(d, table("benchmark")))
 
