@@ -75,7 +75,7 @@ def pause_screen(spark, sf):
     from (select *, {MIN('start', 'found_time')} as dur from found))""")
 def arrival_curve(spark, sf):
     found = b.found(spark, sf).select("entity", "day", "start", "found_time", "max_entity")
-    out = at.arrival_curve(found, id_width=b.id_width(spark, sf))
+    out = at.arrival_curve(found)
     return out.select("entity", "day", "dur", "arrival", "prop")
 
 
