@@ -441,3 +441,12 @@ def test_level_variances_by_em(spark, trend):
         assert at == pytest.approx(fit.history[-1], abs=0.01)
         for q, r, b in ((1.1, 1, 1), (0.9, 1, 1), (1, 1.05, 1), (1, 0.95, 1), (1, 1, 1.05), (1, 1, 0.95)):
             assert level_loglik(y, x, q * fit.q, r * fit.r, b * fit.beta[0]) < at + 0.05  # what EM leaves at this tolerance
+
+
+def test_neighbours_that_swap_labels_part(spark):
+    rows = [(0, 10, 3.0), (0, 11, 1.0), (1, 10, 3.0), (1, 11, 1.0)]
+    df = edges_of(spark, rows)
+    with pytest.raises(RuntimeError):  # all vote together: both sides take each other's label for ever
+        nw.label_propagation(df, F.lit(0), most=12)
+    labels = {r.node: r.label for r in nw.label_propagation(df).collect()}
+    assert set(labels) == {0, 1, 10, 11} and len(set(labels.values())) == 1
