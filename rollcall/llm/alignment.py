@@ -162,7 +162,7 @@ class Aligner:
         return cut
 
     def b_ids(self, chunks: list[str]) -> list[list[int]]:
-        led = [c[0] == " " for c in chunks]
+        led = [c[0] == " " and c != " " for c in chunks]  # the library adds no space to nothing
         out = self.b.encode([c[1:] if s else self.wall + c for c, s in zip(chunks, led)], num_threads=1)
         return [ids if s else ids[self.wall_ids:] for ids, s in zip(out, led)]
 

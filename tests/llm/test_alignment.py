@@ -125,3 +125,14 @@ def test_token_links(spark, whole):
             (a, _), (b, _) = whole(ODD[r.doc_id])
             assert a[r.a] == r.a_id and b[r.b] == r.b_id
         assert all(n[d] == digests[d][name] for d in digests)
+
+
+def test_one_space_at_the_end(spark, whole):
+    both = Aligner("byte_bpe_50k.json", "piece_bpe_32k.model")
+    texts = ["two words ", "line\n ", " ", "x ", "wide\u3000 ", "two words"]
+    for text in texts:
+        assert [i for ids in both.b_ids(both.chunks(text)) for i in ids] == whole(text)[1][0], text
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(align(df)) == plain(rows, whole)
+    assert token_links(df).filter("doc_id = 0").count() == align(df).filter("doc_id = 0").first().n_links > 0
