@@ -103,19 +103,21 @@ def pairwise_contrasts(draws: DataFrame, level: str = "variable", keys: Sequence
     return diffs.select(F.col("l1").alias("level1"), F.col("l2").alias("level2"), quantile(0.025).alias("lo"), quantile(0.975).alias("hi"), mean.alias("mean"))
 
 
-def _equal_chains(draws: DataFrame) -> DataFrame:
-    """Draws with the length ``n`` of the variable's chains; unequal chains raise."""
+def _equal_chains(draws: DataFrame, shortest: bool = False) -> DataFrame:
+    """Draws with the length ``n`` of the variable's chains; unequal chains raise,
+    or ``n`` is the length of the ``shortest``."""
     lengths = draws.groupBy("variable", "chain").agg(F.count(F.lit(1)).alias("_c"))
-    unequal = F.raise_error(F.concat(F.lit("chains of unequal length: "), F.col("variable").cast("string"))).cast("bigint")
+    unequal = F.col("_a") if shortest else F.raise_error(F.concat(F.lit("chains of unequal length: "), F.col("variable").cast("string"))).cast("bigint")
     n = lengths.groupBy("variable").agg(F.min("_c").alias("_a"), F.max("_c").alias("_b")).select(
         "variable", F.when(F.col("_a") == F.col("_b"), F.col("_a")).otherwise(unequal).alias("n"))
     return draws.join(n, "variable")
 
 
-def rhat(draws: DataFrame) -> DataFrame:
-    """Split-chain potential scale reduction."""
+def rhat(draws: DataFrame, shortest: bool = False) -> DataFrame:
+    """Split-chain potential scale reduction, of the iterations that all chains have if these
+    may be of unequal length (``shortest``)."""
     half = F.floor(F.col("n") / 2)
-    part = _equal_chains(draws).withColumn("n", half).filter(F.col("iteration") <= 2 * F.col("n"))
+    part = _equal_chains(draws, shortest).withColumn("n", half).filter(F.col("iteration") <= 2 * F.col("n"))
     part = part.withColumn("_half", F.when(F.col("iteration") <= F.col("n"), 1).otherwise(2))
     chains = part.groupBy("variable", "n", "chain", "_half").agg(
         F.avg("value").alias("m"), F.var_samp("value").alias("v"))
@@ -124,10 +126,12 @@ def rhat(draws: DataFrame) -> DataFrame:
         F.sqrt(((F.col("n") - 1) / F.col("n") * within + between) / within).alias("rhat")).drop("n")
 
 
-def split_halves(draws: DataFrame) -> DataFrame:
+def split_halves(draws: DataFrame, shortest: bool = False) -> DataFrame:
     """Each chain as two, of its first and its last half; the middle draw of an
-    odd chain is left out, as the published measures do."""
-    even = _equal_chains(draws)
+    odd chain is left out, as the published measures do. With ``shortest`` the
+    halves are those of the shortest chain, and what a longer one has beyond them
+    stays in its last half."""
+    even = _equal_chains(draws, shortest)
     half = F.floor(F.col("n") / 2)
     late = F.col("iteration") > F.col("n") - half
     return even.filter((F.col("iteration") <= half) | late).select(
@@ -157,10 +161,10 @@ def _reduction(chains: DataFrame) -> DataFrame:
     return each.groupBy("variable").agg(F.sqrt(((n - 1) / n * within + F.var_samp("m")) / within).alias("rhat"))
 
 
-def rhat_rank(draws: DataFrame) -> DataFrame:
+def rhat_rank(draws: DataFrame, shortest: bool = False) -> DataFrame:
     """Rank-normalised split R-hat: the larger one of the values and of their
     distances from the median."""
-    halves = split_halves(draws)
+    halves = split_halves(draws, shortest)
     middle = exact_quantiles(halves, ["variable"], "value", {"_median": 0.5})
     folded = halves.join(middle.select("variable", "_median"), "variable").select(
         "variable", "chain", "iteration", F.abs(F.col("value") - F.col("_median")).alias("value"))
@@ -168,18 +172,19 @@ def rhat_rank(draws: DataFrame) -> DataFrame:
     return both.groupBy("variable").agg(F.max("rhat").alias("rhat"))
 
 
-def ess_bulk(draws: DataFrame) -> DataFrame:
+def ess_bulk(draws: DataFrame, shortest: bool = False) -> DataFrame:
     """Effective sample size of the rank-normalised half chains."""
-    return ess(rank_normalised(split_halves(draws)))
+    return ess(rank_normalised(split_halves(draws, shortest)), shortest=shortest)
 
 
-def ess_tail(draws: DataFrame) -> DataFrame:
+def ess_tail(draws: DataFrame, shortest: bool = False) -> DataFrame:
     """The smaller effective sample size of the indicators of the 5 % and 95 % quantiles."""
-    halves = split_halves(draws)
+    halves = split_halves(draws, shortest)
     cuts = exact_quantiles(halves, ["variable"], "value", {"_q05": 0.05, "_q95": 0.95}).select("variable", "_q05", "_q95")
     sides = halves.join(cuts, "variable")
     below = lambda c: sides.select("variable", "chain", "iteration", (F.col("value") <= F.col(c)).cast("double").alias("value"))
-    return ess(below("_q05")).unionByName(ess(below("_q95"))).groupBy("variable").agg(F.min("ess").alias("ess"))
+    low, high = (ess(below(c), shortest=shortest) for c in ("_q05", "_q95"))
+    return low.unionByName(high).groupBy("variable").agg(F.min("ess").alias("ess"))
 
 
 def _lag_covariances(dev: DataFrame, lags: range, block: int) -> DataFrame:
@@ -202,15 +207,17 @@ def _lag_covariances(dev: DataFrame, lags: range, block: int) -> DataFrame:
     return each.groupBy("variable", "n", F.col("_p.lag").alias("lag")).agg(F.avg("_p.c").alias("c"))
 
 
-def ess(draws: DataFrame, step: int = 20, block: int = 1024) -> DataFrame:
+def ess(draws: DataFrame, step: int = 20, block: int = 1024, shortest: bool = False) -> DataFrame:
     """Effective sample size from lag covariances, summed in pairs until the
     first pair that is not positive.
 
     Lags are added ``step`` (an even number) at a time, for the variables whose
     pairs have all been positive so far, until each has turned or its chains
-    end: there is no largest lag. Chains of one variable are equally long.
+    end: there is no largest lag. Chains of one variable are equally long, or
+    only the iterations that all of them have count (``shortest``).
     """
-    even = _equal_chains(draws).select("variable", "chain", "iteration", "n", "value")
+    even = _equal_chains(draws, shortest).select("variable", "chain", "iteration", "n", "value")
+    even = even.filter(F.col("iteration") <= F.col("n")) if shortest else even
     means = even.groupBy("variable", "chain").agg(F.avg("value").alias("_m"))
     dev = shared_table(even.join(means, ["variable", "chain"]).select(
         "variable", "chain", "iteration", "n", (F.col("value") - F.col("_m")).alias("d")))
