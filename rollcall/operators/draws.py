@@ -5,8 +5,10 @@ Iterations of a chain are numbered 1, 2, ... without gaps.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -297,22 +299,44 @@ def sample_iterations(draws: DataFrame, n: int, seed: int) -> DataFrame:
     return draws.select("chain", "iteration").distinct().orderBy(order, "chain", "iteration").limit(n)
 
 
-def beta_binomial_quantile(u: Column, n: Column, a: Column, b: Column) -> Column:
+def beta_binomial_quantile(u: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray, zero: np.ndarray,
+                           rows: int = 256, width: int = 1024) -> np.ndarray:
     """The smallest count whose cumulative probability reaches ``u``, of n trials with a share from Beta(a, b).
 
-    Probabilities follow from each other by their ratio, on the log scale, so
-    none is lost where the first ones are too small for a double.
+    Probabilities follow from each other by their ratio, on the log scale from
+    ``zero`` (that of no hit), so none is lost where the first ones are too small
+    for a double. Counts are tried ``width`` at a time, for the rows that have
+    not reached their ``u``; of a row no more is held, however large n is.
     """
-    zero = rising(b, n)["s0"] - rising(a + b, n)["s0"]
-    start = F.struct(zero.alias("lp"), F.lit(0.0).alias("cdf"), F.lit(0).cast("bigint").alias("y"))
-
-    def step(s: Column, k: Column) -> Column:
-        cdf = s["cdf"] + F.exp(s["lp"])
-        ratio = (n - k) * (a + k) / ((k + 1) * (b + n - k - 1))
-        return F.struct((s["lp"] + F.log(ratio)).alias("lp"), cdf.alias("cdf"), (s["y"] + (cdf < u).cast("bigint")).alias("y"))
-
-    counted = F.aggregate(F.sequence(F.lit(0).cast("bigint"), n - 1), start, step, lambda s: s["y"])
-    return F.when(n > 0, counted).when(n == 0, F.lit(0).cast("bigint"))
+    y = np.zeros(len(u), np.int64)
+    for first in range(0, len(u), rows):
+        at = np.arange(first, min(first + rows, len(u)))
+        at = at[n[at] > 0]
+        start, lp, cdf = 0, zero[at], np.zeros(len(at))
+        while len(at):
+            k = np.arange(start, start + width, dtype=float)
+            n_, a_, b_ = n[at][:, None], a[at][:, None], b[at][:, None]
+            with np.errstate(all="ignore"):
+                step = np.log((n_ - k) * (a_ + k) / ((k + 1) * (b_ + n_ - k - 1)))
+                logs = np.cumsum(np.hstack([lp[:, None], step]), axis=1)
+                upto = np.cumsum(np.hstack([cdf[:, None], np.exp(logs[:, :-1])]), axis=1)[:, 1:]
+                below = (upto < u[at][:, None]) & (k < n_)
+            y[at] += below.sum(axis=1)
+            start += width
+            on = below[:, -1] & (n[at] > start)
+            at, lp, cdf = at[on], logs[on, -1], upto[on, -1]
+    return y
+
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        u, a, b, zero = (batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("_u", "_a", "_b", "_zero"))
+        given = batch.column("_size").is_valid().to_numpy(zero_copy_only=False)
+        n = batch.column("_size").fill_null(0).to_numpy(zero_copy_only=False)
+        y = beta_binomial_quantile(u, n, a, b, zero)
+        parameters = [batch.column(c).is_valid().to_numpy(zero_copy_only=False) for c in ("_a", "_b", "_zero")]
+        known = given & (n >= 0) & ((n == 0) | np.logical_and.reduce(parameters) & ~((a <= 0) & (n > 1)))
+        yield pa.record_batch([*(batch.column(i) for i in range(3)), pa.array(y, pa.int64(), mask=~known)], [*batch.schema.names[:3], "y"])
 
 
 def simulate_counts(draws: DataFrame, data: DataFrame, index: str, size: str, precision: float | str,
@@ -321,16 +345,20 @@ def simulate_counts(draws: DataFrame, data: DataFrame, index: str, size: str, pr
 
     ``draws`` holds one probability per (chain, iteration, index); ``precision``
     is a number, or the column of ``draws`` with that of the same draw. A count
-    is the quantile of a uniform number of (seed, index, chain, iteration), all
-    in built-in functions.
+    is the quantile of a uniform number of (seed, index, chain, iteration). The
+    rows are few but each tries up to its number of trials, so they are dealt
+    over all tasks, however few bytes they have.
     """
     given = F.col(precision) if isinstance(precision, str) else F.lit(float(precision))
     chosen = draws.select(*KEYS, index, F.col("value").alias("_p"), given.alias("_precision")).join(sample_iterations(draws, n_draws, seed), list(KEYS))
     rows = chosen.join(data.select(index, F.col(size).cast("bigint").alias("_size")), index)
     rows = rows.withColumns({"_a": F.col("_p") * F.col("_precision"), "_b": F.col("_precision") - F.col("_p") * F.col("_precision")})
-    y = beta_binomial_quantile(uniform(seed, index, *KEYS), F.col("_size"), F.col("_a"), F.col("_b"))
-    return rows.select(F.col(index).cast("bigint").alias(index), F.col("chain").cast("bigint").alias("chain"),
-                       F.col("iteration").cast("bigint").alias("iteration"), y.alias("y"))
+    size, a, b = F.col("_size"), F.col("_a"), F.col("_b")
+    rows = rows.select(F.col(index).cast("bigint").alias(index), F.col("chain").cast("bigint").alias("chain"), F.col("iteration").cast("bigint").alias("iteration"),
+                       uniform(seed, index, *KEYS).alias("_u"), "_size", "_a", "_b",
+                       F.when(size > 0, rising(b, size)["s0"] - rising(a + b, size)["s0"]).alias("_zero"))
+    parts = int(draws.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, index, *KEYS).mapInArrow(_counts, f"`{index}` bigint, chain bigint, iteration bigint, y bigint")
 
 
 def predictive_long(sim: DataFrame, observed: DataFrame, index: str, y: str) -> DataFrame:

@@ -6,6 +6,7 @@ import pytest
 
 from __spark_entry__ import oracle_sql, queries
 from check_oracles import _close, normal
+from rollcall.operators import draws as dr
 
 
 def like_the_oracle(spark, sf, name, tables):
@@ -28,3 +29,21 @@ def test_chains_of_unequal_length(spark, tmp_path, name, vectors):
     spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "all"))
     duckdb.sql(f"copy (from read_parquet('{tmp_path}/all/*.parquet')) to '{tmp_path}/embeddings.parquet'")
     like_the_oracle(spark, tmp_path, name, ["embeddings"])
+
+
+def test_simulated_counts_of_many_trials(spark):
+    draws = spark.createDataFrame([(1, i, t, 0.25 * t, 30.0) for i in range(1, 301) for t in (1, 2)], "chain long, iteration long, t long, value double, phi double")
+    data = spark.createDataFrame([(1, 500_000), (2, 1_500)], "t long, size long")
+    sim = dr.simulate_counts(draws, data, "t", "size", "phi", 300, 4)
+    assert sim.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = sim.collect()
+    assert len(rows) == 600
+    for t, n in ((1, 500_000), (2, 1_500)):
+        p = np.array([r.y for r in rows if r.t == t]) / n
+        spread = (0.25 * t * (1 - 0.25 * t) * (1 / 31 + 30 / 31 / n)) ** 0.5
+        assert p.mean() == pytest.approx(0.25 * t, abs=4 * spread / 300 ** 0.5) and p.std() == pytest.approx(spread, rel=0.2)
+    odd = [(1, 1, 1, None, 5.0), (1, 1, 7, 0.0, 0.0), (1, 1, 4, 0.5, 5.0), (1, 1, 5, 0.5, 5.0), (1, 1, 6, -0.1, 5.0)]
+    draws = spark.createDataFrame(odd, "chain long, iteration long, t long, value double, phi double")
+    data = spark.createDataFrame([(1, 9), (4, None), (5, 0), (6, 9), (7, -2)], "t long, size long")
+    got = {r.t: r.y for r in dr.simulate_counts(draws, data, "t", "size", "phi", 10, 4).collect()}
+    assert got == {1: None, 4: None, 5: 0, 6: None, 7: None}
