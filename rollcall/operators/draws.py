@@ -61,8 +61,8 @@ def pair_differences(draws: DataFrame, level: str = "variable", keys: Sequence[s
                         (F.col("x.v") - F.col("y.v")).alias("value"))
 
 
-#: Bytes of level arrays that one task of ``pairwise_contrasts`` holds, about.
-TILE_BYTES = 8 << 20
+#: Bytes of level arrays that one task of ``pairwise_contrasts`` holds, about, and the tiles that it has at least, if there are as many levels.
+TILE_BYTES, LEAST_TILES = 32 << 20, 8
 
 
 def pairwise_contrasts(draws: DataFrame, level: str = "variable", keys: Sequence[str] = KEYS,
@@ -72,7 +72,7 @@ def pairwise_contrasts(draws: DataFrame, level: str = "variable", keys: Sequence
     A level is one row: the array of its values in the order of the draws, one
     value each. Levels are dealt into tiles and joined tile by tile, and mean
     and quantiles are taken inside the row of a pair, so no difference is ever
-    shuffled. Draws that only one of two levels has are left out of the pair; a
+    shuffled; all steps on arrays are sorts and passes. Draws that only one of two levels has are left out of the pair; a
     level with two values for a draw raises.
     """
     draws = draws if levels is None else draws.filter(F.col(level).isin(list(levels)))
@@ -80,21 +80,31 @@ def pairwise_contrasts(draws: DataFrame, level: str = "variable", keys: Sequence
     folded = draws.filter(F.col("value").isNotNull()).groupBy(F.col(level).alias("l")).agg(F.array_sort(F.collect_list(entry)).alias("s"))
     twice = F.raise_error(F.concat(F.lit("two values for a draw of "), F.col("l").cast("string")))
     rows = folded.select("l", F.col("s.k").alias("k"), F.col("s.v").alias("v"))
-    rows = rows.withColumn("k", F.when(F.size(F.array_distinct("k")) == F.size("k"), F.col("k")).otherwise(twice))
+    # entries are in order, so equal draws stand beside each other
+    again = F.exists(F.zip_with(F.slice("k", F.lit(1), F.size("k") - 1), F.slice("k", F.lit(2), F.size("k") - 1), lambda x, y: x == y), lambda x: x)
+    rows = rows.withColumn("k", F.when(again, twice).otherwise(F.col("k")))
     rows = shared_table(rows.withColumn("same", F.xxhash64("k")))
-    n_levels, longest = rows.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
-    tiles = max(1, -(-n_levels * 8 * (longest or 1) // TILE_BYTES))
+    n_levels, longest, sets = rows.agg(F.count(F.lit(1)), F.max(F.size("v")), F.count_distinct("same")).first()
+    if sets == 1:  # the same draws everywhere: only values travel
+        rows = rows.withColumn("k", F.lit(None).cast(rows.schema["k"].dataType))
+    tiles = max(1, min(n_levels, LEAST_TILES), -(-n_levels * 8 * (longest or 1) // TILE_BYTES))
+    parts = int(draws.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     own = F.pmod(F.xxhash64("l"), F.lit(tiles)).cast("int")
     dealt = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
     side = lambda p, q: dealt.select(F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own",
-                                     *[F.col(c).alias(f"{c}{p}") for c in ("l", "k", "v", "same")]).withColumnRenamed("own", q)
+                                     *[F.col(c).alias(f"{c}{p}") for c in ("l", "k", "v", "same")]).withColumnRenamed("own", q).repartition(parts, "i", "j")
     # a pair meets in the tile pair of its two tiles alone
     pairs = side(1, "own1").join(side(2, "own2"), ["i", "j"]).filter(
         (F.col("l1") < F.col("l2")) & (F.least("own1", "own2") == F.col("i")) & (F.greatest("own1", "own2") == F.col("j")))
-    both = F.array_intersect("k1", "k2")
-    met = lambda c: F.transform(both, lambda k: F.element_at(F.map_from_arrays(f"k{c}", f"v{c}"), k))
-    first, second = (F.when(F.col("same1") == F.col("same2"), F.col(f"v{c}")).otherwise(met(c)) for c in (1, 2))
-    diffs = pairs.select("l1", "l2", F.sort_array(F.zip_with(first, second, lambda x, y: x - y)).alias("d")).filter(F.size("d") > 0)
+    entries = lambda c: F.zip_with(f"k{c}", f"v{c}", lambda k, v: F.struct(k.alias("k"), F.lit(c).alias("c"), v.alias("v")))
+    side_by_side = F.sort_array(F.concat(entries(1), entries(2)))
+    near = lambda s: F.zip_with(F.slice(s, F.lit(1), F.size(s) - 1), F.slice(s, F.lit(2), F.size(s) - 1),
+                                lambda x, y: F.struct((x["k"] == y["k"]).alias("met"), (x["v"] - y["v"]).alias("d")))
+    merged = F.transform(F.array(side_by_side), lambda s: F.transform(F.filter(near(s), lambda z: z["met"]), lambda z: z["d"]))[0]
+    alike = F.col("same1") == F.col("same2")
+    diff = F.when(alike, F.zip_with("v1", "v2", lambda x, y: x - y)).otherwise(merged)
+    # not a filter on the sorted differences: it would be made part of the join, and they be sorted twice
+    diffs = pairs.filter(F.when(alike, F.lit(True)).otherwise(F.size(merged) > 0)).select("l1", "l2", F.sort_array(diff).alias("d"))
 
     def quantile(p: float) -> Column:
         h = (F.size("d") - 1) * p

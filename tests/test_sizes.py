@@ -3,6 +3,7 @@
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from __spark_entry__ import oracle_sql, queries
 from check_oracles import _close, normal
@@ -47,3 +48,21 @@ def test_simulated_counts_of_many_trials(spark):
     data = spark.createDataFrame([(1, 9), (4, None), (5, 0), (6, 9), (7, -2)], "t long, size long")
     got = {r.t: r.y for r in dr.simulate_counts(draws, data, "t", "size", "phi", 10, 4).collect()}
     assert got == {1: None, 4: None, 5: 0, 6: None, 7: None}
+
+
+def test_contrasts_have_no_quadratic_step(spark):
+    """Arrays of structs have no hash: distinct and intersect compare all with all."""
+    rows = spark.range(3000).select(F.col("id").alias("iteration"), F.lit(1).alias("chain"), F.explode(F.array(*map(F.lit, "abc"))).alias("variable"))
+    df = rows.withColumn("value", F.pmod(F.xxhash64("variable", "iteration"), F.lit(1000)) / 1000.0)
+    df = df.filter("variable <> 'c' or iteration % 3 = 0")
+    wide = df.toPandas().pivot(index="iteration", columns="variable", values="value")
+    out = dr.pairwise_contrasts(df)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_distinct" not in plan and "array_intersect" not in plan and "element_at" not in plan
+    got = {(r.level1, r.level2): (r.mean, r.lo, r.hi) for r in out.collect()}
+    assert len(got) == 3
+    for (x, y), r in got.items():
+        d = (wide[x] - wide[y]).dropna()
+        assert r == pytest.approx((d.mean(), *np.quantile(d, [0.025, 0.975])))
+    apart = df.filter("variable = 'a' and iteration % 2 = 0 or variable = 'b' and iteration % 2 = 1")
+    assert dr.pairwise_contrasts(apart).count() == 0
