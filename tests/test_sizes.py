@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from __spark_entry__ import oracle_sql, queries
 from check_oracles import _close, normal
 from rollcall.operators import draws as dr
+from rollcall.operators import network as nw
 
 
 def like_the_oracle(spark, sf, name, tables):
@@ -66,3 +67,21 @@ def test_contrasts_have_no_quadratic_step(spark):
         assert r == pytest.approx((d.mean(), *np.quantile(d, [0.025, 0.975])))
     apart = df.filter("variable = 'a' and iteration % 2 = 0 or variable = 'b' and iteration % 2 = 1")
     assert dr.pairwise_contrasts(apart).count() == 0
+
+
+@pytest.mark.parametrize("unit", [512, 10, 0])
+def test_permutations_of_small_and_large_units(spark, monkeypatch, unit):
+    """Units folded into rows, joined, and both at once give the same; edges that have no image are left out."""
+    rng = np.random.default_rng(3)
+    rows = [(u, f"n{a}", f"n{b}", float(rng.binomial(9, 0.4)) / 9, 9.0, float(rng.integers(0, 2)), float(abs(a - b)))
+            for u, n in ((1, 8), (2, 12)) for a in range(10 * u, 10 * u + n) for b in range(a + 1, 10 * u + n) if (a + b) % 7]
+    rows += [(3, f"n{a}", f"n{b}", 0.5 + 0.01 * a, 4.0, float(a % 2), 1.0 + b) for a, b in ((50, 51), (50, 51), (50, 52), (51, 52), (50, 53))]
+    df = spark.createDataFrame(rows, "u long, a string, b string, y double, w double, x1 double, x2 double")
+    seen = {}
+    for size in {unit, 0}:
+        monkeypatch.setattr(nw, "UNIT", size)
+        assert (nw._folded_units(df.select("u", "a", "b", "y"), ["u"], ["y"], 3, 1)[1].select("u").distinct().count()) == {512: 1, 10: 2, 0: 3}[size]
+        seen[size] = [sorted(tuple(r) for r in out.collect()) for out in (
+            nw.qap(df, "y", ["x1", "x2"], ["u"], 30, 4, "w"), nw.permutation_regression(df, "y", ["x1", "x2"], ["u"], 30, 4, "w", chunk=20))]
+    for x, y in zip(seen[unit], seen[0]):
+        assert [r[0] for r in x] == [r[0] for r in y] and [r[1:] for r in x] == [pytest.approx(r[1:], rel=1e-6) for r in y]
