@@ -85,3 +85,18 @@ def test_permutations_of_small_and_large_units(spark, monkeypatch, unit):
             nw.qap(df, "y", ["x1", "x2"], ["u"], 30, 4, "w"), nw.permutation_regression(df, "y", ["x1", "x2"], ["u"], 30, 4, "w", chunk=20))]
     for x, y in zip(seen[unit], seen[0]):
         assert [r[0] for r in x] == [r[0] for r in y] and [r[1:] for r in x] == [pytest.approx(r[1:], rel=1e-6) for r in y]
+
+
+def test_centrality_settles_in_few_steps(spark):
+    """Steps grow with the square root of what a power iteration takes; unknown weights weigh nothing."""
+    rows = [(i, i + 1, 1.0 + (i < 5)) for i in range(80)] + [(90, 91, 0.5), (2, 95, None), (None, 3, 1.0)]
+    df = spark.createDataFrame(rows, "a long, b long, w double")
+    got = {r.node: r.centrality for r in nw.eigen_centrality(df, most=60).collect()}
+    a = np.zeros((96, 96))
+    for i, j, w in rows[:-2]:
+        a[i, j] = a[j, i] = w
+    v = np.abs(np.linalg.eigh(a)[1][:, -1])
+    assert set(got) == {*range(81), 90, 91, 95, None} and min(got.values()) >= 0
+    assert [got[i] for i in (*range(81), 90, 91, 95)] == pytest.approx([v[i] / v.max() for i in (*range(81), 90, 91, 95)], abs=1e-8)
+    empty = nw.eigen_centrality(df.filter("a > 1000"))
+    assert empty.count() == 0
