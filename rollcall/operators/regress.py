@@ -1,7 +1,8 @@
 """Regressions on Spark ML: point estimates instead of posterior samples.
 
 Coefficients come from distributed weighted least squares inside
-``GeneralizedLinearRegression``. They do not reproduce the numbers of a
+``GeneralizedLinearRegression``, or, for binomial fits of very many rows, from
+column sums (``binomial_scoring``). They do not reproduce the numbers of a
 Bayesian fit with random effects; grouping factors enter through
 cluster-robust standard errors. Fitting runs jobs.
 """
@@ -21,7 +22,7 @@ from pyspark.sql import types as T
 
 from rollcall.functions.scalars import interval_label, inverse_logit, level_index, replace_all
 from rollcall.functions.tails import normal_cdf
-from rollcall.session import cut_lineage
+from rollcall.session import cut_lineage, shared_table
 
 # Fixed value: the 97.5 % quantile of the normal distribution.
 Z95 = 1.959963984540054
@@ -151,7 +152,8 @@ def _mean_slope(link: str, eta: Column, mu: Column) -> Column:
 
 def fit_glm(df: DataFrame, formula: str, family: str, link: str, offset: str | None = None,
             weight: str | None = None, cluster: str | Sequence[str] | None = None, alpha: float = 0.0,
-            covariance: bool = True, keep: bool = True, overdispersed: bool = False, steps: int = 100) -> Fit:
+            covariance: bool = True, keep: bool = True, overdispersed: bool = False, steps: int = 100,
+            many: bool = False) -> Fit:
     """Fit and return coefficients with their covariance.
 
     The covariance is the inverse information, or the cluster-robust sandwich
@@ -162,13 +164,20 @@ def fit_glm(df: DataFrame, formula: str, family: str, link: str, offset: str | N
     for the scaling, for true counts out of trials. The frame
     is written once to the checkpoint folder (``keep``), only with the columns
     of the model: the solver passes over it many times and must not recompute
-    what produced it.
+    what produced it. ``many`` is for binomial rows by the hundred million:
+    the same steps as column sums over Parquet (``binomial_scoring``).
     """
+    if many and family != "binomial":
+        raise ValueError("many rows are for binomial fits")
     clusters = cluster_columns(cluster)
-    df = _kept(df, formula, offset, weight, *clusters) if keep else df
+    df = _kept(df, formula, offset, weight, *clusters, write=shared_table if many else cut_lineage) if keep else df
     design = make_design(df, formula)
     names, coded = zip(*design.coded())
     df = df.dropna(subset=[design.response, *design.columns, *[c for c in (offset, weight, *clusters) if c]])
+    if many:
+        beta = binomial_scoring(df, design, link, offset, weight, steps, formula)
+        fit = Fit(design, [*names, "(Intercept)"], beta, np.zeros((len(beta), len(beta))), family, link, 1.0, offset)
+        return with_covariance(fit, df, weight, clusters, alpha, overdispersed) if covariance else fit
     ready = df.withColumns({"_features": array_to_vector(F.array(*coded)), "_label": F.col(design.response).cast("double")})
     glm_family = "poisson" if family == "negbin" else family
     params = dict(featuresCol="_features", labelCol="_label", family=glm_family, link=link, maxIter=steps, tol=1e-8)
@@ -187,6 +196,53 @@ def fit_glm(df: DataFrame, formula: str, family: str, link: str, offset: str | N
     return with_covariance(fit, df, weight, clusters, alpha, overdispersed) if covariance else fit
 
 
+def binomial_scoring(df: DataFrame, design: Design, link: str, offset: str | None, weight: str | None,
+                     steps: int, formula: str, tol: float = 1e-8) -> np.ndarray:
+    """Coefficients (intercept last) of a binomial fit by Fisher scoring.
+
+    The steps of Spark ML's solver, start and end included, but each is one
+    aggregate of plain columns, which Spark compiles, where the solver makes
+    an object of every row. The parameters are a scalar subquery.
+    """
+    xs = [x for _, x in design.coded()]
+    p = len(xs) + 1
+    rows = df.select(*[x.alias(f"_x{i}") for i, x in enumerate(xs)], F.lit(1.0).alias(f"_x{p - 1}"),
+                     F.col(design.response).cast("double").alias("_y"),
+                     (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("_n"),
+                     (F.col(offset).cast("double") if offset else F.lit(0.0)).alias("_o"))
+    rows = rows.filter(F.col("_n") > 0)
+    y, n = F.col("_y"), F.col("_n")
+    begin = (n * y + 0.5) / (n + 1.0)
+    begin = F.log(-F.log1p(-begin)) if link == "cloglog" else F.log(begin / (1.0 - begin))
+    pairs = [(i, j) for i in range(p) for j in range(i, p)]
+
+    def step(eta: Column, source: DataFrame) -> np.ndarray:
+        source = source.withColumn("_eta", eta)
+        source = source.withColumn("_mu", inverse_logit(F.col("_eta")) if link == "logit" else -F.expm1(-F.exp("_eta")))
+        slope = _mean_slope(link, F.col("_eta"), F.col("_mu"))
+        source = source.withColumn("_s", slope).withColumn("_v", _variance("binomial", F.col("_mu"), 0.0))
+        source = source.withColumn("_w", n * F.col("_s") * F.col("_s") / F.col("_v"))
+        # the working response times its weight
+        source = source.withColumn("_z", F.col("_w") * (F.col("_eta") - F.col("_o")) + n * (y - F.col("_mu")) * F.col("_s") / F.col("_v"))
+        row = source.agg(*[F.sum(F.col("_w") * F.col(f"_x{i}") * F.col(f"_x{j}")).alias(f"a{i}_{j}") for i, j in pairs],
+                         *[F.sum(F.col("_z") * F.col(f"_x{i}")).alias(f"b{i}") for i in range(p)]).first()
+        if any(v is None for v in row):
+            raise ValueError(f"{formula}: no rows to fit")
+        a, b = _symmetric(row, "a", p), np.array([row[f"b{i}"] for i in range(p)])
+        scale = 1.0 / np.sqrt(np.where(np.diag(a) > 0, np.diag(a), 1.0))
+        return scale * (np.linalg.pinv(a * np.outer(scale, scale), hermitian=True) @ (b * scale))
+
+    beta = step(begin, rows)
+    for _ in range(1, steps):
+        one = rows.sparkSession.createDataFrame([([float(v) for v in beta],)], "_p array<double>")
+        given = rows.withColumn("_p", one.scalar())
+        eta = sum((F.col(f"_x{i}") * F.col("_p")[i] for i in range(p)), F.col("_o"))
+        beta, before = step(eta, given), beta
+        if np.abs(beta - before).max() < tol:
+            return beta
+    raise RuntimeError(f"{formula}: not settled after {steps} steps")
+
+
 def cluster_columns(cluster: str | Sequence[str] | None) -> list[str]:
     """One or two grouping columns as a list; more than two raise."""
     out = [cluster] if isinstance(cluster, str) else list(cluster or [])
@@ -223,9 +279,9 @@ def nearest_covariance(cov: np.ndarray) -> np.ndarray:
     return cov if values[0] >= 0 else (vectors * np.maximum(values, 0)) @ vectors.T
 
 
-def _kept(df: DataFrame, formula: str, *others: str | None) -> DataFrame:
+def _kept(df: DataFrame, formula: str, *others: str | None, write=cut_lineage) -> DataFrame:
     response, terms = model_terms(formula)
-    return cut_lineage(df.select(*dict.fromkeys([response, *(c for t in terms for c in t), *(c for c in others if c)])))
+    return write(df.select(*dict.fromkeys([response, *(c for t in terms for c in t), *(c for c in others if c)])))
 
 
 def with_covariance(fit: Fit, df: DataFrame, weight: str | None = None, cluster: str | Sequence[str] | None = None,

@@ -9,6 +9,7 @@ from __spark_entry__ import oracle_sql, queries
 from check_oracles import _close, normal
 from rollcall.operators import draws as dr
 from rollcall.operators import network as nw
+from rollcall.operators import regress as rg
 
 
 def like_the_oracle(spark, sf, name, tables):
@@ -100,3 +101,19 @@ def test_centrality_settles_in_few_steps(spark):
     assert [got[i] for i in (*range(81), 90, 91, 95)] == pytest.approx([v[i] / v.max() for i in (*range(81), 90, 91, 95)], abs=1e-8)
     empty = nw.eigen_centrality(df.filter("a > 1000"))
     assert empty.count() == 0
+
+
+def test_binomial_scoring_like_the_solver(spark):
+    """Column sums over many cells give what Spark ML's solver gives, errors and null rows included."""
+    rng = np.random.default_rng(11)
+    rows = [(float(rng.binomial(n, 0.02 + 0.01 * (i % 7))) / n, i / 60, float(i % 13), 0.1 * (i % 3), float(n)) for i in range(1, 400) for n in (3, 8)]
+    rows += [(None, 1.0, 2.0, 0.0, 3.0), (0.5, None, 2.0, 0.0, 4.0)]
+    df = spark.createDataFrame(rows, "p double, time double, rank_c double, o double, n double")
+    for link in ("cloglog", "logit"):
+        one, two = (rg.fit_glm(df, "p ~ time + rank_c", "binomial", link, offset="o", weight="n", many=m) for m in (True, False))
+        assert one.names == two.names and one.beta == pytest.approx(two.beta, abs=1e-7)
+        assert one.cov == pytest.approx(two.cov, rel=1e-5)
+    with pytest.raises(RuntimeError, match="not settled"):
+        rg.fit_glm(df, "p ~ time + rank_c", "binomial", "logit", weight="n", many=True, steps=2)
+    with pytest.raises(ValueError, match="binomial"):
+        rg.fit_glm(df, "p ~ time", "poisson", "log", many=True)
