@@ -117,3 +117,35 @@ def test_binomial_scoring_like_the_solver(spark):
         rg.fit_glm(df, "p ~ time + rank_c", "binomial", "logit", weight="n", many=True, steps=2)
     with pytest.raises(ValueError, match="binomial"):
         rg.fit_glm(df, "p ~ time", "poisson", "log", many=True)
+
+
+def test_swapping_halves_end_as_their_sql_does(spark, tmp_path):
+    """Neighbours of one parity swap labels for ever: no step settles them, the labels of step 120 are those of the SQL."""
+    rows = [(0, 10, 3.0), (0, 12, 1.0), (2, 10, 3.0), (2, 12, 1.0), (1, 21, 2.0), (1, 23, 1.0), (3, 21, 2.0), (3, 23, 1.0), (0, 1, 0.5), (5, 30, 1.0)]
+    cols = ", ".join(f"({i}, {a}, 'R', {w})" for i, (a, _, w) in enumerate(rows))
+    duckdb.sql(f"copy (select l_orderkey::bigint as l_orderkey, l_suppkey::bigint as l_suppkey, l_returnflag, l_quantity::double as l_quantity "
+               f"from (values {cols}) t(l_orderkey, l_suppkey, l_returnflag, l_quantity)) to '{tmp_path}/lineitem.parquet'")
+    cols = ", ".join(f"({i}, {b})" for i, (_, b, _) in enumerate(rows))
+    duckdb.sql(f"copy (select o_orderkey::bigint as o_orderkey, o_custkey::bigint as o_custkey, date '1995-01-01' as o_orderdate "
+               f"from (values {cols}) t(o_orderkey, o_custkey)) to '{tmp_path}/orders.parquet'")
+    like_the_oracle(spark, tmp_path, "label_propagation", ["lineitem", "orders"])
+    df, turn = spark.createDataFrame(rows, "a long, b long, w double"), F.pmod("node", F.lit(2))
+    for in_task in (0, None):
+        with pytest.raises(RuntimeError, match="come back every 4 steps"):
+            nw.label_propagation(df, turn, in_task=in_task)
+    ends = [[{r.node: r.label for r in nw.label_propagation(df, turn, phase=p, in_task=k).collect()} for k in (None, 0)] for p in (118, 120)]
+    assert all(one == steps for one, steps in ends) and ends[0] != ends[1]
+
+
+def some_edges(seed, n=40):
+    rng = np.random.default_rng(seed)
+    rows = [(int(a), int(b), float(rng.integers(1, 5))) for a, b in rng.integers(0, n, (90, 2))]
+    return rows + [(None, 3, 2.0), (7, None, 4.0), (n + 1, n + 2, None), (n + 1, n + 3, None), rows[1]]
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_propagation_in_one_task_is_that_of_the_steps(spark, kind):
+    df = spark.createDataFrame(some_edges(4), "a long, b long, w double").withColumns({k: F.col(k).cast(kind) for k in "ab"})
+    for turn in (None, F.pmod(F.col("node").cast("long"), F.lit(2))):
+        one, steps = ({r.node: r.label for r in nw.label_propagation(df, turn, phase=0, in_task=k).collect()} for k in (None, 0))
+        assert one == steps and len(one) > 30 and None not in one
