@@ -1,5 +1,7 @@
 """Queries on tables of another size or shape than the driver's."""
 
+import itertools
+
 import duckdb
 import numpy as np
 import pytest
@@ -149,3 +151,24 @@ def test_propagation_in_one_task_is_that_of_the_steps(spark, kind):
     for turn in (None, F.pmod(F.col("node").cast("long"), F.lit(2))):
         one, steps = ({r.node: r.label for r in nw.label_propagation(df, turn, phase=0, in_task=k).collect()} for k in (None, 0))
         assert one == steps and len(one) > 30 and None not in one
+
+
+@pytest.mark.parametrize("in_task", [None, 40, 0])
+def test_communities_of_any_size_are_settled(spark, in_task):
+    """In one task, the contracted graphs only, and none in one task."""
+    rows = [(a, b, w) for a, b, w in some_edges(5) if a is not None and b is not None and a != b and w]
+    df = spark.createDataFrame(rows, "a long, b long, w double")
+    found = nw.communities(df, in_task=in_task)
+    labels = {r.node: r.label for r in found.collect()}
+    assert set(labels) == {v for a, b, _ in rows for v in (a, b)} and nw.raising_moves(df, found).count() == 0
+    assert all(labels[c] == c == min(v for v in labels if labels[v] == c) for c in set(labels.values()))
+
+    def quality(part):
+        ends = [(part[a], part[b], w) for a, b, w in rows]
+        degree = [sum(w * ((a == c) + (b == c)) for a, b, w in ends) for c in set(part.values())]
+        return 2 * sum(w for a, b, w in ends if a == b) / sum(degree) - sum(k * k for k in degree) / sum(degree) ** 2
+
+    q = nw.modularity(df, found).first().q
+    assert q == pytest.approx(quality(labels))
+    for c, d in itertools.combinations(set(labels.values()), 2):
+        assert quality({v: d if x == c else x for v, x in labels.items()}) <= q + 1e-9
